@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoflow.llm import chat_format, quality_lines, token_records
+from chronoflow.llm import chat_format, decontaminate, page_text, pii_spans, quality_lines, token_records, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans.digests(pii_spans.pii_spans(table(spark, sf_dir, "documents")))
+
+
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.archived(table(spark, sf_dir, "pages"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.line_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -31,12 +47,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_spans": op1_pii_spans,
+    "op2_warc_archive": op2_warc_archive,
+    "op3_decontaminate": op3_decontaminate,
     "op5_quality_lines": op5_quality_lines,
+    "op6_page_text": op6_page_text,
     "op7_token_records": op7_token_records,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
+    "op2_warc_archive": warc_archive.QUERY_SQL,
     "op5_quality_lines": quality_lines.QUERY_SQL,
     "op10_chat_format": chat_format.QUERY_SQL,
 }
