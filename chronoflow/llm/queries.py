@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoflow.llm import chat_format, decontaminate, page_text, pii_spans, quality_lines, token_records, warc_archive
+from chronoflow.llm import chat_format, decontaminate, near_dedup, page_text, pii_spans, quality_lines, token_records, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted_conversations(table(spark, sf_dir, "conversations"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_quality_lines": op5_quality_lines,
     "op6_page_text": op6_page_text,
     "op7_token_records": op7_token_records,
+    "op8_near_dedup": op8_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
