@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoflow.llm import chat_format, decontaminate, near_dedup, page_text, pii_spans, quality_lines, token_records, warc_archive
+from chronoflow.llm import chat_format, decontaminate, mix_sources, near_dedup, page_text, pii_spans, quality_lines, token_records, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.line_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_pii_spans": op1_pii_spans,
     "op2_warc_archive": op2_warc_archive,
     "op3_decontaminate": op3_decontaminate,
+    "op4_mix_sources": op4_mix_sources,
     "op5_quality_lines": op5_quality_lines,
     "op6_page_text": op6_page_text,
     "op7_token_records": op7_token_records,
