@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoflow.llm import chat_format, decontaminate, mix_sources, near_dedup, page_text, pii_spans, quality_lines, token_records, warc_archive
+from chronoflow.llm import chat_format, decontaminate, katz, mix_sources, near_dedup, page_text, pii_spans, quality_lines, token_records, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted_conversations(table(spark, sf_dir, "conversations"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_page_text": op6_page_text,
     "op7_token_records": op7_token_records,
     "op8_near_dedup": op8_near_dedup,
+    "op9_katz": op9_katz,
     "op10_chat_format": op10_chat_format,
 }
 
