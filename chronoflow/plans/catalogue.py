@@ -1,7 +1,774 @@
-"""The queries over the driver tables, with their SQL equivalents."""
+"""The queries over the driver tables, with their SQL equivalents. Floats are rounded on both sides, as sums and logs
+of two engines differ in the last digits."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+
+from chronoflow.functions.vectors import logsumexp, negated_recency, time_encoding
+from chronoflow.operators import asof, daily, features as feat, graph, memory, metrics, ranking, sampling
+from chronoflow.plans import views
+from chronoflow.plans.views import ASSETS, edges, edges_sql, table, transfers
+from chronoflow.sources import transfers as source
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "edgebank_inf_dgb"
+FLAGSHIP = "auroc_dgb_batch"
+SEED = 7
+NATION, PARTY = edges_sql("nation"), edges_sql("party")
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with the SQL of the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(c, digits: int = 6):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c.cast("double"), digits) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[r(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def n_nodes(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("x")).union(e.select("dst")).agg(F.countDistinct("x").alias("n_nodes"))
+
+
+def test_queries(e: DataFrame) -> DataFrame:
+    return e.where("split = 'test'").select(F.col("event_idx").alias("query_id"), F.col("src").alias("s"), F.col("dst").alias("d"), "day")
+
+
+def plain(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("s"), F.col("dst").alias("d"), "day")
+
+
+# Scans, filters, projections, plain aggregates
+
+
+@query(f"WITH {PARTY} SELECT s, d, day, round(usd_sum, 5) AS usd_sum, round(amt_0, 5) AS amt_0, round(amt_1, 5) AS amt_1, round(amt_2, 5) AS amt_2, round(amt_3, 5) AS amt_3, txn FROM o")
+def daily_flow(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(daily.daily_edges(views.party(spark, d), ASSETS), 5)
+
+
+@query(f"WITH {NATION} SELECT event_idx, src, dst, day, split, txn FROM e")
+def daily_split(spark, d):
+    return edges(spark, d, "nation").select("event_idx", "src", "dst", "day", "split", "txn")
+
+
+@query(f"""WITH {NATION} SELECT event_idx, round((log10(usd_sum) - amt_mean) / amt_std, 6) AS z_log_usd, round(ln(1.0 + txn), 6) AS ln_txn,
+  round(amt_0 / usd_sum, 6) AS share_0, round(amt_1 / usd_sum, 6) AS share_1, round(amt_2 / usd_sum, 6) AS share_2, round(amt_3 / usd_sum, 6) AS share_3 FROM e CROSS JOIN y""")
+def edge_features(spark, d):
+    return rounded(daily.edge_features(edges(spark, d, "nation"), len(ASSETS)))
+
+
+@query(f"WITH {NATION} SELECT n_nodes, n_days, train_end, val_end, round(amt_mean, 6) AS amt_mean, round(amt_std, 6) AS amt_std FROM meta CROSS JOIN y")
+def graph_meta(spark, d):
+    return rounded(daily.graph_meta(edges(spark, d, "nation")))
+
+
+@query(f"WITH {NATION} SELECT addr, node_id FROM nodes")
+def node_dim(spark, d):
+    return daily.node_dim(daily.daily_edges(views.nation(spark, d), ASSETS))
+
+
+@query(f"WITH {NATION} SELECT day, n, sum(n) OVER (ORDER BY day) - n AS lo FROM (SELECT day, count(*) AS n FROM e GROUP BY day)")
+def day_offsets(spark, d):
+    return daily.day_offsets(edges(spark, d, "nation"))
+
+
+_WINDOW = ("1996-01-01", "1996-07-01")
+_WEI = "(round(l_extendedprice * (1 - l_discount) * 100)::BIGINT)::VARCHAR || '0000000000000000'"
+
+
+@query(f"""SELECT '0x-' || l_orderkey || '-' || l_linenumber AS transaction_hash, 'c' || o_custkey AS from_address, 's' || l_suppkey AS to_address, {_WEI} AS value_lossless, round(({_WEI})::DOUBLE / 1e18, 6) AS value_eth
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '{_WINDOW[0]}' AND l_shipdate < TIMESTAMP '{_WINDOW[1]}' AND l_extendedprice * (1 - l_discount) >= 0.005""")
+def windowed_extract(spark, d):
+    return rounded(source.window_of(transfers(spark, d).withColumn("block_timestamp", F.col("block_timestamp").cast("timestamp")), *_WINDOW).drop("block_timestamp"))
+
+
+@query("SELECT date_trunc('day', ts)::DATE AS dt, count(*) AS n FROM events GROUP BY 1")
+def tx_per_day(spark, d):
+    return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("date").alias("dt")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 's' || l_suppkey AS to_address, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, to_address LIMIT 20")
+def top_counterparties(spark, d):
+    return transfers(spark, d).groupBy("to_address").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "to_address").limit(20)
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def recent_transfers(spark, d):
+    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT count(*) AS n, min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last, round(avg(o_totalprice), 2) AS mean FROM orders")
+def block_stats(spark, d):
+    return table(spark, d, "orders").agg(F.count("*").alias("n"), F.min("o_orderdate").cast("date").alias("first"), F.max("o_orderdate").cast("date").alias("last"), r(F.avg("o_totalprice"), 2).alias("mean"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type")
+def relative_window(spark, d):
+    e = table(spark, d, "events")
+    return e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).where(F.col("ts") > F.col("now") - F.expr("INTERVAL 7 DAY")).groupBy("event_type").agg(F.count("*").alias("n"), r(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT deg AS degree, count(*) AS nodes FROM (SELECT node, count(*) AS deg FROM (SELECT 'c' || o_custkey AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 's' || l_suppkey FROM lineitem) GROUP BY node) GROUP BY deg")
+def degree_hist(spark, d):
+    e = transfers(spark, d).select(F.col("from_address").alias("s"), F.col("to_address").alias("d"))
+    return graph.degree(e).groupBy("degree").agg(F.count("*").alias("nodes"))
+
+
+@query(f"WITH {NATION} SELECT node, count(*) AS degree FROM (SELECT s AS node FROM e UNION ALL SELECT d FROM e) GROUP BY node ORDER BY degree DESC, node LIMIT 10")
+def top_hubs(spark, d):
+    return graph.degree(edges(spark, d, "nation").select("s", "d")).orderBy(F.desc("degree"), "node").limit(10)
+
+
+@query("""WITH n AS (SELECT ts::DATE AS dt, count(*) AS n FROM events WHERE event_id % 997 = 0 GROUP BY 1)
+SELECT x.dt::DATE AS dt, coalesce(n.n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(dt) FROM n), (SELECT max(dt) FROM n), INTERVAL 1 DAY)) AS dt) x LEFT JOIN n ON n.dt = x.dt::DATE""")
+def daily_coverage_gaps(spark, d):
+    return graph.coverage(table(spark, d, "events").where("event_id % 997 = 0"))
+
+
+@query("""WITH n AS (SELECT ts::DATE AS dt, count(*) AS n FROM events GROUP BY 1)
+SELECT x.dt::DATE AS dt, coalesce(n.n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(dt) FROM n), (SELECT max(dt) FROM n), INTERVAL 1 DAY)) AS dt) x LEFT JOIN n ON n.dt = x.dt::DATE""")
+def daily_coverage(spark, d):
+    return graph.coverage(table(spark, d, "events"))
+
+
+_ENDS = "SELECT 'c' || o_custkey AS address FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 's' || l_suppkey FROM lineitem"
+
+
+@query(f"SELECT address, count(*) AS n FROM ({_ENDS}) GROUP BY address HAVING count(*) BETWEEN 50 AND 500 ORDER BY md5(address), address LIMIT 20")
+def pick_seeds(spark, d):
+    return graph.pick_seeds(transfers(spark, d))
+
+
+@query(f"WITH {NATION} SELECT split, count(*) AS n, count(*) FILTER (seen) AS seen FROM (SELECT e.split, p.src IS NOT NULL AS seen FROM e LEFT JOIN (SELECT DISTINCT src, dst FROM e WHERE split = 'train') p USING (src, dst)) GROUP BY split")
+def seen_share(spark, d):
+    e = edges(spark, d, "nation")
+    seen = e.where("split = 'train'").select("src", "dst", F.lit(True).alias("seen")).distinct()
+    return e.join(seen, ["src", "dst"], "left").groupBy("split").agg(F.count("*").alias("n"), F.count("seen").alias("seen"))
+
+
+@query("SELECT event_type, date_trunc('week', ts)::DATE AS week, count(*) AS n, sum(n_v) AS n_v FROM (SELECT *, CASE WHEN value > 0 THEN 1 ELSE 0 END AS n_v FROM events) GROUP BY CUBE (event_type, week)")
+def activity_cube(spark, d):
+    e = table(spark, d, "events").select("event_type", F.date_trunc("week", "ts").cast("date").alias("week"), F.when(F.col("value") > 0, 1).otherwise(0).alias("v"))
+    return e.cube("event_type", "week").agg(F.count("*").alias("n"), F.sum("v").alias("n_v"))
+
+
+# Graph sampling and structure
+
+_T = "t AS MATERIALIZED (SELECT 'c' || o_custkey AS a, 's' || l_suppkey AS b, '0x-' || l_orderkey || '-' || l_linenumber AS h, epoch(l_shipdate)::BIGINT AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def _hop(k: int, room: int, cap: int) -> str:
+    known = " UNION ALL ".join(f"SELECT address, hop FROM f{j}" for j in range(k))
+    return f"""f{k} AS MATERIALIZED (SELECT other AS address, {k} AS hop FROM (SELECT DISTINCT other FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY md5(concat_ws('|', h, ts, anchor, other, 0)), other) AS rn FROM
+  (SELECT f.address AS anchor, b AS other, h, ts FROM t JOIN f{k - 1} f ON a = f.address UNION ALL SELECT f.address, a, h, ts FROM t JOIN f{k - 1} f ON b = f.address)) WHERE rn <= {cap})
+  WHERE other NOT IN (SELECT address FROM ({known})) ORDER BY md5(concat_ws('|', other, 0)), other LIMIT greatest(0, {room} - (SELECT count(*) FROM ({known}))))"""
+
+
+_SNOW = f"WITH {_T}, f0 AS (SELECT 's1' AS address, 0 AS hop), {', '.join(_hop(k, 300, 10) for k in range(1, 7))}, n AS ({' UNION ALL '.join(f'SELECT * FROM f{k}' for k in range(7))})"
+
+
+@query(f"{_SNOW} SELECT * FROM n")
+def snowball_nodes(spark, d):
+    return graph.snowball(transfers(spark, d), "s1", max_nodes=300, per_node=10)
+
+
+@query(f"{_SNOW} SELECT a AS from_address, b AS to_address, h AS transaction_hash FROM t WHERE a IN (SELECT address FROM n) AND b IN (SELECT address FROM n)")
+def snowball_edges(spark, d):
+    t = transfers(spark, d)
+    return graph.induced(t, graph.snowball(t, "s1", max_nodes=300, per_node=10)).select("from_address", "to_address", "transaction_hash")
+
+
+# Orders joined by customer in a year: a graph of many components.
+_SPARSE = "x AS MATERIALIZED (SELECT DISTINCT 'c' || o_custkey AS s, 'p' || l_partkey AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 50 = 1 AND l_quantity <= 10)"
+
+
+def _sparse(spark, d):
+    line = table(spark, d, "lineitem").where("l_partkey % 50 = 1 AND l_quantity <= 10").select("l_orderkey", "l_partkey")
+    return line.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("d")).distinct()
+
+
+_COMPONENTS = f"""WITH RECURSIVE {_SPARSE}, b AS MATERIALIZED (SELECT s AS u, d AS v FROM x UNION SELECT d, s FROM x),
+w(node, other) AS (SELECT u, u FROM b UNION SELECT w.node, b.v FROM w JOIN b ON b.u = w.other),
+c AS (SELECT node, min(other) AS component FROM w GROUP BY node)"""
+
+
+@query(f"{_COMPONENTS} SELECT * FROM c")
+def components(spark, d):
+    return graph.components(_sparse(spark, d))
+
+
+@query(f"{_COMPONENTS} SELECT size, count(*) AS components FROM (SELECT count(*) AS size FROM c GROUP BY component) GROUP BY size")
+def component_sizes(spark, d):
+    return graph.components(_sparse(spark, d)).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components"))
+
+
+# As-of neighbours
+
+_INC = """inc AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node ORDER BY day, event_idx, dir) AS rn FROM
+  (SELECT src AS node, dst AS other, 0 AS dir, day, event_idx FROM e UNION ALL SELECT dst, src, 1, day, event_idx FROM e)),
+q AS MATERIALIZED (SELECT event_idx AS query_id, src AS node, day FROM e WHERE split = 'test'),
+c AS MATERIALIZED (SELECT query_id, q.node, q.day, (SELECT count(*) FROM inc WHERE inc.node = q.node AND inc.day < q.day) AS cut FROM q)"""
+
+
+def _neighbor_queries(e):
+    return e.where("split = 'test'").select(F.col("event_idx").alias("query_id"), F.col("src").alias("node"), "day")
+
+
+@query(f"WITH {PARTY}, {_INC} SELECT query_id, cut - rn + 1 AS pos, other, c.day - inc.day AS dt, dir FROM c JOIN inc USING (node) WHERE rn > cut - 20 AND rn <= cut")
+def incidence_topk(spark, d):
+    e = edges(spark, d, "party")
+    return asof.recent_neighbors(asof.incidence(e), _neighbor_queries(e), 20).drop("eday")
+
+
+@query(f"""WITH {PARTY}, {_INC}, p AS (SELECT query_id, node, day, cut, unnest(CASE WHEN cut <= 7 THEN range(1, cut + 1) ELSE list_concat([1 + (j * (cut - 4)) // 3 FOR j IN range(3)], range(cut - 3, cut + 1)) END) AS rn FROM c)
+SELECT query_id, cut - p.rn + 1 AS pos, other, p.day - inc.day AS dt, dir FROM p JOIN inc ON inc.node = p.node AND inc.rn = p.rn""")
+def incidence_strat(spark, d):
+    e = edges(spark, d, "party")
+    return asof.spread_neighbors(asof.incidence(e), _neighbor_queries(e), 7).drop("eday")
+
+
+@query(f"""WITH {PARTY}, {_INC.replace("WHERE split = 'test'", "WHERE split = 'test' AND event_idx % 40 = 0")}, a AS (SELECT DISTINCT node, day FROM q),
+h1 AS (SELECT DISTINCT other AS node, inc.day AS day FROM c JOIN inc USING (node) WHERE rn > cut - 3 AND rn <= cut),
+c1 AS (SELECT node, day, (SELECT count(*) FROM inc WHERE inc.node = h1.node AND inc.day < h1.day) AS cut FROM h1),
+h2 AS (SELECT DISTINCT other AS node, inc.day AS day FROM c1 JOIN inc USING (node) WHERE rn > cut - 3 AND rn <= cut)
+SELECT 0 AS hop, * FROM a UNION ALL SELECT 1, * FROM h1 UNION ALL SELECT 2, * FROM h2""")
+def two_hops(spark, d):
+    e = edges(spark, d, "party")
+    return asof.hops(asof.incidence(e), _neighbor_queries(e).where("query_id % 40 = 0"), 3, 2)
+
+
+# Features
+
+_Q = "q AS MATERIALIZED (SELECT event_idx AS query_id, src AS s, dst AS c, day AS t FROM e WHERE split = 'test')"
+_RAW = f"""{_Q},
+bp AS MATERIALIZED (SELECT query_id, max(day) AS pl, min(day) AS pf, count(day) AS pn FROM q LEFT JOIN e ON e.src = q.s AND e.dst = q.c AND e.day < q.t GROUP BY query_id),
+bs AS MATERIALIZED (SELECT query_id, max(day) AS sl, count(day) AS sn, count(day) FILTER (day >= t - 30) AS s30, count(DISTINCT dst) AS od FROM q LEFT JOIN e ON e.src = q.s AND e.day < q.t GROUP BY query_id),
+bd AS MATERIALIZED (SELECT query_id, max(day) AS dl, count(day) AS dn, count(day) FILTER (day >= t - 7) AS d7, count(day) FILTER (day >= t - 30) AS d30, count(day) FILTER (day >= t - 90) AS d90, count(DISTINCT src) AS ind FROM q LEFT JOIN e ON e.dst = q.c AND e.day < q.t GROUP BY query_id),
+und AS MATERIALIZED (SELECT node, other, min(day) AS day FROM (SELECT src AS node, dst AS other, day FROM e UNION ALL SELECT dst, src, day FROM e) GROUP BY node, other),
+gs AS MATERIALIZED (SELECT query_id, count(und.day) AS n FROM q LEFT JOIN und ON und.node = q.s AND und.day < q.t GROUP BY query_id),
+gc AS MATERIALIZED (SELECT query_id, count(und.day) AS n FROM q LEFT JOIN und ON und.node = q.c AND und.day < q.t GROUP BY query_id),
+lp AS MATERIALIZED (SELECT query_id, dst, max(day) AS last FROM q JOIN e ON e.src = q.s AND e.day < q.t GROUP BY query_id, dst),
+rk AS MATERIALIZED (SELECT q.query_id, count(last) AS partners, count(*) FILTER (last > pl) AS later FROM q JOIN bp USING (query_id) LEFT JOIN lp USING (query_id) GROUP BY q.query_id)"""
+_FROM = "FROM q JOIN bp USING (query_id) JOIN bs USING (query_id) JOIN bd USING (query_id) JOIN gs USING (query_id) JOIN gc USING (query_id) JOIN rk USING (query_id)"
+
+
+def _flag(c):
+    return f"CASE WHEN {c} IS NULL THEN 0.0 ELSE 1.0 END"
+
+
+def _since(c):
+    return f"coalesce(round(ln(1.0 + t - {c}), 6), 0.0)"
+
+
+def _count(c):
+    return f"round(ln(1.0 + {c}), 6)"
+
+
+_COLUMN_SQL = {
+    "pair_seen": _flag("pl"), "pair_recency": _since("pl"), "dst_seen": _flag("dl"), "dst_recency": _since("dl"), "src_seen": _flag("sl"), "src_recency": _since("sl"), "src_freq": _count("sn"), "dst_freq": _count("dn"),
+    "dst_freq30": _count("d30"), "deg_s": _count("gs.n"), "deg_c": _count("gc.n"), "pair_freq": _count("pn"), "pair_age": _since("pf"), "dst_freq7": _count("d7"), "dst_freq90": _count("d90"), "src_freq30": _count("s30"),
+    "out_deg_s": _count("od"), "in_deg_c": _count("ind"), "rec_rank": "round(CASE WHEN pl IS NOT NULL THEN ln(1.0 + later) ELSE ln(1.0 + greatest(partners, 1)) + 1.0 END, 6)", "n_partners_s": _count("od"),
+    "dt_1": "CASE WHEN t - pl <= 1 THEN 1.0 ELSE 0.0 END", "dt_2": "CASE WHEN t - pl = 2 THEN 1.0 ELSE 0.0 END", "dt_7": "CASE WHEN t - pl <= 7 THEN 1.0 ELSE 0.0 END",
+}
+
+
+def _feature_query(name: str, columns: tuple[str, ...], view: str) -> None:
+    def f(spark, d):
+        e = edges(spark, d, view)
+        return rounded(feat.features(plain(e), test_queries(e), columns))
+
+    QUERIES[name] = f
+    ORACLE_SQL[name] = f"WITH {edges_sql(view)}, {_RAW} SELECT query_id, {', '.join(f'{_COLUMN_SQL[c]} AS {c}' for c in columns)} {_FROM}"
+
+
+_feature_query("feat_base4", feat.BASE4, "nation")
+_feature_query("feat_buckets7", (*feat.BASE4, *feat.BUCKETS), "nation")
+_feature_query("feat_global11", feat.GLOBAL11, "party")
+_feature_query("feat_wide14", (*feat.GLOBAL11, *feat.BUCKETS), "nation")
+_feature_query("feat_wide23", feat.WIDE23, "nation")
+
+
+@query(f"""WITH {PARTY}, {_Q.replace("'test'", "'test' AND event_idx % 20 = 0")},
+und AS MATERIALIZED (SELECT src AS node, dst AS mid, day FROM e UNION SELECT dst, src, day FROM e),
+deg AS MATERIALIZED (SELECT node, mid, min(day) AS day FROM und GROUP BY node, mid),
+a AS (SELECT query_id, mid, max(day) AS pa FROM q JOIN und ON node = s AND day < t GROUP BY query_id, mid), b AS (SELECT query_id, mid, max(day) AS pb FROM q JOIN und ON node = c AND day < t GROUP BY query_id, mid),
+m AS MATERIALIZED (SELECT q.query_id, t, a.mid, pa, pb FROM a JOIN b ON a.query_id = b.query_id AND a.mid = b.mid JOIN q ON q.query_id = a.query_id),
+md AS (SELECT m.query_id, m.mid, count(*) AS n FROM m JOIN deg ON deg.node = m.mid AND deg.day < m.t GROUP BY m.query_id, m.mid),
+s1 AS (SELECT m.query_id, count(*) AS cn, count(*) FILTER (pa >= t - 30 AND pb >= t - 30) AS cn_recent, sum(1.0 / ln(1.0 + n)) AS aa FROM m JOIN md ON md.query_id = m.query_id AND md.mid = m.mid GROUP BY m.query_id),
+s2 AS (SELECT query_id, count(DISTINCT x.dst) AS n FROM q JOIN e x ON x.src = q.s AND x.day < q.t JOIN e z ON z.src = x.dst AND z.dst = q.c AND z.day < q.t GROUP BY query_id)
+SELECT q.query_id, coalesce(cn, 0) AS cn, coalesce(cn_recent, 0) AS cn_recent, round(coalesce(aa, 0.0), 6) AS aa, round(ln(1.0 + coalesce(s2.n, 0)), 6) AS two_hop FROM q LEFT JOIN s1 ON s1.query_id = q.query_id LEFT JOIN s2 ON s2.query_id = q.query_id""")
+def common_neighbors(spark, d):
+    e = edges(spark, d, "party")
+    return rounded(feat.common_neighbors(plain(e), test_queries(e).where("query_id % 20 = 0")))
+
+
+@query(f"WITH {PARTY}, {_RAW} SELECT query_id, round(ln(1.0 + gs.n) + ln(1.0 + gc.n), 5) AS pref_attach {_FROM}")
+def pref_attachment(spark, d):
+    e = edges(spark, d, "party")
+    return rounded(feat.preferential_attachment(plain(e), test_queries(e)), 5)
+
+
+@query(f"""WITH {NATION}, n AS (SELECT day, count(*) AS n, row_number() OVER (ORDER BY day) AS k FROM e GROUP BY day),
+x AS (SELECT a.day, a.k, coalesce(sum(0.25 * pow(0.75, a.k - 1 - b.k) * b.n), 0.0) AS ema FROM n a LEFT JOIN n b ON b.k < a.k GROUP BY a.day, a.k)
+SELECT x.day, round(ln(1.0 + coalesce(p.n, 0)), 6) AS day_edges_prev, round(ln(1.0 + ema), 6) AS day_edges_ema FROM x LEFT JOIN n p ON p.k = x.k - 1""")
+def day_context(spark, d):
+    return rounded(feat.day_context(plain(edges(spark, d, "nation"))))
+
+
+@query(f"WITH {NATION}, {_RAW} SELECT query_id, coalesce((pl - t)::DOUBLE, -1e9) AS pair_recency, coalesce((sl - t)::DOUBLE, -1e9) AS src_recency, coalesce((dl - t)::DOUBLE, -1e9) AS dst_recency {_FROM}")
+def recency_signals(spark, d):
+    e = edges(spark, d, "nation")
+    x = feat._counted(plain(e), test_queries(e))
+    return x.select("query_id", *[negated_recency(F.col("day"), F.col(f"{k}_last")).alias(f"{k}_recency") for k in ("pair", "src", "dst")])
+
+
+@query(f"""WITH {NATION}, {_Q.replace("'test'", "'test' AND event_idx % 10 = 0")}, i AS (SELECT q.*, t AS batch FROM q), p AS (SELECT a.batch, a.query_id AS i, b.query_id AS j, a.s, b.c, a.t FROM i a JOIN i b ON a.batch = b.batch)
+SELECT p.batch, p.i, p.j, CASE WHEN max(e.day) IS NULL THEN 0.0 ELSE 1.0 END AS pair_seen, coalesce(round(ln(1.0 + max(t) - max(e.day)), 6), 0.0) AS pair_recency FROM p LEFT JOIN e ON e.src = p.s AND e.dst = p.c AND e.day < p.t GROUP BY p.batch, p.i, p.j""")
+def feat_cross(spark, d):
+    e = edges(spark, d, "nation")
+    b = test_queries(e).where("query_id % 10 = 0").withColumn("batch", F.col("day")).withColumnRenamed("query_id", "i")
+    return rounded(feat.cross_features(plain(e), b, ("pair_seen", "pair_recency")))
+
+
+@query(f"""WITH {NATION}, {_Q.replace("'test'", "'test' AND event_idx % 200 = 0")}, p AS (SELECT query_id, s, node_id AS c, t FROM q CROSS JOIN nodes)
+SELECT p.query_id, p.c, count(e.day) AS n, round(ln(1.0 + count(e.day)), 6) AS pair_freq FROM p LEFT JOIN e ON e.src = p.s AND e.dst = p.c AND e.day < p.t GROUP BY p.query_id, p.c""".replace("count(e.day) AS n, ", ""))
+def feat_all_nodes(spark, d):
+    """Every node as candidate of some queries; meant for small graphs, where the node table is small."""
+    e = edges(spark, d, "nation")
+    q = test_queries(e).where("query_id % 200 = 0").select(F.col("query_id").alias("q"), "s", "day")
+    nodes = e.select(F.col("src").alias("d")).union(e.select("dst")).distinct()
+    pairs = q.join(nodes).withColumn("query_id", F.xxhash64("q", "d"))
+    f = feat.features(plain(e), pairs, ("pair_freq",))
+    return rounded(pairs.select("query_id", "q", "d").join(f, "query_id").select(F.col("q").alias("query_id"), F.col("d").alias("c"), "pair_freq"))
+
+
+# Negative samples
+
+_H = "('0x' || substr(md5(concat_ws('|', {})), 1, 8))::BIGINT"
+
+
+def _h(*parts) -> str:
+    return _H.format(", ".join(str(p) for p in parts))
+
+
+_NN = "(SELECT n_nodes FROM meta)"
+_UNIFORM = f"""u AS (SELECT event_idx, src, day, a AS attempt, {_h(SEED, "'train'", "event_idx", "a")} % {_NN} AS neg_dst FROM e CROSS JOIN range(8) x(a)),
+uf AS (SELECT event_idx, src, day, arg_min(neg_dst, attempt) AS neg_dst FROM u WHERE neg_dst <> src AND NOT EXISTS (SELECT 1 FROM e p WHERE p.src = u.src AND p.dst = u.neg_dst AND p.day = u.day) GROUP BY event_idx, src, day)"""
+
+
+@query(f"WITH {PARTY}, {_UNIFORM} SELECT event_idx, src, neg_dst, day FROM uf")
+def neg_random_train(spark, d):
+    e = edges(spark, d, "party")
+    return sampling.uniform_targets(e, n_nodes(e), SEED)
+
+
+@query(f"""WITH {PARTY}, u AS (SELECT event_idx, day, a AS attempt, {_h(SEED, "'legacy'", "'s'", "event_idx", "a")} % {_NN} AS src, {_h(SEED, "'legacy'", "'d'", "event_idx", "a")} % {_NN} AS dst FROM e CROSS JOIN range(8) x(a) WHERE split = 'test')
+SELECT event_idx, day, arg_min(src, attempt) AS src, arg_min(dst, attempt) AS dst FROM u WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM e p WHERE p.src = u.src AND p.dst = u.dst) GROUP BY event_idx, day""")
+def neg_legacy_random(spark, d):
+    e = edges(spark, d, "party")
+    return sampling.unseen_pairs(e.where("split = 'test'"), e, n_nodes(e), SEED)
+
+
+def _drawn(label: str) -> str:
+    """clocks (clock, need, lo, hi), pool (pos, src, dst) and positives (clock, src, dst) to drawn."""
+    return f"""few AS (SELECT clock, need, pos, md5(concat_ws('|', {SEED}, '{label}', clock, pos)) AS ord FROM (SELECT clock, need, unnest(range(lo, hi)) AS pos FROM clocks WHERE hi > lo AND hi - lo <= 4 * need)),
+many AS (SELECT clock, need, lo + {_h(SEED, f"'{label}'", "clock", "i", "a")} % (hi - lo) AS pos, lpad(a::VARCHAR, 2, '0') || lpad(i::VARCHAR, 12, '0') AS ord FROM (SELECT *, unnest(range(need)) AS i FROM clocks WHERE hi - lo > 4 * need) CROSS JOIN range(4) x(a)),
+cand AS (SELECT clock, need, pos, min(ord) AS ord FROM (SELECT * FROM few UNION ALL SELECT * FROM many) GROUP BY clock, need, pos),
+drawn AS MATERIALIZED (SELECT clock, k, src, dst FROM (SELECT clock, need, src, dst, row_number() OVER (PARTITION BY clock ORDER BY ord, pos) - 1 AS k FROM cand JOIN pool USING (pos)
+  WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.clock = cand.clock AND p.src = pool.src AND p.dst = pool.dst)) WHERE k < need)"""
+
+
+def _legacy(strategy: str) -> str:
+    which = "SELECT src, dst, min(event_idx) AS first FROM e WHERE split <> 'test' GROUP BY src, dst" if strategy == "historical" else "SELECT src, dst, min(event_idx) AS first FROM e WHERE split = 'test' AND NOT EXISTS (SELECT 1 FROM e p WHERE p.split <> 'test' AND p.src = e.src AND p.dst = e.dst) GROUP BY src, dst"
+    return f"""pool AS MATERIALIZED (SELECT src, dst, row_number() OVER (ORDER BY first) - 1 AS pos FROM ({which})), positives AS (SELECT day AS clock, src, dst FROM e WHERE split = 'test'),
+clocks AS (SELECT clock, count(*) AS need, 0 AS lo, (SELECT count(*) FROM pool) AS hi FROM positives GROUP BY clock), {_drawn('legacy-' + strategy)}"""
+
+
+@query(f"WITH {PARTY}, {_legacy('historical')} SELECT * FROM drawn")
+def neg_legacy_historical(spark, d):
+    return sampling.day_negatives(edges(spark, d, "party"), "historical", SEED)
+
+
+@query(f"WITH {PARTY}, {_legacy('inductive')} SELECT * FROM drawn")
+def neg_legacy_inductive(spark, d):
+    return sampling.day_negatives(edges(spark, d, "party"), "inductive", SEED)
+
+
+def _dgb(strategy: str, n_neg: int = 1, span: str = "test", prefix: str = "") -> str:
+    """Tables pos (the span's edges with clock and i) and neg."""
+    pos = f"""pos AS MATERIALIZED (SELECT *, (event_idx - lo) // 200 AS clock, (event_idx - lo) % 200 AS i FROM (SELECT *, min(event_idx) OVER () AS lo FROM e WHERE split = '{span}')),
+positives AS (SELECT clock, src, dst FROM pos), np AS MATERIALIZED (SELECT clock, count(*) AS npos, min(event_idx) AS begin FROM pos GROUP BY clock)"""
+    ends = """targets AS MATERIALIZED (SELECT dst AS node, row_number() OVER (ORDER BY dst) - 1 AS rank FROM (SELECT DISTINCT dst FROM e)), sources AS MATERIALIZED (SELECT src AS node, row_number() OVER (ORDER BY src) - 1 AS rank FROM (SELECT DISTINCT src FROM e))"""
+    if strategy == "random":
+        return f"""{pos}, {ends}, u AS (SELECT clock, r * npos + i AS k, src, day, a, {_h(SEED, "'random'", "clock", "r * npos + i", "a")} % (SELECT count(*) FROM targets) AS rank FROM pos JOIN np USING (clock) CROSS JOIN range({n_neg}) y(r) CROSS JOIN range(8) x(a)),
+neg AS MATERIALIZED (SELECT clock, k, src, arg_min(node, a) AS dst, day, FALSE AS is_pad FROM u JOIN targets USING (rank) WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.clock = u.clock AND p.src = u.src AND p.dst = node) GROUP BY clock, k, src, day)"""
+    where = "WHERE event_idx >= (SELECT min(event_idx) FROM pos)" if strategy == "recurring" else ""
+    lo = "(SELECT count(*) FROM pool WHERE first < (SELECT min(event_idx) FROM pos))" if strategy == "inductive" else "0"
+    return f"""{pos}, {ends}, pool AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY first) - 1 AS pos FROM (SELECT src, dst, min(event_idx) AS first FROM e {where} GROUP BY src, dst)),
+clocks AS MATERIALIZED (SELECT clock, npos * {n_neg} AS need, {lo} AS lo, (SELECT count(*) FROM pool WHERE first < begin) AS hi FROM np), {_drawn(strategy)},
+gap AS (SELECT clock, unnest(range(got, need)) AS k FROM (SELECT clock, need, (SELECT count(*) FROM drawn WHERE drawn.clock = clocks.clock) AS got FROM clocks)),
+pu AS (SELECT clock, k, a, s.node AS src, t.node AS dst FROM gap CROSS JOIN range(8) x(a) JOIN sources s ON s.rank = {_h(SEED, f"'{strategy}'", "'pad'", "'src'", "clock", "k", "a")} % (SELECT count(*) FROM sources) JOIN targets t ON t.rank = {_h(SEED, f"'{strategy}'", "'pad'", "'dst'", "clock", "k", "a")} % (SELECT count(*) FROM targets)),
+pads AS (SELECT clock, k, arg_min(src, a) AS src, arg_min(dst, a) AS dst FROM pu WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.clock = pu.clock AND p.src = pu.src AND p.dst = pu.dst) GROUP BY clock, k),
+neg AS MATERIALIZED (SELECT b.clock, b.k, b.src, b.dst, pos.day, is_pad FROM (SELECT *, FALSE AS is_pad FROM drawn UNION ALL SELECT *, TRUE FROM pads) b JOIN np ON np.clock = b.clock JOIN pos ON pos.clock = b.clock AND pos.i = b.k % npos)"""
+
+
+for _s in ("random", *sampling.STRATEGIES):
+
+    def _neg(spark, d, strategy=_s):
+        return sampling.batch_negatives(edges(spark, d, "party"), strategy, SEED)
+
+    QUERIES[f"neg_dgb_{_s}"] = _neg
+    ORACLE_SQL[f"neg_dgb_{_s}"] = f"WITH {PARTY}, {_dgb(_s)} SELECT * FROM neg"
+
+
+@query(f"WITH {PARTY}, {_dgb('inductive', 3, 'val')} SELECT * FROM neg")
+def neg_ratio3_val(spark, d):
+    return sampling.batch_negatives(edges(spark, d, "party"), "inductive", SEED, span="val", n_neg=3)
+
+
+@query(f"WITH {PARTY}, {_dgb('inductive', 3)} SELECT clock, count(*) AS n, count(*) FILTER (is_pad) AS pads FROM neg GROUP BY clock")
+def pad_share(spark, d):
+    x = sampling.batch_negatives(edges(spark, d, "party"), "inductive", SEED, n_neg=3)
+    return x.groupBy("clock").agg(F.count("*").alias("n"), F.sum(F.col("is_pad").cast("int")).alias("pads"))
+
+
+@query(f"""WITH {PARTY}, pool AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY first) - 1 AS pos, row_number() OVER (PARTITION BY src ORDER BY first) - 1 AS own FROM (SELECT src, dst, min(event_idx) AS first, min(day) AS day FROM e GROUP BY src, dst)),
+q AS MATERIALIZED (SELECT event_idx, src, dst, day, {_h(SEED, "'branch'", "event_idx")} / 4294967296.0 AS u, {_h(SEED, "'source'", "event_idx")} / 4294967296.0 AS v FROM e),
+b AS MATERIALIZED (SELECT *, CASE WHEN u < 0.5 THEN CASE WHEN v < 0.5 THEN 'source' ELSE 'global' END WHEN u < 0.5 + 0.2 THEN 'popular' WHEN u < 0.5 + 0.2 + 0.1 THEN 'novel' ELSE 'uniform' END AS branch FROM q),
+dd AS MATERIALIZED (SELECT day, (SELECT count(*) FROM pool p WHERE p.day < x.day) AS upto, (SELECT count(*) FROM pool p WHERE p.day < x.day - 30) AS older, (SELECT count(*) FROM e p WHERE p.day < x.day) AS tokens FROM (SELECT DISTINCT day FROM e) x),
+m AS (SELECT event_idx, count(*) AS mine FROM b JOIN pool p ON p.src = b.src AND p.day < b.day WHERE branch = 'source' GROUP BY event_idx),
+r AS (SELECT b.*, a, upto, older, tokens, coalesce(mine, 0) AS mine, {_h(SEED, "branch", "b.event_idx", "a")} AS h FROM b JOIN dd USING (day) LEFT JOIN m ON m.event_idx = b.event_idx CROSS JOIN range(4) x(a)),
+f AS (SELECT event_idx, r.day, branch, a, p.src, p.dst FROM r JOIN pool p ON p.src = r.src AND p.own = h % mine WHERE branch = 'source' AND mine > 0
+  UNION ALL SELECT event_idx, r.day, branch, a, p.src, p.dst FROM r JOIN pool p ON p.pos = h % upto WHERE branch = 'global' AND upto > 0
+  UNION ALL SELECT event_idx, r.day, branch, a, p.src, p.dst FROM r JOIN pool p ON p.pos = older + h % (upto - older) WHERE branch = 'novel' AND upto > older
+  UNION ALL SELECT r.event_idx, r.day, branch, a, r.src, e.dst FROM r JOIN e ON e.event_idx = h % tokens WHERE branch = 'popular' AND tokens > 0),
+w AS MATERIALIZED (SELECT event_idx, branch, arg_min(src, a) AS src, arg_min(dst, a) AS dst FROM f WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM e p WHERE p.src = f.src AND p.dst = f.dst AND p.day = f.day) GROUP BY event_idx, branch),
+{_UNIFORM.replace("'train'", "'fallback'")}
+SELECT * FROM w UNION ALL SELECT event_idx, 'uniform', src, neg_dst FROM uf WHERE event_idx NOT IN (SELECT event_idx FROM w)""")
+def neg_mixture(spark, d):
+    e = edges(spark, d, "party")
+    return sampling.mixture(e, n_nodes(e), SEED)
+
+
+@query(f"WITH {NATION} SELECT event_idx, src AS node FROM e UNION SELECT a.event_idx, b.dst FROM e a JOIN e b ON a.src = b.src AND a.day = b.day AND a.dst <> b.dst")
+def vocabulary_mask(spark, d):
+    e = edges(spark, d, "nation")
+    nodes = e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct()
+    return sampling.vocabulary_mask(e, nodes)
+
+
+@query(f"""WITH {PARTY}, p AS (SELECT event_idx FROM e WHERE split = 'val' ORDER BY md5(concat_ws('|', {SEED}, 'probe', event_idx)), event_idx LIMIT 500)
+SELECT event_idx, j, {_h(SEED, "'candidate'", "event_idx", "j")} % {_NN} AS node FROM p CROSS JOIN range(100) x(j)""")
+def mrr_probe(spark, d):
+    e = edges(spark, d, "party")
+    return sampling.probe(e, n_nodes(e), SEED)
+
+
+# Memorisation and metrics
+
+
+def _scored(e, neg, key: str = "clock", window: bool = False, frozen: bool = False, span: str = "test"):
+    """Positives and negatives of a span with their memorisation score: clock, k, y, score, seen (of the pair)."""
+    events = sampling.batches(e, span) if key == "clock" else e.where(F.col("split") == span).withColumn("clock", F.col("day").cast("long"))
+    start = F.broadcast(events.agg(F.min("event_idx").alias("_lo")))
+    ahead = e.crossJoin(start).where("event_idx < _lo").drop("_lo").withColumn("clock", F.lit(-1).cast("long"))
+    memory_of = ahead.select("src", "dst", "day", "clock")
+    if not frozen:
+        memory_of = memory_of.unionByName(events.select("src", "dst", "day", "clock"))
+    place = F.col("i") if "i" in events.columns else F.row_number().over(W.partitionBy("clock").orderBy("event_idx")) - 1
+    pos = events.select("clock", place.cast("long").alias("k"), "src", "dst", "day", F.lit(1).alias("y"))
+    rows = pos.unionByName(neg.select("clock", "k", "src", "dst", "day", F.lit(0).alias("y")))
+    rows = rows.withColumn("query_id", F.xxhash64("clock", "k", "y"))
+    score = memory.edgebank(memory_of, rows, "clock", memory.span_days(e, span) if window else None)
+    old = ahead.select("src", "dst").distinct().withColumn("seen", F.lit(True))
+    return rows.join(score, "query_id").join(old, ["src", "dst"], "left").select("clock", "k", "y", "day", "score", F.coalesce("seen", F.lit(False)).alias("seen"))
+
+
+def _bank(window: bool = False, frozen: bool = False, span: str = "test") -> str:
+    """Table sc from pos and neg: clock, k, y, day, score, seen."""
+    hit = "max(m.day) > min(x.day) - (SELECT max(day) - min(day) + 1 FROM pos)" if window else "count(m.day) > 0"
+    memory_sql = "SELECT src, dst, day, -1 AS clock FROM e WHERE event_idx < (SELECT min(event_idx) FROM pos)" + ("" if frozen else " UNION ALL SELECT src, dst, day, clock FROM pos")
+    return f"""m AS MATERIALIZED ({memory_sql}), x AS MATERIALIZED (SELECT clock, i AS k, src, dst, day, 1 AS y FROM pos UNION ALL SELECT clock, k, src, dst, day, 0 FROM neg),
+sc AS MATERIALIZED (SELECT x.clock, k, y, x.day, CASE WHEN {hit} THEN 1.0 ELSE 0.0 END AS score, count(m.day) FILTER (m.clock = -1) > 0 AS seen FROM x LEFT JOIN m ON m.src = x.src AND m.dst = x.dst AND m.clock < x.clock GROUP BY x.clock, k, y, x.day)"""
+
+
+def _au(where: str = "", group: str = "", source: str = "sc") -> str:
+    """The area by direct comparison of scores, as a subquery."""
+    keys = f"{group}, " if group else ""
+    return f"""(SELECT {keys}CASE WHEN sum(p) * sum(n) > 0 THEN sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) END AS auroc FROM (SELECT {keys}p, n, coalesce(sum(n) OVER ({f'PARTITION BY {group} ' if group else ''}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM (SELECT {keys}score, sum(y) AS p, sum(1 - y) AS n FROM {source} {where} GROUP BY {keys}score)) {f'GROUP BY {group}' if group else ''})"""
+
+
+for _name, _window, _frozen in (("inf", False, False), ("tw", True, False), ("frozen", False, True)):
+    for _s in ("historical", "inductive"):
+
+        def _eb(spark, d, window=_window, frozen=_frozen, strategy=_s):
+            e = edges(spark, d, "nation" if strategy == "historical" else "party")
+            return _scored(e, sampling.batch_negatives(e, strategy, SEED), window=window, frozen=frozen).drop("day", "seen")
+
+        _n = f"edgebank_{_name}_dgb_{_s}"
+        QUERIES[_n] = _eb
+        ORACLE_SQL[_n] = f"WITH {NATION if _s == 'historical' else PARTY}, {_dgb(_s)}, {_bank(_window, _frozen)} SELECT clock, k, y, score FROM sc"
+
+_LEGACY = f"""{_legacy('historical')}, pos AS MATERIALIZED (SELECT *, day AS clock, row_number() OVER (PARTITION BY day ORDER BY event_idx) - 1 AS i FROM e WHERE split = 'test'), neg AS MATERIALIZED (SELECT clock, k, src, dst, clock AS day FROM drawn)"""
+
+
+def _legacy_scored(spark, d, window=False):
+    e = edges(spark, d, "nation")
+    neg = sampling.day_negatives(e, "historical", SEED).withColumn("day", F.col("clock").cast("int")).withColumn("clock", F.col("clock").cast("long"))
+    return _scored(e, neg, "day", window)
+
+
+@query(f"WITH {NATION}, {_LEGACY}, {_bank()} SELECT clock, k, y, score FROM sc")
+def edgebank_inf_legacy(spark, d):
+    return _legacy_scored(spark, d).drop("day", "seen")
+
+
+@query(f"WITH {NATION}, {_LEGACY}, {_bank(True)} SELECT clock, k, y, score FROM sc")
+def edgebank_tw_legacy(spark, d):
+    return _legacy_scored(spark, d, True).drop("day", "seen")
+
+
+@query(f"WITH {NATION}, {_LEGACY}, {_bank()} SELECT round(auroc, 6) AS auroc FROM {_au()}")
+def auroc_legacy(spark, d):
+    return rounded(metrics.auroc(_legacy_scored(spark, d)))
+
+
+_AP = """(SELECT sum(p * tp / al) / sum(p) AS ap FROM (SELECT p, sum(p) OVER w AS tp, sum(p + n) OVER w AS al FROM (SELECT score, sum(y) AS p, sum(1 - y) AS n FROM sc GROUP BY score) WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)))"""
+
+
+@query(f"WITH {NATION}, {_LEGACY}, {_bank()} SELECT round(ap, 6) AS ap FROM {_AP}")
+def ap_legacy(spark, d):
+    return rounded(metrics.average_precision(_legacy_scored(spark, d)))
+
+
+@query(f"WITH {NATION}, {_LEGACY}, {_bank(True)} SELECT day, round(auroc, 6) AS auroc FROM {_au(group='day')}")
+def auroc_per_day(spark, d):
+    return rounded(metrics.auroc(_legacy_scored(spark, d, True), ["day"]))
+
+
+_STRATA = "(SELECT *, 'all' AS stratum FROM sc UNION ALL SELECT sc.*, CASE WHEN p.seen THEN 'seen' ELSE 'unseen' END FROM sc JOIN (SELECT clock, k, seen FROM sc WHERE y = 1) p ON p.clock = sc.clock AND p.k = sc.k)"
+
+
+@query(f"WITH {PARTY}, {_dgb('random')}, {_bank()} SELECT stratum, round(auroc, 6) AS auroc FROM {_au(group='stratum', source=_STRATA)}")
+def auroc_strata(spark, d):
+    e = edges(spark, d, "party")
+    s = _scored(e, sampling.batch_negatives(e, "random", SEED))
+    mark = s.where("y = 1").select("clock", "k", "seen")
+    return rounded(metrics.auroc(metrics.strata(s.drop("seen").join(mark, ["clock", "k"])), ["stratum"]))
+
+
+@query(f"WITH {NATION}, {_dgb('historical')}, {_bank(True)} SELECT round(avg(auroc), 6) AS auroc, count(*) AS batches FROM {_au(group='clock')} WHERE auroc IS NOT NULL")
+def auroc_dgb_batch(spark, d):
+    e = edges(spark, d, "nation")
+    return rounded(metrics.batch_auroc(_scored(e, sampling.batch_negatives(e, "historical", SEED), window=True)))
+
+
+_SYM = "(SELECT * FROM sc WHERE y = 0 OR NOT seen)"
+
+
+@query(f"WITH {PARTY}, {_dgb('inductive')}, {_bank()} SELECT round(avg(auroc), 6) AS auroc, count(*) AS batches FROM {_au(group='clock', source=_SYM)} WHERE auroc IS NOT NULL")
+def inductive_sym(spark, d):
+    """Only positives that are new pairs, against negatives first seen in the span."""
+    e = edges(spark, d, "party")
+    return rounded(metrics.batch_auroc(_scored(e, sampling.batch_negatives(e, "inductive", SEED)).where("y = 0 OR NOT seen")))
+
+
+@query(f"WITH {PARTY}, {_dgb('recurring')}, {_bank()} SELECT round(avg(auroc), 6) AS auroc, count(*) AS batches FROM {_au(group='clock')} WHERE auroc IS NOT NULL")
+def test_recurring(spark, d):
+    e = edges(spark, d, "party")
+    return rounded(metrics.batch_auroc(_scored(e, sampling.batch_negatives(e, "recurring", SEED))))
+
+
+@query(f"WITH {PARTY}, {_dgb('inductive', 3)}, {_bank()} SELECT round(avg(auroc), 6) AS auroc, count(*) AS batches FROM {_au(group='clock')} WHERE auroc IS NOT NULL")
+def auroc_ratio3(spark, d):
+    e = edges(spark, d, "party")
+    return rounded(metrics.batch_auroc(_scored(e, sampling.batch_negatives(e, "inductive", SEED, n_neg=3))))
+
+
+_J = "(SELECT arg_max(score, (j, score)) AS threshold, max(j) AS j FROM (SELECT score, sum(p) OVER w / sum(p) OVER () - sum(n) OVER w / sum(n) OVER () AS j FROM (SELECT score, sum(y) AS p, sum(1 - y) AS n FROM sc GROUP BY score) WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)))"
+
+
+@query(f"WITH {NATION}, {_dgb('historical', 1, 'val')}, {_bank(True)} SELECT threshold, round(j, 6) AS j FROM {_J}")
+def youden_val(spark, d):
+    e = edges(spark, d, "nation")
+    return rounded(metrics.youden(_scored(e, sampling.batch_negatives(e, "historical", SEED, span="val"), window=True, span="val")))
+
+
+@query(f"""WITH {NATION}, {_dgb('historical')}, {_bank(True)}, th AS (SELECT 1.0 AS threshold)
+SELECT round(coalesce(count(*) FILTER (score >= threshold AND y = 0) / nullif(count(*) FILTER (score >= threshold), 0), 0.0), 6) AS fdr, round(coalesce(count(*) FILTER (score < threshold AND y = 0) / nullif(count(*) FILTER (score < threshold), 0), 0.0), 6) AS npv, round(avg(y), 6) AS prevalence FROM sc CROSS JOIN th""")
+def fdr_npv(spark, d):
+    e = edges(spark, d, "nation")
+    s = _scored(e, sampling.batch_negatives(e, "historical", SEED), window=True)
+    return rounded(metrics.fdr_npv(s, spark.range(1).select(F.lit(1.0).alias("threshold"))))
+
+
+_YB = """yb AS MATERIALIZED (SELECT event_idx, split, log10(usd_sum) AS y, last_value(log10(usd_sum) IGNORE NULLS) OVER (PARTITION BY src, dst ORDER BY event_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM e WHERE usd_sum > 0),
+md AS (SELECT median(y) AS median FROM yb WHERE split = 'train'), ab AS MATERIALIZED (SELECT event_idx, y, coalesce(prior, median) AS persistence, median, prior IS NOT NULL AS seen FROM yb CROSS JOIN md WHERE split = 'test')"""
+
+
+@query(f"WITH {NATION}, {_YB} SELECT event_idx, round(y, 6) AS y, round(persistence, 6) AS persistence, round(median, 6) AS median, seen FROM ab")
+def amount_baselines(spark, d):
+    return rounded(memory.amount_baselines(edges(spark, d, "nation")))
+
+
+@query(f"WITH {PARTY}, {_YB} SELECT seen, round(sqrt(avg((persistence - y) ** 2)), 6) AS rmse, round(avg(abs(persistence - y)), 6) AS mae FROM ab GROUP BY seen")
+def amount_errors(spark, d):
+    return rounded(metrics.errors(memory.amount_baselines(edges(spark, d, "party")), "y", "persistence", ["seen"]))
+
+
+_RANKS = """t AS MATERIALIZED (SELECT event_idx, src, dst, day FROM e WHERE split = 'test'), lp AS MATERIALIZED (SELECT event_idx, t.src, t.day, t.dst AS target, e.dst AS partner, max(e.day) AS last FROM t JOIN e ON e.src = t.src AND e.day < t.day GROUP BY ALL),
+cand AS MATERIALIZED (SELECT t.event_idx, t.dst AS target, node_id AS c, coalesce(last, -1) AS score, node_id = t.dst AS is_target, node_id <> t.dst AND EXISTS (SELECT 1 FROM t o WHERE o.src = t.src AND o.day = t.day AND o.dst = node_id) AS left_out
+  FROM t CROSS JOIN nodes LEFT JOIN lp ON lp.event_idx = t.event_idx AND lp.partner = node_id),
+rk AS MATERIALIZED (SELECT a.event_idx, 1 + count(*) FILTER (b.score > a.score) + 0.5 * count(*) FILTER (b.score = a.score) AS rank FROM cand a LEFT JOIN cand b ON b.event_idx = a.event_idx AND NOT b.is_target AND NOT b.left_out WHERE a.is_target GROUP BY a.event_idx),
+rs AS MATERIALIZED (SELECT rk.event_idx, rank, EXISTS (SELECT 1 FROM e WHERE e.split <> 'test' AND e.src = t.src AND e.dst = t.dst) AS seen FROM rk JOIN t USING (event_idx))"""
+
+
+@query(f"WITH {NATION}, {_RANKS} SELECT event_idx, rank::DOUBLE AS rank, seen FROM rs")
+def recency_ranks(spark, d):
+    e = edges(spark, d, "nation")
+    return ranking.recency_ranks(e, n_nodes(e))
+
+
+@query(f"""WITH {NATION}, {_RANKS} SELECT stratum, count(*) AS n, round(avg(1 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS hits1, round(avg((rank <= 10)::INT), 6) AS hits10, round(avg((rank <= 100)::INT), 6) AS hits100
+FROM (SELECT *, unnest(['all', CASE WHEN seen THEN 'seen' ELSE 'unseen' END]) AS stratum FROM rs) GROUP BY stratum""")
+def recency_ranking(spark, d):
+    e = edges(spark, d, "nation")
+    return rounded(metrics.rank_metrics(ranking.recency_ranks(e, n_nodes(e))))
+
+
+@query(f"""WITH {NATION}, {_RANKS.split('cand AS')[0].rstrip().rstrip(',')}, x AS (SELECT t.event_idx, count(partner) AS partners, max(last) FILTER (partner = target) AS mine FROM t LEFT JOIN lp USING (event_idx) GROUP BY t.event_idx),
+z AS (SELECT x.*, CASE WHEN mine IS NOT NULL THEN 1 + (SELECT count(*) FROM lp WHERE lp.event_idx = x.event_idx AND last > mine) END AS place FROM x)
+SELECT mine IS NOT NULL AS is_partner, count(*) AS n, count(*) FILTER (place = 1) AS latest, median(partners) AS median_partners, median(place) AS median_place FROM z GROUP BY 1""")
+def partner_strata(spark, d):
+    return ranking.partner_strata(edges(spark, d, "nation"))
+
+
+def _candidates(spark, d):
+    """Some test edges with every node as candidate and a popularity score."""
+    e = edges(spark, d, "nation")
+    t = e.where("split = 'test' AND event_idx % 25 = 0").select("event_idx", "src", "dst", "day")
+    nodes = e.groupBy(F.col("dst").alias("c")).agg(F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("pop"))
+    p = ranking.partner_rows(e).where("event_idx % 25 = 0 AND partner IS NOT NULL").select("event_idx", F.col("partner").alias("c"), "last")
+    same = e.where("split = 'test'").select("src", "day", F.col("dst").alias("c"), F.lit(True).alias("o"))
+    j = t.join(nodes).join(p, ["event_idx", "c"], "left").join(same, ["src", "day", "c"], "left")
+    return j.select("event_idx", "c", F.col("pop").cast("double").alias("score"), (F.col("c") == F.col("dst")).alias("is_target"), (F.coalesce("o", F.lit(False)) & (F.col("c") != F.col("dst"))).alias("left_out"), "last", (F.col("pop") > 0).alias("globally_seen"))
+
+
+_CAND = f"""{_RANKS.split('cand AS')[0].rstrip().rstrip(',')}, pp AS (SELECT dst AS c, count(*) FILTER (split = 'train') AS pop FROM e GROUP BY dst),
+cd AS MATERIALIZED (SELECT t.event_idx, c, pop::DOUBLE AS score, c = t.dst AS is_target, c <> t.dst AND EXISTS (SELECT 1 FROM t o WHERE o.src = t.src AND o.day = t.day AND o.dst = c) AS left_out, last, pop > 0 AS globally_seen
+  FROM t CROSS JOIN pp LEFT JOIN lp ON lp.event_idx = t.event_idx AND lp.partner = c WHERE t.event_idx % 25 = 0)"""
+
+
+@query(f"WITH {NATION}, {_CAND} SELECT a.event_idx, (1 + count(*) FILTER (b.score > a.score) + 0.5 * count(*) FILTER (b.score = a.score))::DOUBLE AS rank FROM cd a LEFT JOIN cd b ON b.event_idx = a.event_idx AND NOT b.is_target AND NOT b.left_out WHERE a.is_target GROUP BY a.event_idx")
+def filtered_ranks(spark, d):
+    return ranking.filtered_ranks(_candidates(spark, d))
+
+
+@query(f"""WITH {NATION}, {_CAND}, k AS (SELECT *, coalesce(last, -1) AS l FROM cd) SELECT a.event_idx, (1 + count(*) FILTER (b.l > a.l OR b.l = a.l AND b.score > a.score) + 0.5 * count(*) FILTER (b.l = a.l AND b.score = a.score))::DOUBLE AS rank
+FROM k a LEFT JOIN k b ON b.event_idx = a.event_idx AND NOT b.is_target AND NOT b.left_out WHERE a.is_target GROUP BY a.event_idx""")
+def lexicographic_ranks(spark, d):
+    return ranking.lexicographic_ranks(_candidates(spark, d))
+
+
+@query(f"""WITH {NATION}, {_CAND} SELECT CASE WHEN b.last IS NOT NULL THEN 'partner' WHEN b.globally_seen THEN 'global_seen' ELSE 'never_seen' END AS kind, count(*) AS n
+FROM cd a JOIN cd b ON b.event_idx = a.event_idx AND NOT b.is_target AND NOT b.left_out AND b.score > a.score WHERE a.is_target AND a.last IS NOT NULL GROUP BY 1""")
+def outrankers(spark, d):
+    return ranking.outrankers(_candidates(spark, d))
+
+
+@query(f"""WITH {NATION}, {_CAND}, k AS (SELECT event_idx, row_number() OVER (PARTITION BY event_idx ORDER BY score, c) AS a, row_number() OVER (PARTITION BY event_idx ORDER BY last, c) AS b FROM cd WHERE last IS NOT NULL)
+SELECT event_idx, count(*) AS n, round(corr(a, b), 6) AS rho FROM k GROUP BY event_idx HAVING count(*) >= 5""")
+def recency_spearman(spark, d):
+    return rounded(metrics.spearman(_candidates(spark, d).where("last IS NOT NULL"), "score", "last", ["event_idx"], 5, "c"))
+
+
+_UNPIVOT = "(SELECT 'pair_freq' AS signal, y, pn::DOUBLE AS score FROM fs UNION ALL SELECT 'dst_freq', y, dn FROM fs UNION ALL SELECT 'dst_freq7', y, d7 FROM fs)"
+
+
+@query(f"""WITH {PARTY}, {_dgb('random')}, al AS MATERIALIZED (SELECT src, dst, day, 1 AS y, row_number() OVER () AS id FROM pos UNION ALL SELECT src, dst, day, 0, 1000000000 + row_number() OVER () FROM neg),
+fp AS (SELECT id, count(e.day) AS pn FROM al LEFT JOIN e ON e.src = al.src AND e.dst = al.dst AND e.day < al.day GROUP BY id),
+fd AS (SELECT id, count(e.day) AS dn, count(e.day) FILTER (e.day >= al.day - 7) AS d7 FROM al LEFT JOIN e ON e.dst = al.dst AND e.day < al.day GROUP BY id),
+fs AS MATERIALIZED (SELECT y, pn, dn, d7 FROM al JOIN fp USING (id) JOIN fd USING (id))
+SELECT signal, round(auroc, 6) AS auroc FROM {_au(group='signal', source=_UNPIVOT)}""")
+def signal_auroc(spark, d):
+    e = edges(spark, d, "party")
+    rows = sampling.batches(e, "test").select("clock", F.col("i").alias("k"), "src", "dst", "day", F.lit(1).alias("y")).unionByName(sampling.batch_negatives(e, "random", SEED).select("clock", "k", "src", "dst", "day", F.lit(0).alias("y")))
+    rows = rows.withColumn("query_id", F.xxhash64("clock", "k", "y"))
+    f = feat.features(plain(e), rows.select("query_id", F.col("src").alias("s"), F.col("dst").alias("d"), "day"), ("pair_freq", "dst_freq", "dst_freq7"))
+    long = rows.select("query_id", "y").join(f, "query_id").unpivot(["query_id", "y"], ["pair_freq", "dst_freq", "dst_freq7"], "signal", "score")
+    return rounded(metrics.auroc(long, ["signal"]))
+
+
+# Reports over tidy metrics: areas of three seeds and two memory kinds
+
+_TIDY = "td AS MATERIALIZED (SELECT event_type AS model, (user_id % 3)::INT AS seed, 'value' AS metric, avg(value) AS value FROM events GROUP BY ALL)"
+
+
+def _tidy(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("model"), (F.col("user_id") % 3).cast("int").alias("seed"), F.lit("value").alias("metric")).agg(F.avg("value").alias("value"))
+
+
+@query(f"WITH {_TIDY} SELECT model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS seeds FROM td GROUP BY model, metric")
+def metric_over_seeds(spark, d):
+    return rounded(metrics.over_seeds(_tidy(spark, d), ["model", "metric"]))
+
+
+@query(f"WITH {_TIDY}, ref AS (SELECT min(model) AS m FROM td) SELECT a.model, a.seed, a.metric, round(a.value - b.value, 6) AS delta FROM td a JOIN td b ON a.seed = b.seed AND b.model = (SELECT m FROM ref) WHERE a.model <> b.model")
+def seed_deltas(spark, d):
+    t = _tidy(spark, d)
+    return rounded(metrics.seed_deltas(t, t.agg(F.min("model")).first()[0]))
+
+
+@query("SELECT epoch, round(avg(value), 6) AS value, count(*) AS seeds FROM (SELECT user_id % 5 AS seed, date_diff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE)::INT AS epoch, avg(value) AS value FROM events WHERE date_diff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE) <= 10 + 4 * (user_id % 5) GROUP BY ALL) GROUP BY epoch")
+def epoch_means(spark, d):
+    e = table(spark, d, "events")
+    h = e.crossJoin(F.broadcast(e.agg(F.min("ts").cast("date").alias("first")))).withColumn("epoch", F.datediff(F.col("ts").cast("date"), "first")).where(F.col("epoch") <= 10 + 4 * (F.col("user_id") % 5))
+    return rounded(metrics.epoch_means(h.groupBy((F.col("user_id") % 5).alias("seed"), "epoch").agg(F.avg("value").alias("value"))))
+
+
+@query(f"""WITH {NATION}, {_CAND}, sc AS (SELECT event_idx, c, 'pop' AS model, score FROM cd UNION ALL SELECT event_idx, c, 'last', coalesce(last, -1) FROM cd), w AS (SELECT model, avg(score) AS m, stddev_pop(score) AS s FROM sc GROUP BY model)
+SELECT event_idx, c, round(avg((score - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 5) AS score FROM sc JOIN w USING (model) GROUP BY event_idx, c""")
+def score_ensemble(spark, d):
+    c = _candidates(spark, d)
+    s = c.select("event_idx", "c", F.lit("pop").alias("model"), "score").unionByName(c.select("event_idx", "c", F.lit("last").alias("model"), F.coalesce(F.col("last").cast("double"), F.lit(-1.0)).alias("score")))
+    return rounded(metrics.z_mean(s, "model", ["event_idx", "c"]), 5)
+
+
+@query(f"""WITH {NATION}, {_CAND} SELECT event_idx, round(-(max(score / 100.0) FILTER (is_target) - ln(sum(exp(score / 100.0)))), 5) AS loss FROM cd WHERE NOT left_out GROUP BY event_idx""")
+def softmax_loss(spark, d):
+    c = _candidates(spark, d).where("NOT left_out")
+    g = c.groupBy("event_idx").agg(F.collect_list(F.col("score") / 100.0).alias("all"), F.max(F.when(F.col("is_target"), F.col("score") / 100.0)).alias("hit"))
+    return rounded(g.select("event_idx", (logsumexp(F.col("all")) - F.col("hit")).alias("loss")), 5)
+
+
+@query("SELECT event_id, round(cos(x), 6) AS e0, round(cos(x * pow(10.0, -4.0 / 3)), 6) AS e1, round(cos(x * pow(10.0, -8.0 / 3)), 6) AS e2, round(cos(x * 1e-4), 6) AS e3 FROM (SELECT event_id, (event_id % 365)::DOUBLE AS x FROM events)")
+def time_encodings(spark, d):
+    v = time_encoding((F.col("event_id") % 365).cast("double"), 4)
+    return rounded(table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", *[F.col("v")[k].alias(f"e{k}") for k in range(4)]))
+
+
+@query(f"""WITH {PARTY}, dd AS (SELECT DISTINCT day FROM e WHERE split = 'test'), md AS (SELECT median(day) AS m FROM dd), a AS MATERIALIZED (SELECT e.*, day <= m AS early FROM e CROSS JOIN md WHERE split = 'test')
+SELECT early, count(*) AS n, count(*) FILTER (NOT EXISTS (SELECT 1 FROM a b WHERE b.early AND b.src = a.src AND b.dst = a.dst)) AS novel FROM a GROUP BY early""")
+def day_split(spark, d):
+    """Test edges up to the median active day and after it, and how many pairs of each part the first does not have."""
+    t = edges(spark, d, "party").where("split = 'test'")
+    a = t.crossJoin(F.broadcast(t.select("day").distinct().agg(F.expr("percentile(day, 0.5)").alias("m")))).withColumn("early", F.col("day") <= F.col("m"))
+    known = a.where("early").select("src", "dst", F.lit(1).alias("known")).distinct()
+    return a.join(known, ["src", "dst"], "left").groupBy("early").agg(F.count("*").alias("n"), (F.count("*") - F.count("known")).alias("novel"))
+
+
