@@ -9,10 +9,12 @@ counts of larger, smaller and equal registers, and the set sizes) is more than f
 threshold go; the others are confirmed on the full sets: 100 * intersection >= threshold * union.
 
 Documents with the same words in the same order are one node from the start, the one with the smallest doc_id. In a
-bucket of many nodes not all pairs are compared: every round confirms pairs between the bucket's nodes and one centre,
-another one each round, and joins what is linked into components. A bucket within one component is done, as further
-links in it change nothing. What is left after some rounds are few pairs of nodes in different components; all of
-these are then confirmed, so that every candidate pair is either confirmed, refuted or inside a component.
+bucket of many nodes not all pairs are compared. First every node is confirmed or refuted against the bucket's centre,
+the node that meets most others over all buckets, and what is linked is joined into components. A bucket within one
+component is done, as further links in it change nothing. In the others every pair across components is confirmed that
+can still be a link: the shingles that a node shares with any other at all bound the size of the sets it can be linked
+with, which leaves out nodes with edits of their own without comparing them. So every candidate pair is confirmed,
+refuted, impossible, or inside a component.
 
 A centre with many members is compared with them in groups of ``MEMBERS``, its text repeated for each group.
 
@@ -38,7 +40,6 @@ REGISTERS = BANDS * ROWS
 BASE, A = 1.001, 20.0
 ERRORS = 5.0  # standard errors of the estimate
 MEMBERS = 200
-STAR_ROUNDS = 6
 
 _FACTOR = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _SHIFT = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
@@ -179,49 +180,65 @@ def _band(k: int) -> Column:
     return F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS))
 
 
+def _hashes(width: int):
+    def explode(batches):
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = shingle_set(text.as_py(), width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node)), pa.array(values.view(np.int64))], ["node", "h"])
+
+    return explode
+
+
+def reaches(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """node and reach, the size of the largest set among these nodes that it can be linked with. Of a linked pair the
+    intersection is at least percent / (100 + percent) of both sizes together, and it holds only shingles that more than
+    one node has. Nodes that can be linked with no set of a fitting size are left out. Nothing that could be linked is
+    lost."""
+    each = written(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_hashes(width), "node long, h long"), "shingles")
+    common = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    cover = each.join(common, "h").groupBy("node").agg(F.count("*").alias("cover"))
+    reach = F.floor(F.col("cover") * (100 + percent) / percent) - F.col("n_shingles")
+    return nodes.join(cover, "node").select("node", "n_shingles", reach.alias("reach")).filter(100 * F.col("reach") >= percent * F.col("n_shingles"))
+
+
 def linked_components(nodes: DataFrame, texts_of, width: int, percent: int) -> DataFrame:
     """node and component for the nodes (node, n_shingles, sketch) that share a bucket with another; ``texts_of`` gives
     the texts (node, text) of a table of nodes."""
-    rows = nodes.select("node", F.explode(F.array(*[_band(k) for k in range(BANDS)])).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    rows = written(nodes.select("node", F.explode(F.array(*[_band(k) for k in range(BANDS)])).alias("bucket")), "bands")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(rows.join(shared, "bucket"), "members")
-    near = members.select("node").distinct()
-    texts = written(texts_of(near), "texts")
-    sketched = written(nodes.join(near, "node", "left_semi"), "nodes")
-    labels = written(near.withColumn("component", F.col("node")), "labels")
-    links, tried = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members.join(labels, "node")
-        # What all pairs across components would cost, and a centre for each bucket.
-        order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "bucket" if turn > 1 else F.lit(0), "node")
-        centre = F.min(F.struct(order.alias("o"), F.col("node").alias("centre"), F.col("component").alias("inside"))).alias("c")
-        open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), centre, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        members = written(placed.join(open_.select("bucket", "n", "c.centre", "c.inside"), "bucket").drop("component"), "members")
-        size = members.agg(F.sum("n").alias("pairs"), F.count("*").alias("rows"), F.max("n").alias("most")).first()
-        if not size["rows"]:
-            break
-        last = turn == STAR_ROUNDS or size["pairs"] <= 4 * size["rows"]
-        if last:
-            # Every pair of a bucket whose sides are in different components.
-            side = lambda x: members.join(labels, "node").select("bucket", F.col("node").alias(x), F.col("component").alias(f"c_{x}"))  # noqa: B023, E731
-            pairs = side("a").join(side("b"), "bucket").filter("a < b AND c_a <> c_b").select("a", "b").distinct()
-        else:
-            pairs = members.join(labels, "node").filter("component <> inside").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-            # One partner a node and round is enough to join it; the other buckets have their turn.
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn == 0 else pairs.distinct()
-        if tried is not None:
-            known = tried.union(tried.select("b", "a")) if last else tried
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(confirmed(pairs, sketched, texts, width, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        joined = components(links)
-        labels = written(near.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-        members = members.select("node", "bucket")
-        if last:
-            break
-    return labels
+    # How many others a node meets over all its buckets: the one that most others are close to makes the best centre.
+    met = written(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    texts = written(texts_of(met.select("node")), "texts")
+    sketched = written(nodes.join(met.select("node"), "node", "left_semi"), "nodes")
+    centre = F.min(F.struct((-F.col("met")).alias("o"), F.col("node").alias("centre"))).alias("c")
+    centres = members.join(met, "node").groupBy("bucket").agg(centre).select("bucket", "c.centre")
+    members = written(members.join(centres, "bucket").select("bucket", "node", "centre"), "members")
+    pairs = written(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = written(confirmed(pairs, sketched, texts, width, percent), "links")
+    labels = written(_labels(met, components(links)), "labels")
+    # Buckets that still hold several components.
+    placed = members.join(labels, "node")
+    inside = F.first(F.when(F.col("node") == F.col("centre"), F.col("component")), ignorenulls=True).alias("inside")
+    open_ = placed.groupBy("bucket").agg(inside, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    placed = written(placed.join(open_.select("bucket", "inside"), "bucket").select("bucket", "node", "component", "inside"), "open")
+    if placed.isEmpty():
+        return labels
+    near = sketched.join(placed.select("node").distinct(), "node", "left_semi").select("node", "n_shingles")
+    placed = written(placed.join(written(reaches(near, texts, width, percent), "reaches"), "node"), "open")
+    # All pairs across components of a bucket that the sizes allow; one side is outside the centre's component.
+    side = lambda x: placed.select("bucket", F.col("node").alias(x), F.col("component").alias(f"c_{x}"), "inside", F.col("n_shingles").alias(f"n_{x}"), F.col("reach").alias(f"r_{x}"))
+    b = side("b").withColumn("in_b", F.col("c_b") == F.col("inside")).drop("inside")
+    fits = "c_a <> c_b AND (in_b OR a < b) AND n_b <= r_a AND n_a <= r_b AND 100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)".format(p=percent)
+    rest = side("a").filter("c_a <> inside").drop("inside").join(b, "bucket").filter(fits).select("a", "b").distinct()
+    rest = written(rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    more = written(confirmed(rest, sketched, texts, width, percent), "links")
+    return labels if more.isEmpty() else _labels(met, components(links.unionByName(more)))
+
+
+def _labels(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    return nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
