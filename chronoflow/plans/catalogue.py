@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
 from chronoflow.functions.vectors import logsumexp, negated_recency, time_encoding
-from chronoflow.operators import asof, daily, features as feat, graph, memory, metrics, ranking, sampling
+from chronoflow.operators import asof, daily, features as feat, graph, memory, metrics, ranking, sampling, scorer
+from chronoflow.operators.scorer import labelled
 from chronoflow.plans import views
 from chronoflow.plans.views import ASSETS, edges, edges_sql, table, transfers
 from chronoflow.sources import transfers as source
+from chronoflow.sources.shared import cut, cut_folder
+from chronoflow.streaming import replay
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -772,3 +775,45 @@ def day_split(spark, d):
     return a.join(known, ["src", "dst"], "left").groupBy("early").agg(F.count("*").alias("n"), (F.count("*") - F.count("known")).alias("novel"))
 
 
+
+
+# Fitted scorers and the streaming replay; SQL has no counterpart of these, or only of their results
+
+
+def _fitted(spark, d, hidden=()):
+    e = edges(spark, d, "party")
+    pairs = labelled(e.select("event_idx", "src", "dst", "day", "split"), sampling.uniform_targets(e, n_nodes(e), SEED).join(e.select("event_idx", "split"), "event_idx").select("event_idx", "src", F.col("neg_dst").alias("dst"), "day", "split"))
+    pairs = pairs.withColumn("query_id", F.col("event_idx") * 2 + F.col("y"))
+    columns = ["dst_freq", "dst_freq30", "dst_recency", "pair_freq", "src_freq"]
+    f = cut(feat.features(plain(e), pairs.select("query_id", F.col("src").alias("s"), F.col("dst").alias("d"), "day"), tuple(columns)).join(pairs.select("query_id", "split", "y"), "query_id"))
+    model = scorer.fit(f.where("split = 'train'"), columns, hidden, SEED)
+    return rounded(metrics.auroc(scorer.scored(model, f.where("split <> 'train'")), ["split"]))
+
+
+@query()
+def fitted_logistic(spark, d):
+    return _fitted(spark, d)
+
+
+@query()
+def fitted_perceptron(spark, d):
+    return _fitted(spark, d, (16, 16))
+
+
+@query(f"WITH {edges_sql('activity')}, {_RAW} SELECT query_id, {', '.join(f'{_COLUMN_SQL[c]} AS {c}' for c in feat.BASE4)} {_FROM}")
+def streaming_replay(spark, d):
+    """The test queries answered by the stream, a file a day, from what came before."""
+    e = edges(spark, d, "activity")
+    root = cut_folder(spark)
+    days = [x.day for x in e.select("day").distinct().orderBy("day").collect()]  # the calendar
+    rows = e.select(F.col("event_idx").alias("query_id"), F.col("src").alias("s"), F.col("dst").alias("d"), "day")
+    rows = rows.withColumn("is_query", F.lit(False)).unionByName(rows.join(e.where("split = 'test'").select(F.col("event_idx").alias("query_id")), "query_id").withColumn("is_query", F.lit(True)))
+    rows = cut(rows)
+    # Days before the first query come as one file.
+    first = e.where("split = 'test'").agg(F.min("day")).first()[0]
+    ticks = [rows.where(F.col("day") < first), *[rows.where(F.col("day") == x) for x in days if x >= first]]
+    for tick in ticks:
+        tick.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    r = replay.Replay(spark, root)
+    r.start(f"{root}/in").awaitTermination()
+    return rounded(r.answers())

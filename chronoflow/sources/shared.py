@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written in the cluster's checkpoint folder and read again. The plan of a loop does not grow, what is used
-    several times is computed once, and a lost executor costs no recomputation. Only where the cluster names no folder
+def cut_folder(spark: SparkSession, name: str = "cut") -> str:
+    """A folder that no earlier job has used, in the cluster's checkpoint folder. Only where the cluster names none
     (tests) a temporary one is set."""
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="chronoflow-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written in the shared folder and read again. The plan of a loop does not grow, what is used several times
+    is computed once, and a lost executor costs no recomputation."""
+    path = cut_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
