@@ -11,10 +11,10 @@ threshold go; the others are confirmed on the full sets: 100 * intersection >= t
 Documents with the same words in the same order are one node from the start, the one with the smallest doc_id. In a
 bucket of many nodes not all pairs are compared. First every node is confirmed or refuted against the bucket's centre,
 the node that meets most others over all buckets, and what is linked is joined into components. A bucket within one
-component is done, as further links in it change nothing. In the others every pair across components is confirmed that
-can still be a link: the shingles that a node shares with any other at all bound the size of the sets it can be linked
-with, which leaves out nodes with edits of their own without comparing them. So every candidate pair is confirmed,
-refuted, impossible, or inside a component.
+component is done, as further links in it change nothing. In the others the nodes outside the centre's component are compared
+with all nodes of those buckets, by blocks and through an index of the block's shingles, so that pairs never become rows.
+Before that, nodes go that cannot be linked at all: the shingles that a node shares with any other bound the size of the
+sets it can be linked with. So every candidate pair is confirmed, refuted, impossible, or inside a component.
 
 A centre with many members is compared with them in groups of ``MEMBERS``, its text repeated for each group.
 
@@ -40,6 +40,7 @@ REGISTERS = BANDS * ROWS
 BASE, A = 1.001, 20.0
 ERRORS = 5.0  # standard errors of the estimate
 MEMBERS = 200
+BLOCK = 500
 
 _FACTOR = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _SHIFT = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
@@ -226,17 +227,68 @@ def linked_components(nodes: DataFrame, texts_of, width: int, percent: int) -> D
     if placed.isEmpty():
         return labels
     near = sketched.join(placed.select("node").distinct(), "node", "left_semi").select("node", "n_shingles")
-    placed = written(placed.join(written(reaches(near, texts, width, percent), "reaches"), "node"), "open")
-    # All pairs across components of a bucket that the sizes allow; one side is outside the centre's component.
-    side = lambda x: placed.select("bucket", F.col("node").alias(x), F.col("component").alias(f"c_{x}"), "inside", F.col("n_shingles").alias(f"n_{x}"), F.col("reach").alias(f"r_{x}"))
-    b = side("b").withColumn("in_b", F.col("c_b") == F.col("inside")).drop("inside")
-    fits = "c_a <> c_b AND (in_b OR a < b) AND n_b <= r_a AND n_a <= r_b AND 100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)".format(p=percent)
-    rest = side("a").filter("c_a <> inside").drop("inside").join(b, "bucket").filter(fits).select("a", "b").distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = written(confirmed(rest, sketched, texts, width, percent), "links")
+    able = written(reaches(near, texts, width, percent).select("node"), "reaches")
+    group = written(placed.select(F.col("inside").alias("g"), "node", "component").distinct().join(able, "node"), "groups")
+    more = written(compared(group, texts, width, percent), "links")
     return labels if more.isEmpty() else _labels(met, components(links.unionByName(more)))
 
 
+def _searcher(width: int, percent: int):
+    """Rows come by group and block, the block's own nodes first: these are indexed by shingle, and every other node of
+    the group gets its intersections with all of them from the index at once."""
+
+    def search(batches):
+        at, own, index, root = None, [], None, {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for batch in batches:
+            found = []
+            for g, block, part, node, component, text in zip(*(batch.column(k) for k in range(6))):
+                key, node, component = (g.as_py(), block.as_py()), node.as_py(), component.as_py()
+                if key != at:
+                    at, own, index, root = key, [], None, {}
+                values = shingle_set(text.as_py(), width)
+                if part.as_py() == 0:
+                    own.append((node, component, values))
+                    continue
+                if not own:
+                    continue
+                if index is None:
+                    every, owner = np.concatenate([v for *_, v in own]), np.repeat(np.arange(len(own)), [len(v) for *_, v in own])
+                    order = np.argsort(every, kind="stable")
+                    index = (every[order], owner[order], np.array([len(v) for *_, v in own]))
+                every, owner, n = index
+                first, last = np.searchsorted(every, values, "left"), np.searchsorted(every, values, "right")
+                k = last - first
+                both = np.bincount(owner[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first, k)], minlength=len(own))
+                for q in np.flatnonzero(100 * both >= percent * (n + len(values) - both)).tolist():
+                    # A link within what is already joined here changes nothing.
+                    x, y = find(own[q][1]), find(component)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.append((own[q][0], node))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return search
+
+
+def compared(group: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components, from groups (g, node, component): the nodes outside component g, in blocks of
+    ``BLOCK``, against all nodes of the group. Pairs are counted inside a block's task and never become rows."""
+    outside = group.filter("component <> g")
+    blocks = outside.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = outside.join(blocks, "g").select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("part"), "node", "component")
+    others = group.join(blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("part"), "node", "component")
+    rows = own.unionByName(others).join(texts, "node").select("g", "block", "part", "node", "component", "text")
+    rows = rows.repartition("g", "block").sortWithinPartitions("g", "block", "part")
+    return rows.mapInArrow(_searcher(width, percent), "a long, b long")
+
+
 def _labels(nodes: DataFrame, joined: DataFrame) -> DataFrame:
     return nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
