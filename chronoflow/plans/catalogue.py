@@ -634,7 +634,7 @@ def amount_errors(spark, d):
     return rounded(metrics.errors(memory.amount_baselines(edges(spark, d, "party")), "y", "persistence", ["seen"]))
 
 
-_RANKS = """t AS MATERIALIZED (SELECT event_idx, src, dst, day FROM e WHERE split = 'test'), lp AS MATERIALIZED (SELECT event_idx, t.src, t.day, t.dst AS target, e.dst AS partner, max(e.day) AS last FROM t JOIN e ON e.src = t.src AND e.day < t.day GROUP BY ALL),
+_RANKS = """t AS MATERIALIZED (SELECT event_idx, src, dst, day FROM e WHERE split = 'test'), lp AS MATERIALIZED (SELECT t.event_idx, t.src, t.day, t.dst AS target, e.dst AS partner, max(e.day) AS last FROM t JOIN e ON e.src = t.src AND e.day < t.day GROUP BY ALL),
 cand AS MATERIALIZED (SELECT t.event_idx, t.dst AS target, node_id AS c, coalesce(last, -1) AS score, node_id = t.dst AS is_target, node_id <> t.dst AND EXISTS (SELECT 1 FROM t o WHERE o.src = t.src AND o.day = t.day AND o.dst = node_id) AS left_out
   FROM t CROSS JOIN nodes LEFT JOIN lp ON lp.event_idx = t.event_idx AND lp.partner = node_id),
 rk AS MATERIALIZED (SELECT a.event_idx, 1 + count(*) FILTER (b.score > a.score) + 0.5 * count(*) FILTER (b.score = a.score) AS rank FROM cand a LEFT JOIN cand b ON b.event_idx = a.event_idx AND NOT b.is_target AND NOT b.left_out WHERE a.is_target GROUP BY a.event_idx),
