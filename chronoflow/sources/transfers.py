@@ -13,7 +13,7 @@ ROWS_PER_FILE = 5_000_000
 
 def estimated_gb(df: DataFrame) -> float:
     """What the optimised plan would read, in GB, without running it; column and partition pruning count."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e9
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e9
 
 
 def run_query(spark: SparkSession, sql: str, max_gb: float = 10.0) -> DataFrame:
