@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronoflow.llm.textkit import U64, hash_words, mix64, shingles
+from chronoflow.llm.textkit import U64, frugal, hash_words, mix64, shingles
 
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 31
 BLOCKS, NEAR = 8, 3  # blocks of 16 bits; NEAR = RADIUS // BLOCKS
@@ -207,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """A row for each document and benchmark item that it holds: doc_id, item_id, similarity of the best window and
     where that begins (in words) and how long it is."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = [rows.mapInArrow(_finder(uuid.uuid4().hex, b, threshold), _LEAK) for b in item_blocks(benchmark, item_id, item_text)]
+    parts = [rows.mapInArrow(frugal(_finder(uuid.uuid4().hex, b, threshold)), _LEAK) for b in item_blocks(benchmark, item_id, item_text)]
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -224,5 +224,5 @@ def _filter(key: str, block: list, text: str, threshold: float):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     for b in item_blocks(benchmark, item_id, item_text):
-        docs = docs.mapInArrow(_filter(uuid.uuid4().hex, b, text, threshold), docs.schema)
+        docs = docs.mapInArrow(frugal(_filter(uuid.uuid4().hex, b, text, threshold)), docs.schema)
     return docs

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoflow.llm.store import written
-from chronoflow.llm.textkit import U64, hash_words, lower_ascii, mix64, shingles
+from chronoflow.llm.textkit import U64, frugal, hash_words, lower_ascii, mix64, shingles
 
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
@@ -106,7 +106,7 @@ def _sketcher(width: int):
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the word sequence, sketch (null for an empty set)."""
-    return docs.mapInArrow(_sketcher(width), _SKETCH)
+    return docs.mapInArrow(frugal(_sketcher(width)), _SKETCH)
 
 
 def _probable(threshold: float):
@@ -152,13 +152,13 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
     """Of pairs (a, b) those whose full sets are similar enough; a is the side with many pairs."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "n_a", "s_b", "n_b")
-    likely = written(both.mapInArrow(_probable(percent / 100), "a long, b long"), "likely")
+    likely = written(both.mapInArrow(frugal(_probable(percent / 100)), "a long, b long"), "likely")
     groups = likely.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("groups"))
     members = likely.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"), "b", F.col("b").alias("node"))
     centres = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
     rows = members.unionByName(centres).join(texts, "node").select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_confirmer(width, percent), "a long, b long")
+    return rows.mapInArrow(frugal(_confirmer(width, percent)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def reaches(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     intersection is at least percent / (100 + percent) of both sizes together, and it holds only shingles that more than
     one node has. Nodes that can be linked with no set of a fitting size are left out. Nothing that could be linked is
     lost."""
-    each = written(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_hashes(width), "node long, h long"), "shingles")
+    each = written(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(frugal(_hashes(width)), "node long, h long"), "shingles")
     common = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     cover = each.join(common, "h").groupBy("node").agg(F.count("*").alias("cover"))
     reach = F.floor(F.col("cover") * (100 + percent) / percent) - F.col("n_shingles")
@@ -286,7 +286,7 @@ def compared(group: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     others = group.join(blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("part"), "node", "component")
     rows = own.unionByName(others).join(texts, "node").select("g", "block", "part", "node", "component", "text")
     rows = rows.repartition("g", "block").sortWithinPartitions("g", "block", "part")
-    return rows.mapInArrow(_searcher(width, percent), "a long, b long")
+    return rows.mapInArrow(frugal(_searcher(width, percent)), "a long, b long")
 
 
 def _labels(nodes: DataFrame, joined: DataFrame) -> DataFrame:

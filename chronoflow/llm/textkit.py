@@ -7,7 +7,10 @@ code points. Hashes depend only on a word's bytes: they agree between processes,
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -84,3 +87,30 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
         h = h * U64(0x9E3779B97F4A7C15) + words[j : n - k + 1 + j]
         h ^= h >> U64(29)
     return mix64(h + U64(k))
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need not
+
+
+def release() -> None:
+    """Gives memory that the allocators hold free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def frugal(work):
+    """``work`` over Arrow batches, with free memory given back after each batch and at the end: Python workers live
+    on beside the next stages, on the memory of the same executor."""
+
+    def run(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                release()
+
+        yield from work(each())
+        release()
+
+    return run

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from chronoflow.llm.store import Output, fresh_folder, open_input, written
+from chronoflow.llm.textkit import frugal
 
 MASK_DELTA = 0xA282EAD8
 END_ID = 2
@@ -185,7 +186,7 @@ def write_records(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     folder = folder or fresh_folder(docs.sparkSession, "tokens")
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(_writer(tokenizer, folder, "doc_id", "text", end_id), _MANIFEST), "manifest")
+    return written(ordered.mapInArrow(frugal(_writer(tokenizer, folder, "doc_id", "text", end_id)), _MANIFEST), "manifest")
 
 
 def offsets_of(uri: str) -> np.ndarray:
@@ -251,7 +252,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
         based.append((r.uri, base))
         base += r.n_tokens
     files = spark.createDataFrame(based, "uri string, base long").repartition(max(1, len(based)))
-    return files.mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(frugal(_digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_records(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
