@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.llm.store import Output, fresh_folder, open_input, written
 from chronoflow.llm.textkit import frugal
@@ -57,7 +57,7 @@ class Encoder:
     words of a batch are cut into pieces and the unseen pieces encoded in one call, split at the word-end ids.
     """
 
-    KEEP = 300_000
+    KEEP = 100_000
 
     def __init__(self, path: str):
         import os
@@ -246,12 +246,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """Reads the files of a manifest back, checking every checksum: doc_id, start, n_tokens, ids_crc32."""
-    spark = manifest.sparkSession
-    rows, base, based = sorted(manifest.select("part", "uri", "n_docs", "n_tokens").collect()), 0, []  # a row a file
-    for r in rows:
-        based.append((r.uri, base))
-        base += r.n_tokens
-    files = spark.createDataFrame(based, "uri string, base long").repartition(max(1, len(based)))
+    # A row a file: few enough to be numbered in one task.
+    before = F.sum("n_tokens").over(W.orderBy("part", "uri").rowsBetween(W.unboundedPreceding, -1))
+    files = manifest.select("uri", F.coalesce(before, F.lit(0)).alias("base")).repartition(max(1, manifest.count()))
     return files.mapInArrow(frugal(_digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
