@@ -57,7 +57,7 @@ class Encoder:
     words of a batch are cut into pieces and the unseen pieces encoded in one call, split at the word-end ids.
     """
 
-    KEEP = 100_000
+    KEEP = 300_000
 
     def __init__(self, path: str):
         import os
