@@ -1,8 +1,8 @@
 """Quality rules: base counts of a text and cross-document line frequency. Built-in functions only.
 
 Lines are normalised (trimmed, white space runs to one blank, lower case) and hashed. For each host the distinct
-documents that hold a line are counted. Documents with the same longest line count as one there, so that copies of
-a document don't make its own lines look like boilerplate. A line that more than ``max_docs`` documents of a host
+documents that hold a line are counted. Documents whose normalised lines are all equal, in order, count as one there,
+so that copies of a document don't make its own lines look like boilerplate. A line that more than ``max_docs`` documents of a host
 share is removed from all of them but the first (smallest doc_id). A document that loses words is rejected if less
 than ``min_left`` of its words or fewer than ``min_words`` words remain.
 
@@ -69,13 +69,9 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     is the document's id, host, and hash and length of its text (columns ``__q_*``), beside ``__q_gone``."""
     keyed = _keyed(docs, doc_id, text, host)
     plain = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(F.lower(F.regexp_replace(x, SPACE, " "))))
-    plain = F.array_distinct(F.filter(plain, lambda x: x != ""))
-    rows = keyed.select(*_KEY, plain.alias("__q_plain")).filter(F.size("__q_plain") > 0)
-    # the longest line, of equally long ones that with the largest hash
-    longest = F.array_max(F.transform("__q_plain", lambda x: F.struct(F.length(x), F.xxhash64(x))))["col2"]
-    rows = rows.withColumn("__q_family", longest)
-    lines = rows.select(*_KEY, "__q_family", F.explode("__q_plain").alias("__q_line"))
-    lines = lines.select(*_KEY, "__q_family", F.xxhash64("__q_line").alias("__q_h"))
+    rows = keyed.select(*_KEY, F.transform(F.filter(plain, lambda x: x != ""), lambda x: F.xxhash64(x)).alias("__q_plain")).filter(F.size("__q_plain") > 0)
+    # Only copies, with all lines equal, are one family; never documents that just share the line that is counted.
+    lines = rows.select(*_KEY, F.xxhash64("__q_plain").alias("__q_family"), F.explode(F.array_distinct("__q_plain")).alias("__q_h"))
     # The family spreads a line that many documents share over tasks before its documents are counted.
     by_family = lines.groupBy("__q_host", "__q_h", "__q_family").agg(F.min("__q_id").alias("__q_first"))
     frequent = by_family.groupBy("__q_host", "__q_h").agg(F.count("*").alias("__q_n"), F.min("__q_first").alias("__q_first"))

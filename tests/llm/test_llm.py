@@ -274,6 +274,16 @@ def test_documents_of_boilerplate_go_and_others_stay(spark):
     assert quality_lines.line_verdicts(docs.limit(0)).count() == 0
 
 
+def test_a_shared_longest_line_counts_every_document(spark):
+    notice = prose(700, 90)
+    dominated = ["\n".join([*(prose(1000 + 3 * k + j, 3) for j in range(3)), notice]) for k in range(30)]
+    copies = [f"{prose(800, 40)}\n{prose(801, 20)}", f"{prose(800, 40).upper()} \n\n {prose(801, 20)}"] * 20
+    rows = {x.doc_id: x for x in quality_lines.line_verdicts(documents(spark, [*dominated, *copies])).collect()}
+    assert rows[0].kept and rows[0].words_left == 99
+    assert all(rows[k].words_left == 9 and not rows[k].kept for k in range(1, 30))
+    assert all(rows[k].words_left == 60 and rows[k].kept for k in range(30, 70))
+
+
 # 6 Pages
 
 
