@@ -131,8 +131,20 @@ _REWRITE = re.compile(
 _ITEM = re.compile(rf"(?:(double|triple)\s{{1,3}})?({_digit}|[0-9]+)|\s{{1,3}}(?:{_dot})\s{{1,3}}", re.IGNORECASE)
 _SPELLED = re.compile(r"[^\W\d_]")
 _TO_BLANK = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(128)) + bytes(range(128, 256))
-_HINTS = frozenset(w.encode() for w in (*DIGIT_WORDS, *DOT_WORDS) if w not in ("un", "six", "point", "dos", "tres"))
-_RARE = tuple(f"{a}{w}" for a in "([{<" for w in ("at", ".", "@", " at", " .", " @"))
+# What each alternative of _REWRITE needs to match and to matter, from the same words. Digits that are common words in
+# prose need a digit beside them, dots one after them or an @ somewhere.
+_COMMON = ("un", "six", "dos", "tres")
+_DIGIT_HINTS, _COMMON_HINTS, _DOT_HINTS, _AT_HINTS = (frozenset(x.encode() for x in words) for words in (set(DIGIT_WORDS) - set(_COMMON), _COMMON, DOT_WORDS, AT_WORDS))
+_few = rf"(?<![^\W_])(?:{'|'.join(_COMMON)})(?![^\W_])"
+_more = rf"(?:[0-9]|(?:(?:double|triple)\s{{1,3}})?{_few})"
+_sep = rf"(?:{_gap}|\s{{1,3}}(?:{_dot})\s{{1,3}})"
+_PAIR = re.compile(rf"{_few}{_sep}{_more}|[0-9]{_sep}(?:(?:double|triple)\s{{1,3}})?{_few}", re.IGNORECASE)
+_BRACKET = re.compile(rf"{_open}(?:{_at}|{_dot}|[@.]){_close}", re.IGNORECASE)
+_SPACED = re.compile(r"\s@|@\s")
+_PLAIN_AT = re.compile(rf"\s(?:{_at})\s{{1,3}}(?=[a-z0-9-]+\s{{0,3}}(?:{_open})?(?:{_dot})(?![a-z0-9]))", re.IGNORECASE)
+_DOT_ONE = re.compile(rf"\s(?:{_dot})\s{{1,3}}{_one}", re.IGNORECASE)
+_PLUS_ONE = re.compile(rf"(?<![^\W_])plus\s{{1,3}}{_one}", re.IGNORECASE)
+_WORD = re.compile(r"[^\W_]+")
 
 
 def normal_form(text: str) -> tuple[str, list[int], list[int], list[int]]:
@@ -168,12 +180,21 @@ def normal_form(text: str) -> tuple[str, list[int], list[int], list[int]]:
 
 
 def _hinted(text: str) -> bool:
-    """Whether the normal form can differ from the text in a way that matters; cheap, and never wrongly false for
-    a run of spelled digits, as no identifier has only the digits left out of the hints."""
+    """Whether the normal form can differ from the text in a span; cheap, and never wrongly false: a span that is
+    added holds a mapped character or a stretch that is rewritten, and each kind of them is looked for."""
+    if _BEYOND.search(text) and ("\u0130" in text or not _odd().isdisjoint(text)):  # the former is an i where case is ignored
+        return True
+    if _BRACKET.search(text) or ("@" in text and _SPACED.search(text)):
+        return True
     low = text.lower()
-    if (_BEYOND.search(text) and not _odd().isdisjoint(text)) or "@ " in low or " @" in low or any(x in low for x in _RARE):
+    words = set(low.encode().translate(_TO_BLANK).split() if low.isascii() else (x.encode("utf-8", "replace") for x in _WORD.findall(low)))
+    if not _DIGIT_HINTS.isdisjoint(words):
+        return True
+    if not _DOT_HINTS.isdisjoint(words) and ("@" in text or _DOT_ONE.search(text)):
         return True
-    return not _HINTS.isdisjoint(low.encode("utf-8", "replace").translate(_TO_BLANK).split())
+    return bool(
+        (not _COMMON_HINTS.isdisjoint(words) and _PAIR.search(text)) or (not _AT_HINTS.isdisjoint(words) and _PLAIN_AT.search(text)) or (b"plus" in words and _PLUS_ONE.search(text))
+    )
 
 
 def disguised_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
