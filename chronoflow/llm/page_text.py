@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections import Counter, defaultdict
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -90,7 +91,9 @@ def tokens_of(html: str) -> list[tuple[str, str, Element, int]]:
     def put(text: str) -> None:
         if text:
             top = stack[-1]
-            found.append((f"{top.path}|{text}" if len(text) <= 300 else "", htmllib.unescape(text), top, block))
+            # A long text is known by its hash, which starts with a character that no text has.
+            key = text if len(text) <= 300 else f"\0{blake2b(text.encode('utf-8', 'replace'), digest_size=16).hexdigest()}"
+            found.append((f"{top.path}|{key}", htmllib.unescape(text), top, block))
 
     while at < n:
         m = _TAG.search(html, at)
@@ -190,7 +193,7 @@ def template(pages: list[list[str]]) -> dict[str, tuple[int, int]]:
                     parents[c] = None  # it may stand in several gaps: a class of the whole page
                 if len(classes[c]) > 1:
                     open_.append([c, 1])
-            else:
+            elif any(x[0] == c for x in open_):  # else it is crossed already and closes nothing
                 while open_ and open_[-1][0] != c:
                     crossed.add(open_.pop()[0])
                 if open_:

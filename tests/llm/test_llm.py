@@ -321,6 +321,12 @@ def test_template_without_article():
     assert got == [f"Title {k}\n\n{prose(k, 30)}\n\nsame start {prose(k + 70, 30)}" for k in range(12)]
 
 
+def test_long_texts_of_the_template_go():
+    law = prose(600, 120)
+    make = lambda k: PAGE % f"<div class='content'><h2>Title {k}</h2><p>{prose(k, 30)}</p><p>{law}</p></div>"
+    assert len(law) > 300 and page_text.extract([make(k) for k in range(12)]) == [f"Title {k}\n\n{prose(k, 30)}" for k in range(12)]
+
+
 def test_classes_nest_and_broken_ones_go():
     pages = [list("ab") + ["r", "s"] * n + list("c") for n in (2, 3, 1)]
     held = page_text.template(pages)
