@@ -8,8 +8,10 @@ around it, and together are the template. What the template does not hold are sl
 From the slots the main text is taken: those in the page's article (``article``, ``main`` or what stands for them), or,
 on a page without one, those in the part of the template that holds most of the slots' text. Parts that are
 navigation, headers, footers, sidebars, adverts, notices, forms, scripts, styles or comments by their tag, role or
-class name are left out wherever they are. Texts inside an article stay even if other pages have them too, so that
-copies and common passages lose nothing; elsewhere a text of the template is boilerplate and goes.
+class name are left out wherever they are. Outside articles a text of the template is boilerplate and goes. Inside an
+article it goes if at least half of the group's articles, and three, have it, where only articles with another slot
+text each count, and only if slots are half of their text at least: copies of an article, near ones too, are no
+evidence and lose nothing, nor do passages that fewer articles share. An article of nothing else stays whole.
 
 A host's pages are dealt into groups of about ``GROUP`` pages by a hash, so a host with a third of all pages is the
 work of many tasks. Equal pages count once in a vector.
@@ -203,14 +205,14 @@ def template(pages: list[list[str]]) -> dict[str, tuple[int, int]]:
     return {k: v for k, v in place.items() if v[0] not in crossed}
 
 
-def _blocks(tokens: list[tuple[str, str, Element, int]], wanted, held=None) -> str:
-    """The texts of the wanted elements by blocks; with ``held``, only of blocks that hold more than the template."""
+def _blocks(tokens: list[tuple[str, str, Element, int]], wanted, held=()) -> str:
+    """The texts of the wanted elements by blocks, of blocks that hold more than ``held``."""
     parts: dict[int, list[str]] = defaultdict(list)
     own = set()
     for key, text, element, block in tokens:
         if text and wanted(element):
             parts[block].append(text)
-            if text.strip() and (held is None or key not in held):
+            if text.strip() and key not in held:
                 own.add(block)
     lines = (_SPACE.sub(" ", "".join(x)).strip() for k, x in parts.items() if k in own)
     return "\n\n".join(x for x in lines if x)
@@ -236,6 +238,22 @@ def _central(pages: list[list[tuple]], held: dict) -> str:
         at = best
 
 
+def _notices(pages: list[list[tuple]], held: dict) -> set[str]:
+    """The keys of template texts that articles of different content share."""
+    contents, having = set(), defaultdict(set)
+    for tokens in pages:
+        texts = [(key, len(text)) for key, text, e, _ in tokens if text.strip() and e.main and not e.out]
+        own = frozenset(k for k, _ in texts if k not in held)
+        if not own:
+            continue
+        contents.add(own)
+        if 2 * sum(n for k, n in texts if k not in held) >= sum(n for _, n in texts):
+            for k, _ in texts:
+                if k in held:
+                    having[k].add(own)
+    return {k for k, x in having.items() if len(x) >= max(3, len(contents) / 2)}
+
+
 def extract(htmls: list[str]) -> list[str]:
     """The main texts of pages of one host."""
     distinct = {h: tokens_of(h) for h in dict.fromkeys(htmls)}
@@ -244,10 +262,11 @@ def extract(htmls: list[str]) -> list[str]:
     # A text counts as the template's if three pages at least and a fifth of the group have it.
     support = Counter(k for tokens in pages for k in {t[0] for t in tokens if t[1].strip()})
     held = {k: v for k, v in held.items() if k not in support or support[k] >= max(3, len(pages) / 5)}
-    central, texts = None, {}
+    central, notices, texts = None, _notices(pages, held), {}
     for h, tokens in distinct.items():
         if any(e.main and t.strip() for _, t, e, _ in tokens):
-            texts[h] = _blocks(tokens, lambda e: e.main and not e.out)
+            article = lambda e: e.main and not e.out
+            texts[h] = _blocks(tokens, article, notices) or _blocks(tokens, article)
         else:
             central = central or _central(pages, held)
             under = central + "/"

@@ -327,6 +327,17 @@ def test_long_texts_of_the_template_go():
     assert len(law) > 300 and page_text.extract([make(k) for k in range(12)]) == [f"Title {k}\n\n{prose(k, 30)}" for k in range(12)]
 
 
+def test_notices_in_articles_go_and_copies_stay():
+    notice, copied = prose(610, 12), [prose(620 + k, 20) for k in range(6)]
+    article = lambda *parts: PAGE % f"<article>{''.join(f'<p>{x}</p>' for x in parts)}</article>"
+    assert page_text.extract([article(prose(k, 30), notice) for k in range(12)]) == [prose(k, 30) for k in range(12)]
+    near = [[*copied[:5], f"{copied[5]} {k}"] for k in range(12)]
+    assert page_text.extract([article(*x) for x in near]) == ["\n\n".join(x) for x in near]
+    few = [[prose(k, 30), *([notice] if k < 4 else [])] for k in range(12)]
+    assert page_text.extract([article(*x) for x in few]) == ["\n\n".join(x) for x in few]
+    assert page_text.extract([article(notice), *(article(prose(k, 30), notice) for k in range(5))])[0] == notice
+
+
 def test_classes_nest_and_broken_ones_go():
     pages = [list("ab") + ["r", "s"] * n + list("c") for n in (2, 3, 1)]
     held = page_text.template(pages)
