@@ -13,6 +13,8 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import uuid
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -29,13 +32,12 @@ from chronoflow.llm.textkit import frugal
 
 MASK_DELTA = 0xA282EAD8
 END_ID = 2
+CHUNK = 16 << 20
 _HEAD, _DOC = "<QI", "<qBB"
 
 # Words of these characters alone need no Unicode normalisation and lower-case one to one, so that their pieces
 # can be cut here; any other word goes to the tokenizer whole.
 _PLAIN = re.compile(r"[!-;=-~¡-§©-®°±¶·»¿-ÿ‐-‧€]+")
-_WORD = re.compile(r"[^ \t\n\v\f\r]+")
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space to str.split(), not to the tokenizer
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
@@ -50,26 +52,23 @@ def frame(payload: bytes) -> bytes:
 
 
 class Encoder:
-    """Word-wise encoding by a ``tokenizers`` file, equal to encoding whole texts.
+    """Encoding by a ``tokenizers`` file, equal to encoding whole texts.
 
-    White space ends every piece of the word-BPE files (their pre-tokenizer drops it), so a text's ids are those
-    of its words in order. Ids of words are kept; where the pipeline is the known word-BPE one, the unseen plain
-    words of a batch are cut into pieces and the unseen pieces encoded in one call, split at the word-end ids.
+    White space ends every piece of the word-BPE files (their pre-tokenizer drops it), so a text's ids are those of its
+    words in order. Texts go by chunks: each distinct word of a chunk is encoded once, and where the pipeline is the known
+    word-BPE one, plain words are cut into pieces, of which each distinct one is encoded once, in one call that is split
+    at the word-end ids. Nothing is kept from chunk to chunk but the tokenizer.
     """
 
-    KEEP = 300_000
-
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
-        self.width = 2 if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self._whole, vocab = path, None, spec["model"]["vocab"]
+        top = max([*vocab.values(), *(x["id"] for x in spec.get("added_tokens") or [])])
+        self.width = 2 if top < 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -77,74 +76,74 @@ class Encoder:
         suffix = spec["model"].get("end_of_word_suffix")
         known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.by_piece = self.by_word and bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and cuts[0]["pattern"].get("Regex") == known
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         if self.by_piece:
             self.fast = Tokenizer.from_file(path)
             self.fast.normalizer = None
             self.fast.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            vocab = self.whole.get_vocab(with_added_tokens=True)
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends = np.zeros(top + 1, bool)
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
+    @property
+    def whole(self):
+        """The tokenizer as it is in the file, loaded when the first word needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _packed(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        odd, plain = [], []
-        for w in missing:
-            if self.by_piece and _PLAIN.fullmatch(w):
-                plain.append((w, _PIECE.findall(w.lower())))
-            else:
-                odd.append(w)
-        unseen = list({p for _, ps in plain for p in ps if p not in self.pieces})
-        if len(self.pieces) + len(unseen) > self.KEEP:
-            self.pieces = {}
-            unseen = list({p for _, ps in plain for p in ps})
-        for at in range(0, len(unseen), 20_000):
-            some = unseen[at : at + 20_000]
-            ids = np.array(self.fast.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            assert len(stops) == len(some)
-            raw, begin = ids.astype(self.kind).tobytes(), 0
-            for p, stop in zip(some, stops.tolist()):
-                self.pieces[p] = raw[begin * self.width : stop * self.width]
-                begin = stop
-        for w, ps in plain:
-            self.words[w] = b"".join([self.pieces[p] for p in ps])
-        for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False)):
-            self.words[w] = self._packed(e.ids)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, packed."""
+    def words(self, distinct: list[str]) -> list[bytes]:
+        """The ids of each word, packed."""
+        out: list[bytes | None] = [None] * len(distinct)
+        if self.by_piece:
+            cut = [_PIECE.findall(w.lower()) if _PLAIN.fullmatch(w) else None for w in distinct]
+            pieces, ids_of = list(dict.fromkeys(p for ps in cut if ps for p in ps)), {}
+            for at in range(0, len(pieces), 20_000):
+                some = pieces[at : at + 20_000]
+                ids = np.array(self.fast.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                assert len(stops) == len(some)
+                raw, begin = ids.tobytes(), 0
+                for p, stop in zip(some, stops):
+                    ids_of[p] = raw[begin * self.width : stop * self.width]
+                    begin = stop
+            out = [None if ps is None else b"".join([ids_of[p] for p in ps]) for ps in cut]
+        odd = [k for k, x in enumerate(out) if x is None]
+        for at in range(0, len(odd), 20_000):
+            some = odd[at : at + 20_000]
+            for k, e in zip(some, self.whole.encode_batch_fast([distinct[k] for k in some], add_special_tokens=False)):
+                out[k] = self._packed(e.ids)
+        return out
+
+    def chunk(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of an array without nulls, packed."""
         if not self.by_word:
-            for e in self.whole.encode_batch_fast(texts, add_special_tokens=False):
+            for e in self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
                 yield self._packed(e.ids)
             return
-        for text in texts:
-            words = text.split() if not _SEPARATORS.search(text) else _WORD.findall(text)
-            missing = []
-            for w in set(words):
-                if w not in self.words:
-                    if w in self.old_words:
-                        self.words[w] = self.old_words[w]
-                    else:
-                        missing.append(w)
-            if missing:
-                self._learn(missing)
-            yield b"".join(map(self.words.__getitem__, words))
-            if len(self.words) > self.KEEP:
-                self.old_words, self.words = self.words, {}
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        split = pc.ascii_split_whitespace(texts)
+        words, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        coded = self.words(words.dictionary.to_pylist())
+        ids, size = np.frombuffer(b"".join(coded), self.kind), np.array([len(x) // self.width for x in coded], np.int64)
+        start, place = np.cumsum(size) - size, words.indices.to_numpy()
+        for k in range(len(texts)):
+            word = place[offsets[k] : offsets[k + 1]]
+            n = size[word]
+            end = np.cumsum(n)
+            yield ids[np.arange(n.sum()) - np.repeat(end - n, n) + np.repeat(start[word], n)].tobytes()
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (null: none), packed, by chunks of some megabytes (a longer text is one of its own)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
+            yield from self.chunk(texts.slice(at, stop - at))
+            at = stop
 
 
 _MANIFEST = "part int, uri string, n_docs long, n_tokens long"
@@ -152,22 +151,25 @@ _MANIFEST = "part int, uri string, n_docs long, n_tokens long"
 
 def _writer(tokenizer: str, folder: str, doc_id: str, text: str, end_id: int):
     def write(batches):
-        enc, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = None, TaskContext.get().partitionId()
         uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rec"
-        end, out, at, offsets, tokens = np.array([end_id], enc.kind).tobytes(), None, 0, [], 0
+        out, at, offsets, tokens = None, 0, [], 0
         for batch in batches:
             if out is None and batch.num_rows:
-                out = Output(uri)
-            ids, texts = batch.column(doc_id).to_pylist(), batch.column(text)
-            for begin in range(0, batch.num_rows, 256):
-                some = [x or "" for x in texts.slice(begin, 256).to_pylist()]
-                buffer = []
-                for i, packed in zip(ids[begin : begin + 256], enc.encode(some)):
-                    record = frame(struct.pack(_DOC, i or 0, i is None, enc.width) + packed + end)
-                    tokens += len(packed) // enc.width + 1
-                    offsets.append(at)
-                    at += len(record)
-                    buffer.append(record)
+                out, enc = Output(uri), Encoder(tokenizer)
+                end = np.array([end_id], enc.kind).tobytes()
+            buffer, held = [], 0
+            for i, packed in zip(batch.column(doc_id).to_pylist(), enc.encode(batch.column(text)) if batch.num_rows else ()):
+                record = frame(struct.pack(_DOC, i or 0, i is None, enc.width) + packed + end)
+                tokens += len(packed) // enc.width + 1
+                offsets.append(at)
+                at += len(record)
+                buffer.append(record)
+                held += len(record)
+                if held > 1 << 20:
+                    out.write(b"".join(buffer))
+                    buffer, held = [], 0
+            if buffer:
                 out.write(b"".join(buffer))
         if out is not None:
             out.close()

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,14 +356,16 @@ def test_page_query(spark):
 # 7 Records
 
 
-def test_word_wise_ids_equal_whole_text_ids(vocab):
+def test_word_wise_ids_equal_whole_text_ids(vocab, monkeypatch):
     r = np.random.default_rng(4)
     alphabet = list("abAB'sStTrRdDmMvVlLeE019 .,!?-_<|>éß’²µªあ\n\t\x1c\x85 ́")
     texts = [*[x or "" for x in ODD], "don't we'll x<|startoftext|>y ΣΑΣ İ ǅ", *["".join(r.choice(alphabet, r.integers(1, 60))) for _ in range(2000)]]
     enc = token_records.Encoder(vocab)
-    enc.KEEP = 500
-    whole = enc.whole.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)] == [x.ids for x in whole]
+    whole = [x.ids for x in enc.whole.encode_batch(texts, add_special_tokens=False)]
+    for chunk in (token_records.CHUNK, 500, 0):
+        monkeypatch.setattr(token_records, "CHUNK", chunk)
+        assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(pa.array([None, *texts]).slice(1))] == whole
+    assert list(enc.encode(pa.array([None, ""]))) == [b"", b""] and list(enc.encode(pa.array([], pa.string()))) == []
 
 
 def test_records_round_trip(spark, vocab):
