@@ -4,15 +4,20 @@ Texts are lower-cased, ASCII punctuation counts as white space, and shingles are
 text with fewer words is a single shingle of them all). For each benchmark item a window with as many shingles slides
 over every text, one word at a time. A window's 128-bit SimHash sums its shingles' bit vectors, each as often as it
 occurs; an item's is made alike. The index cuts fingerprints into eight blocks of 16 bits and lists for each block
-value the items within three bits of it: of two fingerprints within ``RADIUS`` = 31 bits one block differs in three
-at most, so all of them meet. Pairs within the radius are verified by the exact weighted Jaccard similarity of
-their shingles (weight: how often a shingle occurs), which must be ``threshold`` or more.
+value the items within two bits of it; a window asks for all values within two bits of its own. Of two fingerprints
+within ``RADIUS`` = 39 bits one block differs in four at most, so all of them meet. Pairs within the radius are
+verified by the exact weighted Jaccard similarity of their shingles (weight: how often a shingle occurs), which must be
+``threshold`` or more.
+
+What the radius means for the threshold: bags of equal size at similarity 0.8 have a cosine of 0.889, so a bit differs
+with probability 0.152, and more than 39 of 128 do for about one window in a million (of 31 it would be 1 in 400).
 
 A window without any shingle of the item has similarity 0; such windows get no fingerprint. This skips nothing
 that could be found and makes the work follow the benchmark's traces, not the corpus.
 
-The benchmark is the stated query set. It goes to executors in blocks of at most ``BLOCK_ITEMS`` items and
-``BLOCK_WORDS`` words, each of which is compared with all documents, so no block's size grows with either table.
+The benchmark is the stated query set. It is written in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS``
+words, a file each, and each block is compared with all documents, so no block's size grows with either table. A task
+reads its block's file and builds the index for itself; nothing outlives it.
 
 Edge cases: a null or empty text or item matches nothing; equal items are compared each under its id; a null id
 stays null; equal rows give equal results; without items all documents stay; an empty table gives an empty result;
@@ -22,7 +27,7 @@ other columns pass through ``decontaminated`` untouched and are ignored by ``lea
 from __future__ import annotations
 
 import string
-import uuid
+import struct
 from functools import reduce
 from itertools import combinations
 
@@ -30,11 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from chronoflow.llm.store import Output, fresh_folder, open_input, written
 from chronoflow.llm.textkit import U64, frugal, hash_words, mix64, shingles
 
-WIDTH, THRESHOLD, RADIUS = 5, 0.8, 31
-BLOCKS, NEAR = 8, 3  # blocks of 16 bits; NEAR = RADIUS // BLOCKS
-BLOCK_ITEMS, BLOCK_WORDS = 2000, 400_000
+WIDTH, THRESHOLD, RADIUS = 5, 0.8, 39
+BLOCKS, NEAR = 8, 2  # blocks of 16 bits; 2 * NEAR = RADIUS // BLOCKS
+BLOCK_ITEMS, BLOCK_WORDS = 8000, 800_000
 
 _BLANK = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 
@@ -86,12 +92,16 @@ class Index:
         self.bags = [shingles(w, WIDTH) for w in words]
         self.size = np.array([len(x) for x in self.bags], np.int64)
         self.prints = np.array([fingerprint(x) for x in self.bags], np.uint16).reshape(-1, BLOCKS)
-        self.lists = []
-        for k in range(BLOCKS):
-            values = (self.prints[:, k, None] ^ _MASKS).ravel()
-            owners = np.repeat(np.arange(len(words), dtype=np.int32), len(_MASKS))
-            order = np.argsort(values, kind="stable")
-            self.lists.append((np.searchsorted(values[order], np.arange((1 << 16) + 1)), owners[order]))
+        # For each window size, of each block: the values within reach, sorted, and whose they are.
+        self.lists = {}
+        for size in set(self.size.tolist()):
+            who = np.flatnonzero(self.size == size).astype(np.int32)
+            owners = np.repeat(who, len(_MASKS))
+            self.lists[size] = []
+            for k in range(BLOCKS):
+                values = (self.prints[who, k, None] ^ _MASKS).ravel()
+                order = np.argsort(values, kind="stable")
+                self.lists[size].append((values[order], owners[order]))
         # Which items hold a shingle: for each width, the sorted shingles and their items.
         self.traces = {}
         for width in set(self.width):
@@ -106,18 +116,21 @@ class Index:
 
     def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all fingerprints within the radius, among the items of this window size."""
-        found = []
-        for k, (starts, owners) in enumerate(self.lists):
-            first, last = starts[prints[:, k]], starts[prints[:, k].astype(np.int64) + 1]
-            n = last - first
-            window = np.repeat(np.arange(len(prints)), n)
-            item = owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-            right = self.size[item] == size
-            found.append(window[right] * len(self.ids) + item[right])
-        pairs = np.unique(np.concatenate(found))
-        window, item = pairs // len(self.ids), pairs % len(self.ids)
-        far = np.bitwise_count(prints[window] ^ self.prints[item]).sum(axis=1)
-        return window[far <= RADIUS], item[far <= RADIUS]
+        windows, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for low in range(0, len(prints), _SOME):
+            some, found = prints[low : low + _SOME], []
+            for k, (values, owners) in enumerate(self.lists[size]):
+                asked = (some[:, k, None] ^ _MASKS).ravel()
+                first = np.searchsorted(values, asked, "left")
+                n = np.searchsorted(values, asked, "right") - first
+                window = np.repeat(np.arange(len(asked)) // len(_MASKS), n)
+                found.append(window * len(self.ids) + owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)])
+            pairs = np.unique(np.concatenate(found))
+            window, item = pairs // len(self.ids), pairs % len(self.ids)
+            close = np.bitwise_count(some[window] ^ self.prints[item]).sum(axis=1) <= RADIUS
+            windows.append(window[close] + low)
+            items.append(item[close])
+        return np.concatenate(windows), np.concatenate(items)
 
     def search(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
         """(item number, similarity, first word, words) of the best window of each item that the text holds."""
@@ -150,6 +163,7 @@ class Index:
 
 
 _LONGEST = 1 << 14
+_SOME = 256
 
 
 def _stretches(low: np.ndarray, high: np.ndarray):
@@ -164,36 +178,48 @@ def _stretches(low: np.ndarray, high: np.ndarray):
             end = max(end, b)
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str):
-    """The benchmark in blocks of bounded size, read one after the other."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> list[str]:
+    """Writes the benchmark in blocks of bounded size, of which the driver holds one at a time: the files' names."""
     rows = benchmark.select(F.col(item_id).cast("long"), F.col(text).cast("string")).distinct()
-    block, words = [], 0
+    folder, uris, block, words = fresh_folder(benchmark.sparkSession, "items"), [], [], 0
+
+    def close():
+        out = Output(f"{folder}/{len(uris):06d}")
+        out.write(b"".join(struct.pack("<?qQ", i is None, i or 0, len(w)) + w.tobytes() for i, w in block))
+        out.close()
+        uris.append(f"{folder}/{len(uris):06d}")
+
     for i, x in rows.toLocalIterator():
         w = word_hashes(x)
         if block and (len(block) == BLOCK_ITEMS or words + len(w) > BLOCK_WORDS):
-            yield block
+            close()
             block, words = [], 0
         block.append((i, w))
         words += len(w)
-    yield block
-
-
-_indexes: dict[str, Index] = {}
+    if block:
+        close()
+    return uris
 
 
-def index_of(key: str, block: list) -> Index:
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = Index(block)
-    return _indexes[key]
+def index_of(uri: str) -> Index:
+    """The index of a written block."""
+    with open_input(uri) as f:
+        data = f.read()
+    at, items = 0, []
+    while at < len(data):
+        null, i, n = struct.unpack_from("<?qQ", data, at)
+        items.append((None if null else i, np.frombuffer(data, U64, n, at + _ITEM_HEAD)))
+        at += _ITEM_HEAD + 8 * n
+    return Index(items)
 
 
+_ITEM_HEAD = struct.calcsize("<?qQ")
 _LEAK = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
-def _finder(key: str, block: list, threshold: float):
+def _finder(uri: str, threshold: float):
     def find(batches):
-        index = index_of(key, block)
+        index = index_of(uri)
         for batch in batches:
             rows = [(i, index.ids[k], s, at, n) for i, x in zip(batch.column(0).to_pylist(), batch.column(1)) for k, s, at, n in index.search(x.as_py(), threshold)]
             if rows:
@@ -207,13 +233,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """A row for each document and benchmark item that it holds: doc_id, item_id, similarity of the best window and
     where that begins (in words) and how long it is."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = [rows.mapInArrow(frugal(_finder(uuid.uuid4().hex, b, threshold)), _LEAK) for b in item_blocks(benchmark, item_id, item_text)]
-    return reduce(DataFrame.unionAll, parts)
+    parts = [rows.mapInArrow(frugal(_finder(uri, threshold)), _LEAK) for uri in item_blocks(benchmark, item_id, item_text)]
+    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], _LEAK)
 
 
-def _filter(key: str, block: list, text: str, threshold: float):
+def _filter(uri: str, text: str, threshold: float):
     def clean(batches):
-        index = index_of(key, block)
+        index = index_of(uri)
         for batch in batches:
             free = [not index.search(x.as_py(), threshold) for x in batch.column(batch.schema.get_field_index(text))]
             yield batch.filter(pa.array(free, pa.bool_()))
@@ -222,7 +248,8 @@ def _filter(key: str, block: list, text: str, threshold: float):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    for b in item_blocks(benchmark, item_id, item_text):
-        docs = docs.mapInArrow(frugal(_filter(uuid.uuid4().hex, b, text, threshold)), docs.schema)
+    """``docs`` without the documents that hold a benchmark item. What a block leaves is written before the next one
+    reads it, so no task holds two blocks."""
+    for k, uri in enumerate(item_blocks(benchmark, item_id, item_text)):
+        docs = (written(docs, "clean") if k else docs).mapInArrow(frugal(_filter(uri, text, threshold)), docs.schema)
     return docs

@@ -180,7 +180,7 @@ def test_index_finds_all_fingerprints_in_the_radius():
     index = decontaminate.Index(items)
     prints = []
     for k in range(50):
-        for flips in (0, 10, 20, 31, 32, 60):
+        for flips in (0, 10, 20, 31, 39, 40, 60):
             bits = np.unpackbits(index.prints[k].view(np.uint8))
             bits[r.choice(128, flips, replace=False)] ^= 1
             prints.append(np.packbits(bits).view(np.uint16))
@@ -215,6 +215,28 @@ def test_leaks_equal_brute_force(spark):
     assert kept.columns == docs.columns
     assert {x.doc_id for x in kept.collect()} == set(range(len(texts))) - {i for i, _ in got}
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(texts)
+    assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_leaks_by_blocks_with_nulls_ties_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    a, b, c = prose(300, 30), prose(301, 40), prose(302, 25)
+    docs = spark.createDataFrame([(1, a, "x"), (1, a, "x"), (None, f"{prose(303, 9)} {b}", "y"), (3, None, "z"), (4, prose(304, 50), "w"), (5, c, "v")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(0, a), (0, a), (1, a), (None, b), (2, ""), (3, None), (4, c)], "item_id long, text string")
+    got = sorted(((x.doc_id, x.item_id) for x in decontaminate.leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(1, 0), (1, 0), (1, 1), (1, 1), (None, None), (5, 4)], key=str)
+    assert [x.doc_id for x in decontaminate.decontaminated(docs, bench).orderBy("doc_id").collect()] == [3, 4]
+    assert decontaminate.leaks(docs.limit(0), bench).count() == 0 == decontaminate.decontaminated(docs.limit(0), bench).count()
+
+
+def test_the_radius_holds_windows_at_the_threshold():
+    r, missed, tried = np.random.default_rng(6), 0, 3000
+    for _ in range(tried):
+        values = textkit.mix64(r.integers(0, 1 << 62, 50).astype(np.uint64))
+        a, b = values[:45], values[5:]  # 40 shingles of 50 in common: similarity 0.8
+        assert decontaminate.similarity(a, b) == 0.8
+        missed += int(np.bitwise_count(decontaminate.fingerprint(a) ^ decontaminate.fingerprint(b)).sum()) > decontaminate.RADIUS
+    assert missed == 0
 
 
 # 4 Mixing
