@@ -30,7 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# A run of digits is tried from its start alone and never given back, so that long runs cost one pass.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -115,7 +116,7 @@ _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _dot, _at = "|".join(DOT_WORDS), "|".join(AT_WORDS)
 _open, _close = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 # A spelled or written digit, and what may stand between two of them.
-_one = rf"(?:(?<![^\W_])(?:(?:double|triple)\s{{1,3}})?(?:{_digit})(?![^\W_])|[0-9]+)"
+_one = rf"(?:(?<![^\W_])(?:(?:double|triple)\s{{1,3}})?(?:{_digit})(?![^\W_])|(?<![0-9])[0-9]++)"
 _gap = r"[\s,-]{1,3}"
 _REWRITE = re.compile(
     rf"(?P<at>\s{{0,3}}{_open}(?:{_at}|@){_close}\s{{0,3}})"

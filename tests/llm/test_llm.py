@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -105,6 +106,13 @@ def test_gated_equals_ungated(monkeypatch):
     assert gated == [pii_spans.all_spans(x) for x in texts] and sum(not b for x in gated for *_, b in x) > 100
 
 
+def test_long_runs_cost_one_pass():
+    began = time.process_time()
+    for run in ("1" * 2_000_000, "1." * 500_000, "1 " * 500_000 + "point one", "+1" + " " * 500_000, "a" * 1_000_000 + "@", "six " * 200_000, "1" * 500_000 + " dot one"):
+        pii_spans.all_spans(run)
+    assert time.process_time() - began < 30
+
+
 def test_prose_has_no_disguised_spans():
     for text in ["look at example.com one two", "we met at noon. The dot on the i", "foo @ bar. Baz", "one two three", prose(3, 500)]:
         assert pii_spans.all_spans(text) == []
@@ -118,6 +126,8 @@ def test_pii_query(spark):
     assert df.count() == 9 and df.where("base_sha256 = sha2('', 256)").count() == 8
     assert pii_spans.masked(documents(spark, ["a@b.c x"])).first().text == "<email> x"
     assert pii_spans.pii_spans(documents(spark, ["x"]).limit(0)).count() == 0
+    twice = documents(spark, ["a@b.c"]).unionByName(documents(spark, ["a@b.c"])).withColumn("spans", F.lit(1))
+    assert [tuple(r) for r in pii_spans.digests(pii_spans.pii_spans(twice)).distinct().select("doc_id", "spans").collect()] == [(0, "email:0:5")]
 
 
 # 2 Archives
