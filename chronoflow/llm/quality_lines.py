@@ -1,15 +1,16 @@
 """Quality rules: base counts of a text and cross-document line frequency. Built-in functions only.
 
 Lines are normalised (trimmed, white space runs to one blank, lower case) and hashed. For each host the distinct
-documents that hold a line are counted. Documents whose normalised lines are all equal, in order, count as one there,
-so that copies of a document don't make its own lines look like boilerplate. A line that more than ``max_docs`` documents of a host
-share is removed from all of them but the first (smallest doc_id). A document that loses words is rejected if less
-than ``min_left`` of its words or fewer than ``min_words`` words remain.
+documents that hold a line are counted. Documents whose normalised lines are all equal, in order, are copies and count as
+one there, so that copies of a document don't make its own lines look like boilerplate. A line that more than
+``max_docs`` documents of a host share is removed from all of them but the first (smallest doc_id) and its copies. A
+document that loses words is rejected if less than ``min_left`` of its words or fewer than ``min_words`` words remain.
+``kept_documents`` returns the others with those lines cut out of their texts.
 
 Edge cases: a null or empty text has no words, fails the base rule and is not kept; a null host is a host of its
-own, a null doc_id a document that is never the first; equal rows get equal verdicts; limits are strict, so nothing
-hangs on the order of ties; an empty table gives an empty result. Columns that are already there pass through,
-except those with the names of the results, which are replaced. Names that start with ``__q_`` are reserved.
+own, a null doc_id a document that is the first only where all are null; equal rows get equal verdicts; limits are
+strict, so nothing hangs on the order of ties; an empty table gives an empty result. Columns that are already there pass
+through, except those with the names of the results, which are replaced. Names that start with ``__q_`` are reserved.
 """
 
 from __future__ import annotations
@@ -64,47 +65,67 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 _KEY = ["__q_id", "__q_host", "__q_sum", "__q_len"]
 
 
-def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 10) -> DataFrame:
-    """How many words each document loses to lines above the limit; documents that lose none have no row. The key
-    is the document's id, host, and hash and length of its text (columns ``__q_*``), beside ``__q_gone``."""
-    keyed = _keyed(docs, doc_id, text, host)
-    plain = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(F.lower(F.regexp_replace(x, SPACE, " "))))
-    rows = keyed.select(*_KEY, F.transform(F.filter(plain, lambda x: x != ""), lambda x: F.xxhash64(x)).alias("__q_plain")).filter(F.size("__q_plain") > 0)
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 10) -> DataFrame:
+    """The lines above the limit that each document loses: how many words they have (``__q_gone``) and their places among
+    the text's lines, from 0 (``__q_cut``). Documents that lose none have no row. The key is the document's id, host, and
+    hash and length of its text (columns ``__q_*``)."""
+
+    def line(x: Column, at: Column) -> Column:
+        return F.struct(at.alias("at"), F.xxhash64(F.trim(F.lower(F.regexp_replace(x, SPACE, " ")))).alias("h"), F.size(words_of(x)).alias("w"))
+
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), line), lambda x: x["w"] > 0)
+    rows = _keyed(docs, doc_id, text, host).select(*_KEY, lines.alias("__q_lines")).filter(F.size("__q_lines") > 0)
     # Only copies, with all lines equal, are one family; never documents that just share the line that is counted.
-    lines = rows.select(*_KEY, F.xxhash64("__q_plain").alias("__q_family"), F.explode(F.array_distinct("__q_plain")).alias("__q_h"))
+    rows = rows.withColumn("__q_family", F.xxhash64(F.transform("__q_lines", lambda x: x["h"])))
+    each = rows.select("__q_id", "__q_host", "__q_family", F.explode(F.array_distinct(F.transform("__q_lines", lambda x: x["h"]))).alias("__q_h"))
     # The family spreads a line that many documents share over tasks before its documents are counted.
-    by_family = lines.groupBy("__q_host", "__q_h", "__q_family").agg(F.min("__q_id").alias("__q_first"))
-    frequent = by_family.groupBy("__q_host", "__q_h").agg(F.count("*").alias("__q_n"), F.min("__q_first").alias("__q_first"))
-    frequent = frequent.filter(F.col("__q_n") > max_docs).select("__q_host", "__q_h", "__q_first")
-    # Every line of the text counts its words, repeated ones as often as they stand there.
-    each = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    each = F.transform(each, lambda x: F.struct(F.xxhash64(F.trim(F.lower(F.regexp_replace(x, SPACE, " ")))).alias("h"), F.size(words_of(x)).alias("w")))
-    held = keyed.select(*_KEY, F.posexplode(each).alias("__q_at", "__q_x")).select(*_KEY, "__q_at", F.col("__q_x.h").alias("__q_h"), F.col("__q_x.w").alias("__q_w"))
-    gone = held.join(frequent, ["__q_host", "__q_h"]).filter(~F.col("__q_id").eqNullSafe(F.col("__q_first")))
+    by_family = each.groupBy("__q_host", "__q_h", "__q_family").agg(F.min("__q_id").alias("__q_first"))
+    first = F.min(F.struct(F.isnull("__q_first").alias("n"), F.col("__q_first").alias("i"), F.col("__q_family").alias("f"))).alias("__q_m")
+    frequent = by_family.groupBy("__q_host", "__q_h").agg(F.count("*").alias("__q_n"), first).filter(F.col("__q_n") > max_docs)
+    frequent = frequent.select("__q_host", "__q_h", F.col("__q_m.f").alias("__q_keeper"))
+    held = rows.select(*_KEY, "__q_family", F.explode("__q_lines").alias("__q_x")).select(*_KEY, "__q_family", F.col("__q_x.h").alias("__q_h"), F.col("__q_x.at").alias("__q_at"), F.col("__q_x.w").alias("__q_w"))
+    gone = held.join(frequent, ["__q_host", "__q_h"]).filter(F.col("__q_family") != F.col("__q_keeper"))
     gone = gone.groupBy(*_KEY, "__q_at").agg(F.max("__q_w").alias("__q_w"))  # equal rows
-    return gone.groupBy(*_KEY).agg(F.sum("__q_w").alias("__q_gone"))
+    return gone.groupBy(*_KEY).agg(F.sum("__q_w").alias("__q_gone"), F.sort_array(F.collect_list("__q_at")).alias("__q_cut"))
 
 
-def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 10, min_left: float = 0.2, min_words: int = 10) -> DataFrame:
-    """``docs`` without its text, with the base counts, words_left (long) and kept."""
-    gone = removed_words(docs, doc_id, text, host, max_docs)
-    rest = _keyed(with_base_counts(docs, text), doc_id, text, host).drop(text)
+def _judged(docs: DataFrame, doc_id: str, text: str, host: str, max_docs: int, min_left: float, min_words: int) -> DataFrame:
+    """``docs`` with the base counts, words_left, kept and ``__q_cut``."""
+    gone = removed_lines(docs, doc_id, text, host, max_docs)
+    rest = _keyed(with_base_counts(docs, text), doc_id, text, host)
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in _KEY]
-    out = rest.alias("a").join(gone.alias("b"), same, "left").select("a.*", F.coalesce("b.__q_gone", F.lit(0)).alias("__q_gone"))
+    out = rest.alias("a").join(gone.alias("b"), same, "left").select("a.*", F.coalesce("b.__q_gone", F.lit(0)).alias("__q_gone"), F.col("b.__q_cut").alias("__q_cut"))
     left = F.col("n_words") - F.col("__q_gone")
     depleted = (F.col("__q_gone") > 0) & ((left < min_left * F.col("n_words")) | (left < min_words))
     return out.withColumns({"words_left": left, "kept": ~F.col("base_failed") & ~depleted}).drop(*_KEY, "__q_gone")
 
 
-def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The documents that the rules keep, whole and with their columns as they were."""
+def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 10, min_left: float = 0.2, min_words: int = 10) -> DataFrame:
+    """``docs`` without its text, with the base counts, words_left (long) and kept."""
+    return _judged(docs, doc_id, text, host, max_docs, min_left, min_words).drop(text, "__q_cut")
+
+
+def without_lines(text: Column, cut: Column) -> Column:
+    """The text without the lines at the places ``cut`` (ascending, from 0): the stretches between them, joined."""
+    lines = F.split(text, "\n")
+    after = lambda i: F.when(i == 0, 0).otherwise(F.get(cut, i - 1) + 1)
+    stretch = lambda at, end: F.when(end > at, F.slice(lines, at + 1, end - at)).otherwise(F.array().cast("array<string>"))
+    between = F.transform(cut, lambda end, i: stretch(after(i), end))
+    return F.array_join(F.concat(F.flatten(between), stretch(F.element_at(cut, -1) + 1, F.size(lines))), "\n")
+
+
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", max_docs: int = 10, min_left: float = 0.2, min_words: int = 10) -> DataFrame:
+    """The documents that the rules keep, without the lines that are removed; a column ``n_chars``, if there is one,
+    counts what is left of a text that lost lines. The other columns are as they were."""
     columns = docs.columns
-    probe = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("source"))
-    verdicts = line_verdicts(_keyed(probe, "doc_id", "text", "source").select("doc_id", "text", "source", *[F.col(k).alias(f"k{k}") for k in _KEY]), **limits)
-    rejected = verdicts.filter(~F.col("kept")).select(*[F.col(f"k{k}").alias(k) for k in _KEY]).distinct()
-    keyed = _keyed(docs, doc_id, text, host)
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in _KEY]
-    return keyed.alias("a").join(rejected.alias("b"), same, "left_anti").select(*columns)
+    own = docs.select(F.struct(*columns).alias("__q_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("source"))
+    kept = _judged(own, "doc_id", "text", "source", max_docs, min_left, min_words).filter("kept")
+    shorter = F.col("__q_cut").isNotNull()
+    kept = kept.withColumn("__q_text", F.when(shorter, without_lines(F.col("text"), F.col("__q_cut"))).otherwise(F.col("text")))
+    changed = {text: F.col("__q_text")}
+    if n_chars in columns:
+        changed[n_chars] = F.when(shorter, F.length("__q_text").cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"__q_row.`{n_chars}`"))
+    return kept.select(*[changed.get(c, F.col(f"__q_row.`{c}`")).alias(c) for c in columns])
 
 
 QUERY_SQL = r"""
@@ -114,13 +135,13 @@ win AS (SELECT r, i, CASE WHEN lead(word, 4) OVER o IS NOT NULL THEN concat_ws('
 rep AS (SELECT r, i FROM (SELECT r, i, g, count(*) OVER (PARTITION BY r, g) AS n FROM win WHERE g IS NOT NULL) WHERE n > 1),
 cover AS (SELECT r, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM rep) GROUP BY r),
 nw AS (SELECT r, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY r),
-ln AS (SELECT r, doc_id, host, line, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS plain, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
-       FROM (SELECT r, doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ln AS (SELECT r, doc_id, host, k, line, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS plain, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+       FROM (SELECT r, doc_id, host, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT *, string_split(text, chr(10)) AS ls FROM d)) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r),
 dl AS (SELECT DISTINCT r, doc_id, host, plain FROM ln),
-fam AS (SELECT r, arg_max(plain, (length(plain), plain)) AS family FROM dl GROUP BY r),
-freq AS (SELECT host, plain, min(doc_id) AS first FROM dl JOIN fam USING (r) GROUP BY host, plain HAVING count(DISTINCT family) > 10),
-gone AS (SELECT ln.r, sum(ln.n) AS n FROM ln JOIN freq USING (host, plain) WHERE ln.doc_id IS DISTINCT FROM freq.first GROUP BY ln.r),
+fam AS (SELECT r, string_agg(plain, chr(10) ORDER BY k) AS family FROM ln GROUP BY r),
+freq AS (SELECT host, plain, arg_min(family, doc_id) AS keeper FROM dl JOIN fam USING (r) GROUP BY host, plain HAVING count(DISTINCT family) > 10),
+gone AS (SELECT ln.r, sum(ln.n) AS n FROM ln JOIN freq USING (host, plain) JOIN fam USING (r) WHERE fam.family <> freq.keeper GROUP BY ln.r),
 b AS (SELECT d.r, doc_id, coalesce(nw.n, 0)::BIGINT AS n_words, coalesce(nw.chars, 0)::BIGINT AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
              coalesce(cover.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS gone

@@ -319,12 +319,39 @@ def test_documents_of_boilerplate_go_and_others_stay(spark):
     rows = {x.doc_id: x for x in quality_lines.line_verdicts(documents(spark, [*clean, *only, *copies])).collect()}
     assert all(rows[k].kept for k in range(15)) and all(rows[k].kept for k in range(30, 60))
     assert not any(rows[k].kept for k in range(15, 30)) and rows[20].words_left == 2
-    docs = documents(spark, [*clean, *only, *copies])
+    docs = documents(spark, [*clean, *only, *copies]).withColumn("n_chars", F.length("text").cast("long"))
     kept = quality_lines.kept_documents(docs)
-    assert kept.columns == docs.columns and kept.count() == 45
+    assert kept.schema == docs.schema and kept.count() == 45
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    assert texts == {0: clean[0], **{k: prose(k, 40) for k in range(1, 15)}, **{30 + k: copies[0] for k in range(30)}}
+    assert kept.where("n_chars <> length(text)").count() == 0
     assert quality_lines.line_verdicts(docs.limit(0)).count() == 0
 
 
+def test_lines_are_cut_at_their_places(spark):
+    texts = ["a\nb\n\nc\nd", "x", "a", "\n\na\n"]
+    for text in texts:
+        lines = text.split("\n")
+        for cut in ([k for k in range(len(lines)) if m >> k & 1] for m in range(1, 1 << len(lines))):
+            got = spark.range(1).select(quality_lines.without_lines(F.lit(text), F.lit(cut)).alias("x")).first().x if len(cut) < 3 else None
+            assert got is None or got == "\n".join(x for k, x in enumerate(lines) if k not in cut)
+
+
+def test_line_counts_with_nulls_and_repeated_rows(spark):
+    line = "this very line is on every page of the host and has some words"
+    rows = [(k if k % 4 else None, f"{prose(40 + k, 30)}\n{line}", "h" if k % 2 else None) for k in range(44)]
+    rows += [(100, f"{prose(99, 30)}\n{line}", "h")] * 3 + [(None, None, None), (7, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_lines.line_verdicts(docs).collect()
+    assert len(got) == len(rows)
+    # In each host one document, with the smallest id, keeps the line; equal rows are alike.
+    left = Counter((r.source, r.words_left) for r in got if r.n_words)
+    n = 30 + len(line.split())
+    assert left == {("h", 30): 24, ("h", n): 1, (None, 30): 21, (None, n): 1}
+    assert {r.doc_id for r in got if r.words_left == n} == {1, 2}
+    assert sum(r.kept for r in got) == 47
+
+
 def test_a_shared_longest_line_counts_every_document(spark):
     notice = prose(700, 90)
     dominated = ["\n".join([*(prose(1000 + 3 * k + j, 3) for j in range(3)), notice]) for k in range(30)]
