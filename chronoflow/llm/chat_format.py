@@ -1,10 +1,11 @@
 r"""Chat formatting by schema fingerprints. Built-in functions only.
 
-A JSON record (or struct column) gets a fingerprint: the hash of its sorted nested field paths. A fingerprint
-selects a declarative mapping, which says where the turns are and how each becomes (role, text). Mapped layouts:
-``messages`` / ``conversations`` lists, ``prompt``/``completion`` (or ``response``) pairs and
-``instruction``/``input``/``output`` triples. Records whose fingerprint no mapping has come out with null turns and
-their fingerprint, so they can be counted and mapped, never guessed.
+A record, a struct column or a JSON string, gets a fingerprint: the hash of its sorted nested field paths, by the types
+that the fields have and never by what their texts look like. A fingerprint selects a declarative mapping, which says
+where the turns are and how each becomes (role, text). Mapped layouts: ``messages`` / ``conversations`` / ``turns`` lists,
+``prompt``/``completion`` (or ``response``) and ``question``/``answer`` pairs, and ``instruction``/``input``/``output``
+triples. Records whose fingerprint no mapping has come out with null turns and their fingerprint, so they can be counted
+and mapped, never guessed. Rows of a table with a row a turn become ``turns`` lists, without any detour over JSON.
 
 Template: each turn is ``### role:``, a line feed, the text, a line feed, ``</turn>``, a line feed. Inside texts a
 backslash becomes ``\\``, ``###`` becomes ``\###`` and ``</turn>`` becomes ``\</turn>``, so ``</turn>`` stands behind
@@ -52,53 +53,95 @@ def fingerprint_of(names: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(set(names))).encode()).hexdigest()
 
 
-# Where each layout has its turns: a list with the fields of role and text, or fields that follow one another.
+# Where each layout has its turns: a list with the fields of role and text (and whether its roles have names of their
+# own), or fields that follow one another.
 MAPPINGS = {
-    ("messages[].content", "messages[].role"): ("list", "messages", "role", "content"),
-    ("messages[].role", "messages[].text"): ("list", "messages", "role", "text"),
-    ("conversations[].from", "conversations[].value"): ("list", "conversations", "from", "value"),
-    ("turns[].role", "turns[].text"): ("list", "turns", "role", "text"),
+    ("messages[].content", "messages[].role"): ("list", "messages", "role", "content", False),
+    ("messages[].role", "messages[].text"): ("list", "messages", "role", "text", False),
+    ("conversations[].from", "conversations[].value"): ("list", "conversations", "from", "value", True),
+    ("turns[].role", "turns[].text"): ("list", "turns", "role", "text", False),
     ("completion", "prompt"): ("fields", [("user", ["prompt"]), ("assistant", ["completion"])]),
     ("prompt", "response"): ("fields", [("user", ["prompt"]), ("assistant", ["response"])]),
     ("question", "answer"): ("fields", [("user", ["question"]), ("assistant", ["answer"])]),
     ("instruction", "output"): ("fields", [("user", ["instruction"]), ("assistant", ["output"])]),
     ("input", "instruction", "output"): ("fields", [("user", ["instruction", "input"]), ("assistant", ["output"])]),
 }
-# Names of roles in other layouts.
+# Names of roles in layouts that have their own.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
-_LIST = "array<struct<role:string,content:string,text:string,from:string,value:string>>"
-_WIDE = ", ".join([f"{n} {_LIST}" for n in ("messages", "conversations", "turns")] + [f"{n} string" for n in ("prompt", "completion", "response", "question", "answer", "instruction", "input", "output")])
+LISTS = ("messages", "conversations", "turns")
+TEXTS = ("prompt", "completion", "response", "question", "answer", "instruction", "input", "output")
+_ITEM = ("role", "content", "text", "from", "value")
+_OBJECTS = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in _ITEM]))
+WIDE = T.StructType([T.StructField(n, _OBJECTS) for n in LISTS] + [T.StructField(n, T.StringType()) for n in TEXTS])
 _TURNS = "array<struct<role:string,text:string>>"
+# Texts may be as long as a string can be.
+_JSON = {"maxStringLen": str((1 << 31) - 1)}
 
 
-def fingerprint(record: Column) -> Column:
-    """Of a JSON string: the hash of its sorted distinct field paths, two levels deep as the mappings need it."""
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+def _hashed(names: Column) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.array_distinct(names)), "\n"), 256)
+
+
+def _present(value: Column, kind: T.DataType, at: str) -> Column:
+    """The paths of the fields below ``at`` that hold something."""
+    if isinstance(kind, T.StructType):
+        return F.concat(*[_present(value[f.name], f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        inner = [F.when(F.exists(value, lambda x: x[f.name].isNotNull()), F.lit(f"{at}[].{f.name}")) for f in kind.elementType.fields]  # noqa: B023
+        return F.array_compact(F.array(*inner))
+    return F.array_compact(F.array(F.when(value.isNotNull(), F.lit(f"{at}[]" if isinstance(kind, T.ArrayType) else at))))
+
+
+def fingerprint(record: Column, schema: T.StructType | None = None) -> Column:
+    """Of a struct column with its schema: the hash of the paths of its fields that are not null. Of a JSON string: the
+    hash of all its paths, where the fields that mappings name are read by type (lists of objects by their elements'
+    fields, other lists as ``[]``, objects by their fields) and others count by name."""
+    if schema is not None:
+        return _hashed(_present(record, schema, ""))
+    keys = F.coalesce(F.map_keys(F.from_json(record, "map<string,string>", _JSON)), F.array().cast("array<string>"))
+    shape = lambda kind: F.from_json(record, ", ".join(f"{n} {kind}" for n in (*LISTS, *TEXTS)), _JSON)
+    lists, items, objects = shape("array<string>"), shape("array<map<string,string>>"), shape("map<string,string>")
 
     def nested(k: Column) -> Column:
-        value = F.from_json(record, "map<string,string>")[k]
-        items = F.from_json(value, "array<string>")
-        inner = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array(F.lit("")))))
-        there = F.transform(inner, lambda n: F.when(n == "", F.concat(k, F.lit("[]"))).otherwise(F.concat(k, F.lit("[]."), n)))
-        return F.when(value.startswith("[") & (F.size(there) > 0), there).otherwise(F.array(k))
-
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(keys, nested)))), "\n"), 256)
-
-
-def canonical_turns(record: Column) -> Column:
-    """The turns of a JSON record by the mapping that its fingerprint selects, or null if there is none."""
-    wide, mark, out = F.from_json(record, _WIDE), fingerprint(record), F.lit(None).cast(_TURNS)
-    named = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    for names, (kind, *how) in MAPPINGS.items():
-        if kind == "list":
-            field, role, text = how
-            turns = F.transform(wide[field], lambda m: F.struct(F.coalesce(named[m[role]], m[role]).alias("role"), m[text].alias("text")))  # noqa: B023
+        out = F.array(k)
+        for n in (*LISTS, *TEXTS):
+            fields = lambda m, dot: F.transform(F.map_keys(m), lambda x: F.concat(F.lit(f"{n}{dot}"), x))  # noqa: B023, E731
+            out = F.when(
+                k == n,
+                F.when(F.size(objects[n]) > 0, fields(objects[n], "."))
+                .when(F.size(items[n]) > 0, F.flatten(F.transform(F.filter(items[n], lambda m: m.isNotNull()), lambda m: fields(m, "[]."))))  # noqa: B023
+                .when(lists[n].isNotNull(), F.array(F.lit(f"{n}[]")))
+                .otherwise(F.array(k)),
+            ).otherwise(out)
+        return out
+
+    return _hashed(F.flatten(F.transform(keys, nested)))
+
+
+def with_turns(df: DataFrame, record: str, turns: str = "turns", mark: str = "fingerprint") -> DataFrame:
+    """``df`` with the fingerprint of the column ``record`` (struct or JSON string) and the turns by the mapping that it
+    selects, null if there is none."""
+    kind = df.schema[record].dataType
+    typed = isinstance(kind, T.StructType)
+    df = df.withColumn(mark, fingerprint(F.col(record), kind if typed else None))
+    wide = "__c_wide" if not typed else record
+    df = df if typed else df.withColumn(wide, F.from_json(record, WIDE, _JSON))
+    has = {f.name: f.dataType for f in (kind if typed else WIDE).fields}
+    named, out = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair]), F.lit(None).cast(_TURNS)
+    for names, (layout, *how) in MAPPINGS.items():
+        if layout == "list":
+            field, role, text, own = how
+            if field not in has or not {role, text} <= set(getattr(getattr(has[field], "elementType", None), "names", ())):
+                continue
+            said = lambda m: F.coalesce(named[m[role]], m[role]) if own else m[role]  # noqa: B023, E731
+            found = F.transform(F.col(wide)[field], lambda m: F.struct(said(m).alias("role"), m[text].alias("text")))  # noqa: B023
         else:
-            said = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[wide[n] for n in fields]), lambda x: x != ""), "\n").alias("text")) for role, fields in how[0]]
-            turns = F.array(*said)
-        out = F.when(mark == fingerprint_of(list(names)), turns.cast(_TURNS)).otherwise(out)
-    return out
+            if not {n for _, fields in how[0] for n in fields} <= set(has):
+                continue
+            found = F.array(*[F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[F.col(wide)[n] for n in fields]), lambda x: x != ""), "\n").alias("text")) for role, fields in how[0]])
+        out = F.when(F.col(mark) == fingerprint_of(list(names)), found.cast(_TURNS)).otherwise(out)
+    return df.withColumn(turns, out).drop("__c_wide")
 
 
 def _role(role: Column) -> Column:
@@ -135,8 +178,8 @@ def format_rows(rows: DataFrame) -> DataFrame:
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("chunk", F.floor(F.col("turn") / CHUNK))
     part = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    record = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")))
-    part = part.select("conv_id", "chunk", record.alias("record")).select("conv_id", "chunk", formatted(canonical_turns(F.col("record"))).alias("part"))
+    part = part.select("conv_id", "chunk", F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")).alias("record"))
+    part = with_turns(part, "record").select("conv_id", "chunk", formatted(F.col("turns")).alias("part"))
     whole = part.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
     return whole.select("conv_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("formatted"))
 

@@ -585,15 +585,44 @@ def test_fingerprints_select_mappings(spark):
         '{"unknown": 1}',
         "no json",
         None,
+        # Texts that look like lists or objects are texts; lists and objects are none.
+        '{"prompt": "[1, 2, 3]", "completion": "{\\"x\\": 1}"}',
+        '{"instruction": "sort [{\\"x\\":1}]", "output": "[\\"a\\",\\"b\\"]"}',
+        '{"prompt": ["a"], "completion": "b"}',
+        '{"prompt": {"x": "a"}, "completion": "b"}',
+        '{"messages": "[{\\"role\\": \\"user\\", \\"content\\": \\"a\\"}]"}',
+        '{"messages": [{"role": "human", "content": "a", "name": "x"}]}',
+        '{"messages": [{"role": "human", "content": "a"}]}',
+        '{"prompt": "a", "completion": "b", "id": 7}',
     ]
-    df = spark.createDataFrame([(k, x) for k, x in enumerate(records)], "k long, record string").select("k", chat_format.canonical_turns(F.col("record")).alias("t"), chat_format.fingerprint(F.col("record")).alias("f"))
+    df = chat_format.with_turns(spark.createDataFrame([(k, x) for k, x in enumerate(records)], "k long, record string"), "record", "t", "f")
     got = {r.k: r.t and [tuple(x) for x in r.t] for r in df.collect()}
     plain = [("user", "a"), ("assistant", "b")]
     assert [got[k] for k in range(8)] == [plain, plain, plain, plain, [("user", "a\nx"), ("assistant", "b")], None, None, None]
+    assert got[8] == [("user", "[1, 2, 3]"), ("assistant", '{"x": 1}')] and got[9] == [("user", 'sort [{"x":1}]'), ("assistant", '["a","b"]')]
+    assert [got[k] for k in range(10, 16)] == [None, None, None, None, [("human", "a")], None]
+    assert df.where("k in (10, 11, 12, 13, 15)").select("f").distinct().count() == 5
     from pyspark.sql import types as T
 
     schema = T._parse_datatype_string("messages array<struct<role:string,content:string>>")
     assert df.where("k = 0").first().f == chat_format.fingerprint_of(chat_format.paths(schema))
+    typed = spark.createDataFrame([(None, "a", "b", None), ([("user", "x")], None, None, None), (None, "a", None, "z")], "messages array<struct<role:string,content:string>>, prompt string, completion string, other string")
+    rows = chat_format.with_turns(typed.select(F.struct("*").alias("record")), "record").collect()
+    assert [r.turns and [tuple(x) for x in r.turns] for r in rows] == [plain, [("user", "x")], None]
+    assert rows[0].fingerprint == df.where("k = 2").first().f and rows[1].fingerprint == df.where("k = 0").first().f
+
+
+def test_very_long_and_repeated_turns(spark):
+    long = "a" * 21_000_000
+    rows = [(1, 0, "user", "[1, 2]"), (1, 1, "assistant", long), (2, None, "assistant", "x"), (2, None, "assistant", "x"), (2, 3, "bot", None), (None, 0, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.formatted_conversations(df).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+    assert got[1].turns_sha256 == hashlib.sha256(f"user\n[1, 2]\nassistant\n{long}\n".encode()).hexdigest()
+    assert got[2].turns_sha256 == hashlib.sha256(b"assistant\nx\nassistant\nx\nbot\n\n").hexdigest() and got[2].loss_chars == 2
+    assert got[None].n_turns == 1
+    json = spark.createDataFrame([('{"prompt": "a", "completion": "' + long + '"}',)], "record string")
+    assert chat_format.with_turns(json, "record").select(F.length(F.col("turns")[1]["text"]).alias("n")).first().n == len(long)
 
 
 # The pipeline
