@@ -8,11 +8,13 @@ is missed with probability (1 - 0.85**5)**20 = 8e-6. Candidates whose joint maxi
 counts of larger, smaller and equal registers, and the set sizes) is more than five standard errors under the
 threshold go; the others are confirmed on the full sets: 100 * intersection >= threshold * union.
 
-Documents with the same words in the same order are one node from the start, the one with the smallest doc_id. In a
+Documents with the same words in the same order are one node from the start, with a number of its own; its text is that of
+the row with the smallest doc_id. In a
 bucket of many nodes not all pairs are compared. First every node is confirmed or refuted against the bucket's centre,
 the node that meets most others over all buckets, and what is linked is joined into components. A bucket within one
 component is done, as further links in it change nothing. In the others the nodes outside the centre's component are compared
-with all nodes of those buckets, by blocks and through an index of the block's shingles, so that pairs never become rows.
+with all nodes of those buckets, blocks of one side with slices of the other and through an index of the block's
+shingles, so that pairs never become rows and a task's unit is bounded whatever a group's size.
 Before that, nodes go that cannot be linked at all: the shingles that a node shares with any other bound the size of the
 sets it can be linked with. So every candidate pair is confirmed, refuted, impossible, or inside a component.
 
@@ -20,8 +22,10 @@ A centre with many members is compared with them in groups of ``MEMBERS``, its t
 
 Edge cases: null and empty texts and texts without words have an empty set and are linked with nothing; texts with
 fewer words than a shingle are one shingle; equal rows are linked and kept alike; a null doc_id is linked like any other
-but never names a component that has an id; an empty table gives an empty result; other columns are ignored. Texts under
-one doc_id must be equal.
+but never names a component that has an id (a component without ids has a null name, and of its rows those with its first
+text are kept); rows of one doc_id with different texts are documents of their own, each in the component of its text; an
+empty table gives an empty result; other columns are ignored. Where ``kept_documents`` meets equal rows of a document that
+stays, one stays. Names that start with ``__d_`` are reserved.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ REGISTERS = BANDS * ROWS
 BASE, A = 1.001, 20.0
 ERRORS = 5.0  # standard errors of the estimate
 MEMBERS = 200
-BLOCK = 500
+BLOCK, SLICE = 250, 500
 
 _FACTOR = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _SHIFT = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
@@ -86,27 +90,38 @@ def likely_similarity(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray
     return (low + high) / 2
 
 
-_SKETCH = "doc_id long, n_shingles long, digest binary, sketch binary"
+_KEY = ("doc_id", "h", "len")
+_SKETCH = "doc_id long, h long, len int, n_shingles long, digest binary, sketch binary"
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, and hash and length of the text, which tell rows of one doc_id apart."""
+    x = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), x.alias("text"), F.xxhash64(F.coalesce(x, F.lit(""))).alias("h"), F.length(F.coalesce(x, F.lit(""))).alias("len"))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h")) & (F.col(f"{a}.len") == F.col(f"{b}.len"))
 
 
 def _sketcher(width: int):
     def sketch(batches):
         for batch in batches:
             n, digest, sketches = [], [], []
-            for x in batch.column(1):
+            for x in batch.column("text"):
                 data = lower_ascii(x.as_py())
                 values = np.unique(shingles(hash_words(data), width))
                 n.append(len(values))
                 digest.append(hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest())
                 sketches.append(registers(values).tobytes() if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in _KEY), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketches, pa.binary())], [*_KEY, "n_shingles", "digest", "sketch"])
 
     return sketch
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the word sequence, sketch (null for an empty set)."""
-    return docs.mapInArrow(frugal(_sketcher(width)), _SKETCH)
+def sketches(rows: DataFrame, width: int) -> DataFrame:
+    """The key, n_shingles, digest of the word sequence and sketch (null for an empty set) of ``keyed`` rows."""
+    return rows.mapInArrow(frugal(_sketcher(width)), _SKETCH)
 
 
 def _probable(threshold: float):
@@ -234,8 +249,8 @@ def linked_components(nodes: DataFrame, texts_of, width: int, percent: int) -> D
 
 
 def _searcher(width: int, percent: int):
-    """Rows come by group and block, the block's own nodes first: these are indexed by shingle, and every other node of
-    the group gets its intersections with all of them from the index at once."""
+    """Rows come by group, block and slice, the block's own nodes first: these are indexed by shingle, and every node of
+    the slice gets its intersections with all of them from the index at once."""
 
     def search(batches):
         at, own, index, root = None, [], None, {}
@@ -247,8 +262,8 @@ def _searcher(width: int, percent: int):
 
         for batch in batches:
             found = []
-            for g, block, part, node, component, text in zip(*(batch.column(k) for k in range(6))):
-                key, node, component = (g.as_py(), block.as_py()), node.as_py(), component.as_py()
+            for g, block, piece, part, node, component, text in zip(*(batch.column(k) for k in range(7))):
+                key, node, component = (g.as_py(), block.as_py(), piece.as_py()), node.as_py(), component.as_py()
                 if key != at:
                     at, own, index, root = key, [], None, {}
                 values = shingle_set(text.as_py(), width)
@@ -279,13 +294,16 @@ def _searcher(width: int, percent: int):
 
 def compared(group: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that join components, from groups (g, node, component): the nodes outside component g, in blocks of
-    ``BLOCK``, against all nodes of the group. Pairs are counted inside a block's task and never become rows."""
-    outside = group.filter("component <> g")
-    blocks = outside.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = outside.join(blocks, "g").select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("part"), "node", "component")
-    others = group.join(blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("part"), "node", "component")
-    rows = own.unionByName(others).join(texts, "node").select("g", "block", "part", "node", "component", "text")
-    rows = rows.repartition("g", "block").sortWithinPartitions("g", "block", "part")
+    about ``BLOCK``, against all nodes of the group, in slices of about ``SLICE``. Pairs are counted inside a task, a block
+    against a slice, and never become rows."""
+    outside = F.col("component") != F.col("g")
+    size = group.groupBy("g").agg(F.ceil(F.sum(outside.cast("int")) / BLOCK).alias("blocks"), F.ceil(F.count("*") / SLICE).alias("slices")).filter("blocks > 0")
+    dealt = group.join(size, "g").withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")), "slice": F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices"))})
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = dealt.filter(outside).select("g", "block", each("slices").alias("slice"), F.lit(0).alias("part"), "node", "component")
+    others = dealt.select("g", each("blocks").alias("block"), "slice", F.lit(1).alias("part"), "node", "component")
+    rows = own.unionByName(others).join(texts, "node").select("g", "block", "slice", "part", "node", "component", "text")
+    rows = rows.repartition("g", "block", "slice").sortWithinPartitions("g", "block", "slice", "part")
     return rows.mapInArrow(frugal(_searcher(width, percent)), "a long, b long")
 
 
@@ -293,22 +311,48 @@ def _labels(nodes: DataFrame, joined: DataFrame) -> DataFrame:
     return nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def classified(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Of every row the key (doc_id, h, len), n_shingles, component_id and ``first``, whether its key is the component's
+    first: the smallest doc_id, then hash and length of the text."""
+    rows = keyed(docs, doc_id, text)
+    sketched = written(sketches(rows, width), "sketches")
+    order = F.struct(F.isnull("doc_id").alias("n"), *_KEY)
+    nodes = sketched.filter("n_shingles > 0").groupBy("digest").agg(F.min(order).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    # Numbers that hold once the table is written.
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = nodes.select("node", *[F.col(f"rep.{k}").alias(k) for k in _KEY])
+    texts_of = lambda wanted: rows.alias("r").join(keys.join(wanted, "node", "left_semi").alias("k"), _same("r", "k")).select("k.node", "r.text").dropDuplicates(["node"])
+    labels = linked_components(nodes.select("node", "n_shingles", "sketch"), texts_of, width, percent)
+    placed = written(nodes.select("digest", "node", "rep").join(labels, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component")), "placed")
+    firsts = placed.groupBy("component").agg(F.min("rep").alias("rep"))
+    classes = written(placed.select("digest", "component").join(firsts, "component").select("digest", "rep"), "classes")
+    out = sketched.drop("sketch").join(classes, "digest", "left").drop("digest")
+    is_first = F.isnull("rep") | (F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("h") == F.col("rep.h")) & (F.col("len") == F.col("rep.len")))
+    component = F.when(F.col("n_shingles") > 0, F.col("rep.doc_id")).otherwise(F.col("doc_id"))
+    return out.select(*_KEY, "n_shingles", component.alias("component_id"), is_first.alias("first"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (whether it is that one)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketched = written(sketches(rows, width), "sketches")
-    full = sketched.filter("n_shingles > 0")
-    nodes = full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes, "nodes")
-    texts_of = lambda wanted: rows.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    labels = linked_components(nodes.filter("node IS NOT NULL").select("node", "n_shingles", "sketch"), texts_of, width, percent)
-    classes = written(nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "classes")
-    out = sketched.join(classes, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = classified(docs, doc_id, text, width, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first") & F.col("component_id").isNull()).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each group, whole and with their columns as they were."""
-    gone = near_duplicates(docs, doc_id, text, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(written(gone, "gone"), doc_id, "left_anti")
+    """The documents that stay, one of each group, whole and with their columns as they were. Documents without words are
+    linked with nothing; equal rows of them are one document."""
+    columns = docs.columns
+    rows = classified(docs, doc_id, text, width, percent).groupBy(*_KEY).agg(F.first("first").alias("first"), F.count("*").alias("n"))
+    rows = written(rows.filter("NOT first OR n > 1"), "gone")
+    own = docs.withColumns({"__d_doc_id": F.col(doc_id).cast("long"), "__d_h": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))), "__d_len": F.length(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    kept = _without(own, rows, "left_anti").select(*columns)
+    again = rows.filter("first")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(_without(own, again, "left_semi").dropDuplicates([f"__d_{k}" for k in _KEY]).select(*columns))
+
+
+def _without(own: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``own`` by whether their key (``__d_*``) is among those of ``rows``."""
+    r = rows.select(*[F.col(k).alias(f"__r_{k}") for k in _KEY])
+    return own.join(r, F.col("__d_doc_id").eqNullSafe(F.col("__r_doc_id")) & (F.col("__d_h") == F.col("__r_h")) & (F.col("__d_len") == F.col("__r_len")), how)

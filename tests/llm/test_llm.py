@@ -496,6 +496,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_are_linked(spark):
+    a, b = prose(31, 200), prose(32, 200)
+    rows = [(5, a, 1), (None, edited(a, 1, 1), 2), (7, prose(33, 40), 3), (7, b, 4), (9, edited(b, 1, 2), 5), (9, edited(b, 1, 2), 5), (None, prose(34, 30), 6), (None, prose(34, 30).upper(), 7), (3, None, 8), (3, None, 8), (None, "", 9), (8, "\n ", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = Counter((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {(5, True, 5, True): 1, (None, True, 5, False): 1, (7, True, 7, True): 2, (9, True, 7, False): 2, (None, True, None, True): 1, (None, True, None, False): 1, (3, False, 3, True): 2, (None, False, None, True): 1, (8, False, 8, True): 1}
+    kept = near_dedup.kept_documents(docs)
+    assert kept.schema == docs.schema
+    left = [r.component_id for r in kept.collect()]
+    assert len({6, 7} & set(left)) == 1 and sorted(set(left) - {6, 7}) == [1, 3, 4, 8, 9, 10] and len(left) == 7
+
+
+def test_blocks_and_slices_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "SLICE", 4)
+    base = prose(41, 60)
+    texts = [edited(base, k % 14, 50 + k) for k in range(70)]
+    got = near_dedup.near_duplicates(documents(spark, texts), width=3, percent=70).collect()
+    expected = brute_components(texts, 3, 70)
+    assert sorted(map(tuple, got)) == expected and len({c for _, _, c, _ in expected}) > 3
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(0)
     for j in (0.5, 0.85):
