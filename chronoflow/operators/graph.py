@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.functions.hashing import hash_key
-from chronoflow.sources.shared import cut
+from chronoflow.sources.shared import cut, drop
 
 
 def snowball(edges: DataFrame, seed: str, max_nodes: int = 100_000, per_node: int = 50, rng_seed: int = 0) -> DataFrame:
@@ -33,7 +33,9 @@ def snowball(edges: DataFrame, seed: str, max_nodes: int = 100_000, per_node: in
         if not added:
             warnings.warn(f"the graph around {seed} is exhausted at {size} nodes", stacklevel=2)
             break
+        old = (nodes, frontier)
         nodes, frontier, size = cut(nodes.unionByName(new)), new, size + added
+        drop(*old)
     return nodes
 
 
@@ -58,17 +60,21 @@ def degree(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component, the smallest node it is connected with. Each round sends a node to its smallest neighbour's
     smallest neighbour and takes the edges along, until none joins two nodes."""
-    e = cut(edges.select(F.col("s").alias("a"), F.col("d").alias("b")).distinct())
-    labels = cut(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("component", F.col("node")))
-    e = cut(e.where("a <> b"))
+    all_ = cut(edges.select(F.col("s").alias("a"), F.col("d").alias("b")).distinct())
+    labels = cut(all_.select(F.col("a").alias("node")).union(all_.select("b")).distinct().withColumn("component", F.col("node")))
+    e = cut(all_.where("a <> b"))
+    drop(all_)
     while not e.isEmpty():
-        hook = e.union(e.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
-        hook = cut(hook.select(F.col("a").alias("from"), "to"))
-        far = hook.select(F.col("from").alias("to"), F.col("to").alias("next"))
-        hook = cut(hook.join(far, "to", "left").select("from", F.coalesce("next", "to").alias("to")))
+        near = e.union(e.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
+        near = cut(near.select(F.col("a").alias("from"), "to"))
+        far = near.select(F.col("from").alias("to"), F.col("to").alias("next"))
+        hook = cut(near.join(far, "to", "left").select("from", F.coalesce("next", "to").alias("to")))
+        old = (labels, e, near, hook)
         labels = cut(labels.join(hook, labels["component"] == hook["from"], "left").select("node", F.coalesce("to", "component").alias("component")))
         a, b = hook.select(F.col("from").alias("a"), F.col("to").alias("x")), hook.select(F.col("from").alias("b"), F.col("to").alias("y"))
         e = cut(e.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        drop(*old)
+    drop(e)
     return labels
 
 
@@ -77,5 +83,3 @@ def coverage(events: DataFrame) -> DataFrame:
     n = events.groupBy(F.to_date("ts").alias("dt")).agg(F.count("*").alias("n"))
     days = n.agg(F.explode(F.sequence(F.min("dt"), F.max("dt"))).alias("dt"))
     return days.join(n, "dt", "left").select("dt", F.coalesce("n", F.lit(0)).alias("n"))
-
-

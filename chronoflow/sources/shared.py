@@ -8,19 +8,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_folder(spark: SparkSession, name: str = "cut") -> str:
-    """A folder that no earlier job has used, in the cluster's checkpoint folder. Only where the cluster names none
-    (tests) a temporary one is set."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Only on one machine (tests) a temporary one is made
+    and set where there is none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="chronoflow-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut_folder(spark: SparkSession, name: str = "cut") -> str:
+    """A folder in the shared one that no earlier job has used."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """The rows written in the shared folder and read again. The plan of a loop does not grow, what is used several times
     is computed once, and a lost executor costs no recomputation."""
-    path = cut_folder(df.sparkSession)
+    path = cut_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_folder"] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``cut`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        if path := df.__dict__.get("_cut_folder"):
+            drop_folder(df.sparkSession, path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
