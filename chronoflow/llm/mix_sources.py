@@ -7,7 +7,8 @@ by weight among the others (the level at which all of it is dealt out is found i
 The rate of a document is the one nearest to 1 in relative entropy under the constraint that its source's words sum to
 the target: ``exp(lambda * size / mean size of the source)``, at most ``limit``. The dual is convex; its derivative
 and curvature in each source's lambda are sums over (source, size) classes, counted once over all documents, and Newton
-steps (halving a bracket where a step would leave it) solve it for all sources at once.
+steps (halving a bracket where a step would leave it) solve it for all sources at once; if they do not within ``STEPS``
+steps, that is an error.
 
 Rates become copies by classes: of n equal-sized documents with rate r, round(n * r) copies are taken, and what rounding
 leaves of a source's words is repaid through the class that meets it most closely. Within a class the copies are
@@ -23,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.llm.quality_lines import words_of
-from chronoflow.llm.store import written
+from chronoflow.llm.store import dropped, written
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
-STEPS, CLOSE = 30, 1e-7
+STEPS, CLOSE = 100, 1e-7
 GROUP = 1000
 
 
@@ -52,6 +53,7 @@ def multipliers(classes: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> Da
     state = written(state, "dual")
     joined = lambda s: classes.join(s, classes["__m_source"].eqNullSafe(s["__m_source"])).drop(s["__m_source"])
     for _ in range(STEPS):
+        old = state
         rate = F.least(F.lit(float(limit)), F.exp(F.least(F.col("x") * F.col("z"), F.lit(50.0))))
         words = F.col("__m_n") * F.col("__m_size") * rate
         sums = joined(state).groupBy("__m_source").agg(F.sum(words).alias("f"), F.sum(F.when(rate < limit, words * F.col("z")).otherwise(0.0)).alias("df"))
@@ -63,9 +65,12 @@ def multipliers(classes: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> Da
         # Far ends of the bracket are approached by doubling.
         half = F.when(F.col("hi") == 1e6, F.greatest(2 * F.abs("x"), F.lit(1.0))).when(F.col("lo") == -1e6, -F.greatest(2 * F.abs("x"), F.lit(1.0))).otherwise((F.col("lo") + F.col("hi")) / 2)
         state = state.withColumn("step", F.when((step > F.col("lo")) & (step < F.col("hi")) & (F.abs(step) < 1e5), step).otherwise(half))
-        state = written(state.select("__m_source", "__m_target", F.when(F.col("done"), F.col("x")).otherwise(F.col("step")).alias("x"), "lo", "hi", "done"), "dual")
+        last, state = old, written(state.select("__m_source", "__m_target", F.when(F.col("done"), F.col("x")).otherwise(F.col("step")).alias("x"), "lo", "hi", "done"), "dual")
+        dropped(last)
         if state.filter("NOT done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"no multipliers within {STEPS} steps")
     return state.select("__m_source", F.col("x").alias("__m_lambda"))
 
 
@@ -78,6 +83,7 @@ def class_copies(classes: DataFrame, wanted: DataFrame, lambdas: DataFrame, limi
     c = c.join(lambdas, c["__m_source"].eqNullSafe(lambdas["__m_source"]), "left").drop(lambdas["__m_source"])
     c = written(c.withColumn("__m_copies", F.round(F.col("__m_n") * rate).cast("long")).select("__m_source", "__m_size", "__m_n", "__m_target", "__m_copies"), "classes")
     for _ in range(3):
+        old = c
         left = c.groupBy("__m_source").agg((F.max("__m_target") - F.sum(F.col("__m_copies") * F.col("__m_size"))).alias("left"))
         near = c.join(left, c["__m_source"].eqNullSafe(left["__m_source"])).drop(left["__m_source"]).filter("__m_size > 0")
         move = F.greatest(-F.col("__m_copies"), F.least(limit * F.col("__m_n") - F.col("__m_copies"), F.round(F.col("left") / F.col("__m_size")).cast("long")))
@@ -85,7 +91,8 @@ def class_copies(classes: DataFrame, wanted: DataFrame, lambdas: DataFrame, limi
         best = near.groupBy("__m_source").agg(F.min(F.struct(F.abs(F.col("left") - F.col("move") * F.col("__m_size")).alias("miss"), F.abs("move").alias("moves"), "__m_size", "move")).alias("best"))
         hit = F.col("c.__m_source").eqNullSafe(F.col("b.__m_source")) & (F.col("c.__m_size") == F.col("b.best.__m_size"))
         c = c.alias("c").join(best.alias("b"), hit, "left").select("c.__m_source", "c.__m_size", "c.__m_n", "c.__m_target", (F.col("c.__m_copies") + F.coalesce("b.best.move", F.lit(0))).alias("__m_copies"))
-        c = written(c, "classes")
+        last, c = old, written(c, "classes")
+        dropped(last)
     return c.drop("__m_target")
 
 

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronoflow.llm.store import written
+from chronoflow.llm.store import dropped, written
 from chronoflow.llm.textkit import U64, frugal, hash_words, lower_ascii, mix64, shingles
 
 BANDS, ROWS = 20, 5
@@ -186,9 +186,12 @@ def components(edges: DataFrame) -> DataFrame:
         hook = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "from"), "hook")
         jump = hook.alias("x").join(hook.select(F.col("from").alias("to"), F.col("to").alias("next")).alias("y"), "to", "left").select("from", F.coalesce("next", "to").alias("to"))
         jump = written(jump, "jump")
+        old = (labels, edges, hook, jump)
         labels = written(labels.join(jump, labels["component"] == jump["from"], "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         a, b = jump.select(F.col("from").alias("a"), F.col("to").alias("c")), jump.select(F.col("from").alias("b"), F.col("to").alias("d"))
         edges = written(edges.join(a, "a").join(b, "b").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).filter("a <> b").distinct(), "edges")
+        dropped(*old)
+    dropped(edges)
     return labels
 
 
@@ -223,14 +226,16 @@ def linked_components(nodes: DataFrame, texts_of, width: int, percent: int) -> D
     the texts (node, text) of a table of nodes."""
     rows = written(nodes.select("node", F.explode(F.array(*[_band(k) for k in range(BANDS)])).alias("bucket")), "bands")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(rows.join(shared, "bucket"), "members")
+    met_rows = written(rows.join(shared, "bucket"), "members")
+    dropped(rows)
     # How many others a node meets over all its buckets: the one that most others are close to makes the best centre.
-    met = written(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    met = written(met_rows.groupBy("node").agg(F.sum("n").alias("met")), "met")
     texts = written(texts_of(met.select("node")), "texts")
     sketched = written(nodes.join(met.select("node"), "node", "left_semi"), "nodes")
     centre = F.min(F.struct((-F.col("met")).alias("o"), F.col("node").alias("centre"))).alias("c")
-    centres = members.join(met, "node").groupBy("bucket").agg(centre).select("bucket", "c.centre")
-    members = written(members.join(centres, "bucket").select("bucket", "node", "centre"), "members")
+    centres = met_rows.join(met, "node").groupBy("bucket").agg(centre).select("bucket", "c.centre")
+    members = written(met_rows.join(centres, "bucket").select("bucket", "node", "centre"), "members")
+    dropped(met_rows)
     pairs = written(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = written(confirmed(pairs, sketched, texts, width, percent), "links")
     labels = written(_labels(met, components(links)), "labels")
@@ -239,13 +244,19 @@ def linked_components(nodes: DataFrame, texts_of, width: int, percent: int) -> D
     inside = F.first(F.when(F.col("node") == F.col("centre"), F.col("component")), ignorenulls=True).alias("inside")
     open_ = placed.groupBy("bucket").agg(inside, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     placed = written(placed.join(open_.select("bucket", "inside"), "bucket").select("bucket", "node", "component", "inside"), "open")
+    dropped(members, pairs)
     if placed.isEmpty():
+        dropped(placed, links, texts, sketched)
         return labels
     near = sketched.join(placed.select("node").distinct(), "node", "left_semi").select("node", "n_shingles")
     able = written(reaches(near, texts, width, percent).select("node"), "reaches")
     group = written(placed.select(F.col("inside").alias("g"), "node", "component").distinct().join(able, "node"), "groups")
     more = written(compared(group, texts, width, percent), "links")
-    return labels if more.isEmpty() else _labels(met, components(links.unionByName(more)))
+    if not more.isEmpty():
+        old, labels = labels, written(_labels(met, components(links.unionByName(more))), "labels")
+        dropped(old)
+    dropped(placed, links, texts, sketched, able, group, more)
+    return labels
 
 
 def _searcher(width: int, percent: int):
@@ -326,6 +337,7 @@ def classified(docs: DataFrame, doc_id: str, text: str, width: int, percent: int
     placed = written(nodes.select("digest", "node", "rep").join(labels, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component")), "placed")
     firsts = placed.groupBy("component").agg(F.min("rep").alias("rep"))
     classes = written(placed.select("digest", "component").join(firsts, "component").select("digest", "rep"), "classes")
+    dropped(nodes, labels, placed)
     out = sketched.drop("sketch").join(classes, "digest", "left").drop("digest")
     is_first = F.isnull("rep") | (F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("h") == F.col("rep.h")) & (F.col("len") == F.col("rep.len")))
     component = F.when(F.col("n_shingles") > 0, F.col("rep.doc_id")).otherwise(F.col("doc_id"))

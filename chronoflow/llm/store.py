@@ -1,40 +1,19 @@
 """Files in the folder that all executors share.
 
-The cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is absent (tests on one
-machine) a temporary folder is made and set. Files are opened through ``pyarrow.fs``, so any scheme that
-pyarrow knows (file, hdfs, s3, gs, abfs) works from executors.
+The folder and its tables are those of ``chronoflow.sources.shared``. Files are opened through ``pyarrow.fs``, so any scheme
+that pyarrow knows (file, hdfs, s3, gs, abfs) works from executors.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
 
+from chronoflow.sources.shared import cut as written, cut_folder as fresh_folder, drop as dropped, drop_folder as dropped_folder
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session, as a URI."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="chronoflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """The URI of a folder that no earlier job has used."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: its lineage ends here and the loss of an
-    executor costs no recomputation."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["Output", "dropped", "dropped_folder", "fresh_folder", "open_fs", "open_input", "written"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
