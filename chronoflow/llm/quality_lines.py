@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronoflow.llm.store import written
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -89,43 +91,52 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     return gone.groupBy(*_KEY).agg(F.sum("__q_w").alias("__q_gone"), F.sort_array(F.collect_list("__q_at")).alias("__q_cut"))
 
 
-def _judged(docs: DataFrame, doc_id: str, text: str, host: str, max_docs: int, min_left: float, min_words: int) -> DataFrame:
-    """``docs`` with the base counts, words_left, kept and ``__q_cut``."""
-    gone = removed_lines(docs, doc_id, text, host, max_docs)
-    rest = _keyed(with_base_counts(docs, text), doc_id, text, host)
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in _KEY]
-    out = rest.alias("a").join(gone.alias("b"), same, "left").select("a.*", F.coalesce("b.__q_gone", F.lit(0)).alias("__q_gone"), F.col("b.__q_cut").alias("__q_cut"))
+def _judged(keyed: DataFrame, gone: DataFrame, text: str, min_left: float, min_words: int) -> DataFrame:
+    """``_keyed`` documents with the base counts, words_left and kept."""
+    out = _joined(with_base_counts(keyed, text), gone, "left").select("a.*", F.coalesce("b.__q_gone", F.lit(0)).alias("__q_gone"))
     left = F.col("n_words") - F.col("__q_gone")
     depleted = (F.col("__q_gone") > 0) & ((left < min_left * F.col("n_words")) | (left < min_words))
-    return out.withColumns({"words_left": left, "kept": ~F.col("base_failed") & ~depleted}).drop(*_KEY, "__q_gone")
+    return out.withColumns({"words_left": left, "kept": ~F.col("base_failed") & ~depleted}).drop("__q_gone")
+
+
+def _joined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in _KEY]
+    return a.alias("a").join(b.alias("b"), same, how)
 
 
 def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 10, min_left: float = 0.2, min_words: int = 10) -> DataFrame:
     """``docs`` without its text, with the base counts, words_left (long) and kept."""
-    return _judged(docs, doc_id, text, host, max_docs, min_left, min_words).drop(text, "__q_cut")
+    gone = removed_lines(docs, doc_id, text, host, max_docs)
+    return _judged(_keyed(docs, doc_id, text, host), gone, text, min_left, min_words).drop(text, *_KEY)
 
 
 def without_lines(text: Column, cut: Column) -> Column:
     """The text without the lines at the places ``cut`` (ascending, from 0): the stretches between them, joined."""
-    lines = F.split(text, "\n")
     after = lambda i: F.when(i == 0, 0).otherwise(F.get(cut, i - 1) + 1)
-    stretch = lambda at, end: F.when(end > at, F.slice(lines, at + 1, end - at)).otherwise(F.array().cast("array<string>"))
-    between = F.transform(cut, lambda end, i: stretch(after(i), end))
-    return F.array_join(F.concat(F.flatten(between), stretch(F.element_at(cut, -1) + 1, F.size(lines))), "\n")
+
+    def rest(lines: Column) -> Column:
+        stretch = lambda at, end: F.when(end > at, F.slice(lines, at + 1, end - at)).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(F.flatten(F.transform(cut, lambda end, i: stretch(after(i), end))), stretch(F.element_at(cut, -1) + 1, F.size(lines))), "\n")
+
+    # An array of one element, so that the text is split once and not once a line.
+    return F.transform(F.array(F.split(text, "\n")), rest)[0]
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", max_docs: int = 10, min_left: float = 0.2, min_words: int = 10) -> DataFrame:
     """The documents that the rules keep, without the lines that are removed; a column ``n_chars``, if there is one,
     counts what is left of a text that lost lines. The other columns are as they were."""
-    columns = docs.columns
-    own = docs.select(F.struct(*columns).alias("__q_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("source"))
-    kept = _judged(own, "doc_id", "text", "source", max_docs, min_left, min_words).filter("kept")
+    columns, keyed = docs.columns, _keyed(docs, doc_id, text, host)
+    gone = written(removed_lines(docs, doc_id, text, host, max_docs), "gone")
+    probe = keyed.select(F.col(text).alias("text"), *_KEY)
+    rejected = _judged(probe, gone, "text", min_left, min_words).filter(~F.col("kept")).select(*_KEY).distinct()
+    kept = _joined(keyed, written(rejected, "rejected"), "left_anti")
+    kept = _joined(kept, gone, "left").select("a.*", F.col("b.__q_cut").alias("__q_cut"))
     shorter = F.col("__q_cut").isNotNull()
-    kept = kept.withColumn("__q_text", F.when(shorter, without_lines(F.col("text"), F.col("__q_cut"))).otherwise(F.col("text")))
+    kept = kept.withColumn("__q_text", F.when(shorter, without_lines(F.col(text), F.col("__q_cut"))).otherwise(F.col(text)))
     changed = {text: F.col("__q_text")}
     if n_chars in columns:
-        changed[n_chars] = F.when(shorter, F.length("__q_text").cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"__q_row.`{n_chars}`"))
-    return kept.select(*[changed.get(c, F.col(f"__q_row.`{c}`")).alias(c) for c in columns])
+        changed[n_chars] = F.when(shorter, F.length("__q_text").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+    return kept.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 QUERY_SQL = r"""
