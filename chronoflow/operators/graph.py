@@ -78,8 +78,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def coverage(events: DataFrame) -> DataFrame:
-    """Events of each day from the first to the last, 0 on days without: dt, n."""
-    n = events.groupBy(F.to_date("ts").alias("dt")).agg(F.count("*").alias("n"))
-    days = n.agg(F.explode(F.sequence(F.min("dt"), F.max("dt"))).alias("dt"))
-    return days.join(n, "dt", "left").select("dt", F.coalesce("n", F.lit(0)).alias("n"))
+def coverage(events: DataFrame, unit: str = "day") -> DataFrame:
+    """Events of each day (or other unit) from the first to the last, 0 where there are none: dt, n."""
+    at = F.to_date("ts") if unit == "day" else F.date_trunc(unit, "ts")
+    n = events.groupBy(at.alias("dt")).agg(F.count("*").alias("n"))
+    ticks = n.agg(F.explode(F.sequence(F.min("dt"), F.max("dt"), F.expr(f"INTERVAL 1 {unit}"))).alias("dt"))
+    return ticks.join(n, "dt", "left").select("dt", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def scatter_mean(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """node, n and the mean of each column over the edges at the node, a self-loop twice: partial means meet in one
+    shuffle."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), *columns)
+    return ends.groupBy("node").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])

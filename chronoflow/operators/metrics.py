@@ -89,10 +89,22 @@ def epoch_means(history: DataFrame) -> DataFrame:
     return history.groupBy("epoch").agg(F.avg("value").alias("value"), F.count("value").alias("seeds"))
 
 
-def seed_deltas(metrics: DataFrame, reference: str, model: str = "model") -> DataFrame:
-    """The difference of each model's value to that of the reference model with the same seed and metric."""
-    ref = metrics.where(F.col(model) == reference).select("seed", "metric", F.col("value").alias("_ref"))
-    return metrics.where(F.col(model) != reference).join(ref, ["seed", "metric"]).select(model, "seed", "metric", (F.col("value") - F.col("_ref")).alias("delta"))
+def seed_deltas(metrics: DataFrame, reference: DataFrame, model: str = "model") -> DataFrame:
+    """The difference of each model's value to that of the reference model (one row) with the same seed and metric."""
+    ref = metrics.join(F.broadcast(reference.select(model)), model, "left_semi").select("seed", "metric", F.col("value").alias("_ref"))
+    rest = metrics.join(F.broadcast(reference.select(model)), model, "left_anti")
+    return rest.join(ref, ["seed", "metric"]).select(model, "seed", "metric", (F.col("value") - F.col("_ref")).alias("delta"))
+
+
+def selected(history: DataFrame, patience: int) -> DataFrame:
+    """Of each seed's epochs (seed, epoch, value) up to where ``patience`` epochs brought nothing better: the best epoch
+    (the first of equals), its value, and the last epoch that ran."""
+    w = W.partitionBy("seed").orderBy("epoch")
+    best = F.max("value").over(w.rowsBetween(W.unboundedPreceding, -1))
+    h = history.withColumn("_since", F.when(best.isNull() | (F.col("value") > best), F.col("epoch")))
+    h = h.withColumn("_since", F.max("_since").over(w)).withColumn("_stop", F.min(F.when(F.col("epoch") - F.col("_since") >= patience, F.col("epoch"))).over(W.partitionBy("seed")))
+    h = h.where("_stop IS NULL OR epoch <= _stop")
+    return h.groupBy("seed").agg(F.max(F.struct("value", (-F.col("epoch")).alias("e"))).alias("m"), F.max("epoch").alias("last")).select("seed", (-F.col("m.e")).alias("epoch"), F.col("m.value").alias("value"), "last")
 
 
 def combined(mrr, ap):

@@ -3,8 +3,9 @@
 Every pool is a prefix or a tail of a list ordered by first appearance. A draw is a position in it, from the md5 of
 seed, strategy, clock, slot and attempt; draws meet the list by equality, positives of the clock go by anti-join, and
 what is left is taken in order of attempt and slot. Nothing sorts a pool per clock, and any engine with md5 draws the
-same. A pool not larger than ``EXACT`` times the need is taken whole, in hash order, so that padding means an
-exhausted pool and not unlucky draws. All draws are bounded: a slot that nothing fits stays empty.
+same. A pool not larger than ``EXACT`` times the need, or ``WHOLE``, is taken whole, in hash order, so that padding means
+an exhausted pool and not unlucky draws. Draws are bounded; a slot that they leave empty gets one exact draw among all
+that is allowed to it, by its place in the order of the nodes. Only a slot to which nothing is allowed stays empty.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from chronoflow.sources.shared import cut
 ATTEMPTS = 8
 DRAWS = 4
 EXACT = 4
+WHOLE = 256
 BATCH = 200
 STRATEGIES = ("historical", "inductive", "recurring")
 
@@ -32,22 +34,43 @@ def _first(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct("attempt", *[c for c in rest if c != "attempt"])).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in rest if c != "attempt"])
 
 
+def nth_allowed(n: Column, left_out: Column) -> Column:
+    """The n-th (from 0) whole number from 0 that is not among ``left_out``, distinct numbers from 0."""
+    return F.aggregate(F.sort_array(left_out), n.cast("long"), lambda at, x: F.when(x <= at, at + 1).otherwise(at))
+
+
 def uniform_targets(edges: DataFrame, n_nodes: DataFrame, seed: int, label: str = "train") -> DataFrame:
     """For each edge (event_idx, src, dst, day) a uniform node that is neither its source nor a target of it that
     day: event_idx, src, neg_dst, day. ``n_nodes`` is one row with that column."""
-    r = _attempts(edges.select("event_idx", "src", "day")).crossJoin(F.broadcast(n_nodes.select("n_nodes")))
+    slots, n = edges.select("event_idx", "src", "day"), F.broadcast(n_nodes.select("n_nodes"))
+    r = _attempts(slots).crossJoin(n)
     r = r.withColumn("neg_dst", hash_int(seed, label, F.col("event_idx"), F.col("attempt")) % F.col("n_nodes")).drop("n_nodes").where("neg_dst <> src")
     r = r.join(edges.select("src", F.col("dst").alias("neg_dst"), "day"), ["src", "neg_dst", "day"], "left_anti")
-    return _first(r, "event_idx", "src", "day").select("event_idx", "src", "neg_dst", "day")
-
-
-def unseen_pairs(slots: DataFrame, edges: DataFrame, n_nodes: DataFrame, seed: int, label: str = "legacy") -> DataFrame:
-    """For each slot (event_idx, day) a uniform pair of two nodes that never meet in the whole stream."""
-    r = _attempts(slots.select("event_idx", "day")).crossJoin(F.broadcast(n_nodes.select("n_nodes")))
-    draw = lambda side: hash_int(seed, label, side, F.col("event_idx"), F.col("attempt")) % F.col("n_nodes")
+    found = cut(_first(r, "event_idx", "src", "day").select("event_idx", "src", "neg_dst", "day"))
+    rest = slots.join(found, "event_idx", "left_anti").join(edges.select("src", "day", "dst"), ["src", "day"])
+    rest = rest.groupBy("event_idx", "src", "day").agg(F.collect_set("dst").alias("x")).withColumn("x", F.array_union("x", F.array("src"))).crossJoin(n)
+    rest = rest.withColumn("free", F.col("n_nodes") - F.size("x")).where("free > 0")
+    place = hash_int(seed, label, F.col("event_idx"), F.lit("rest")) % F.col("free")
+    return found.unionByName(rest.select("event_idx", "src", nth_allowed(place, F.col("x")).alias("neg_dst"), "day"))
+
+
+def unseen_pairs(slots: DataFrame, edges: DataFrame, n_nodes: DataFrame, seed: int, label: str = "legacy", keys: tuple[str, ...] = ("event_idx",)) -> DataFrame:
+    """For each slot (its ``keys`` and day) a uniform pair of two nodes that never meet in the whole stream."""
+    slots, n = slots.select(*keys, "day"), F.broadcast(n_nodes.select("n_nodes"))
+    own = [F.col(k) for k in keys]
+    r = _attempts(slots).crossJoin(n)
+    draw = lambda side: hash_int(seed, label, side, *own, F.col("attempt")) % F.col("n_nodes")
     r = r.withColumns({"src": draw("s"), "dst": draw("d")}).drop("n_nodes").where("src <> dst")
-    r = r.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    return _first(r, "event_idx", "day").select("event_idx", "day", "src", "dst")
+    pairs = edges.select("src", "dst").distinct()
+    found = cut(_first(r.join(pairs, ["src", "dst"], "left_anti"), *keys, "day").select(*keys, "day", "src", "dst"))
+    # The rest: a source that has a target left, then one of these. Sources without are as many as pairs by nodes at most.
+    met = pairs.where("src <> dst").groupBy("src").agg(F.collect_list("dst").alias("x"))
+    full = met.crossJoin(n).where(F.size("x") == F.col("n_nodes") - 1).agg(F.collect_list("src").alias("full"))
+    rest = slots.join(found, list(keys), "left_anti").crossJoin(n).crossJoin(F.broadcast(full)).where("n_nodes > 1 AND n_nodes > size(full)")
+    rest = rest.withColumn("src", nth_allowed(hash_int(seed, label, "s", *own, F.lit("rest")) % (F.col("n_nodes") - F.size("full")), F.col("full")))
+    rest = rest.join(met, "src", "left").withColumn("x", F.array_append(F.coalesce("x", F.array().cast("array<bigint>")), F.col("src")))
+    place = hash_int(seed, label, "d", *own, F.lit("rest")) % (F.col("n_nodes") - F.size("x"))
+    return found.unionByName(rest.select(*keys, "day", "src", nth_allowed(place, F.col("x")).alias("dst")))
 
 
 def first_seen(edges: DataFrame) -> DataFrame:
@@ -62,9 +85,10 @@ def from_pool(clocks: DataFrame, pool: DataFrame, positives: DataFrame, seed: in
     dst), without the clock's positives (clock, src, dst). Rows: clock, k (slot, from 0), src, dst."""
     c = clocks.where("hi > lo AND need > 0")
     size = F.col("hi") - F.col("lo")
-    few = c.where(size <= EXACT * F.col("need")).withColumn("pos", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
+    whole = size <= F.greatest(EXACT * F.col("need"), F.lit(WHOLE))
+    few = c.where(whole).withColumn("pos", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
     few = few.select("clock", "need", "pos", hash_key(seed, label, F.col("clock"), F.col("pos")).alias("ord"))
-    many = _attempts(c.where(size > EXACT * F.col("need")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1))), DRAWS)
+    many = _attempts(c.where(~whole).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1))), DRAWS)
     place = F.col("lo") + hash_int(seed, label, F.col("clock"), F.col("i"), F.col("attempt")) % size
     many = many.select("clock", "need", place.alias("pos"), F.concat(F.lpad(F.col("attempt").cast("string"), 2, "0"), F.lpad(F.col("i").cast("string"), 12, "0")).alias("ord"))
     r = few.unionByName(many).groupBy("clock", "need", "pos").agg(F.min("ord").alias("ord"))
@@ -78,14 +102,30 @@ def padding(clocks: DataFrame, drawn: DataFrame, ends: DataFrame, positives: Dat
     n of each side) that are no positive of the clock. Rows: clock, k, src, dst."""
     got = drawn.groupBy("clock").agg(F.count("*").alias("got"))
     gap = clocks.join(got, "clock", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
-    r = _attempts(gap.withColumn("k", F.explode(F.sequence(F.col("got").cast("long"), F.col("need") - 1))).select("clock", "k"))
+    slots = cut(gap.withColumn("k", F.explode(F.sequence(F.col("got").cast("long"), F.col("need") - 1))).select("clock", "k"))
+    r = _attempts(slots)
     for side in ("src", "dst"):
         nodes = ends.where(F.col("side") == side)
         n = F.broadcast(nodes.agg(F.count("*").alias("n")))
         r = r.crossJoin(n).withColumn("rank", hash_int(seed, label, "pad", side, F.col("clock"), F.col("k"), F.col("attempt")) % F.col("n")).drop("n")
         r = r.join(nodes.select("rank", F.col("node").alias(side)), "rank").drop("rank")
-    r = r.join(positives.select("clock", "src", "dst"), ["clock", "src", "dst"], "left_anti")
-    return _first(r, "clock", "k").select("clock", "k", "src", "dst")
+    own = positives.select("clock", "src", "dst")
+    found = cut(_first(r.join(own, ["clock", "src", "dst"], "left_anti"), "clock", "k").select("clock", "k", "src", "dst"))
+    # What is left takes the first drawn source that has a target left.
+    rest = r.join(found, ["clock", "k"], "left_anti").select("clock", "k", "attempt", "src")
+    rest = _allowed_target(rest, own, ends, seed, (label, "pad", "rest"))
+    return found.unionByName(_first(rest, "clock", "k").select("clock", "k", "src", "dst"))
+
+
+def _allowed_target(slots: DataFrame, positives: DataFrame, ends: DataFrame, seed: int, label: tuple[str, ...]) -> DataFrame:
+    """Slots (clock, k, src and more) with dst, a target that is no positive (clock, src, dst) of the clock; slots to
+    which none is allowed go."""
+    targets = ends.where("side = 'dst'").select("rank", F.col("node").alias("dst"))
+    taken = positives.join(targets, "dst").groupBy("clock", "src").agg(F.collect_set("rank").alias("x"))
+    r = slots.join(taken, ["clock", "src"], "left").withColumn("x", F.coalesce("x", F.array().cast("array<bigint>")))
+    r = r.crossJoin(F.broadcast(targets.agg(F.count("*").alias("n")))).where(F.col("n") > F.size("x"))
+    place = hash_int(seed, *label, F.col("clock"), F.col("k")) % (F.col("n") - F.size("x"))
+    return r.withColumn("rank", nth_allowed(place, F.col("x"))).join(targets, "rank").drop("x", "n", "rank")
 
 
 def ranked_ends(edges: DataFrame) -> DataFrame:
@@ -113,43 +153,60 @@ def batch_negatives(edges: DataFrame, strategy: str, seed: int, size: int = BATC
     them first seen in the span (inductive), or those active in the span before the batch (recurring); ``random`` keeps
     source and day and draws a target."""
     pos = cut(batches(edges, span, size))
-    count = pos.groupBy("clock").agg(F.count("*").alias("npos"))
+    # All batches are full but the last: the number of positives follows from one row.
+    span_row = F.broadcast(pos.agg(F.count("*").alias("total")))
+    npos = F.least(F.lit(size).cast("long"), F.col("total") - F.col("clock") * size)
     if strategy == "random":
-        slots = pos.join(F.broadcast(count), "clock").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_neg - 1)))).select("clock", (F.col("r") * F.col("npos") + F.col("i")).alias("k"), "src", "day")
-        targets = ranked_ends(edges).where("side = 'dst'")
+        slots = pos.crossJoin(span_row).withColumn("npos", npos).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_neg - 1)))).select("clock", (F.col("r") * F.col("npos") + F.col("i")).alias("k"), "src", "day")
+        ends = ranked_ends(edges)
+        targets = ends.where("side = 'dst'")
         r = _attempts(slots).crossJoin(F.broadcast(targets.agg(F.count("*").alias("n")))).withColumn("rank", hash_int(seed, strategy, F.col("clock"), F.col("k"), F.col("attempt")) % F.col("n"))
         r = r.join(targets.select("rank", F.col("node").alias("dst")), "rank").join(pos.select("clock", "src", "dst"), ["clock", "src", "dst"], "left_anti")
-        return _first(r.select("clock", "k", "src", "day", "attempt", "dst"), "clock", "k", "src", "day").select("clock", "k", "src", "dst", "day", F.lit(False).alias("is_pad"))
+        found = cut(_first(r.select("clock", "k", "src", "day", "attempt", "dst"), "clock", "k", "src", "day").select("clock", "k", "src", "dst", "day"))
+        rest = _allowed_target(slots.join(found, ["clock", "k"], "left_anti"), pos.select("clock", "src", "dst"), ends, seed, (strategy, "rest"))
+        return found.unionByName(rest.select("clock", "k", "src", "dst", "day")).withColumn("is_pad", F.lit(False))
     start = F.broadcast(pos.agg(F.min("event_idx").alias("start")))
     source = edges.crossJoin(start).where("event_idx >= start").drop("start") if strategy == "recurring" else edges
     pool = cut(first_seen(source))
     # How much of the list is visible when a batch begins, and where the span's own pairs start in it.
     edge_batch = F.floor((F.col("first") - F.col("start")) / size)
-    added = pool.crossJoin(start).groupBy(F.greatest(edge_batch, F.lit(-1)).alias("b")).agg(F.count("*").alias("new"))
-    calendar = count.select("clock", "npos").unionByName(added.select(F.col("b").alias("clock"), F.lit(None).cast("long").alias("npos"))).groupBy("clock").agg(F.max("npos").alias("npos"))
-    calendar = calendar.join(added, calendar["clock"] == added["b"], "left").select("clock", "npos", F.coalesce("new", F.lit(0)).alias("new"))
-    # As small as the number of batches.
-    order = W.orderBy("clock")
-    calendar = calendar.withColumn("hi", F.coalesce(F.sum("new").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("old", F.coalesce(F.sum(F.when(F.col("clock") < 0, F.col("new"))).over(W.partitionBy()), F.lit(0)))
+    added = pool.crossJoin(start).groupBy(F.greatest(edge_batch, F.lit(-1)).alias("clock")).agg(F.count("*").alias("new"))
+    calendar = pos.select("clock").distinct().join(added, "clock", "full").withColumn("new", F.coalesce("new", F.lit(0)))
+    calendar = calendar.crossJoin(F.broadcast(added.agg(F.coalesce(F.sum(F.when(F.col("clock") < 0, F.col("new"))), F.lit(0)).alias("old")))).crossJoin(span_row)
     lo = F.col("old") if strategy == "inductive" else F.lit(0)
-    clocks = calendar.where("npos IS NOT NULL").select("clock", (F.col("npos") * n_neg).alias("need"), lo.cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    clocks = before(calendar, "clock", "new", "hi").where("clock >= 0").select("clock", (npos * n_neg).alias("need"), lo.cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
     clocks = cut(clocks)
     drawn = cut(from_pool(clocks, pool, pos, seed, strategy))
     pads = padding(clocks, drawn, ranked_ends(edges), pos, seed, strategy)
     both = drawn.withColumn("is_pad", F.lit(False)).unionByName(pads.withColumn("is_pad", F.lit(True)))
-    days = pos.select("clock", "i", "day").join(F.broadcast(count.select("clock", "npos")), "clock")
-    both = both.join(F.broadcast(count.select("clock", "npos")), "clock").withColumn("i", F.col("k") % F.col("npos")).drop("npos")
-    return both.join(days.select("clock", "i", "day"), ["clock", "i"]).select("clock", "k", "src", "dst", "day", "is_pad")
+    both = both.crossJoin(span_row).withColumn("i", F.col("k") % npos).drop("total")
+    return both.join(pos.select("clock", "i", "day"), ["clock", "i"]).select("clock", "k", "src", "dst", "day", "is_pad")
 
 
-def day_negatives(edges: DataFrame, strategy: str, seed: int) -> DataFrame:
+def before(rows: DataFrame, order: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """Adds the sum of ``value`` over all rows with a smaller ``order`` (distinct whole numbers). Only sums of blocks of
+    ``block`` numbers are ordered in one task."""
+    rows = rows.withColumn("_b", F.floor(F.col(order) / block))
+    sums = rows.groupBy("_b").agg(F.sum(value).alias("_n"))
+    sums = sums.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_ahead"))
+    within = F.sum(value).over(W.partitionBy("_b").orderBy(order)) - F.col(value)
+    return rows.withColumn("_w", within).join(sums, "_b").withColumn(name, F.col("_ahead") + F.col("_w")).drop("_b", "_w", "_ahead")
+
+
+def day_negatives(edges: DataFrame, strategy: str, seed: int, n_nodes: DataFrame) -> DataFrame:
     """Negatives of test days, as many as positives, from the pairs seen before the test span (historical) or only in it
-    (inductive), without the day's positives: clock (day), k, src, dst."""
+    (inductive), without the day's positives; where these don't suffice, pairs of nodes that never meet: clock (day), k,
+    src, dst."""
     test = edges.where("split = 'test'")
-    before = edges.where("split <> 'test'")
-    pool = first_seen(before) if strategy == "historical" else first_seen(test.join(before.select("src", "dst").distinct(), ["src", "dst"], "left_anti"))
+    ahead = edges.where("split <> 'test'")
+    pool = first_seen(ahead) if strategy == "historical" else first_seen(test.join(ahead.select("src", "dst").distinct(), ["src", "dst"], "left_anti"))
     clocks = test.groupBy(F.col("day").alias("clock")).agg(F.count("*").alias("need")).crossJoin(F.broadcast(pool.agg(F.count("*").alias("hi")))).withColumn("lo", F.lit(0).cast("long"))
-    return from_pool(clocks, pool, test.select(F.col("day").alias("clock"), "src", "dst"), seed, f"legacy-{strategy}")
+    label = f"legacy-{strategy}"
+    drawn = cut(from_pool(clocks, pool, test.select(F.col("day").alias("clock"), "src", "dst"), seed, label))
+    got = drawn.groupBy("clock").agg(F.count("*").alias("got"))
+    gap = clocks.select("clock", "need").join(got, "clock", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
+    slots = gap.select("clock", F.explode(F.sequence(F.col("got").cast("long"), F.col("need") - 1)).alias("k"), F.col("clock").alias("day"))
+    return drawn.unionByName(unseen_pairs(slots, edges, n_nodes, seed, f"{label}-top", ("clock", "k")).drop("day"))
 
 
 def mixture(edges: DataFrame, n_nodes: DataFrame, seed: int, hard: float = 0.5, same_source: float = 0.5, popular: float = 0.2, novel: float = 0.1, window: int = 30) -> DataFrame:
@@ -203,3 +260,14 @@ def probe(edges: DataFrame, n_nodes: DataFrame, seed: int, events: int = 500, ca
     e = edges.where("split = 'val'").orderBy(hash_key(seed, "probe", F.col("event_idx")), "event_idx").limit(events)
     e = e.select("event_idx", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))).alias("j")).crossJoin(F.broadcast(n_nodes.select("n_nodes")))
     return e.select("event_idx", "j", (hash_int(seed, "candidate", F.col("event_idx"), F.col("j")) % F.col("n_nodes")).alias("node"))
+
+
+def in_batch(batch: DataFrame, edges: DataFrame) -> DataFrame:
+    """The other targets of each row's batch (clock, event_idx, src, dst, day) as its negatives: i, j, src, dst and
+    masked, true where the target is the row's own, its source, or one that the source has that day. Batches have a fixed
+    size, so this grows with the edges."""
+    x = batch.select("clock", F.col("event_idx").alias("i"), "src", "day", F.col("dst").alias("own"))
+    pairs = x.join(batch.select("clock", F.col("event_idx").alias("j"), "dst"), "clock").where("i <> j")
+    known = edges.select("src", "dst", "day").distinct().withColumn("known", F.lit(True))
+    pairs = pairs.join(known, ["src", "dst", "day"], "left")
+    return pairs.select("i", "j", "src", "dst", ((F.col("dst") == F.col("own")) | (F.col("dst") == F.col("src")) | F.coalesce("known", F.lit(False))).alias("masked"))

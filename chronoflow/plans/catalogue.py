@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
+from chronoflow.functions.losses import bce, hinge, huber
 from chronoflow.functions.vectors import logsumexp, negated_recency, time_encoding
 from chronoflow.operators import asof, daily, features as feat, graph, memory, metrics, ranking, sampling, scorer
 from chronoflow.operators.scorer import labelled
@@ -136,10 +137,10 @@ def top_hubs(spark, d):
     return graph.degree(edges(spark, d, "nation").select("s", "d")).orderBy(F.desc("degree"), "node").limit(10)
 
 
-@query("""WITH n AS (SELECT ts::DATE AS dt, count(*) AS n FROM events WHERE event_id % 997 = 0 GROUP BY 1)
-SELECT x.dt::DATE AS dt, coalesce(n.n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(dt) FROM n), (SELECT max(dt) FROM n), INTERVAL 1 DAY)) AS dt) x LEFT JOIN n ON n.dt = x.dt::DATE""")
-def daily_coverage_gaps(spark, d):
-    return graph.coverage(table(spark, d, "events").where("event_id % 997 = 0"))
+@query("""WITH n AS (SELECT date_trunc('minute', ts) AS dt, count(*) AS n FROM events GROUP BY 1)
+SELECT strftime(x.dt, '%Y-%m-%d %H:%M') AS dt, coalesce(n.n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(dt) FROM n), (SELECT max(dt) FROM n), INTERVAL 1 MINUTE)) AS dt) x LEFT JOIN n ON n.dt = x.dt""")
+def minute_coverage_gaps(spark, d):
+    return graph.coverage(table(spark, d, "events"), "minute").select(F.date_format("dt", "yyyy-MM-dd HH:mm").alias("dt"), "n")
 
 
 @query("""WITH n AS (SELECT ts::DATE AS dt, count(*) AS n FROM events GROUP BY 1)
@@ -195,13 +196,14 @@ def snowball_edges(spark, d):
     return graph.induced(t, graph.snowball(t, "s1", max_nodes=300, per_node=10)).select("from_address", "to_address", "transaction_hash")
 
 
-# Orders joined by customer in a year: a graph of many components.
-_SPARSE = "x AS MATERIALIZED (SELECT DISTINCT 'c' || o_custkey AS s, 'p' || l_partkey AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 50 = 1 AND l_quantity <= 10)"
+# Customers, their orders and the orders' lines: a graph of many components.
+_SPARSE = "x AS MATERIALIZED (SELECT 'c' || o_custkey AS s, 'o' || o_orderkey AS d FROM orders UNION SELECT 'o' || l_orderkey, 'l' || l_orderkey || '-' || l_linenumber FROM lineitem)"
 
 
 def _sparse(spark, d):
-    line = table(spark, d, "lineitem").where("l_partkey % 50 = 1 AND l_quantity <= 10").select("l_orderkey", "l_partkey")
-    return line.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("d")).distinct()
+    orders = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("s"), F.concat(F.lit("o"), "o_orderkey").alias("d"))
+    lines = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("s"), F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber").alias("d"))
+    return orders.union(lines).distinct()
 
 
 _COMPONENTS = f"""WITH RECURSIVE {_SPARSE}, b AS MATERIALIZED (SELECT s AS u, d AS v FROM x UNION SELECT d, s FROM x),
@@ -221,17 +223,25 @@ def component_sizes(spark, d):
 
 # As-of neighbours
 
-_INC = """inc AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node ORDER BY day, event_idx, dir) AS rn FROM
+
+
+def _cuts(source: str, key: str) -> str:
+    """For each row of a table (key, node, day) how many of the node's incidences came before the day."""
+    rows = f"SELECT NULL AS {key}, node, day, 1 AS ev FROM inc UNION ALL SELECT {key}, node, day, 0 FROM {source}"
+    return f"SELECT {key}, node, day, cut FROM (SELECT *, coalesce(sum(ev) OVER (PARTITION BY node ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cut FROM ({rows})) WHERE ev = 0"
+
+
+_INC = f"""inc AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node ORDER BY day, event_idx, dir) AS rn FROM
   (SELECT src AS node, dst AS other, 0 AS dir, day, event_idx FROM e UNION ALL SELECT dst, src, 1, day, event_idx FROM e)),
 q AS MATERIALIZED (SELECT event_idx AS query_id, src AS node, day FROM e WHERE split = 'test'),
-c AS MATERIALIZED (SELECT query_id, q.node, q.day, (SELECT count(*) FROM inc WHERE inc.node = q.node AND inc.day < q.day) AS cut FROM q)"""
+c AS MATERIALIZED ({_cuts("q", "query_id")})"""
 
 
 def _neighbor_queries(e):
     return e.where("split = 'test'").select(F.col("event_idx").alias("query_id"), F.col("src").alias("node"), "day")
 
 
-@query(f"WITH {PARTY}, {_INC} SELECT query_id, cut - rn + 1 AS pos, other, c.day - inc.day AS dt, dir FROM c JOIN inc USING (node) WHERE rn > cut - 20 AND rn <= cut")
+@query(f"WITH {PARTY}, {_INC} SELECT query_id, cut - rn + 1 AS pos, other, c.day - inc.day AS dt, dir FROM (SELECT *, unnest(range(greatest(1, cut - 19), cut + 1)) AS rn FROM c) c JOIN inc USING (node, rn)")
 def incidence_topk(spark, d):
     e = edges(spark, d, "party")
     return asof.recent_neighbors(asof.incidence(e), _neighbor_queries(e), 20).drop("eday")
@@ -244,14 +254,15 @@ def incidence_strat(spark, d):
     return asof.spread_neighbors(asof.incidence(e), _neighbor_queries(e), 7).drop("eday")
 
 
-@query(f"""WITH {PARTY}, {_INC.replace("WHERE split = 'test'", "WHERE split = 'test' AND event_idx % 40 = 0")}, a AS (SELECT DISTINCT node, day FROM q),
-h1 AS (SELECT DISTINCT other AS node, inc.day AS day FROM c JOIN inc USING (node) WHERE rn > cut - 3 AND rn <= cut),
-c1 AS (SELECT node, day, (SELECT count(*) FROM inc WHERE inc.node = h1.node AND inc.day < h1.day) AS cut FROM h1),
-h2 AS (SELECT DISTINCT other AS node, inc.day AS day FROM c1 JOIN inc USING (node) WHERE rn > cut - 3 AND rn <= cut)
+_LAST3 = "SELECT DISTINCT other AS node, inc.day AS day FROM (SELECT node, unnest(range(greatest(1, cut - 2), cut + 1)) AS rn FROM {}) x JOIN inc USING (node, rn)"
+
+
+@query(f"""WITH {PARTY}, {_INC}, a AS (SELECT DISTINCT node, day FROM q), h1 AS MATERIALIZED ({_LAST3.format("c")}), h1k AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM h1),
+c1 AS MATERIALIZED ({_cuts("h1k", "id")}), h2 AS ({_LAST3.format("c1")})
 SELECT 0 AS hop, * FROM a UNION ALL SELECT 1, * FROM h1 UNION ALL SELECT 2, * FROM h2""")
 def two_hops(spark, d):
     e = edges(spark, d, "party")
-    return asof.hops(asof.incidence(e), _neighbor_queries(e).where("query_id % 40 = 0"), 3, 2)
+    return asof.hops(asof.incidence(e), _neighbor_queries(e), 3, 2)
 
 
 # Features
@@ -305,7 +316,7 @@ _feature_query("feat_wide14", (*feat.GLOBAL11, *feat.BUCKETS), "nation")
 _feature_query("feat_wide23", feat.WIDE23, "nation")
 
 
-@query(f"""WITH {PARTY}, {_Q.replace("'test'", "'test' AND event_idx % 20 = 0")},
+@query(f"""WITH {PARTY}, {_Q},
 und AS MATERIALIZED (SELECT src AS node, dst AS mid, day FROM e UNION SELECT dst, src, day FROM e),
 deg AS MATERIALIZED (SELECT node, mid, min(day) AS day FROM und GROUP BY node, mid),
 a AS (SELECT query_id, mid, max(day) AS pa FROM q JOIN und ON node = s AND day < t GROUP BY query_id, mid), b AS (SELECT query_id, mid, max(day) AS pb FROM q JOIN und ON node = c AND day < t GROUP BY query_id, mid),
@@ -316,7 +327,7 @@ s2 AS (SELECT query_id, count(DISTINCT x.dst) AS n FROM q JOIN e x ON x.src = q.
 SELECT q.query_id, coalesce(cn, 0) AS cn, coalesce(cn_recent, 0) AS cn_recent, round(coalesce(aa, 0.0), 6) AS aa, round(ln(1.0 + coalesce(s2.n, 0)), 6) AS two_hop FROM q LEFT JOIN s1 ON s1.query_id = q.query_id LEFT JOIN s2 ON s2.query_id = q.query_id""")
 def common_neighbors(spark, d):
     e = edges(spark, d, "party")
-    return rounded(feat.common_neighbors(plain(e), test_queries(e).where("query_id % 20 = 0")))
+    return rounded(feat.common_neighbors(plain(e), test_queries(e)))
 
 
 @query(f"WITH {PARTY}, {_RAW} SELECT query_id, round(ln(1.0 + gs.n) + ln(1.0 + gc.n), 5) AS pref_attach {_FROM}")
@@ -339,22 +350,29 @@ def recency_signals(spark, d):
     return x.select("query_id", *[negated_recency(F.col("day"), F.col(f"{k}_last")).alias(f"{k}_recency") for k in ("pair", "src", "dst")])
 
 
-@query(f"""WITH {NATION}, {_Q.replace("'test'", "'test' AND event_idx % 10 = 0")}, i AS (SELECT q.*, t AS batch FROM q), p AS (SELECT a.batch, a.query_id AS i, b.query_id AS j, a.s, b.c, a.t FROM i a JOIN i b ON a.batch = b.batch)
+@query(f"""WITH {NATION}, {_Q}, i AS MATERIALIZED (SELECT q.*, (query_id - min(query_id) OVER ()) // 50 AS batch FROM q), p AS (SELECT a.batch, a.query_id AS i, b.query_id AS j, a.s, b.c, a.t FROM i a JOIN i b ON a.batch = b.batch)
 SELECT p.batch, p.i, p.j, CASE WHEN max(e.day) IS NULL THEN 0.0 ELSE 1.0 END AS pair_seen, coalesce(round(ln(1.0 + max(t) - max(e.day)), 6), 0.0) AS pair_recency FROM p LEFT JOIN e ON e.src = p.s AND e.dst = p.c AND e.day < p.t GROUP BY p.batch, p.i, p.j""")
 def feat_cross(spark, d):
+    """Sources with candidates inside batches of 50 edges; the size is fixed, so pairs grow with the edges."""
     e = edges(spark, d, "nation")
-    b = test_queries(e).where("query_id % 10 = 0").withColumn("batch", F.col("day")).withColumnRenamed("query_id", "i")
+    b = sampling.batches(e, "test", 50).select(F.col("clock").alias("batch"), F.col("event_idx").alias("i"), F.col("src").alias("s"), F.col("dst").alias("d"), "day")
     return rounded(feat.cross_features(plain(e), b, ("pair_seen", "pair_recency")))
 
 
-@query(f"""WITH {NATION}, {_Q.replace("'test'", "'test' AND event_idx % 200 = 0")}, p AS (SELECT query_id, s, node_id AS c, t FROM q CROSS JOIN nodes)
-SELECT p.query_id, p.c, count(e.day) AS n, round(ln(1.0 + count(e.day)), 6) AS pair_freq FROM p LEFT JOIN e ON e.src = p.s AND e.dst = p.c AND e.day < p.t GROUP BY p.query_id, p.c""".replace("count(e.day) AS n, ", ""))
+def with_all(rows: DataFrame, nodes: DataFrame, name: str, block: int = 4096) -> DataFrame:
+    """Each row with every node (column ``name``): a stated query set against all nodes, by blocks of them."""
+    blocks = nodes.groupBy(F.floor(F.col(name) / block).alias("_b")).agg(F.collect_list(name).alias("_in"))
+    return rows.crossJoin(blocks).withColumn(name, F.explode("_in")).drop("_b", "_in")
+
+
+@query(f"""WITH {NATION}, {_Q}, p AS (SELECT query_id, s, node_id AS c, t FROM q CROSS JOIN nodes)
+SELECT p.query_id, p.c, round(ln(1.0 + count(e.day)), 6) AS pair_freq FROM p LEFT JOIN e ON e.src = p.s AND e.dst = p.c AND e.day < p.t GROUP BY p.query_id, p.c""")
 def feat_all_nodes(spark, d):
-    """Every node as candidate of some queries; meant for small graphs, where the node table is small."""
+    """Every node as candidate of each test edge."""
     e = edges(spark, d, "nation")
-    q = test_queries(e).where("query_id % 200 = 0").select(F.col("query_id").alias("q"), "s", "day")
+    q = test_queries(e).select(F.col("query_id").alias("q"), "s", "day")
     nodes = e.select(F.col("src").alias("d")).union(e.select("dst")).distinct()
-    pairs = q.join(nodes).withColumn("query_id", F.xxhash64("q", "d"))
+    pairs = with_all(q, nodes, "d").withColumn("query_id", F.xxhash64("q", "d"))
     f = feat.features(plain(e), pairs, ("pair_freq",))
     return rounded(pairs.select("query_id", "q", "d").join(f, "query_id").select(F.col("q").alias("query_id"), F.col("d").alias("c"), "pair_freq"))
 
@@ -369,8 +387,28 @@ def _h(*parts) -> str:
 
 
 _NN = "(SELECT n_nodes FROM meta)"
+
+
+def _nth(n: str, left_out: str) -> str:
+    return f"list_reduce([({n})::BIGINT] || list_sort({left_out}), lambda a, x: CASE WHEN x <= a THEN a + 1 ELSE a END)"
+
+
 _UNIFORM = f"""u AS (SELECT event_idx, src, day, a AS attempt, {_h(SEED, "'train'", "event_idx", "a")} % {_NN} AS neg_dst FROM e CROSS JOIN range(8) x(a)),
-uf AS (SELECT event_idx, src, day, arg_min(neg_dst, attempt) AS neg_dst FROM u WHERE neg_dst <> src AND NOT EXISTS (SELECT 1 FROM e p WHERE p.src = u.src AND p.dst = u.neg_dst AND p.day = u.day) GROUP BY event_idx, src, day)"""
+uf0 AS MATERIALIZED (SELECT event_idx, src, day, arg_min(neg_dst, attempt) AS neg_dst FROM u WHERE neg_dst <> src AND NOT EXISTS (SELECT 1 FROM e p WHERE p.src = u.src AND p.dst = u.neg_dst AND p.day = u.day) GROUP BY event_idx, src, day),
+ux AS (SELECT e.event_idx, e.src, e.day, list_distinct(list(o.dst) || [e.src]) AS x FROM e JOIN e o ON o.src = e.src AND o.day = e.day WHERE e.event_idx NOT IN (SELECT event_idx FROM uf0) GROUP BY e.event_idx, e.src, e.day),
+uf AS (SELECT event_idx, src, day, neg_dst FROM uf0 UNION ALL SELECT event_idx, src, day, {_nth(_h(SEED, "'train'", "event_idx", "'rest'") + f" % ({_NN} - len(x))", "x")} FROM ux WHERE {_NN} > len(x))"""
+
+
+def _unseen(slots: str, label: str, keys: str) -> str:
+    """Tables un (keys, src, dst) for the slots: pairs that never meet."""
+    return f"""us AS MATERIALIZED ({slots}), upair AS MATERIALIZED (SELECT DISTINCT src, dst FROM e),
+ud AS (SELECT *, {_h(SEED, f"'{label}'", "'s'", keys, "a")} % {_NN} AS src, {_h(SEED, f"'{label}'", "'d'", keys, "a")} % {_NN} AS dst FROM us CROSS JOIN range(8) x(a)),
+un0 AS MATERIALIZED (SELECT {keys}, arg_min(src, a) AS src, arg_min(dst, a) AS dst FROM ud WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM upair p WHERE p.src = ud.src AND p.dst = ud.dst) GROUP BY {keys}),
+umet AS MATERIALIZED (SELECT src, list(dst) AS x FROM upair WHERE src <> dst GROUP BY src),
+ufull AS MATERIALIZED (SELECT coalesce(list(src), []) AS nofree FROM umet WHERE len(x) = {_NN} - 1),
+ur AS (SELECT {keys}, {_nth(_h(SEED, f"'{label}'", "'s'", keys, "'rest'") + f" % ({_NN} - len(nofree))", "nofree")} AS src FROM us CROSS JOIN ufull WHERE {_NN} > len(nofree) AND {_NN} > 1 AND ({keys}) NOT IN (SELECT ({keys}) FROM un0)),
+ux2 AS (SELECT ur.*, coalesce(x, []) || [ur.src] AS x FROM ur LEFT JOIN umet USING (src)),
+un AS MATERIALIZED (SELECT {keys}, src, dst FROM un0 UNION ALL SELECT {keys}, src, {_nth(_h(SEED, f"'{label}'", "'d'", keys, "'rest'") + f" % ({_NN} - len(x))", "x")} FROM ux2)"""
 
 
 @query(f"WITH {PARTY}, {_UNIFORM} SELECT event_idx, src, neg_dst, day FROM uf")
@@ -379,8 +417,7 @@ def neg_random_train(spark, d):
     return sampling.uniform_targets(e, n_nodes(e), SEED)
 
 
-@query(f"""WITH {PARTY}, u AS (SELECT event_idx, day, a AS attempt, {_h(SEED, "'legacy'", "'s'", "event_idx", "a")} % {_NN} AS src, {_h(SEED, "'legacy'", "'d'", "event_idx", "a")} % {_NN} AS dst FROM e CROSS JOIN range(8) x(a) WHERE split = 'test')
-SELECT event_idx, day, arg_min(src, attempt) AS src, arg_min(dst, attempt) AS dst FROM u WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM e p WHERE p.src = u.src AND p.dst = u.dst) GROUP BY event_idx, day""")
+@query(f"WITH {PARTY}, {_unseen('SELECT event_idx, day FROM e WHERE split = $$test$$', 'legacy', 'event_idx')} SELECT event_idx, us.day, un.src, un.dst FROM un JOIN us USING (event_idx)".replace("$$", "'"))
 def neg_legacy_random(spark, d):
     e = edges(spark, d, "party")
     return sampling.unseen_pairs(e.where("split = 'test'"), e, n_nodes(e), SEED)
@@ -388,8 +425,8 @@ def neg_legacy_random(spark, d):
 
 def _drawn(label: str) -> str:
     """clocks (clock, need, lo, hi), pool (pos, src, dst) and positives (clock, src, dst) to drawn."""
-    return f"""few AS (SELECT clock, need, pos, md5(concat_ws('|', {SEED}, '{label}', clock, pos)) AS ord FROM (SELECT clock, need, unnest(range(lo, hi)) AS pos FROM clocks WHERE hi > lo AND hi - lo <= 4 * need)),
-many AS (SELECT clock, need, lo + {_h(SEED, f"'{label}'", "clock", "i", "a")} % (hi - lo) AS pos, lpad(a::VARCHAR, 2, '0') || lpad(i::VARCHAR, 12, '0') AS ord FROM (SELECT *, unnest(range(need)) AS i FROM clocks WHERE hi - lo > 4 * need) CROSS JOIN range(4) x(a)),
+    return f"""few AS (SELECT clock, need, pos, md5(concat_ws('|', {SEED}, '{label}', clock, pos)) AS ord FROM (SELECT clock, need, unnest(range(lo, hi)) AS pos FROM clocks WHERE hi > lo AND hi - lo <= greatest(4 * need, 256))),
+many AS (SELECT clock, need, lo + {_h(SEED, f"'{label}'", "clock", "i", "a")} % (hi - lo) AS pos, lpad(a::VARCHAR, 2, '0') || lpad(i::VARCHAR, 12, '0') AS ord FROM (SELECT *, unnest(range(need)) AS i FROM clocks WHERE hi - lo > greatest(4 * need, 256)) CROSS JOIN range(4) x(a)),
 cand AS (SELECT clock, need, pos, min(ord) AS ord FROM (SELECT * FROM few UNION ALL SELECT * FROM many) GROUP BY clock, need, pos),
 drawn AS MATERIALIZED (SELECT clock, k, src, dst FROM (SELECT clock, need, src, dst, row_number() OVER (PARTITION BY clock ORDER BY ord, pos) - 1 AS k FROM cand JOIN pool USING (pos)
   WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.clock = cand.clock AND p.src = pool.src AND p.dst = pool.dst)) WHERE k < need)"""
@@ -397,18 +434,35 @@ drawn AS MATERIALIZED (SELECT clock, k, src, dst FROM (SELECT clock, need, src,
 
 def _legacy(strategy: str) -> str:
     which = "SELECT src, dst, min(event_idx) AS first FROM e WHERE split <> 'test' GROUP BY src, dst" if strategy == "historical" else "SELECT src, dst, min(event_idx) AS first FROM e WHERE split = 'test' AND NOT EXISTS (SELECT 1 FROM e p WHERE p.split <> 'test' AND p.src = e.src AND p.dst = e.dst) GROUP BY src, dst"
+    slots = "SELECT clock, unnest(range(got, need)) AS k FROM (SELECT clock, need, (SELECT count(*) FROM drawn WHERE drawn.clock = clocks.clock) AS got FROM clocks)"
     return f"""pool AS MATERIALIZED (SELECT src, dst, row_number() OVER (ORDER BY first) - 1 AS pos FROM ({which})), positives AS (SELECT day AS clock, src, dst FROM e WHERE split = 'test'),
-clocks AS (SELECT clock, count(*) AS need, 0 AS lo, (SELECT count(*) FROM pool) AS hi FROM positives GROUP BY clock), {_drawn('legacy-' + strategy)}"""
+clocks AS (SELECT clock, count(*) AS need, 0 AS lo, (SELECT count(*) FROM pool) AS hi FROM positives GROUP BY clock), {_drawn('legacy-' + strategy)}, {_unseen(slots, f'legacy-{strategy}-top', 'clock, k')},
+topped AS MATERIALIZED (SELECT clock, k, src, dst FROM drawn UNION ALL SELECT clock, k, src, dst FROM un)"""
 
 
-@query(f"WITH {PARTY}, {_legacy('historical')} SELECT * FROM drawn")
+@query(f"WITH {PARTY}, {_legacy('historical')} SELECT * FROM topped")
 def neg_legacy_historical(spark, d):
-    return sampling.day_negatives(edges(spark, d, "party"), "historical", SEED)
+    e = edges(spark, d, "party")
+    return sampling.day_negatives(e, "historical", SEED, n_nodes(e))
 
 
-@query(f"WITH {PARTY}, {_legacy('inductive')} SELECT * FROM drawn")
+@query(f"WITH {PARTY}, {_legacy('inductive')} SELECT * FROM topped")
 def neg_legacy_inductive(spark, d):
-    return sampling.day_negatives(edges(spark, d, "party"), "inductive", SEED)
+    e = edges(spark, d, "party")
+    return sampling.day_negatives(e, "inductive", SEED, n_nodes(e))
+
+
+for _s in ("historical", "inductive"):
+
+    def _topped(spark, d, strategy=_s):
+        e = edges(spark, d, "nation")
+        return sampling.day_negatives(e, strategy, SEED, n_nodes(e))
+
+    QUERIES[f"neg_legacy_{_s}_nation"] = _topped
+    ORACLE_SQL[f"neg_legacy_{_s}_nation"] = f"WITH {NATION}, {_legacy(_s)} SELECT * FROM topped"
+
+
+_TAKEN = "taken AS (SELECT clock, src, list(DISTINCT rank) AS x FROM positives JOIN targets ON node = dst GROUP BY clock, src)"
 
 
 def _dgb(strategy: str, n_neg: int = 1, span: str = "test", prefix: str = "") -> str:
@@ -418,14 +472,18 @@ positives AS (SELECT clock, src, dst FROM pos), np AS MATERIALIZED (SELECT clock
     ends = """targets AS MATERIALIZED (SELECT dst AS node, row_number() OVER (ORDER BY dst) - 1 AS rank FROM (SELECT DISTINCT dst FROM e)), sources AS MATERIALIZED (SELECT src AS node, row_number() OVER (ORDER BY src) - 1 AS rank FROM (SELECT DISTINCT src FROM e))"""
     if strategy == "random":
         return f"""{pos}, {ends}, u AS (SELECT clock, r * npos + i AS k, src, day, a, {_h(SEED, "'random'", "clock", "r * npos + i", "a")} % (SELECT count(*) FROM targets) AS rank FROM pos JOIN np USING (clock) CROSS JOIN range({n_neg}) y(r) CROSS JOIN range(8) x(a)),
-neg AS MATERIALIZED (SELECT clock, k, src, arg_min(node, a) AS dst, day, FALSE AS is_pad FROM u JOIN targets USING (rank) WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.clock = u.clock AND p.src = u.src AND p.dst = node) GROUP BY clock, k, src, day)"""
+neg0 AS MATERIALIZED (SELECT clock, k, src, arg_min(node, a) AS dst, day, FALSE AS is_pad FROM u JOIN targets USING (rank) WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.clock = u.clock AND p.src = u.src AND p.dst = node) GROUP BY clock, k, src, day),
+{_TAKEN}, nr AS (SELECT DISTINCT u.clock, u.k, u.src, u.day, coalesce(x, []) AS x FROM u LEFT JOIN taken USING (clock, src) WHERE (u.clock, u.k) NOT IN (SELECT (clock, k) FROM neg0)),
+neg AS MATERIALIZED (SELECT * FROM neg0 UNION ALL SELECT clock, k, src, node, day, FALSE FROM (SELECT *, {_nth(_h(SEED, "'random'", "'rest'", "clock", "k") + " % ((SELECT count(*) FROM targets) - len(x))", "x")} AS rank FROM nr WHERE len(x) < (SELECT count(*) FROM targets)) JOIN targets USING (rank))"""
     where = "WHERE event_idx >= (SELECT min(event_idx) FROM pos)" if strategy == "recurring" else ""
     lo = "(SELECT count(*) FROM pool WHERE first < (SELECT min(event_idx) FROM pos))" if strategy == "inductive" else "0"
     return f"""{pos}, {ends}, pool AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY first) - 1 AS pos FROM (SELECT src, dst, min(event_idx) AS first FROM e {where} GROUP BY src, dst)),
 clocks AS MATERIALIZED (SELECT clock, npos * {n_neg} AS need, {lo} AS lo, (SELECT count(*) FROM pool WHERE first < begin) AS hi FROM np), {_drawn(strategy)},
 gap AS (SELECT clock, unnest(range(got, need)) AS k FROM (SELECT clock, need, (SELECT count(*) FROM drawn WHERE drawn.clock = clocks.clock) AS got FROM clocks)),
 pu AS (SELECT clock, k, a, s.node AS src, t.node AS dst FROM gap CROSS JOIN range(8) x(a) JOIN sources s ON s.rank = {_h(SEED, f"'{strategy}'", "'pad'", "'src'", "clock", "k", "a")} % (SELECT count(*) FROM sources) JOIN targets t ON t.rank = {_h(SEED, f"'{strategy}'", "'pad'", "'dst'", "clock", "k", "a")} % (SELECT count(*) FROM targets)),
-pads AS (SELECT clock, k, arg_min(src, a) AS src, arg_min(dst, a) AS dst FROM pu WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.clock = pu.clock AND p.src = pu.src AND p.dst = pu.dst) GROUP BY clock, k),
+pads0 AS MATERIALIZED (SELECT clock, k, arg_min(src, a) AS src, arg_min(dst, a) AS dst FROM pu WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.clock = pu.clock AND p.src = pu.src AND p.dst = pu.dst) GROUP BY clock, k),
+{_TAKEN}, pr AS (SELECT pu.clock, pu.k, a, pu.src, coalesce(x, []) AS x FROM pu LEFT JOIN taken USING (clock, src) WHERE (pu.clock, pu.k) NOT IN (SELECT (clock, k) FROM pads0)),
+pads AS (SELECT * FROM pads0 UNION ALL SELECT clock, k, arg_min(src, a), arg_min(node, a) FROM (SELECT *, {_nth(_h(SEED, f"'{strategy}'", "'pad'", "'rest'", "clock", "k") + " % ((SELECT count(*) FROM targets) - len(x))", "x")} AS rank FROM pr WHERE len(x) < (SELECT count(*) FROM targets)) JOIN targets USING (rank) GROUP BY clock, k),
 neg AS MATERIALIZED (SELECT b.clock, b.k, b.src, b.dst, pos.day, is_pad FROM (SELECT *, FALSE AS is_pad FROM drawn UNION ALL SELECT *, TRUE FROM pads) b JOIN np ON np.clock = b.clock JOIN pos ON pos.clock = b.clock AND pos.i = b.k % npos)"""
 
 
@@ -527,12 +585,12 @@ for _name, _window, _frozen in (("inf", False, False), ("tw", True, False), ("fr
         QUERIES[_n] = _eb
         ORACLE_SQL[_n] = f"WITH {NATION if _s == 'historical' else PARTY}, {_dgb(_s)}, {_bank(_window, _frozen)} SELECT clock, k, y, score FROM sc"
 
-_LEGACY = f"""{_legacy('historical')}, pos AS MATERIALIZED (SELECT *, day AS clock, row_number() OVER (PARTITION BY day ORDER BY event_idx) - 1 AS i FROM e WHERE split = 'test'), neg AS MATERIALIZED (SELECT clock, k, src, dst, clock AS day FROM drawn)"""
+_LEGACY = f"""{_legacy('historical')}, pos AS MATERIALIZED (SELECT *, day AS clock, row_number() OVER (PARTITION BY day ORDER BY event_idx) - 1 AS i FROM e WHERE split = 'test'), neg AS MATERIALIZED (SELECT clock, k, src, dst, clock AS day FROM topped)"""
 
 
 def _legacy_scored(spark, d, window=False):
     e = edges(spark, d, "nation")
-    neg = sampling.day_negatives(e, "historical", SEED).withColumn("day", F.col("clock").cast("int")).withColumn("clock", F.col("clock").cast("long"))
+    neg = sampling.day_negatives(e, "historical", SEED, n_nodes(e)).withColumn("day", F.col("clock").cast("int")).withColumn("clock", F.col("clock").cast("long"))
     return _scored(e, neg, "day", window)
 
 
@@ -620,6 +678,22 @@ def fdr_npv(spark, d):
     return rounded(metrics.fdr_npv(s, spark.range(1).select(F.lit(1.0).alias("threshold"))))
 
 
+def _chain_sql() -> str:
+    """The threshold of the validation span, and the scores of the test span."""
+    val = f"vj AS MATERIALIZED (WITH {_dgb('historical', 1, 'val')}, {_bank(True)} SELECT threshold, j FROM {_J})"
+    return f"{val}, {_dgb('historical')}, {_bank(True)}"
+
+
+@query(f"""WITH {NATION}, {_chain_sql()} SELECT threshold, round(coalesce(count(*) FILTER (score >= threshold AND y = 0) / nullif(count(*) FILTER (score >= threshold), 0), 0.0), 6) AS fdr,
+  round(coalesce(count(*) FILTER (score < threshold AND y = 0) / nullif(count(*) FILTER (score < threshold), 0), 0.0), 6) AS npv, round(avg(y), 6) AS prevalence FROM sc CROSS JOIN vj GROUP BY threshold""")
+def fdr_npv_at_val_threshold(spark, d):
+    """The threshold fitted on the validation span, frozen, applied to the test span."""
+    e = edges(spark, d, "nation")
+    scores = lambda span: _scored(e, sampling.batch_negatives(e, "historical", SEED, span=span), window=True, span=span)
+    t = cut(metrics.youden(scores("val")).select("threshold"))
+    return rounded(metrics.fdr_npv(scores("test"), t).crossJoin(F.broadcast(t)))
+
+
 _YB = """yb AS MATERIALIZED (SELECT event_idx, split, log10(usd_sum) AS y, last_value(log10(usd_sum) IGNORE NULLS) OVER (PARTITION BY src, dst ORDER BY event_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM e WHERE usd_sum > 0),
 md AS (SELECT median(y) AS median FROM yb WHERE split = 'train'), ab AS MATERIALIZED (SELECT event_idx, y, coalesce(prior, median) AS persistence, median, prior IS NOT NULL AS seen FROM yb CROSS JOIN md WHERE split = 'test')"""
 
@@ -662,19 +736,19 @@ def partner_strata(spark, d):
 
 
 def _candidates(spark, d):
-    """Some test edges with every node as candidate and a popularity score."""
+    """Test edges with every target as candidate and a popularity score."""
     e = edges(spark, d, "nation")
-    t = e.where("split = 'test' AND event_idx % 25 = 0").select("event_idx", "src", "dst", "day")
+    t = e.where("split = 'test'").select("event_idx", "src", "dst", "day")
     nodes = e.groupBy(F.col("dst").alias("c")).agg(F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("pop"))
-    p = ranking.partner_rows(e).where("event_idx % 25 = 0 AND partner IS NOT NULL").select("event_idx", F.col("partner").alias("c"), "last")
+    p = ranking.partner_rows(e).where("partner IS NOT NULL").select("event_idx", F.col("partner").alias("c"), "last")
     same = e.where("split = 'test'").select("src", "day", F.col("dst").alias("c"), F.lit(True).alias("o"))
-    j = t.join(nodes).join(p, ["event_idx", "c"], "left").join(same, ["src", "day", "c"], "left")
+    j = with_all(t, nodes.select("c"), "c").join(nodes, "c").join(p, ["event_idx", "c"], "left").join(same, ["src", "day", "c"], "left")
     return j.select("event_idx", "c", F.col("pop").cast("double").alias("score"), (F.col("c") == F.col("dst")).alias("is_target"), (F.coalesce("o", F.lit(False)) & (F.col("c") != F.col("dst"))).alias("left_out"), "last", (F.col("pop") > 0).alias("globally_seen"))
 
 
 _CAND = f"""{_RANKS.split('cand AS')[0].rstrip().rstrip(',')}, pp AS (SELECT dst AS c, count(*) FILTER (split = 'train') AS pop FROM e GROUP BY dst),
 cd AS MATERIALIZED (SELECT t.event_idx, c, pop::DOUBLE AS score, c = t.dst AS is_target, c <> t.dst AND EXISTS (SELECT 1 FROM t o WHERE o.src = t.src AND o.day = t.day AND o.dst = c) AS left_out, last, pop > 0 AS globally_seen
-  FROM t CROSS JOIN pp LEFT JOIN lp ON lp.event_idx = t.event_idx AND lp.partner = c WHERE t.event_idx % 25 = 0)"""
+  FROM t CROSS JOIN pp LEFT JOIN lp ON lp.event_idx = t.event_idx AND lp.partner = c)"""
 
 
 @query(f"WITH {NATION}, {_CAND} SELECT a.event_idx, (1 + count(*) FILTER (b.score > a.score) + 0.5 * count(*) FILTER (b.score = a.score))::DOUBLE AS rank FROM cd a LEFT JOIN cd b ON b.event_idx = a.event_idx AND NOT b.is_target AND NOT b.left_out WHERE a.is_target GROUP BY a.event_idx")
@@ -717,6 +791,104 @@ def signal_auroc(spark, d):
     return rounded(metrics.auroc(long, ["signal"]))
 
 
+_SIGNALS = ("pair_freq", "pair_recency", "pair_age", "src_freq", "src_freq30", "dst_freq", "dst_freq7", "dst_freq30", "dst_recency", "out_deg_s", "in_deg_c", "dt_7")
+
+
+def _signal_rows(spark, d):
+    """Positives and inductive negatives of the test span with all signals: y, seen (before the span), score by signal."""
+    e = edges(spark, d, "party")
+    pos = sampling.batches(e, "test").select("clock", F.col("i").alias("k"), "src", "dst", "day", F.lit(1).alias("y"))
+    neg = sampling.batch_negatives(e, "historical", SEED).select("clock", "k", "src", "dst", "day", F.lit(0).alias("y"))
+    old = e.where("split <> 'test'").select("src", "dst").distinct().withColumn("seen", F.lit(True))
+    rows = cut(pos.unionByName(neg).join(old, ["src", "dst"], "left").withColumns({"seen": F.coalesce("seen", F.lit(False)), "query_id": F.xxhash64("clock", "k", "y")}))
+    f = feat.features(plain(e), rows.select("query_id", F.col("src").alias("s"), F.col("dst").alias("d"), "day"), _SIGNALS)
+    return rows.select("query_id", "y", "seen").join(f, "query_id")
+
+
+_STRATUM = {"newpos_vs_newneg": "NOT seen", "seenpos_vs_newneg": "(y = 1 AND seen) OR (y = 0 AND NOT seen)", "allpos_vs_activeneg": "y = 1 OR seen"}
+_SIG = f"""al AS MATERIALIZED (SELECT row_number() OVER () AS query_id, src AS s, dst AS c, day AS t, y FROM (SELECT src, dst, day, 1 AS y FROM pos UNION ALL SELECT src, dst, day, 0 FROM neg)),
+lab AS MATERIALIZED (SELECT query_id, y, EXISTS (SELECT 1 FROM e p WHERE p.split <> 'test' AND p.src = al.s AND p.dst = al.c) AS seen FROM al),
+sg AS MATERIALIZED (SELECT query_id, lab.y, lab.seen, {', '.join(f'{_COLUMN_SQL[x]}::DOUBLE AS {x}' for x in _SIGNALS)} {_FROM} JOIN lab USING (query_id)),
+lg AS MATERIALIZED (SELECT query_id, y, seen, signal, score FROM sg UNPIVOT (score FOR signal IN ({', '.join(_SIGNALS)}))),
+st AS MATERIALIZED ({' UNION ALL '.join(f"SELECT '{k}' AS stratum, signal, y, score FROM lg WHERE {w}" for k, w in _STRATUM.items())})"""
+_SIGRAW = _RAW.replace(_Q, "q AS MATERIALIZED (SELECT query_id, s, c, t FROM al)")
+
+
+@query(f"WITH {PARTY}, {_dgb('historical')}, {_SIG.split('sg AS')[0]}{_SIGRAW}, sg AS{_SIG.split('sg AS')[1]} SELECT stratum, signal, round(auroc, 6) AS auroc FROM {_au(group='stratum, signal', source='st')}")
+def signal_strata(spark, d):
+    """The area of every signal over three strata of positives and negatives."""
+    f = _signal_rows(spark, d).unpivot(["query_id", "y", "seen"], list(_SIGNALS), "signal", "score")
+    of = F.array_compact(F.array(*[F.when(F.expr(w), F.lit(k)) for k, w in _STRATUM.items()]))
+    return rounded(metrics.auroc(f.withColumn("stratum", F.explode(of)), ["stratum", "signal"]))
+
+
+_PROBE = f"""p AS MATERIALIZED (SELECT event_idx, src, dst, day FROM e WHERE split = 'val' ORDER BY md5(concat_ws('|', {SEED}, 'probe', event_idx)), event_idx LIMIT 500),
+pc AS MATERIALIZED (SELECT DISTINCT event_idx, node FROM (SELECT event_idx, {_h(SEED, "'candidate'", "event_idx", "j")} % {_NN} AS node FROM p CROSS JOIN range(100) x(j) UNION ALL SELECT event_idx, dst FROM p)),
+ps AS MATERIALIZED (SELECT p.event_idx, pc.node, pc.node = p.dst AS hit, coalesce(max(e.day), -1) AS score FROM pc JOIN p USING (event_idx) LEFT JOIN e ON e.src = p.src AND e.dst = pc.node AND e.day < p.day GROUP BY ALL),
+pr AS MATERIALIZED (SELECT a.event_idx, 1 + count(*) FILTER (b.score > a.score AND NOT b.hit) + 0.5 * count(*) FILTER (b.score = a.score AND NOT b.hit) AS rank FROM ps a JOIN ps b USING (event_idx) WHERE a.hit GROUP BY a.event_idx)"""
+
+
+def _probe_ranks(e):
+    p = sampling.probe(e, n_nodes(e), SEED)
+    own = e.select("event_idx", "src", "dst", "day").join(p.select("event_idx").distinct(), "event_idx")
+    c = p.select("event_idx", "node").union(own.select("event_idx", "dst")).distinct().join(own, "event_idx").withColumn("query_id", F.xxhash64("event_idx", "node"))
+    last = asof.last_before(plain(e), c.select("query_id", F.col("src").alias("s"), F.col("node").alias("d"), "day"))
+    return ranking.filtered_ranks(c.join(last, "query_id").select("event_idx", F.coalesce("last", F.lit(-1)).alias("score"), (F.col("node") == F.col("dst")).alias("is_target"), F.lit(False).alias("left_out")))
+
+
+@query(f"WITH {PARTY}, {_PROBE} SELECT round(avg(1 / rank), 6) AS mrr, count(*) AS n FROM pr")
+def sampled_val_mrr(spark, d):
+    """The mean reciprocal rank of the last contact over the probe's candidates and the target."""
+    return rounded(_probe_ranks(edges(spark, d, "party")).agg(F.avg(1.0 / F.col("rank")).alias("mrr"), F.count("*").alias("n")))
+
+
+@query(f"WITH {NATION}, {_LEGACY}, {_bank()}, {_PROBE} SELECT round(sqrt(greatest((SELECT avg(1 / rank) FROM pr), 0) * greatest(ap, 0)), 6) AS combo FROM {_AP}")
+def combined_metric(spark, d):
+    """The geometric mean of the probe's MRR and the average precision, by which models are selected."""
+    e = edges(spark, d, "nation")
+    mrr = _probe_ranks(e).agg(F.avg(1.0 / F.col("rank")).alias("mrr"))
+    return rounded(metrics.average_precision(_legacy_scored(spark, d)).crossJoin(mrr).select(metrics.combined(F.col("mrr"), F.col("ap")).alias("combo")))
+
+
+@query(f"""WITH {NATION}, b AS MATERIALIZED (SELECT *, (event_idx - min(event_idx) OVER ()) // 50 AS clock FROM e WHERE split = 'test')
+SELECT x.event_idx AS i, y.event_idx AS j, x.src, y.dst, y.dst = x.dst OR y.dst = x.src OR EXISTS (SELECT 1 FROM e p WHERE p.src = x.src AND p.dst = y.dst AND p.day = x.day) AS masked FROM b x JOIN b y ON x.clock = y.clock AND x.event_idx <> y.event_idx""")
+def in_batch_negatives(spark, d):
+    """The other targets of each batch of 50 as negatives of a source; masked where they are its own that day."""
+    e = edges(spark, d, "nation")
+    return sampling.in_batch(sampling.batches(e, "test", 50), e)
+
+
+_LOSS = "SELECT * FROM (SELECT event_id, (value - 50) / 25.0 AS z, (event_id % 2)::INT AS y FROM events)"
+
+
+@query(f"""SELECT y, round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 6) AS bce, round(avg(greatest(0, 1 - (2 * y - 1) * z)), 6) AS hinge, round(avg(CASE WHEN abs(z - y) <= 1 THEN 0.5 * (z - y) ** 2 ELSE abs(z - y) - 0.5 END), 6) AS huber,
+  round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z))) + 0.1 * CASE WHEN abs(z - y) <= 1 THEN 0.5 * (z - y) ** 2 ELSE abs(z - y) - 0.5 END), 6) AS two_term FROM ({_LOSS}) GROUP BY y""")
+def losses(spark, d):
+    rows = table(spark, d, "events").select(((F.col("value") - 50) / 25.0).alias("z"), (F.col("event_id") % 2).cast("int").alias("y"))
+    z, y = F.col("z"), F.col("y")
+    return rounded(rows.groupBy("y").agg(*[F.avg(x).alias(n) for n, x in (("bce", bce(z, y)), ("hinge", hinge(z, y)), ("huber", huber(z, y)), ("two_term", bce(z, y) + 0.1 * huber(z, y)))]))
+
+
+_HISTORY = "SELECT (user_id % 5)::INT AS seed, date_diff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE)::INT AS epoch, avg(value) AS value FROM events GROUP BY ALL"
+
+
+@query(f"""WITH h AS MATERIALIZED ({_HISTORY}), s AS MATERIALIZED (SELECT *, max(value) OVER (PARTITION BY seed ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM h),
+i AS MATERIALIZED (SELECT seed, epoch, value, max(CASE WHEN best IS NULL OR value > best THEN epoch END) OVER (PARTITION BY seed ORDER BY epoch) AS since FROM s), z AS (SELECT seed, min(epoch) FILTER (epoch - since >= 5) AS stop FROM i GROUP BY seed)
+SELECT i.seed, arg_max(epoch, (value, -epoch)) AS epoch, round(max(value), 6) AS value, max(epoch) AS last FROM i JOIN z USING (seed) WHERE stop IS NULL OR epoch <= stop GROUP BY i.seed""")
+def selected_epochs(spark, d):
+    """The best epoch of each seed, as training stops after five epochs without a better one."""
+    e = table(spark, d, "events")
+    h = e.crossJoin(F.broadcast(e.agg(F.min("ts").cast("date").alias("first")))).groupBy((F.col("user_id") % 5).cast("int").alias("seed"), F.datediff(F.col("ts").cast("date"), "first").alias("epoch")).agg(F.avg("value").alias("value"))
+    return rounded(metrics.selected(h, patience=5))
+
+
+@query(f"WITH {NATION}, i AS (SELECT src AS node, event_idx, txn FROM e UNION ALL SELECT dst, event_idx, txn FROM e) SELECT node, count(*) AS n, round(avg(txn), 6) AS txn, round(avg(ln(1.0 + txn)), 6) AS ln_txn FROM i GROUP BY node")
+def message_means(spark, d):
+    """The mean of the messages that reach each node, from both ends of its edges."""
+    e = edges(spark, d, "nation").select("src", "dst", F.col("txn").cast("double").alias("txn"), F.ln(1.0 + F.col("txn")).alias("ln_txn"))
+    return rounded(graph.scatter_mean(e, ["txn", "ln_txn"]))
+
+
 # Reports over tidy metrics: areas of three seeds and two memory kinds
 
 _TIDY = "td AS MATERIALIZED (SELECT event_type AS model, (user_id % 3)::INT AS seed, 'value' AS metric, avg(value) AS value FROM events GROUP BY ALL)"
@@ -734,7 +906,7 @@ def metric_over_seeds(spark, d):
 @query(f"WITH {_TIDY}, ref AS (SELECT min(model) AS m FROM td) SELECT a.model, a.seed, a.metric, round(a.value - b.value, 6) AS delta FROM td a JOIN td b ON a.seed = b.seed AND b.model = (SELECT m FROM ref) WHERE a.model <> b.model")
 def seed_deltas(spark, d):
     t = _tidy(spark, d)
-    return rounded(metrics.seed_deltas(t, t.agg(F.min("model")).first()[0]))
+    return rounded(metrics.seed_deltas(t, t.agg(F.min("model").alias("model"))))
 
 
 @query("SELECT epoch, round(avg(value), 6) AS value, count(*) AS seeds FROM (SELECT user_id % 5 AS seed, date_diff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE)::INT AS epoch, avg(value) AS value FROM events WHERE date_diff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE) <= 10 + 4 * (user_id % 5) GROUP BY ALL) GROUP BY epoch")
