@@ -34,12 +34,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from chronoflow.llm.store import Output, fresh_folder, open_input, written
+from chronoflow.llm.store import Output, dropped, fresh_folder, open_input, written
 from chronoflow.llm.textkit import U64, hash_words, lower_ascii, mix64
 
 HELD_OUT, FOLDS = 2, 7
 K = 5
 BLOCK_TOKENS = 3_000_000
+SHARD_BYTES = 32 << 20
 END = U64(0x0E4D0E4D0E4D0E4D)
 
 
@@ -342,15 +343,23 @@ def _summed(answers: DataFrame, kind: str) -> list[float]:
     return [x for _, x in sorted((r.k, r.x) for r in rows)]
 
 
+def shards_for(docs: DataFrame) -> int:
+    """A shard for each ``SHARD_BYTES`` that the plan reads, where that is known, and at least as many as shuffle
+    partitions: what a shard holds does not grow with the corpus."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES) if size < 1 << 50 else 0)
+
+
 def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, shards: int | None = None) -> DataFrame:
     """Learns the model and scores every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
-    score (log10). ``shards``: into how many parts the tables are cut, by default the number of shuffle partitions."""
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = fresh_folder(spark, "blocks")
+    score (log10). ``shards``: into how many parts the tables are cut, by default by the size of ``docs``."""
+    folder = fresh_folder(docs.sparkSession, "blocks")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    shards = shards or shards_for(rows)
     asked = written(rows.mapInArrow(_blocks(folder, shards, block_tokens), _ASK), "words-asked")
-    words = written(asked.groupBy("shard").applyInArrow(_merge_words, _ANSWER), "unigrams")
+    words = written(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_merge_words, _ANSWER), "unigrams")
+    dropped(asked)
     n = [*_summed(words, "unigrams"), *[0.0] * (2 * K + 4)]
     discounts = Discounts.of([int(x) for x in n[3 : K + 4]])
     in_small = n[K + 4 : 2 * K + 4]
@@ -362,8 +371,8 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
         starts[r.shard] = at
         at += int(r.n)
     answers = words.filter("kind = 'words'")
-    pairs = answers.groupBy("block").applyInArrow(_ask_pairs(folder, starts, uni, shards), _ASK)
-    bigrams = written(pairs.groupBy("shard").applyInArrow(_merge_pairs(uni), _ANSWER), "bigrams")
+    pairs = answers.repartition(shards, "block").groupBy("block").applyInArrow(_ask_pairs(folder, starts, uni, shards), _ASK)
+    bigrams = written(pairs.repartition(shards, "shard").groupBy("shard").applyInArrow(_merge_pairs(uni), _ANSWER), "bigrams")
     pair = Discounts.of([int(x) for x in [*_summed(bigrams, "bigrams"), *[0.0] * (K + 1)][: K + 1]])
     both = answers.unionByName(bigrams.filter("kind = 'pairs'"))
-    return both.groupBy("block").applyInArrow(_scored(folder, starts, uni, pair, shards), _SCORE)
+    return both.repartition(shards, "block").groupBy("block").applyInArrow(_scored(folder, starts, uni, pair, shards), _SCORE)

@@ -81,7 +81,7 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     out = out or (tag not in ("html", "body", "article", "main") and bool(names & LEFT_OUT_NAMES)) or (tag == "article" and bool(names & {"comment", "ad", "ads", "related", "promo"}))
     out = out or (tag not in ("html", "body", "article", "main") and "header" in names and not inside)
     main = inside or (not out and (tag in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"))
-    label = tag + "".join(f".{x}" for x in sorted(a.get("class", "").split())[:4]) + (f"#{a['id']}" if "id" in a else "")
+    label = tag + "".join(f".{x}" for x in sorted(set(a.get("class", "").split()))) + (f"#{a['id']}" if "id" in a else "")
     return Element(tag, f"{parent.path if parent else ''}/{label}", out, main)
 
 

@@ -7,7 +7,10 @@ of its own. A revisit keeps the headers of the response, its payload's length an
 Reading: each member must inflate with a right checksum and hold one record with a version line, a fitting length
 and a right block digest. Where a check fails, the reader looks for the next offset at which a member (or, in a
 plain file, a version line) starts a valid record, goes on from there, and logs the bytes between as a quarantined
-gap with the reason. It holds one record and a read-ahead of a megabyte in memory.
+gap with the reason. It holds one record (in a plain file one whose length ends where a record can end, so a forged length
+costs nothing) and a read-ahead of a megabyte in memory.
+
+``archived`` returns what reading the files back gives, and fails if they have a gap: no record is lost unseen.
 
 Edge cases: a null html is an empty payload; a null url is ``urn:unknown:``; a null page_id is kept (as no number) and
 never the largest unless all are null; rows with equal page_id and payload are responses all, if they have the
@@ -113,12 +116,23 @@ class _Bytes:
         self.data, self.base = self.data[at - self.base :], at
 
     def find(self, mark: bytes, at: int) -> int:
-        """Where ``mark`` next stands, within the read-ahead; raises ValueError."""
-        k = self.data.find(mark, at - self.base, at - self.base + _AHEAD)
-        if k < 0:
-            raise ValueError("header not closed")
+        """Where ``mark`` next stands; raises ValueError."""
+        begin = at
+        while (k := self.data.find(mark, begin - self.base)) < 0:
+            if self.ended:
+                raise ValueError("header not closed")
+            begin = max(at, self.base + len(self.data) - len(mark) + 1)
+            self.upto(self.base + len(self.data) + _AHEAD)
         return self.base + k
 
+    def peek(self, at: int, n: int) -> bytes:
+        """Some bytes further on, without reading what lies between."""
+        here = self.f.tell()
+        self.f.seek(at)
+        data = self.f.read(n)
+        self.f.seek(here)
+        return data
+
 
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n", re.I)
 
@@ -178,6 +192,8 @@ def _plain(b: _Bytes, at: int) -> tuple[bytes, int]:
     end = at + len(head) + int(m[1]) + 4
     if end > b.size:
         raise ValueError("record cut off")
+    if b.peek(end - 4, 4) != b"\r\n\r\n":
+        raise ValueError("length does not fit")
     b.upto(end)
     return b.data[at - b.base : end - b.base], end
 
@@ -282,7 +298,9 @@ def read_warc(files: DataFrame) -> DataFrame:
 
 def archived(pages: DataFrame, **options) -> DataFrame:
     """Writes ``pages`` and returns its records as read back."""
-    rows = read_warc(write_warc(pages, **options)).filter("type IN ('response', 'revisit')")
+    rows = read_warc(write_warc(pages, **options))
+    gap = F.raise_error(F.concat(F.lit("gap in "), "uri", F.lit(" at "), F.col("start").cast("string"), F.lit(": "), "reason"))
+    rows = rows.withColumn("type", F.when(F.col("reason").isNotNull(), gap).otherwise(F.col("type"))).filter("type IN ('response', 'revisit')")
     return rows.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 

@@ -168,6 +168,22 @@ def test_plain_files_are_salvaged_by_version_lines():
     assert [x[0] for x in found] == ["record", "gap", "record", "record"] and "digest" in found[1][3]
 
 
+def test_long_headers_and_forged_lengths():
+    parts = [zlib.decompress(x, 31) for x in archive(3)]
+    long = warc_archive.record_bytes("response", [("X-Long", "x" * 3_000_000), ("WARC-Record-ID", "<urn:page:9>")], b"block")
+    forged = b"WARC/1.1\r\ncontent-length: 2000\r\n\r\n"
+    found = salvaged(parts[0] + long + forged + parts[1] + parts[2])
+    assert [x[0] for x in found] == ["record", "record", "gap", "record", "record"] and found[2][2] - found[2][1] == len(forged)
+    assert [x[0] for x in salvaged(parts[0] + b"WARC/1.1\r\nno end" + b"y" * 3_000_000)] == ["record", "gap"]
+
+
+def test_archive_of_nulls_and_repeated_rows(spark):
+    big = "x" * 1000
+    pages = spark.createDataFrame([(None, None, big), (None, None, big), (4, "u", big), (4, "u", big), (2, "u", big), (None, None, None)], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc_archive.archived(pages).collect())
+    assert got == {(None, "revisit", 4): 2, (4, "response", None): 2, (2, "revisit", 4): 1, (None, "response", None): 1}
+
+
 def test_archive_query(spark):
     big, small = "x" * 1000, "y" * 10
     html = [None, "", small, small, big, big, big, "é" * 500, prose(1, 300_0)]
@@ -405,6 +421,33 @@ def test_classes_nest_and_broken_ones_go():
     assert page_text.equivalence_classes([list("xy"), list("yx")]) == []
 
 
+def test_classes_equal_brute_force():
+    r = np.random.default_rng(8)
+    for _ in range(400):
+        pages = [list("".join(r.choice(list("abcdefg"), r.integers(0, 9)))) for _ in range(r.integers(2, 5))]
+        if r.random() < 0.7:
+            frame = list("PQRS")[: r.integers(1, 5)]
+            pages = [[*frame[:1], *p[:2], *frame[1:2], *p[2:], *frame[2:]] for p in pages]
+        vector = lambda k: tuple(p.count(k) for p in pages)  # noqa: B023, E731
+        keys = sorted({k for p in pages for k in p if sum(n > 0 for n in vector(k)) > 1})
+        expected = set()
+        for v in {vector(k) for k in keys}:
+            own = {k for k in keys if vector(k) == v}
+            runs = [[k for k in p if k in own] for p in pages]
+            order = next(x for x in runs if x)[: len(own)]
+            if len(set(order)) == len(own) and all(x == order * n for x, n in zip(runs, v)):
+                expected.add(tuple(order))
+        assert {tuple(x) for x in page_text.equivalence_classes(pages)} == expected
+
+
+def test_pages_with_nulls_repeated_rows_and_clashing_columns(spark):
+    html = PAGE % f"<article><p>{prose(1, 9)}</p></article>"
+    rows = [(1, "http://h/", html, "t"), (1, "http://h/", html, "t"), (2, "http://h/", None, "t"), (None, None, html, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert Counter((r.page_id, r.text) for r in page_text.page_texts(pages).collect()) == {(1, prose(1, 9)): 2, (2, ""): 1, (None, prose(1, 9)): 1}
+    assert page_text.page_texts(pages.limit(0)).count() == 0
+
+
 def test_page_query(spark):
     rows = [(k, f"http://h{k % 2}/x", PAGE % f"<article><p>{prose(k, 9)}</p></article>") for k in range(40)] + [(40, None, None), (41, "odd", ""), (None, "http://h0/", "x" * 200_000)]
     got = page_text.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), group=7).collect()
@@ -575,6 +618,9 @@ def test_katz_equals_brute_force_and_sums_to_one(spark):
             assert x.base_score == pytest.approx(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t))
             assert x.score == pytest.approx(sum(math.log10(p2(a, b)) for a, b in zip(["\0", *t[:-1]], t)))
     assert katz.katz_scores(documents(spark, texts).limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (3, "a b a"), (3, "a b a")], "doc_id long, text string")
+    twice = katz.katz_scores(odd, shards=2).collect()
+    assert Counter(x.doc_id for x in twice) == {None: 1, 3: 2} and len({x.score for x in twice if x.doc_id == 3}) == 1
 
 
 # 10 Chats
