@@ -4,7 +4,7 @@ Texts are lower-cased, ASCII punctuation counts as white space, and shingles are
 text with fewer words is a single shingle of them all). For each benchmark item a window with as many shingles slides
 over every text, one word at a time. A window's 128-bit SimHash sums its shingles' bit vectors, each as often as it
 occurs; an item's is made alike. The index cuts fingerprints into eight blocks of 16 bits and lists for each block
-value the items within two bits of it; a window asks for all values within two bits of its own. Of two fingerprints
+value the items within three bits of it; a window asks for all values within one bit of its own. Of two fingerprints
 within ``RADIUS`` = 39 bits one block differs in four at most, so all of them meet. Pairs within the radius are
 verified by the exact weighted Jaccard similarity of their shingles (weight: how often a shingle occurs), which must be
 ``threshold`` or more.
@@ -39,8 +39,8 @@ from chronoflow.llm.store import Output, fresh_folder, open_input, written
 from chronoflow.llm.textkit import U64, frugal, hash_words, mix64, shingles
 
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 39
-BLOCKS, NEAR = 8, 2  # blocks of 16 bits; 2 * NEAR = RADIUS // BLOCKS
-BLOCK_ITEMS, BLOCK_WORDS = 8000, 800_000
+BLOCKS, LISTED, ASKED = 8, 3, 1  # blocks of 16 bits; LISTED + ASKED = RADIUS // BLOCKS
+BLOCK_ITEMS, BLOCK_WORDS = 2000, 400_000
 
 _BLANK = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 
@@ -79,7 +79,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-_MASKS = np.array([sum(1 << k for k in c) for r in range(NEAR + 1) for c in combinations(range(16), r)], np.uint16)
+def _masks(bits: int) -> np.ndarray:
+    """All changes of at most so many bits of a block."""
+    return np.array([sum(1 << k for k in c) for r in range(bits + 1) for c in combinations(range(16), r)], np.uint16)
+
+
+_LISTED, _ASKED = _masks(LISTED), _masks(ASKED)
 
 
 class Index:
@@ -96,10 +101,10 @@ class Index:
         self.lists = {}
         for size in set(self.size.tolist()):
             who = np.flatnonzero(self.size == size).astype(np.int32)
-            owners = np.repeat(who, len(_MASKS))
+            owners = np.repeat(who, len(_LISTED))
             self.lists[size] = []
             for k in range(BLOCKS):
-                values = (self.prints[who, k, None] ^ _MASKS).ravel()
+                values = (self.prints[who, k, None] ^ _LISTED).ravel()
                 order = np.argsort(values, kind="stable")
                 self.lists[size].append((values[order], owners[order]))
         # Which items hold a shingle: for each width, the sorted shingles and their items.
@@ -120,10 +125,10 @@ class Index:
         for low in range(0, len(prints), _SOME):
             some, found = prints[low : low + _SOME], []
             for k, (values, owners) in enumerate(self.lists[size]):
-                asked = (some[:, k, None] ^ _MASKS).ravel()
+                asked = (some[:, k, None] ^ _ASKED).ravel()
                 first = np.searchsorted(values, asked, "left")
                 n = np.searchsorted(values, asked, "right") - first
-                window = np.repeat(np.arange(len(asked)) // len(_MASKS), n)
+                window = np.repeat(np.arange(len(asked)) // len(_ASKED), n)
                 found.append(window * len(self.ids) + owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)])
             pairs = np.unique(np.concatenate(found))
             window, item = pairs // len(self.ids), pairs % len(self.ids)
