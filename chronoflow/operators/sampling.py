@@ -136,7 +136,7 @@ def ranked_ends(edges: DataFrame) -> DataFrame:
     blocks = nodes.groupBy("side", "b").agg(F.count("*").alias("n"))
     blocks = blocks.select("side", "b", (F.sum("n").over(W.partitionBy("side").orderBy("b")) - F.col("n")).alias("lo"))
     within = F.row_number().over(W.partitionBy("side", "b").orderBy("node")) - 1
-    return nodes.withColumn("_w", within).join(F.broadcast(blocks), ["side", "b"]).select("side", (F.col("lo") + F.col("_w")).alias("rank"), "node")
+    return nodes.withColumn("_w", within).join(blocks, ["side", "b"]).select("side", (F.col("lo") + F.col("_w")).alias("rank"), "node")
 
 
 def batches(edges: DataFrame, span: str, size: int = BATCH) -> DataFrame:
