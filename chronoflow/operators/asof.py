@@ -38,17 +38,17 @@ def last_before(events: DataFrame, queries: DataFrame, clock: str = "day") -> Da
     return rows.where("ev = 0").select("query_id", "last")
 
 
-def incidence(edges: DataFrame) -> DataFrame:
-    """Each edge from both its ends, numbered (rn, from 1) by node in the order of time: node, other, day, dir, rn.
-    A self-loop gives two rows. A node's incidences are one partition; hubs are the longest task."""
+def incidence(edges: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each edge from both its ends, numbered (rn, from 1) by node in the order of time: node, other, day, dir, rn, and
+    the columns ``keep`` of the edge. A self-loop gives two rows. A node's incidences are one partition; hubs are the longest task."""
     ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(0).alias("dir")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(1).alias("dir"))))
-    rows = edges.select("event_idx", "day", ends.alias("x")).select("x.*", "day", "event_idx")
+    rows = edges.select("event_idx", "day", *keep, ends.alias("x")).select("x.*", "day", "event_idx", *keep)
     return rows.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy("day", "event_idx", "dir")))
 
 
 def _cuts(inc: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, node, day and cut, the number of the node's incidences before that day."""
-    rows = inc.select("node", "day", F.lit(None).cast("long").alias("query_id"), F.lit(1).alias("ev")).unionByName(queries.select("node", "day", "query_id", F.lit(0).alias("ev")))
+    rows = inc.select("node", "day", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(1).alias("ev")).unionByName(queries.select("node", "day", "query_id", F.lit(0).alias("ev")))
     rows = rows.withColumn("cut", F.coalesce(F.sum("ev").over(past("node")), F.lit(0)))
     return rows.where("ev = 0").select("query_id", "node", "day", "cut")
 
@@ -70,9 +70,10 @@ def spread_neighbors(inc: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _taken(at: DataFrame, inc: DataFrame) -> DataFrame:
-    side = inc.select("node", F.col("rn").cast("long").alias("rn"), "other", F.col("day").alias("eday"), "dir")
+    kept = [c for c in inc.columns if c not in ("node", "rn", "other", "day", "dir", "event_idx")]
+    side = inc.select("node", F.col("rn").cast("long").alias("rn"), "other", F.col("day").alias("eday"), "dir", *kept)
     rows = at.withColumn("rn", F.col("rn").cast("long")).join(side, ["node", "rn"])
-    return rows.select("query_id", (F.col("cut") - F.col("rn") + 1).alias("pos"), "other", (F.col("day") - F.col("eday")).alias("dt"), "dir", "eday")
+    return rows.select("query_id", (F.col("cut") - F.col("rn") + 1).alias("pos"), "other", (F.col("day") - F.col("eday")).alias("dt"), "dir", "eday", *kept)
 
 
 def hops(inc: DataFrame, queries: DataFrame, k: int, depth: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from chronoflow.functions.losses import bce, hinge, huber
 from chronoflow.functions.vectors import logsumexp, negated_recency, time_encoding
-from chronoflow.operators import asof, daily, features as feat, graph, memory, metrics, ranking, sampling, scorer
+from chronoflow.operators import asof, daily, features as feat, graph, graphnet, memory, metrics, ranking, sampling, scorer
 from chronoflow.operators.scorer import labelled
 from chronoflow.plans import views
 from chronoflow.plans.views import ASSETS, edges, edges_sql, table, transfers
@@ -972,6 +972,76 @@ def fitted_perceptron(spark, d):
     return _fitted(spark, d, (16, 16))
 
 
+@query()
+def day_split_logistic(spark, d):
+    """A scorer fitted on the test days up to the median one and held against the later ones, over all their pairs and
+    those that the first part does not have. Each positive has a drawn negative with the same source and day."""
+    e = edges(spark, d, "party")
+    neg = sampling.uniform_targets(e, n_nodes(e), SEED).join(e.where("split = 'test'").select("event_idx"), "event_idx")
+    t = e.where("split = 'test'").select("event_idx", "src", "dst", "day")
+    pairs = labelled(t, neg.select("event_idx", "src", F.col("neg_dst").alias("dst"), "day")).withColumn("query_id", F.col("event_idx") * 2 + F.col("y"))
+    middle = t.select("day").distinct().agg(F.expr("percentile(day, 0.5)").alias("m"))
+    pairs = cut(pairs.crossJoin(F.broadcast(middle)).withColumn("early", F.col("day") <= F.col("m")).drop("m"))
+    known = pairs.where("early AND y = 1").select("src", "dst", F.lit(True).alias("known")).distinct()
+    columns = ["dst_freq", "dst_freq30", "dst_recency", "pair_freq", "src_freq"]
+    asked = pairs.select("query_id", F.col("src").alias("s"), F.col("dst").alias("d"), "day")
+    f = cut(feat.features(plain(e), asked, tuple(columns)).join(pairs.join(known, ["src", "dst"], "left").select("query_id", "early", "known", "y"), "query_id"))
+    late = cut(scorer.scored(scorer.fit(f.where("early"), columns, seed=SEED), f.where("NOT early")))
+    every, novel = late.withColumn("stratum", F.lit("all")), late.where("known IS NULL").withColumn("stratum", F.lit("novel"))
+    return rounded(metrics.auroc(every.unionByName(novel), ["stratum"]))
+
+
+# Graph networks with weights drawn from a seed; tested against a walk node by node
+
+NET = graphnet.Shape(dim=8, edge=3, heads=2, layers=2, stack=1, k=10, k_inner=5, head="bilinear", memory=True)
+PLAIN_NET = graphnet.Shape(dim=8, edge=3, heads=2, layers=2, k=5, memory=False)
+
+
+def _net_edges(spark, d):
+    e = edges(spark, d, "activity")
+    amounts = F.log1p(F.greatest(F.col("usd_sum").cast("double"), F.lit(0.0)))
+    return e.select("event_idx", "src", "dst", "day", "split", F.array(amounts, F.log1p(F.col("txn").cast("double"))).alias("feat"))
+
+
+def _net_days(e):
+    """Every node on every day with a test edge."""
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return with_all(e.where("split = 'test'").select("day").distinct(), nodes, "node")
+
+
+@query()
+def memory_states(spark, d):
+    """The state of each node after each of its days."""
+    e = _net_edges(spark, d)
+    return graphnet.memory_log(e, graphnet.random_weights(NET, SEED), NET).select("node", "clock", F.transform("h", lambda x: F.round(x, 6)).alias("h"))
+
+
+@query()
+def node_embeddings(spark, d):
+    """All nodes on all test days, by attention over two hops and memory."""
+    e, w = _net_edges(spark, d), graphnet.random_weights(NET, SEED)
+    z = graphnet.embeddings(asof.incidence(e, ("feat",)), _net_days(e), w, NET, graphnet.memory_log(e, w, NET))
+    return z.select("node", "day", F.transform("h", lambda x: F.round(x, 6)).alias("h"))
+
+
+def _net_ranks(spark, d, shape):
+    e, w = _net_edges(spark, d), graphnet.random_weights(shape, SEED)
+    t = e.where("split = 'test'").select("event_idx", "src", "dst", "day")
+    log = graphnet.memory_log(e, w, shape) if shape.memory else None
+    z = graphnet.embeddings(asof.incidence(e, ("feat",)), _net_days(e), w, shape, log)
+    return graphnet.full_ranks(t, cut(graphnet.candidate_scores(t, z, w, shape)))
+
+
+@query()
+def memory_net_ranking(spark, d):
+    return _net_ranks(spark, d, NET)
+
+
+@query()
+def attention_net_ranking(spark, d):
+    return _net_ranks(spark, d, PLAIN_NET)
+
+
 @query(f"WITH {edges_sql('activity')}, {_RAW} SELECT query_id, {', '.join(f'{_COLUMN_SQL[c]} AS {c}' for c in feat.BASE4)} {_FROM}")
 def streaming_replay(spark, d):
     """The test queries answered by the stream, a file a day, from what came before."""
