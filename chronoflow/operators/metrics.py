@@ -10,19 +10,46 @@ def _by_score(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
 
 
+STEPS = 4096  # blocks of scores between a power of two and the next
+
+
+def _block(score):
+    """A number that does not fall as the score rises: its sign, power of two and step above that. Null stays null, and
+    NaN is above all, as in Spark's order."""
+    x = score.cast("double")
+    power = F.least(F.floor(F.log2(F.abs(x))), F.lit(1025))
+    step = F.floor(F.abs(x) / F.pow(F.lit(2.0), power) * STEPS)
+    place = F.signum(x).cast("long") * ((power + 1100) * 4 * STEPS + step)
+    return F.when(F.isnan(x), F.lit((1 << 63) - 1)).when(x == 0, F.lit(0)).otherwise(place).cast("long")
+
+
+def _cumulated(scores: DataFrame, keys: list[str], down: bool = False) -> DataFrame:
+    """The distinct scores with p and n, both summed up to each score (to_p, to_n) and over all (all_p, all_n). Without
+    keys the scores are ordered in blocks and only the blocks' sums in one task: at most ``STEPS`` an octave of scores."""
+    b, far = _by_score(scores, keys), (W.unboundedPreceding, 0)
+    order = lambda c: F.desc(c) if down else F.asc(c)
+    if keys:
+        to, every = W.partitionBy(*keys).orderBy(order("score")).rowsBetween(*far), W.partitionBy(*keys)
+        return b.withColumns({f"to_{c}": F.sum(c).over(to) for c in "pn"} | {f"all_{c}": F.sum(c).over(every) for c in "pn"})
+    b = b.withColumn("_block", _block(F.col("score")))
+    to = W.orderBy(order("_at")).rowsBetween(*far)
+    blocks = b.groupBy(F.col("_block").alias("_at")).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    blocks = blocks.withColumns({f"before{c}": F.sum(c).over(to) - F.col(c) for c in ("_p", "_n")} | {f"all{c}": F.sum(c).over(W.partitionBy()) for c in ("_p", "_n")})
+    inside = W.partitionBy("_block").orderBy(order("score")).rowsBetween(*far)
+    b = b.withColumns({f"in_{c}": F.sum(c).over(inside) for c in "pn"}).join(blocks, F.col("_block").eqNullSafe(F.col("_at")))
+    return b.select("score", "p", "n", *[(F.col(f"before_{c}") + F.col(f"in_{c}")).alias(f"to_{c}") for c in "pn"], "all_p", "all_n")
+
+
 def auroc(scores: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """The area under the ROC curve, ties counted half; null without both kinds."""
-    b = _by_score(scores, keys)
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    b = b.withColumn("w", F.col("p") * (below + F.col("n") / 2.0))
+    b = _cumulated(scores, keys).withColumn("w", F.col("p") * (F.col("to_n") - F.col("n") / 2.0))
     return b.groupBy(*keys).agg(F.try_divide(F.sum("w"), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"))
 
 
 def average_precision(scores: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Precision summed over the steps of recall, read at the end of each block of ties."""
-    down = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    b = _by_score(scores, keys).withColumns({"tp": F.sum("p").over(down), "all": F.sum(F.col("p") + F.col("n")).over(down)})
-    return b.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p").cast("double")).alias("ap"))
+    b = _cumulated(scores, keys, down=True)
+    return b.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * F.col("to_p") / (F.col("to_p") + F.col("to_n"))), F.sum("p").cast("double")).alias("ap"))
 
 
 def batch_auroc(scores: DataFrame, keys: list[str] = [], clock: str = "clock") -> DataFrame:  # noqa: B006
@@ -48,10 +75,8 @@ def rank_metrics(ranks: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa:
 
 def youden(scores: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """The threshold with the largest true less false positive rate, read at the ends of ties (largest if equal)."""
-    down = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    b = _by_score(scores, keys)
-    b = b.withColumn("j", F.sum("p").over(down) / F.sum("p").over(whole) - F.sum("n").over(down) / F.sum("n").over(whole))
+    b = _cumulated(scores, keys, down=True)
+    b = b.withColumn("j", F.try_divide("to_p", "all_p") - F.try_divide("to_n", "all_n"))
     return b.groupBy(*keys).agg(F.max(F.struct("j", "score")).alias("m")).select(*keys, F.col("m.score").alias("threshold"), F.col("m.j").alias("j"))
 
 

@@ -125,6 +125,20 @@ def test_auroc_and_ap(spark):
     assert metrics.average_precision(score(spark, [1, 1, 0, 0], [1, 0, 1, 0])).first()[0] == 0.5
 
 
+def test_blocks_of_scores(spark):
+    draw = random.Random(3)
+    odd = [0.0, -0.0, 1.0, -1.0, 2.0, 5e-324, -5e-324, 2.2e-308, 1.8e308, -1.8e308, float("inf"), float("-inf"), float("nan"), 4095 / 4096, 1 - 2**-53, 1 + 2**-52]
+    values = odd + [x * k for x in (draw.random() for _ in range(300)) for k in (1.0, -1.0, 1e-9, 1e6)] + [2.0**k for k in range(-40, 40)]
+    df = score(spark, [draw.random() < 0.4 for _ in values], values).unionByName(score(spark, [1, 0, 1], [0.5] * 3))
+    df = df.unionByName(spark.createDataFrame([(1, None), (0, None)], df.schema)).withColumn("k", F.lit(1))
+    rows = df.select("score", metrics._block(F.col("score")).alias("b")).orderBy("score").collect()
+    known = [r.b for r in rows if r.score is not None]
+    assert known == sorted(known) and all(r.b is None for r in rows if r.score is None) and len(set(known)) > 1000
+    for f, c in ((metrics.auroc, "auroc"), (metrics.average_precision, "ap"), (metrics.youden, "j"), (metrics.youden, "threshold")):
+        assert f(df.drop("k")).first()[c] == pytest.approx(f(df, ["k"]).first()[c], rel=1e-12, nan_ok=True), c
+    assert metrics.youden(score(spark, [1, 1], [0.5, 0.1])).first()["j"] is None
+
+
 def test_batch_auroc(spark):
     rows = [(k // 2, 1, s) for k, s in enumerate([2.0, 2.0, 0.0, 0.0])] + [(k // 2, 0, 1.0) for k in range(4)]
     df = spark.createDataFrame(rows, "clock long, y int, score double")
