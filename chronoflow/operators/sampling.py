@@ -35,7 +35,8 @@ def _first(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def nth_allowed(n: Column, left_out: Column) -> Column:
-    """The n-th (from 0) whole number from 0 that is not among ``left_out``, distinct numbers from 0."""
+    """The n-th (from 0) whole number from 0 that is not among ``left_out``, distinct numbers from 0. The optimizer may
+    ask this of rows that a filter is about to drop, so callers take n by ``try_mod``; a null n gives null."""
     return F.aggregate(F.sort_array(left_out), n.cast("long"), lambda at, x: F.when(x <= at, at + 1).otherwise(at))
 
 
@@ -50,7 +51,7 @@ def uniform_targets(edges: DataFrame, n_nodes: DataFrame, seed: int, label: str
     rest = slots.join(found, "event_idx", "left_anti").join(edges.select("src", "day", "dst"), ["src", "day"])
     rest = rest.groupBy("event_idx", "src", "day").agg(F.collect_set("dst").alias("x")).withColumn("x", F.array_union("x", F.array("src"))).crossJoin(n)
     rest = rest.withColumn("free", F.col("n_nodes") - F.size("x")).where("free > 0")
-    place = hash_int(seed, label, F.col("event_idx"), F.lit("rest")) % F.col("free")
+    place = F.try_mod(hash_int(seed, label, F.col("event_idx"), F.lit("rest")), F.col("free"))
     return found.unionByName(rest.select("event_idx", "src", nth_allowed(place, F.col("x")).alias("neg_dst"), "day"))
 
 
@@ -67,9 +68,9 @@ def unseen_pairs(slots: DataFrame, edges: DataFrame, n_nodes: DataFrame, seed: i
     met = pairs.where("src <> dst").groupBy("src").agg(F.collect_list("dst").alias("x"))
     full = met.crossJoin(n).where(F.size("x") == F.col("n_nodes") - 1).agg(F.collect_list("src").alias("full"))
     rest = slots.join(found, list(keys), "left_anti").crossJoin(n).crossJoin(F.broadcast(full)).where("n_nodes > 1 AND n_nodes > size(full)")
-    rest = rest.withColumn("src", nth_allowed(hash_int(seed, label, "s", *own, F.lit("rest")) % (F.col("n_nodes") - F.size("full")), F.col("full")))
+    rest = rest.withColumn("src", nth_allowed(F.try_mod(hash_int(seed, label, "s", *own, F.lit("rest")), F.col("n_nodes") - F.size("full")), F.col("full")))
     rest = rest.join(met, "src", "left").withColumn("x", F.array_append(F.coalesce("x", F.array().cast("array<bigint>")), F.col("src")))
-    place = hash_int(seed, label, "d", *own, F.lit("rest")) % (F.col("n_nodes") - F.size("x"))
+    place = F.try_mod(hash_int(seed, label, "d", *own, F.lit("rest")), F.col("n_nodes") - F.size("x"))
     return found.unionByName(rest.select(*keys, "day", "src", nth_allowed(place, F.col("x")).alias("dst")))
 
 
