@@ -59,6 +59,11 @@ def features(events: DataFrame, queries: DataFrame, columns: tuple[str, ...] = W
             r = r.join(degrees(events, queries.select("query_id", F.col(end).alias("node"), "day")).withColumnRenamed("deg", f"n_{name}"), "query_id")
     if "rec_rank" in columns:
         r = r.join(partner_ranks(events, queries), "query_id")
+    return shaped(r, columns)
+
+
+def shaped(r: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """query_id and the named features from the raw counts and last days before each query's day."""
     day = F.col("day")
     flag = lambda c: F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0)
     since = lambda c: F.coalesce(ln1(day - F.col(c)), F.lit(0.0))

@@ -13,8 +13,8 @@ from chronoflow.operators.scorer import labelled
 from chronoflow.plans import views
 from chronoflow.plans.views import ASSETS, edges, edges_sql, table, transfers
 from chronoflow.sources import transfers as source
-from chronoflow.sources.shared import cut, cut_folder
-from chronoflow.streaming import replay
+from chronoflow.sources.shared import cut, cut_folder, drop
+from chronoflow.streaming import keyed, replay
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -1042,20 +1042,38 @@ def attention_net_ranking(spark, d):
     return _net_ranks(spark, d, PLAIN_NET)
 
 
-@query(f"WITH {edges_sql('activity')}, {_RAW} SELECT query_id, {', '.join(f'{_COLUMN_SQL[c]} AS {c}' for c in feat.BASE4)} {_FROM}")
-def streaming_replay(spark, d):
-    """The test queries answered by the stream, a file a day, from what came before."""
+def _ticks(spark, d):
+    """A folder with the edges and the test queries as files, one a day; days before the first query are one file."""
     e = edges(spark, d, "activity")
     root = cut_folder(spark)
     days = [x.day for x in e.select("day").distinct().orderBy("day").collect()]  # the calendar
     rows = e.select(F.col("event_idx").alias("query_id"), F.col("src").alias("s"), F.col("dst").alias("d"), "day")
     rows = rows.withColumn("is_query", F.lit(False)).unionByName(rows.join(e.where("split = 'test'").select(F.col("event_idx").alias("query_id")), "query_id").withColumn("is_query", F.lit(True)))
     rows = cut(rows)
-    # Days before the first query come as one file.
     first = e.where("split = 'test'").agg(F.min("day")).first()[0]
     ticks = [rows.where(F.col("day") < first), *[rows.where(F.col("day") == x) for x in days if x >= first]]
     for tick in ticks:
         tick.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    drop(rows)
+    return root
+
+
+def _stream_sql(columns):
+    return f"WITH {edges_sql('activity')}, {_RAW} SELECT query_id, {', '.join(f'{_COLUMN_SQL[c]} AS {c}' for c in columns)} {_FROM}"
+
+
+@query(_stream_sql(feat.BASE4))
+def streaming_replay(spark, d):
+    """The test queries answered by the stream, a file a day, from what came before."""
+    root = _ticks(spark, d)
     r = replay.Replay(spark, root)
     r.start(f"{root}/in").awaitTermination()
     return rounded(r.answers())
+
+
+@query(_stream_sql(keyed.COLUMNS))
+def streaming_keyed(spark, d):
+    """The test queries answered from keyed state, a file a day."""
+    root = _ticks(spark, d)
+    keyed.start(spark.readStream.schema(replay.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root).awaitTermination()
+    return rounded(keyed.answers(spark.read.schema(keyed.PART).parquet(f"{root}/parts"), keyed.COLUMNS).drop("late"))
