@@ -264,8 +264,9 @@ def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def digests(spans: DataFrame) -> DataFrame:
-    """The digest columns of ``pii_spans``: counts (base spans), base_sha256 and spans as text, n_added."""
+    """The digest columns of ``pii_spans``: counts (base spans), base_sha256 and spans as text, n_added, and
+    n_spans, all spans of all kinds, disguised ones included: a document without personal data has 0."""
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])
     counts = [F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]  # noqa: B023
-    return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+    return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))

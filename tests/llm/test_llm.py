@@ -121,7 +121,7 @@ def test_prose_has_no_disguised_spans():
 def test_pii_query(spark):
     df = pii_spans.digests(pii_spans.pii_spans(documents(spark, [*ODD, "a@b.c and a (at) b (dot) c"])))
     last = df.where("doc_id = 8").first()
-    assert (last.n_email, last.n_added, last.spans) == (1, 1, "email:0:5,email:10:26")
+    assert (last.n_email, last.n_added, last.n_spans, last.spans) == (1, 1, 2, "email:0:5,email:10:26")
     assert last.base_sha256 == hashlib.sha256(b"email:0:5").hexdigest()
     assert df.count() == 9 and df.where("base_sha256 = sha2('', 256)").count() == 8
     assert pii_spans.masked(documents(spark, ["a@b.c x"])).first().text == "<email> x"
