@@ -90,7 +90,7 @@ def from_pool(clocks: DataFrame, pool: DataFrame, positives: DataFrame, seed: in
     few = c.where(whole).withColumn("pos", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
     few = few.select("clock", "need", "pos", hash_key(seed, label, F.col("clock"), F.col("pos")).alias("ord"))
     many = _attempts(c.where(~whole).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1))), DRAWS)
-    place = F.col("lo") + hash_int(seed, label, F.col("clock"), F.col("i"), F.col("attempt")) % size
+    place = F.col("lo") + F.try_mod(hash_int(seed, label, F.col("clock"), F.col("i"), F.col("attempt")), size)
     many = many.select("clock", "need", place.alias("pos"), F.concat(F.lpad(F.col("attempt").cast("string"), 2, "0"), F.lpad(F.col("i").cast("string"), 12, "0")).alias("ord"))
     r = few.unionByName(many).groupBy("clock", "need", "pos").agg(F.min("ord").alias("ord"))
     r = r.join(pool.select("pos", "src", "dst"), "pos").join(positives.select("clock", "src", "dst"), ["clock", "src", "dst"], "left_anti")
@@ -125,7 +125,7 @@ def _allowed_target(slots: DataFrame, positives: DataFrame, ends: DataFrame, see
     taken = positives.join(targets, "dst").groupBy("clock", "src").agg(F.collect_set("rank").alias("x"))
     r = slots.join(taken, ["clock", "src"], "left").withColumn("x", F.coalesce("x", F.array().cast("array<bigint>")))
     r = r.crossJoin(F.broadcast(targets.agg(F.count("*").alias("n")))).where(F.col("n") > F.size("x"))
-    place = hash_int(seed, *label, F.col("clock"), F.col("k")) % (F.col("n") - F.size("x"))
+    place = F.try_mod(hash_int(seed, *label, F.col("clock"), F.col("k")), F.col("n") - F.size("x"))
     return r.withColumn("rank", nth_allowed(place, F.col("x"))).join(targets, "rank").drop("x", "n", "rank")
 
 
@@ -232,7 +232,7 @@ def mixture(edges: DataFrame, n_nodes: DataFrame, seed: int, hard: float = 0.5,
     sources = sources.withColumn("mine", F.coalesce(F.sum("ev").over(W.partitionBy("src").orderBy("day").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))).where("ev = 0").select("event_idx", "mine")
     r = _attempts(q.join(sources, "event_idx", "left"), DRAWS)
     h = hash_int(seed, F.col("branch"), F.col("event_idx"), F.col("attempt"))
-    at = lambda b, lo, hi: r.where((F.col("branch") == b) & (hi > lo)).withColumn("pos", lo + h % (hi - lo)).select("event_idx", "src", "day", "branch", "attempt", "pos")
+    at = lambda b, lo, hi: r.where((F.col("branch") == b) & (hi > lo)).withColumn("pos", lo + F.try_mod(h, hi - lo)).select("event_idx", "src", "day", "branch", "attempt", "pos")
     zero = F.lit(0).cast("long")
     own_pairs = at("source", zero, F.col("mine")).join(mine.select("src", F.col("own").alias("pos"), "dst"), ["src", "pos"]).select("event_idx", "day", "branch", "attempt", "src", "dst")
     seen_pairs = at("global", zero, F.col("upto")).unionByName(at("novel", F.col("older"), F.col("upto"))).drop("src").join(pool.select("pos", "src", "dst"), "pos").select("event_idx", "day", "branch", "attempt", "src", "dst")

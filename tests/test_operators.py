@@ -245,3 +245,13 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="would read"):
         source.run_query(spark, "SELECT * FROM tx", max_gb=-1)
     assert source.tables(spark).where("table_name = 'tx'").count() == 6
+
+
+@pytest.mark.parametrize("strategy", ("random", "historical"))
+@pytest.mark.parametrize("rows, filled", [([(0, 5, 1)] * 3, 0), ([(0, 5, 0), (0, 5, 1), (0, 6, 1), (0, 7, 1)], 0), ([(0, 5, 0), (0, 6, 1), (1, 5, 1)], 2)])
+def test_batches_in_which_a_source_meets_all_targets(spark, strategy, rows, filled):
+    """Slots to which nothing is allowed stay empty; the others are filled, and nothing ends the query."""
+    ahead = sum(day == 0 for *_, day in rows)
+    got = sampling.batch_negatives(edge_table(spark, rows, ahead, ahead), strategy, 7).collect()
+    assert not {(x.src, x.dst) for x in got} & {(s, d) for s, d, day in rows if day == 1}
+    assert len(got) == filled
