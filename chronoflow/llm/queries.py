@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoflow.llm import chat_format, decontaminate, katz, mix_sources, near_dedup, page_text, pii_spans, point_in_time, quality_lines, token_records, warc_archive
+from chronoflow.llm import chat_format, decontaminate, katz, mix_sources, near_dedup, page_text, periodic_runs, pii_spans, point_in_time, quality_lines, token_records, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.repeated_ends(table(spark, sf_dir, "documents"))))
+
+
 def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return point_in_time.point_in_time(*[table(spark, sf_dir, name) for name in ("clicks", "sales", "sale_lines")])
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_katz": op9_katz,
     "op10_chat_format": op10_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_point_in_time": op12_point_in_time,
 }
 
