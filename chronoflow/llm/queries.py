@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoflow.llm import chat_format, decontaminate, katz, mix_sources, near_dedup, page_text, periodic_runs, pii_spans, point_in_time, quality_lines, token_records, warc_archive
+from chronoflow.llm import chat_format, decontaminate, katz, mix_sources, near_dedup, page_text, periodic_runs, pii_spans, point_in_time, quality_lines, substring_dedup, token_records, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return point_in_time.point_in_time(*[table(spark, sf_dir, name) for name in ("clicks", "sales", "sale_lines")])
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii_spans": op1_pii_spans,
     "op2_warc_archive": op2_warc_archive,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_point_in_time": op12_point_in_time,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL = {
