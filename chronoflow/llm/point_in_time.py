@@ -30,8 +30,8 @@ WINDOWS = (2, 14)
 HORIZON = 7
 DELAY = 240 * 60_000_000
 SPREAD = 259_200
-CHUNK = 400_000
-CLICK, SALE, LINE, ITEM, LABEL, QUERY = range(6)
+CHUNK = 300_000
+CLICK, SALE, LINE, ITEM, LABEL, QUERY = range(6)  # sales last
 FIRST = -(1 << 62)  # before all times
 LARGEST = 9e13
 POINT = "client long, t long, m int, sign int, lo int, hi int, n long, n2 long, cents long, ts long, id long"
@@ -49,21 +49,24 @@ def cents(name: str) -> Column:
 
 
 def dealt(rows: DataFrame, *order: str, size: int = 0) -> DataFrame:
-    """The rows of a written table in chunks of about ``size``, each a range of ``order``: chunk is its number. Rows
-    equal in ``order`` are in one chunk."""
-    parts = -(-rows.count() // (size or CHUNK))
-    return written(rows.repartitionByRange(max(1, parts), *order).withColumn("chunk", F.spark_partition_id()), "chunks")
+    """The rows in chunks of at most ``size``, each a stretch of the rows in ``order``: chunk is its number."""
+    ids = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
+    within = F.floor(F.col("_n").bitwiseAND((1 << 33) - 1) / (size or CHUNK))
+    return written(ids.withColumn("chunk", F.shiftleft(F.shiftright("_n", 33), 33) + within).drop("_n"), "chunks")
 
 
 def carried(chunks: DataFrame, keys: list[str], sides: list[str], aggregates: dict[str, tuple]) -> DataFrame:
     """For each chunk after the first of a key that spans several: the aggregates over the key's earlier chunks, by
-    ``sides`` too. ``aggregates``: name -> (of rows, of aggregates)."""
+    ``sides`` too. ``aggregates``: name -> (of rows, of aggregates). Rows are added up by chunk before anything else, so a
+    key with many rows is as many rows here as it has chunks."""
     ends = chunks.groupBy(*keys).agg(F.min("chunk").alias("_a"), F.max("chunk").alias("_z")).where("_a < _z")
-    part = chunks.join(ends, keys, "left_semi").groupBy(*keys, *sides, "chunk").agg(*[f(c).alias(c) for c, (f, _) in aggregates.items()])
-    grid = part.select(*keys, *sides).distinct().join(ends, keys).withColumn("chunk", F.explode(F.sequence("_a", "_z"))).drop("_a", "_z")
+    part = chunks.groupBy(*keys, *sides, "chunk").agg(*[f(c).alias(c) for c, (f, _) in aggregates.items()])
+    part = written(part.join(ends, keys, "left_semi"), "totals")
+    own = part.select(*keys, "chunk").distinct()
+    grid = part.select(*keys, *sides).distinct().join(own, keys)
     before = W.partitionBy(*keys, *sides).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    own = [*keys, *sides, "chunk"]
-    full = grid.join(part, own, "left").select(*own, *[f(c).over(before).alias(c) for c, (_, f) in aggregates.items()])
+    names = [*keys, *sides, "chunk"]
+    full = grid.join(part, names, "left").select(*names, *[f(c).over(before).alias(c) for c, (_, f) in aggregates.items()])
     return full.where(" OR ".join(f"{c} IS NOT NULL" for c in aggregates))
 
 
@@ -128,9 +131,7 @@ def item_points(lines: DataFrame, windows: tuple[int, ...]) -> tuple[DataFrame,
     ends = [F.when(F.col("start") < F.col("time") + d * DAY, F.col("time") + d * DAY).otherwise(FIRST).alias(f"end{k}") for k, d in enumerate(windows)]
     # Of the lines of one sale and item only the first start matters.
     rows = lines.where("item IS NOT NULL").groupBy("client", "item", "time").agg(F.min("start").alias("start"))
-    rows = written(rows.select("client", "item", "start", *ends), "items")
-    chunks = dealt(rows, "client", "item", "start")
-    dropped(rows)
+    chunks = dealt(rows.select("client", "item", "start", *ends), "client", "item", "start")
     names = [f"end{k}" for k in range(len(windows))]
     base = carried(chunks, ["client", "item"], [], {c: (F.max, F.max) for c in names})
     both = chunks.unionByName(base.select("client", "item", F.lit(FIRST).alias("start"), *names, "chunk"))
@@ -218,10 +219,9 @@ def point_in_time(clicks: DataFrame, sales: DataFrame, sale_lines: DataFrame, wi
     lines = lines.groupBy("client", "t", "m", "sign", "lo", "hi").agg(*[F.sum(c).alias(c) for c in ("n", "n2", "cents")], F.max("ts").alias("ts"), F.max("id").alias("id"))
     items, stretches = item_points(line, windows)
     points = click_points(clicks, windows).unionByName(sold).unionByName(labels).unionByName(lines).unionByName(items).unionByName(queries)
-    points = written(points, "points")
+    # Points come before the sales of their moment, as a chunk may end there.
+    chunks = dealt(points, "client", "t", "m")
     dropped(line, stretches)
-    chunks = dealt(points, "client", "t")
-    dropped(points)
     latest = F.max(F.when((F.col("m") == CLICK) & (F.col("sign") == 1), F.struct("ts", "id")))
     base = carried(chunks.where(F.col("m") != QUERY), ["client"], ["m", "sign", "lo", "hi"], {c: (F.sum, F.sum) for c in ("n", "n2", "cents")} | {"latest": (lambda _: latest, F.max)})
     base = base.select("client", F.lit(FIRST).alias("t"), "m", "sign", "lo", "hi", "n", "n2", "cents", F.col("latest.ts").alias("ts"), F.col("latest.id").alias("id"), "chunk")
