@@ -7,6 +7,13 @@ not matter and queries never advance state.
 
 Late events count for all later queries, however late they are. A late query is answered too, unless its longest window
 reaches days that its key has folded: then it is marked late, with null features. A query that comes in time never is.
+
+Degrees and ranks need more than one key and go through two states, one behind the other. The state of a pair of nodes is
+its last day in each direction; what an event changes there (a first contact, a partner's last day that moves) becomes a
+row for each of its nodes, summed up before it is dealt again. The state of a node is the number of its partners by their
+last day, as long as the calendar, and its degrees. So a hub's state does not hold its partners, and a tick brings it as
+many rows as there are days and tasks, not events. These columns are null for a query that comes behind a later event of
+its pair or of one of its nodes.
 """
 
 from __future__ import annotations
@@ -17,15 +24,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, ValueState
 
 from chronoflow.operators.features import BASE4, shaped
 
 WINDOWS = (7, 30, 90)
 KEEP = max(WINDOWS)
 STATE = "days array<int>, counts array<long>, folded long, folded_first int, folded_last int"
-PART = "query_id long, kind string, day int, first int, last int, n long, n7 long, n30 long, n90 long, late boolean"
-# What a pair, a source and a target can answer; degrees and ranks need more than one key and stay with ``Replay``.
+PART = "query_id long, kind string, day int, first int, last int, n long, n7 long, n30 long, n90 long, late boolean, deg long, partners long, later long"
+CONTACT = "node long, kind string, day int, bucket int, n long, query_id long"
+# What a pair, a source and a target can answer, and what goes by contacts and ranks.
+CONTACTS = ("deg_s", "deg_c", "out_deg_s", "in_deg_c", "rec_rank", "n_partners_s")
 COLUMNS = (*BASE4, "src_seen", "src_recency", "src_freq", "dst_freq", "dst_freq30", "pair_freq", "pair_age", "dst_freq7", "dst_freq90", "src_freq30", "dt_1", "dt_2", "dt_7")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,10 +46,10 @@ def by_key(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(*keys)).alias("k"), "query_id", "day", "is_query").select("k.kind", "k.key", "query_id", "day", "is_query")
 
 
-def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: ValueState) -> Iterator[pd.DataFrame]:
     """One tick of one key: its events join the state, its queries are answered. A key's rows come in chunks, of which only
     the queries' ids and days are held."""
-    days, counts, folded, first, last = state.get if state.exists else ([], [], 0, None, None)
+    days, counts, folded, first, last = state.get() if state.exists() else ([], [], 0, None, None)
     known, asked = dict(zip(days, counts)), []
     grew = False
     for rows in chunks:
@@ -79,32 +88,148 @@ def _answers(kind: str, q: np.ndarray, known: dict[int, int], folded: int, first
     back = {f"n{w}": pd.array(sums[before] - sums[np.searchsorted(days, q[:, 1] - w)], "Int64") for w in WINDOWS}
     blank = lambda a, keep: pd.array(np.where(keep, a, 0), "Int64").copy()
     out = pd.DataFrame({"query_id": q[:, 0], "kind": kind, "day": q[:, 1].astype(np.int32), "first": blank(lowest, some), "last": blank(highest, some), "n": pd.array(total, "Int64"), **back, "late": late})
+    for c in ("deg", "partners", "later"):
+        out[c] = pd.array([pd.NA] * len(out), "Int64")
     out.loc[~some, ["first", "last"]] = pd.NA
     out.loc[late, ["first", "last", "n", *back]] = pd.NA
     return out.astype({"first": "Int32", "last": "Int32"})
 
 
-def parts(stream: DataFrame) -> DataFrame:
+def met(key: tuple, chunks: Iterator[pd.DataFrame], state: ValueState) -> Iterator[pd.DataFrame]:
+    """One tick of two nodes (the smaller one first): what its events change for each of them, and its queries, with the
+    pair's last day, for the ends. Days go in order, a day's queries before its events."""
+    forth, back = state.get() if state.exists() else (None, None)
+    last, changed = {True: forth, False: back}, False
+    out: list[tuple] = []
+    newest = max([x for x in (forth, back) if x is not None], default=None)
+    rows = pd.concat(list(chunks)).sort_values(["day", "is_query"], ascending=[True, False])
+    for s, d, day, query_id, is_query in rows[["s", "d", "day", "query_id", "is_query"]].itertuples(index=False):
+        way, mine = bool(s <= d), last[bool(s <= d)]
+        if is_query:
+            late = newest is not None and newest >= day
+            out += [(s, "ask_s", day, mine, int(late), query_id), (d, "ask_c", day, None, int(late), query_id)]
+            continue
+        if mine is None and (s == d or last[not way] is None):
+            out += [(x, "deg", day, None, 1, None) for x in dict.fromkeys((s, d))]
+        if mine is None:
+            out.append((d, "in", day, None, 1, None))
+        elif day > mine:
+            out.append((s, "out", day, mine, -1, None))
+        if mine is None or day > mine:
+            out.append((s, "out", day, day, 1, None))
+            last[way], changed = day, True
+    if changed:
+        state.update((last[True], last[False]))
+    if out:
+        yield pd.DataFrame(out, columns=["node", "kind", "day", "bucket", "n", "query_id"]).astype({"node": "int64", "day": "int32", "bucket": "Int32", "n": "int64", "query_id": "Int64"})
+
+
+def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Changes of one node, day and bucket as one row; queries as they are."""
+    for rows in batches:
+        asks = rows[rows["query_id"].notna()]
+        moves = rows[rows["query_id"].isna()].groupby(["node", "kind", "day", "bucket"], dropna=False, as_index=False)["n"].sum()
+        yield asks
+        yield moves[moves["n"] != 0].assign(query_id=pd.array([pd.NA] * int((moves["n"] != 0).sum()), "Int64"))[list(rows.columns)]
+
+
+def ranked(key: tuple, chunks: Iterator[pd.DataFrame], state: ValueState) -> Iterator[pd.DataFrame]:
+    """One tick of a node: the changes join its state, its queries are answered as of their days."""
+    days, counts, deg, into, newest = state.get() if state.exists() else ([], [], 0, 0, None)
+    moves, asks = [], []
+    for rows in chunks:
+        q = rows["query_id"].notna()
+        moves.append(rows[~q].groupby(["kind", "day", "bucket"], dropna=False, as_index=False)["n"].sum())
+        asks.append(rows[q])
+    moves, asks = pd.concat(moves).sort_values("day"), pd.concat(asks).sort_values("day")
+    partners, todo = dict(zip(days, counts)), moves[["kind", "day", "bucket", "n"]].itertuples(index=False)
+    held = next(todo, None)
+
+    def upto(day: int | None) -> None:
+        nonlocal held, deg, into
+        while held is not None and (day is None or held.day < day):
+            if held.kind == "out":
+                partners[int(held.bucket)] = partners.get(int(held.bucket), 0) + int(held.n)
+            elif held.kind == "deg":
+                deg += int(held.n)
+            else:
+                into += int(held.n)
+            held = next(todo, None)
+
+    for day, rows in asks.groupby("day"):
+        upto(int(day))
+        some = sorted(x for x in partners if partners[x])
+        sums = np.concatenate([[0], np.cumsum([partners[x] for x in some], dtype=np.int64)]).astype(np.int64)
+        source = (rows["kind"] == "ask_s").to_numpy()
+        mine = rows["bucket"].fillna(-(1 << 31)).to_numpy(np.int64)
+        later = sums[-1] - sums[np.searchsorted(np.array(some, np.int64), mine, "right")]
+        late = (rows["n"] > 0).to_numpy() | (newest is not None and newest >= day)
+        whole = lambda v: pd.array(np.broadcast_to(v, len(rows)).astype(np.int64), "Int64")  # noqa: E731, B023
+        out = pd.DataFrame({"query_id": rows["query_id"].to_numpy(np.int64), "kind": np.where(source, "of_s", "of_c"), "day": np.int32(day), "late": late})
+        out["deg"], out["partners"], out["later"] = whole(deg), whole(np.where(source, sums[-1], into)), whole(later)
+        out.loc[~source | rows["bucket"].isna().to_numpy(), "later"] = pd.NA
+        out.loc[late, ["deg", "partners", "later"]] = pd.NA
+        for c in ("first", "last", "n", "n7", "n30", "n90"):
+            out[c] = pd.array([pd.NA] * len(out), "Int32" if c in ("first", "last") else "Int64")
+        yield out[[x.split()[0] for x in PART.split(", ")]]
+    if len(moves):
+        upto(None)
+        some = sorted(x for x in partners if partners[x])
+        state.update((some, [partners[x] for x in some], deg, into, max(int(moves["day"].max()), newest if newest is not None else -(1 << 31))))
+
+
+class Step(StatefulProcessor):
+    """One of the steps above as a processor; ``schema`` is that of its key's state."""
+
+    def __init__(self, step, schema: str):
+        self.step, self.schema = step, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("held", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        yield from self.step(key, rows, self.state)
+
+
+def _stepped(rows: DataFrame, keys: list[str], step, state: str, schema: str) -> DataFrame:
+    return rows.groupBy(*keys).transformWithStateInPandas(Step(step, state), schema, "Append", "None")
+
+
+def contacts(stream: DataFrame) -> DataFrame:
+    """What each end of each query has met; an append-only stream."""
+    pair = stream.select(F.least("s", "d").alias("a"), F.greatest("s", "d").alias("b"), "s", "d", "day", "query_id", "is_query")
+    moves = _stepped(pair, ["a", "b"], met, "forth int, back int", CONTACT)
+    return _stepped(moves.mapInPandas(summed, CONTACT), ["node"], ranked, "days array<int>, counts array<long>, deg long, into long, newest int", PART)
+
+
+def parts(stream: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """What each key of each query has seen; an append-only stream."""
-    return by_key(stream).groupBy("kind", "key").applyInPandasWithState(advance, PART, STATE, "append", GroupStateTimeout.NoTimeout)
+    own = _stepped(by_key(stream), ["kind", "key"], advance, STATE, PART)
+    return own.unionByName(contacts(stream)) if set(columns) & set(CONTACTS) else own
 
 
-def start(stream: DataFrame, root: str) -> StreamingQuery:
-    """Runs the stream over what is there, keyed state in RocksDB under ``root``, whose folder the executors share."""
+def start(stream: DataFrame, root: str, columns: tuple[str, ...] = COLUMNS) -> StreamingQuery:
+    """Runs the stream over what is there, for ``columns`` of the features, keyed state in RocksDB under ``root``, whose folder the executors share."""
     spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, ROCKSDB)
     try:
-        writer = parts(stream).writeStream.format("parquet").option("path", f"{root}/parts").option("checkpointLocation", f"{root}/checkpoint")
+        writer = parts(stream, columns).writeStream.format("parquet").option("path", f"{root}/parts").option("checkpointLocation", f"{root}/checkpoint")
         return writer.outputMode("append").trigger(availableNow=True).start()
     finally:
         spark.conf.set(name, before)
 
 
 def answers(parts: DataFrame, columns: tuple[str, ...] = BASE4) -> DataFrame:
-    """query_id, late and the features (of ``COLUMNS``) of each query, from the parts of its three keys."""
+    """query_id, late and the features (of all 23) of each query, from the parts of its keys."""
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     wide = [of(kind, c).alias(f"{kind}_{c.removeprefix('n') if c in ('n7', 'n30', 'n90') else c}") for kind in ("pair", "src", "dst") for c in ("first", "last", "n", "n7", "n30", "n90")]
-    r = parts.groupBy("query_id").agg(F.max("day").alias("day"), F.max("late").alias("late"), *wide)
-    made = shaped(r, columns).join(r.select("query_id", "late"), "query_id")
-    return made.select("query_id", "late", *[F.when(~F.col("late"), F.col(c)).alias(c) for c in columns])
+    ends = [of("of_s", "deg").alias("n_deg_s"), of("of_c", "deg").alias("n_deg_c"), of("of_s", "partners").alias("out_deg"), of("of_c", "partners").alias("in_deg"), of("of_s", "later").alias("later")]
+    own, behind = F.col("kind").isin("pair", "src", "dst"), F.col("kind").isin("of_s", "of_c")
+    late = [F.max(F.when(c, F.col("late"))).alias(name) for c, name in ((own, "late_own"), (behind, "late_behind"))]
+    r = parts.groupBy("query_id").agg(F.max("day").alias("day"), *late, *wide, *ends).withColumn("partners", F.col("out_deg"))
+    asked = set(columns) & set(CONTACTS)
+    flags = r.select("query_id", "late_own", "late_behind")
+    made = shaped(r, columns).join(flags, "query_id")
+    any_late = F.col("late_own") | (F.col("late_behind") if asked else F.lit(False))
+    return made.select("query_id", any_late.alias("late"), *[F.when(~F.col("late_behind" if c in asked else "late_own"), F.col(c)).alias(c) for c in columns])

@@ -5,19 +5,20 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoflow.operators.features import features
+from chronoflow.operators.features import WIDE23, features
 from chronoflow.streaming import keyed, replay
 
 
-def streamed(spark, root, ticks):
+def streamed(spark, root, ticks, columns=keyed.COLUMNS):
     for k, rows in enumerate(ticks):
         spark.createDataFrame(rows, replay.SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(replay.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    keyed.start(stream, f"file://{root}").awaitTermination()
+    keyed.start(stream, f"file://{root}", columns).awaitTermination()
     return spark.read.parquet(f"{root}/parts")
 
 
-def test_keyed_state(spark, tmp_path):
+@pytest.mark.parametrize("columns", (keyed.COLUMNS, WIDE23), ids=("own keys", "all columns"))
+def test_keyed_state(spark, tmp_path, columns):
     draw, n, ticks, every = random.Random(5), 0, [], []
     # 260 days go by, so that early ones are folded; the last tick brings a late event and two late queries.
     for days in ([0, 1, 2], [3], [40, 41], [100], [101, 131], [260]):
@@ -27,24 +28,26 @@ def test_keyed_state(spark, tmp_path):
                 for _ in range(12):
                     n += 1
                     rows.append((n, draw.randrange(4), draw.randrange(4), day, is_query))
+        # Edges are daily: a pair has one a day.
+        rows = list({(r[1:], r[0] if r[4] else 0): r for r in rows}.values())
         ticks.append(rows)
         every += rows
     every.append((900, 1, 2, 250, False))
     ticks.append([(900, 1, 2, 250, False), (901, 1, 2, 261, True), (902, 1, 2, 1, True), (903, 1, 2, 165, True)])
-    got = keyed.answers(streamed(spark, str(tmp_path), ticks), keyed.COLUMNS)
+    got = keyed.answers(streamed(spark, str(tmp_path), ticks, columns), columns)
     rows = spark.createDataFrame(every + [(901, 1, 2, 261, True)], replay.SCHEMA)
     # Queries of earlier ticks did not see the late event, whose day is after theirs or, on day 260, not yet come.
     seen = rows.where("NOT is_query AND query_id <> 900").select("s", "d", "day")
-    first = features(seen, rows.where("is_query AND query_id <> 901").select("query_id", "s", "d", "day"), keyed.COLUMNS)
-    last = features(rows.where("NOT is_query").select("s", "d", "day"), rows.where("query_id = 901").select("query_id", "s", "d", "day"), keyed.COLUMNS)
+    first = features(seen, rows.where("is_query AND query_id <> 901").select("query_id", "s", "d", "day"), columns)
+    last = features(rows.where("NOT is_query").select("s", "d", "day"), rows.where("query_id = 901").select("query_id", "s", "d", "day"), columns)
     want = {r.query_id: r for r in first.unionByName(last).collect()}
     have = {r.query_id: r for r in got.collect()}
     assert set(have) == set(want) | {902, 903}
     for late in (have[902], have[903]):
-        assert late.late and all(late[c] is None for c in keyed.COLUMNS)
+        assert late.late and all(late[c] is None for c in columns)
     for k, r in want.items():
         assert not have[k].late
-        assert [have[k][c] for c in keyed.COLUMNS] == pytest.approx([r[c] for c in keyed.COLUMNS]), k
+        assert [have[k][c] for c in columns] == pytest.approx([r[c] for c in columns]), k
 
 
 def test_keyed_state_without_rows(spark, tmp_path):
