@@ -46,7 +46,8 @@ _STEPS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * _STEPS[0])
 _LOW = U64((1 << 24) - 1)
 
-SEGMENT = "gram long, content long, doc long, place long, n int"
+SEGMENT = "gram long, content long, doc long, place long, n int, part long"
+JUDGED = "gram long, doc long, place long, n int, part long, repeat boolean"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -116,22 +117,20 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _write_parts(folder: str):
-    """doc_id, tie, text -> parts of about ``PART`` bytes in files; a row for each part."""
+    """doc_id, tie, text -> parts of about ``PART`` bytes in files named by their number; part and n_bytes of each."""
+    kind = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("text", pa.large_binary())])
 
     def run(batches):
         rows, size = [], 0
 
         def out():
-            uri = f"{folder}/{uuid.uuid4().hex}"
-            file = Output(uri)
-            table = pa.table({"doc": [x[0] for x in rows], "tie": [x[1] for x in rows], "text": pa.array([x[2] for x in rows], pa.large_binary())}, pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("text", pa.large_binary())]))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
+            part, sink = uuid.uuid4().int >> 65, pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(pa.table(dict(zip(kind.names, zip(*rows, strict=True), strict=True)), kind))
+            file = Output(f"{folder}/{part:x}")
             file.write(sink.getvalue())
             file.close()
-            ids = sorted({(x[0], x[1]) for x in rows}, key=lambda x: (x[0] is not None, x))
-            return pa.RecordBatch.from_pydict({"part": [uri] * len(ids), "doc": [NONE if d is None else d for d, _ in ids], "tie": [t for _, t in ids], "n_bytes": [size] + [0] * (len(ids) - 1)}, pa.schema([("part", pa.string()), ("doc", pa.int64()), ("tie", pa.int64()), ("n_bytes", pa.int64())]))
+            return pa.RecordBatch.from_pydict({"part": [part], "n_bytes": [size]}, pa.schema([("part", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
@@ -146,23 +145,28 @@ def _write_parts(folder: str):
     return run
 
 
-def _read_part(uri: str) -> tuple[list, np.ndarray, list[bytes]]:
-    with open_input(uri) as f:
+def _read_part(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list]:
+    """Key (doc_id, ``NONE`` for null) and tie of each document, texts, doc_ids."""
+    with open_input(f"{folder}/{part:x}") as f:
         table = pa.ipc.open_stream(f).read_all()
-    return table["doc"].to_pylist(), table["tie"].to_numpy(), table["text"].to_pylist()
+    docs = table["doc"].to_pylist()
+    return np.array([NONE if d is None else d for d in docs], np.int64), table["tie"].to_numpy(), table["text"].to_pylist(), docs
 
 
-def _part_segments(batches):
-    """Names of parts -> the segments of their texts."""
-    for batch in batches:
-        for uri in batch.column(0).to_pylist():
-            docs, tie, texts = _read_part(uri)
-            doc = np.array([NONE if d is None else d for d in docs], np.int64)
-            for data, ends, which, first in _pieces(texts):
-                gram, content, at, n = segments(data, ends)
-                own = np.searchsorted(ends, at, "right")
-                place = (tie[which[own]] << TIE) + first[own] + at - np.r_[0, ends[:-1]][own]
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(content), pa.array(doc[which[own]]), pa.array(place), pa.array(n.astype(np.int32))], ["gram", "content", "doc", "place", "n"])
+def _part_segments(folder: str):
+    """Numbers of parts -> the segments of their texts."""
+
+    def run(batches):
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                doc, tie, texts, _ = _read_part(folder, part)
+                for data, ends, which, first in _pieces(texts):
+                    gram, content, at, n = segments(data, ends)
+                    own = np.searchsorted(ends, at, "right")
+                    place = (tie[which[own]] << TIE) + first[own] + at - np.r_[0, ends[:-1]][own]
+                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(content), pa.array(doc[which[own]]), pa.array(place), pa.array(n.astype(np.int32)), pa.array(np.full(len(n), part))], ["gram", "content", "doc", "place", "n", "part"])
+
+    return run
 
 
 # Step 1: classes of segments in sorted chunks
@@ -172,13 +176,12 @@ def _judge(batches):
     """A chunk of segments sorted by (gram, content, doc, place) -> those that are not alone in their class, with
     ``repeat``: whether an equal segment is before. Classes with a single content show no other than repeats. The first
     and the last class of a chunk may go on in the next ones: their first segments are kept in any case."""
-    names = ["gram", "content", "doc", "place", "n"]
+    names = ["gram", "doc", "place", "n", "part"]
     held: pa.Table | None = None
     first = True
 
     def settled(rows: pa.Table, opening: bool, closing: bool):
-        c = {k: rows[k].to_numpy() for k in names}
-        m = len(c["gram"])
+        c = {k: rows[k].to_numpy() for k in [*names, "content"]}
         new = np.r_[True, c["gram"][1:] != c["gram"][:-1]]
         lead = new | np.r_[True, c["content"][1:] != c["content"][:-1]]
         again = ~lead & np.r_[False, (c["doc"][1:] == c["doc"][:-1]) & (c["place"][1:] == c["place"][:-1])]
@@ -188,8 +191,10 @@ def _judge(batches):
             several[0] = True
         if closing:
             several[-1] = True
-        keep = ~again & (several[group] | ~lead)
-        return pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in names] + [pa.array(~lead[keep])], [*names, "repeat"]), m
+        # Equal rows of the table are judged alike.
+        lead = lead[np.maximum.accumulate(np.where(again, 0, np.arange(len(lead))))]
+        keep = several[group] | ~lead
+        return pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in names] + [pa.array(~lead[keep])], [*names, "repeat"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -199,33 +204,37 @@ def _judge(batches):
             continue
         cut = int(np.searchsorted(gram, gram[-1], "left")) if len(gram) else 0
         if cut:
-            yield settled(held.slice(0, cut), first, False)[0]
+            yield settled(held.slice(0, cut), first, False)
             held, first = held.slice(cut).combine_chunks(), False
     if held is not None and held.num_rows:
-        yield settled(held, first, True)[0]
+        yield settled(held, first, True)
 
 
 def _classes(rows: DataFrame, parts: int) -> DataFrame:
     order = ["gram", "content", "doc", "place"]
     dealt = rows.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(frugal(_judge), SEGMENT + ", repeat boolean"), "classes")
+    return written(dealt.mapInArrow(frugal(_judge), JUDGED), "classes")
 
 
 # Step 2: suffix arrays
 
 
-def _fetch(table: pa.Table) -> pa.Table:
+def _fetch(folder: str):
     """Segments of one part -> the same with their bytes."""
-    docs, tie, texts = _read_part(table["part"][0].as_py())
-    where = {(NONE if d is None else d, t): k for k, (d, t) in enumerate(zip(docs, tie.tolist(), strict=True))}
-    low = (1 << TIE) - 1
-    data = [texts[where[d, p >> TIE]][(p & low) : (p & low) + n + LENGTH - 1] for d, p, n in zip(table["doc"].to_pylist(), table["place"].to_pylist(), table["n"].to_pylist(), strict=True)]
-    return pa.table({"gram": table["gram"], "doc": table["doc"], "place": table["place"], "bytes": pa.array(data, pa.binary())})
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, tie, texts, _ = _read_part(folder, table["part"][0].as_py())
+        where = {key: k for k, key in enumerate(zip(doc.tolist(), tie.tolist(), strict=True))}
+        low = (1 << TIE) - 1
+        data = [texts[where[d, p >> TIE]][(p & low) : (p & low) + n + LENGTH - 1] for d, p, n in zip(table["doc"].to_pylist(), table["place"].to_pylist(), table["n"].to_pylist(), strict=True)]
+        return table.select(["gram", "doc", "place", "part"]).append_column("bytes", pa.array(data, pa.binary()))
+
+    return run
 
 
 def repeats(doc: np.ndarray, place: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows in ``texts`` that occur in one of them at an earlier place: doc and place of each. ``doc``, ``place``: of the
-    first byte of each text."""
+    """Windows in ``texts`` that occur in one of them at an earlier place: the text and the place of each. ``doc``,
+    ``place``: of the first byte of each text."""
     data = np.frombuffer(b"\xff".join(texts), np.uint8)  # no byte of UTF-8
     sizes = np.array([len(x) for x in texts])
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -237,106 +246,99 @@ def repeats(doc: np.ndarray, place: np.ndarray, texts: list[bytes]) -> tuple[np.
     group = np.cumsum(~shared[array])  # equal first bytes, in the order of the array
     ok = valid[array]
     at, group = array[ok], group[ok]
-    d, p = doc[own[at]], place[own[at]] + offset[at]
-    by = np.lexsort((p, d, group))
-    d, p, group = d[by], p[by], group[by]
-    later = np.r_[False, group[1:] == group[:-1]]
-    later[1:] &= (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | later[:-1]
+    text, p = own[at], place[own[at]] + offset[at]
+    by = np.lexsort((p, doc[text], group))
+    text, p, group = text[by], p[by], group[by]
+    d = doc[text]
     head = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], np.arange(len(d)), 0)) if len(d) else np.arange(0)
-    later &= (d != d[head]) | (p != p[head])
-    return d[later], p[later]
+    later = (d != d[head]) | (p != p[head])
+    return text[later], p[later]
 
 
 def _shard_repeats(table: pa.Table) -> pa.Table:
-    doc, place = repeats(table["doc"].to_numpy(), table["place"].to_numpy(), table["bytes"].to_pylist())
+    doc, part = table["doc"].to_numpy(), table["part"].to_numpy()
+    text, place = repeats(doc, table["place"].to_numpy(), table["bytes"].to_pylist())
+    doc, part = doc[text], part[text]
     by = np.lexsort((place, doc))
-    doc, place = doc[by], place[by]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > 1)] if len(doc) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
+    doc, place, part = doc[by], place[by], part[by]
+    at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > 1)]) if len(doc) else by
     stop = np.r_[at[1:], len(doc)] - 1 if len(at) else at
-    return pa.table({"doc": doc[at], "place": place[at], "n": (place[stop] - place[at] + 1).astype(np.int32)})
+    return pa.table({"doc": doc[at], "place": place[at], "n": (place[stop] - place[at] + 1).astype(np.int32), "part": part[at]})
 
 
 def _exploded(batches):
     """Segments with their bytes -> a segment for each window, the window's hash its gram."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        doc, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for k, text in enumerate(texts):
-            data = np.frombuffer(text, np.uint8)
-            h = _grams(data)
+        doc, place, part = (batch.column(k).to_numpy() for k in range(3))
+        for k, text in enumerate(batch.column(3).to_pylist()):
+            h = _grams(np.frombuffer(text, np.uint8))
             n = len(text) - LENGTH + 1
-            whole = mix64(mix64(mix64(h[:n]) + h[32 : 32 + n]) + h[64 : 64 + n])
-            whole = mix64(whole + h[LENGTH - 32 : LENGTH - 32 + n])
-            second = mix64(h[:n] * _STEPS[1] + h[32 : 32 + n] * _STEPS[2] + h[64 : 64 + n] * _STEPS[3] + h[LENGTH - 32 : LENGTH - 32 + n])
-            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.full(n, doc[k])), pa.array(place[k] + np.arange(n)), pa.array(np.ones(n, np.int32))], ["gram", "content", "doc", "place", "n"])
+            four = h[:n], h[32 : 32 + n], h[64 : 64 + n], h[LENGTH - 32 : LENGTH - 32 + n]  # these cover the window
+            one, two = np.zeros(n, U64), np.zeros(n, U64)
+            for x, c in zip(four, _STEPS[1:], strict=False):
+                one, two = mix64(one + x), two * c + x
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(mix64(two).view(np.int64)), pa.array(np.full(n, doc[k])), pa.array(place[k] + np.arange(n)), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, part[k]))], ["gram", "content", "doc", "place", "n", "part"])
 
 
 # Step 3: documents
 
 
-def _documents(table: pa.Table) -> pa.Table:
+def _documents(folder: str):
     """Repeats of one part (and a row without any) -> its documents' results."""
-    docs, tie, texts = _read_part(table["part"][0].as_py())
-    doc, place, n = (table[c].to_numpy() for c in ("doc", "place", "n"))
-    ok = n > 0
-    doc, place, n = doc[ok], place[ok], n[ok]
-    by = np.lexsort((place, doc))
-    doc, place, n = doc[by], place[by], n[by]
-    low = (1 << TIE) - 1
-    rows = []
-    for d, t, text in zip(docs, tie.tolist(), texts, strict=True):
-        key = NONE if d is None else d
-        a, z = np.searchsorted(doc, key, "left"), np.searchsorted(doc, key, "right")
-        b = a + np.searchsorted(place[a:z], (t + 1) << TIE, "left")
-        a += np.searchsorted(place[a:z], t << TIE, "left")
-        if a == b:
-            rows.append((d, len(text), 0, 0, hashlib.sha256(text).hexdigest()))
-            continue
-        depth = np.zeros(len(text) + 1, np.int32)
-        np.add.at(depth, place[a:b] & low, 1)
-        np.add.at(depth, (place[a:b] & low) + n[a:b] + LENGTH - 1, -1)
-        gone = np.cumsum(depth[:-1]) > 0
-        kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        rows.append((d, len(text), len(text) - len(kept), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
-    ids, *counts, sha = zip(*rows, strict=True)
-    return pa.table([pa.array(ids, pa.int64()), *[pa.array(c, pa.int64()) for c in counts], pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, ties, texts, docs = _read_part(folder, table["part"][0].as_py())
+        doc, place, n = (table[c].to_numpy() for c in ("doc", "place", "n"))
+        by = np.lexsort((place, doc))
+        by = by[n[by] > 0]
+        doc, place, n = doc[by], place[by], n[by]
+        low, rows = (1 << TIE) - 1, []
+        for key, t, text, d in zip(keys, ties.tolist(), texts, docs, strict=True):
+            a, z = np.searchsorted(doc, key, "left"), np.searchsorted(doc, key, "right")
+            a, z = a + np.searchsorted(place[a:z], [t << TIE, (t + 1) << TIE], "left")
+            depth = np.zeros(len(text) + 1, np.int32)
+            np.add.at(depth, place[a:z] & low, 1)
+            np.add.at(depth, (place[a:z] & low) + n[a:z] + LENGTH - 1, -1)
+            gone = np.cumsum(depth[:-1]) > 0
+            kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if a < z else text
+            rows.append((d, len(text), len(text) - len(kept), int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+        ids, *counts, sha = zip(*rows, strict=True)
+        return pa.table([pa.array(ids, pa.int64()), *[pa.array(c, pa.int64()) for c in counts], pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return run
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """For each document (doc_id, text): the size of its text as UTF-8, how many bytes repeats cover, in how many maximal
     runs, and the sha256 of the rest."""
-    spark = docs.sparkSession
-    folder = fresh_folder(spark, "texts")
+    folder = fresh_folder(docs.sparkSession, "texts")
     text = F.coalesce("text", F.lit(""))
     tie = F.shiftrightunsigned(F.xxhash64(text), TIE + 1).alias("tie")
-    index = written(docs.select(F.col("doc_id").cast("long").alias("doc"), tie, text.alias("text")).mapInArrow(frugal(_write_parts(folder)), "part string, doc long, tie long, n_bytes long"), "index")
-    size = index.agg(F.sum("n_bytes")).first()[0] or 0
-    parts = index.select("part").distinct()
-    names = parts.repartition(max(1, -(-size // PART)), "part")
-    found = _classes(names.mapInArrow(frugal(_part_segments), SEGMENT), -(-size // 34 // CHUNK))
-    whole = found.where("repeat").select("doc", "place", "n")
+    parts = written(docs.select(F.col("doc_id").cast("long").alias("doc"), tie, text.alias("text")).mapInArrow(frugal(_write_parts(folder)), "part long, n_bytes long"), "parts")
+    size = parts.agg(F.sum("n_bytes")).first()[0] or 0
+    names = parts.select("part").repartition(max(1, -(-size // PART)), "part")
+    found = _classes(names.mapInArrow(frugal(_part_segments(folder)), SEGMENT), -(-size // 34 // CHUNK))
+    answer = ["doc", "place", "n", "part"]
 
     def with_bytes(rows: DataFrame) -> DataFrame:
-        placed = rows.withColumn("tie", F.shiftright("place", TIE)).join(index.select("part", "doc", "tie"), ["doc", "tie"])
-        return placed.select("part", "gram", "doc", "place", "n").groupBy("part").applyInArrow(_fetch, "gram long, doc long, place long, bytes binary")
+        return rows.select("part", "gram", "doc", "place", "n").groupBy("part").applyInArrow(_fetch(folder), "gram long, doc long, place long, part long, bytes binary")
 
     def in_shards(rows: DataFrame, n: int) -> DataFrame:
-        return rows.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(n))).groupBy("shard").applyInArrow(_shard_repeats, "doc long, place long, n int")
+        shards = max(1, -(-n * (LENGTH + SPAN // 2) // SHARD))
+        return with_bytes(rows).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard").applyInArrow(_shard_repeats, "doc long, place long, n int, part long")
 
-    first = written(with_bytes(found.where("NOT repeat")), "segments")
+    first = found.where("NOT repeat")
     counts = first.groupBy("gram").agg(F.count("*").alias("m"))
-    large = counts.where(F.col("m") > LARGE).select("gram")
-    n, over = counts.agg(F.sum(F.when(F.col("m") <= LARGE, F.col("m"))), F.sum(F.when(F.col("m") > LARGE, F.col("m")))).first()
-    per = SHARD // (LENGTH + SPAN // 2)
-    shards = lambda k: max(1, -(-(k or 0) // per))
-    rest = first.join(large, "gram", "left_anti") if over else first
-    every = whole.unionByName(in_shards(rest, shards(n)))
+    n, over = counts.agg(*[F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0)) for c in (F.col("m") <= LARGE, F.col("m") > LARGE)]).first()
+    every = found.where("repeat").select(*answer)
     if over:
-        windows = first.join(large, "gram", "left_semi").select("doc", "place", "bytes").mapInArrow(frugal(_exploded), SEGMENT)
+        # Their rows are dealt by gram without their bytes.
+        large = counts.where(F.col("m") > LARGE).select("gram")
+        first, crowded = first.join(large, "gram", "left_anti"), first.join(large, "gram", "left_semi")
+        windows = with_bytes(crowded).select("doc", "place", "part", "bytes").mapInArrow(frugal(_exploded), SEGMENT)
         again = _classes(windows, -(-over * SPAN // 2 // CHUNK))
-        edges = written(with_bytes(again.where("NOT repeat")), "windows")
-        every = every.unionByName(again.where("repeat").select("doc", "place", "n")).unionByName(in_shards(edges, shards(edges.count())))
-    every = every.withColumn("tie", F.shiftright("place", TIE)).join(index.select("part", "doc", "tie"), ["doc", "tie"]).select("part", "doc", "place", "n")
-    none = parts.select("part", F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("n"))
-    return every.unionByName(none).groupBy("part").applyInArrow(_documents, RESULT)
+        edges = again.where("NOT repeat")
+        every = every.unionByName(again.where("repeat").select(*answer)).unionByName(in_shards(edges, edges.count()))
+    every = every.unionByName(in_shards(first, n))
+    none = parts.select(F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("n"), "part")
+    return every.unionByName(none).groupBy("part").applyInArrow(_documents(folder), RESULT)
