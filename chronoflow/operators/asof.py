@@ -2,6 +2,9 @@
 
 Events and queries are stacked and a window with the frame ``(unbounded, -1)`` over an integer clock (day, or batch)
 gives each query what happened before its tick. Only events count; queries never enter state.
+
+A key that may be a hub (a node) is first added up by day, partly before the shuffle, and asked once a day: its window has
+as many rows as the calendar has days, however many events it has, and queries join what their (key, day) was told.
 """
 
 from __future__ import annotations
@@ -20,6 +23,14 @@ def stacked(events: DataFrame, queries: DataFrame) -> DataFrame:
     return e.unionByName(queries.select("s", "d", "day", "query_id", F.lit(0).alias("ev")))
 
 
+def told(daily: DataFrame, asks: DataFrame, keys: list[str], **made: Column) -> DataFrame:
+    """``keys``, day and the columns ``made`` (over ``past(*keys)``) for each distinct key and day of ``asks``, from a table
+    with a row for each key and day."""
+    ask = asks.select(*keys, "day").distinct().withColumn("_ask", F.lit(True))
+    rows = daily.unionByName(ask, allowMissingColumns=True)
+    return rows.withColumns(made).where("_ask").select(*keys, "day", *made)
+
+
 def when_event(c: Column) -> Column:
     return F.when(F.col("ev") == 1, c)
 
@@ -38,19 +49,29 @@ def last_before(events: DataFrame, queries: DataFrame, clock: str = "day") -> Da
     return rows.where("ev = 0").select("query_id", "last")
 
 
+BLOCK = 4096  # edges that are numbered together
+
+
 def incidence(edges: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each edge from both its ends, numbered (rn, from 1) by node in the order of time: node, other, day, dir, rn, and
-    the columns ``keep`` of the edge. A self-loop gives two rows. A node's incidences are one partition; hubs are the longest task."""
+    the columns ``keep`` of the edge. A self-loop gives two rows. Numbers are those of the node's days before, of the day's
+    blocks of ``BLOCK`` edges before, and within the block, so no window has all of a node's rows."""
     ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(0).alias("dir")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(1).alias("dir"))))
-    rows = edges.select("event_idx", "day", *keep, ends.alias("x")).select("x.*", "day", "event_idx", *keep)
-    return rows.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy("day", "event_idx", "dir")))
+    rows = edges.select("event_idx", "day", *keep, ends.alias("x")).select("x.*", "day", "event_idx", *keep).withColumn("_b", F.floor(F.col("event_idx") / BLOCK))
+    blocks = rows.groupBy("node", "day", "_b").agg(F.count("*").alias("_n"))
+    ahead = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = blocks.groupBy("node", "day").agg(F.sum("_n").alias("_n"))
+    days = days.select("node", "day", ahead(W.partitionBy("node").orderBy("day")).alias("_d"))
+    blocks = blocks.withColumn("_w", ahead(W.partitionBy("node", "day").orderBy("_b"))).join(days, ["node", "day"]).select("node", "day", "_b", (F.col("_d") + F.col("_w")).alias("_a"))
+    within = F.row_number().over(W.partitionBy("node", "day", "_b").orderBy("event_idx", "dir"))
+    return rows.withColumn("_r", within).join(blocks, ["node", "day", "_b"]).withColumn("rn", F.col("_a") + F.col("_r")).drop("_b", "_r", "_a")
 
 
 def _cuts(inc: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, node, day and cut, the number of the node's incidences before that day."""
-    rows = inc.select("node", "day", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(1).alias("ev")).unionByName(queries.select("node", "day", "query_id", F.lit(0).alias("ev")))
-    rows = rows.withColumn("cut", F.coalesce(F.sum("ev").over(past("node")), F.lit(0)))
-    return rows.where("ev = 0").select("query_id", "node", "day", "cut")
+    daily = inc.groupBy("node", "day").agg(F.count("*").alias("n"))
+    cuts = told(daily, queries, ["node"], cut=F.coalesce(F.sum("n").over(past("node")), F.lit(0)))
+    return queries.select("query_id", "node", "day").join(cuts, ["node", "day"]).select("query_id", "node", "day", "cut")
 
 
 def recent_neighbors(inc: DataFrame, queries: DataFrame, k: int) -> DataFrame:

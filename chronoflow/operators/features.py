@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.functions.vectors import ln1
-from chronoflow.operators.asof import intervals, past, stacked, when_event
+from chronoflow.operators.asof import intervals, last_before, past, stacked, told, when_event
 
 BASE4 = ("pair_seen", "pair_recency", "dst_seen", "dst_recency")
 BUCKETS = ("dt_1", "dt_2", "dt_7")
@@ -15,17 +15,18 @@ WIDE23 = (*GLOBAL11, *WIDE, *BUCKETS)
 
 
 def _counted(events: DataFrame, queries: DataFrame) -> DataFrame:
-    """Raw counts and last days by pair, source and target. The source window runs before that of the pair, so both
-    use one shuffle."""
+    """Raw counts and last days by pair, source and target."""
     r = stacked(events, queries)
-    ev, day = F.col("ev"), F.col("day")
-    pair, src, dst = past("s", "d"), past("s"), past("d")
-    r = r.withColumns({"src_last": F.max(when_event(day)).over(src), "src_n": F.sum("ev").over(src), "src_30": F.sum("ev").over(past("s", back=30))})
+    ev, day, pair = F.col("ev"), F.col("day"), past("s", "d")
     r = r.withColumns({"pair_last": F.max(when_event(day)).over(pair), "pair_first": F.min(when_event(day)).over(pair), "pair_n": F.coalesce(F.sum("ev").over(pair), F.lit(0))})
-    r = r.withColumn("new", F.when((ev == 1) & (F.col("pair_n") == 0), 1).otherwise(0))
-    r = r.withColumn("out_deg", F.coalesce(F.sum("new").over(src), F.lit(0)))
-    r = r.withColumns({"dst_last": F.max(when_event(day)).over(dst), "dst_n": F.sum("ev").over(dst), "in_deg": F.coalesce(F.sum("new").over(dst), F.lit(0)), **{f"dst_{w}": F.sum("ev").over(past("d", back=w)) for w in (7, 30, 90)}})
-    return r.where("ev = 0").drop("ev", "new")
+    first = events.groupBy("s", "d").agg(F.min("day").alias("day"))
+    q = r.where(ev == 0).drop("ev")
+    for key, name, degree, windows in (("s", "src", "out_deg", (30,)), ("d", "dst", "in_deg", (7, 30, 90))):
+        daily = events.groupBy(key, "day").agg(F.count("*").alias("n")).join(first.groupBy(key, "day").agg(F.count("*").alias("new")), [key, "day"], "left")
+        w = past(key)
+        made = {f"{name}_last": F.max(F.when(F.col("n") > 0, day)).over(w), f"{name}_n": F.sum("n").over(w), degree: F.coalesce(F.sum("new").over(w), F.lit(0))}
+        q = q.join(told(daily, queries, [key], **made, **{f"{name}_{back}": F.sum("n").over(past(key, back=back)) for back in windows}), [key, "day"])
+    return q
 
 
 def first_contacts(events: DataFrame) -> DataFrame:
@@ -36,19 +37,49 @@ def first_contacts(events: DataFrame) -> DataFrame:
 
 def degrees(events: DataFrame, at: DataFrame) -> DataFrame:
     """query_id and deg, the number of undirected neighbours of (query_id, node, day) before that day."""
-    rows = first_contacts(events).select("node", "day", F.lit(None).cast("long").alias("query_id"), F.lit(1).alias("ev"))
-    rows = rows.unionByName(at.select("node", "day", "query_id", F.lit(0).alias("ev")))
-    return rows.withColumn("deg", F.coalesce(F.sum("ev").over(past("node")), F.lit(0))).where("ev = 0").select("query_id", "deg")
+    daily = first_contacts(events).groupBy("node", "day").agg(F.count("*").alias("n"))
+    deg = told(daily, at, ["node"], deg=F.coalesce(F.sum("n").over(past("node")), F.lit(0)))
+    return at.select("query_id", "node", "day").join(deg, ["node", "day"]).select("query_id", "deg")
 
 
 def partner_ranks(events: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, partners of the source before the day and how many of them were met later than the candidate. Each
-    partner's last day is an interval, so this is an equality join on the source with a range on the side."""
-    q = queries.select("query_id", "s", F.col("d").alias("c"), "day")
+    """query_id; partners of the source before the day; mine, the candidate's last day as one of them, and, where there is
+    one, later and equal: how many partners were last met after it, and on it (the candidate too).
+
+    No partner is listed. A partner last met on x and next on y is, for a query of day T, last met on x if x < T <= y, so
+    those met after ``mine`` are the pairs' days between ``mine`` and T less the steps (x, y) with x > mine and y < T. Steps
+    are counted by the blocks of 1, 2, 4 ... days that the days before T are made of: a step is a row for half of the
+    block sizes, added up by (source, block, x), so no group has more rows than the calendar has days."""
     met = intervals(events)
-    j = q.join(met, (q["s"] == met["s"]) & (met["last"] < q["day"]) & (met["until"].isNull() | (q["day"] <= met["until"])), "left")
-    j = j.groupBy("query_id").agg(F.count("last").alias("partners"), F.max(F.when(F.col("d") == F.col("c"), F.col("last"))).alias("mine"), F.collect_list("last").alias("days"))
-    return j.select("query_id", "partners", F.when(F.col("mine").isNotNull(), F.size(F.filter("days", lambda x: x > F.col("mine")))).alias("later"))
+    q = last_before(events, queries).withColumnRenamed("last", "mine").join(queries.select("query_id", "s", "day"), "query_id")
+    daily = met.groupBy("s", F.col("last").alias("day")).agg(F.count("*").alias("n"))
+    first = events.groupBy("s", "d").agg(F.min("day").alias("day")).groupBy("s", "day").agg(F.count("*").alias("new"))
+    sums = {c: F.coalesce(F.sum(x).over(past("s")), F.lit(0)) for c, x in (("upto", "n"), ("partners", "new"))}
+    asks = q.select("s", "day").unionByName(q.where("mine IS NOT NULL").select("s", (F.col("mine") + 1).alias("day")))
+    asked = told(daily.join(first, ["s", "day"], "left"), asks, ["s"], **sums)
+    q = q.join(asked, ["s", "day"]).join(asked.select("s", (F.col("day") - 1).alias("mine"), F.col("upto").alias("_to_mine")), ["s", "mine"], "left")
+    steps = met.where("until IS NOT NULL").groupBy("s", F.col("last").alias("x"), F.col("until").alias("y")).agg(F.count("*").alias("n"))
+    span = events.agg(F.min("day"), F.max("day")).first()  # two days of the calendar
+    low, end = span if span[0] is not None else (0, 0)
+    levels = range((end - low + 1).bit_length())
+    block = lambda k, on, at: F.when(on, F.struct(F.lit(k).alias("k"), at.cast("long").alias("b")))
+    bit = lambda c, k: F.shiftright(c, k) % 2 == 1
+    blocks = lambda each: F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("at")
+    y, t = (F.col("y") - low).cast("long"), F.least(F.col("day") - low, F.lit(end - low + 1)).cast("long")
+    # The days before t are the blocks of its set bits, whose numbers are even: only such ones need a step's row.
+    steps = steps.select("s", "x", "n", blocks([block(k, ~bit(y, k), F.shiftright(y, k)) for k in levels])).groupBy("s", "at", "x").agg(F.sum("n").alias("n"))
+    q_blocks = q.where("mine IS NOT NULL").select("query_id", "s", F.col("mine").alias("x"), blocks([block(k, bit(t, k), F.shiftright(t, k) - 1) for k in levels]))
+    rows = steps.unionByName(q_blocks.select("s", "at", "x").distinct().withColumn("ask", F.lit(True)), allowMissingColumns=True)
+    over = W.partitionBy("s", "at").orderBy(-F.col("x")).rangeBetween(W.unboundedPreceding, -1)
+    gone = rows.withColumn("gone", F.coalesce(F.sum("n").over(over), F.lit(0))).where("ask").select("s", "at", "x", "gone")
+    gone = q_blocks.join(gone, ["s", "at", "x"]).groupBy("query_id").agg(F.sum("gone").alias("gone"))
+    # Those last met on ``mine``: its pairs, less the ones met again before the day.
+    again = met.where("until IS NOT NULL").groupBy("s", F.col("last").alias("mine"), F.col("until").alias("day")).agg(F.count("*").alias("n"))
+    again = told(again, q.where("mine IS NOT NULL").select("s", "mine", "day"), ["s", "mine"], left=F.coalesce(F.sum("n").over(past("s", "mine")), F.lit(0)))
+    on_day = daily.select("s", F.col("day").alias("mine"), F.col("n").alias("_on"))
+    q = q.join(again, ["s", "mine", "day"], "left").join(on_day, ["s", "mine"], "left").join(gone, "query_id", "left")
+    later = F.when(F.col("mine").isNotNull(), F.col("upto") - F.col("_to_mine") - F.coalesce("gone", F.lit(0)))
+    return q.select("query_id", "partners", "mine", later.alias("later"), F.when(F.col("mine").isNotNull(), F.col("_on") - F.col("left")).alias("equal"))
 
 
 def features(events: DataFrame, queries: DataFrame, columns: tuple[str, ...] = WIDE23) -> DataFrame:
@@ -58,7 +89,7 @@ def features(events: DataFrame, queries: DataFrame, columns: tuple[str, ...] = W
         for name, end in (("deg_s", "s"), ("deg_c", "d")):
             r = r.join(degrees(events, queries.select("query_id", F.col(end).alias("node"), "day")).withColumnRenamed("deg", f"n_{name}"), "query_id")
     if "rec_rank" in columns:
-        r = r.join(partner_ranks(events, queries), "query_id")
+        r = r.join(partner_ranks(events, queries).select("query_id", "partners", "later"), "query_id")
     return shaped(r, columns)
 
 

@@ -1,10 +1,11 @@
-"""Ranking of all nodes as the target of each test edge, in closed form: only past partners are rows."""
+"""Ranking of all nodes as the target of each test edge, in closed form."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.operators.asof import intervals
+from chronoflow.operators.features import partner_ranks
 
 
 def partner_rows(edges: DataFrame) -> DataFrame:
@@ -21,22 +22,27 @@ def partner_rows(edges: DataFrame) -> DataFrame:
 
 def recency_ranks(edges: DataFrame, n_nodes: DataFrame) -> DataFrame:
     """event_idx, rank of the target by recency (ties share the mean rank, other targets of the source that day are left
-    out) and seen, whether the pair occurred before the test span."""
-    p = partner_rows(edges)
-    mine = F.max(F.when(F.col("partner") == F.col("dst"), F.col("last"))).alias("mine")
-    kept = F.sum(F.when(F.col("partner").isNotNull() & ~F.col("other"), 1).otherwise(0)).alias("kept")
-    left_out = F.sum(F.when(F.col("other"), 1).otherwise(0)).alias("left_out")
-    days = F.collect_list(F.when(F.col("partner").isNotNull() & ~F.col("other") & (F.col("partner") != F.col("dst")), F.col("last"))).alias("days")
-    g = p.groupBy("event_idx", "src", "dst", "day").agg(mine, kept, left_out, days)
-    # Other positives of the day, partners or not.
-    t = edges.where("split = 'test'").groupBy("src", "day").agg((F.count("*") - 1).alias("others"))
-    g = g.join(t, ["src", "day"]).crossJoin(F.broadcast(n_nodes.select("n_nodes")))
-    later = F.size(F.filter("days", lambda x: x > F.col("mine")))
-    equal = F.size(F.filter("days", lambda x: x == F.col("mine")))
-    unseen = 1 + F.col("kept") + 0.5 * (F.col("n_nodes") - 1 - F.col("others") - F.col("kept"))
-    rank = F.when(F.col("mine").isNotNull(), 1 + later + 0.5 * equal).otherwise(unseen)
-    old = edges.where("split <> 'test'").select("src", "dst", F.lit(True).alias("seen")).distinct()
-    return g.select("event_idx", "src", "dst", rank.cast("double").alias("rank")).join(old, ["src", "dst"], "left").select("event_idx", "rank", F.coalesce("seen", F.lit(False)).alias("seen"))
+    out) and seen, whether the pair occurred before the test span. Partners are counted, not listed; the other targets of
+    the day are edges of the same source and day, whose last days are ranked among themselves."""
+    q = edges.where("split = 'test'").select(F.col("event_idx").alias("query_id"), F.col("src").alias("s"), F.col("dst").alias("d"), "day")
+    e = edges.select(F.col("src").alias("s"), F.col("dst").alias("d"), "day")
+    g = partner_ranks(e, q).join(q, "query_id")
+    mine, never = F.col("mine"), F.lit(-(1 << 30))
+    # Of each source and day the edges by last day: as many rows as the calendar has days.
+    g = g.withColumn("_m", F.coalesce("mine", never))
+    same = W.partitionBy("s", "day")
+    by = g.groupBy("s", "day", "_m").agg(F.count("*").alias("_n")).withColumns({
+        "_all": F.sum("_n").over(same),
+        "_met": F.sum(F.when(F.col("_m") > never, F.col("_n")).otherwise(0)).over(same),
+        "later_others": F.coalesce(F.sum("_n").over(same.orderBy(F.desc("_m")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+    })
+    g = g.join(by, ["s", "day", "_m"]).crossJoin(F.broadcast(n_nodes.select("n_nodes")))
+    g = g.withColumns({"others": F.col("_all") - 1, "known": F.col("_met") - F.when(mine.isNotNull(), 1).otherwise(0), "equal_others": F.col("_n") - 1})
+    kept = F.col("partners") - F.col("known")
+    unseen = 1 + kept + 0.5 * (F.col("n_nodes") - 1 - F.col("others") - kept)
+    rank = F.when(mine.isNotNull(), 1 + F.col("later") - F.col("later_others") + 0.5 * (F.col("equal") - 1 - F.col("equal_others"))).otherwise(unseen)
+    old = edges.where("split <> 'test'").select(F.col("src").alias("s"), F.col("dst").alias("d"), F.lit(True).alias("seen")).distinct()
+    return g.select(F.col("query_id").alias("event_idx"), "s", "d", rank.cast("double").alias("rank")).join(old, ["s", "d"], "left").select("event_idx", "rank", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
 def filtered_ranks(scores: DataFrame) -> DataFrame:
@@ -60,9 +66,9 @@ def lexicographic_ranks(scores: DataFrame) -> DataFrame:
 def partner_strata(edges: DataFrame) -> DataFrame:
     """Test edges by whether the target is a past partner: how many, how often it is the latest one, median number of
     partners and median recency place (1 is the latest)."""
-    g = partner_rows(edges).groupBy("event_idx").agg(F.count("partner").alias("partners"), F.max(F.when(F.col("partner") == F.col("dst"), F.col("last"))).alias("mine"), F.collect_list("last").alias("days"))
-    place = F.when(F.col("mine").isNotNull(), 1 + F.size(F.filter("days", lambda x: x > F.col("mine"))))
-    g = g.select(F.col("mine").isNotNull().alias("is_partner"), "partners", place.alias("place"))
+    q = edges.where("split = 'test'").select(F.col("event_idx").alias("query_id"), F.col("src").alias("s"), F.col("dst").alias("d"), "day")
+    g = partner_ranks(edges.select(F.col("src").alias("s"), F.col("dst").alias("d"), "day"), q)
+    g = g.select(F.col("mine").isNotNull().alias("is_partner"), "partners", (1 + F.col("later")).alias("place"))
     return g.groupBy("is_partner").agg(F.count("*").alias("n"), F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).alias("latest"), F.expr("percentile(partners, 0.5)").alias("median_partners"), F.expr("percentile(place, 0.5)").alias("median_place"))
 
 

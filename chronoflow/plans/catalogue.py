@@ -241,13 +241,15 @@ def _neighbor_queries(e):
     return e.where("split = 'test'").select(F.col("event_idx").alias("query_id"), F.col("src").alias("node"), "day")
 
 
-@query(f"WITH {PARTY}, {_INC} SELECT query_id, cut - rn + 1 AS pos, other, c.day - inc.day AS dt, dir FROM (SELECT *, unnest(range(greatest(1, cut - 19), cut + 1)) AS rn FROM c) c JOIN inc USING (node, rn)")
+# The n-th latest incidence is at place cut - n + 1: places are made from a list of numbers and joined by equality.
+@query(f"""WITH {PARTY}, {_INC}, p AS MATERIALIZED (SELECT query_id, node, day, cut, (cut - k)::BIGINT AS rn FROM c CROSS JOIN range(20) AS r(k) WHERE k < cut)
+SELECT query_id, cut - p.rn + 1 AS pos, other, p.day - inc.day AS dt, dir FROM p JOIN inc ON inc.node = p.node AND inc.rn = p.rn""")
 def incidence_topk(spark, d):
     e = edges(spark, d, "party")
     return asof.recent_neighbors(asof.incidence(e), _neighbor_queries(e), 20).drop("eday")
 
 
-@query(f"""WITH {PARTY}, {_INC}, p AS (SELECT query_id, node, day, cut, unnest(CASE WHEN cut <= 7 THEN range(1, cut + 1) ELSE list_concat([1 + (j * (cut - 4)) // 3 FOR j IN range(3)], range(cut - 3, cut + 1)) END) AS rn FROM c)
+@query(f"""WITH {PARTY}, {_INC}, p AS MATERIALIZED (SELECT query_id, node, day, cut, (CASE WHEN cut <= 7 OR k < 4 THEN cut - k ELSE 1 + ((6 - k) * (cut - 4)) // 3 END)::BIGINT AS rn FROM c CROSS JOIN range(7) AS r(k) WHERE k < cut)
 SELECT query_id, cut - p.rn + 1 AS pos, other, p.day - inc.day AS dt, dir FROM p JOIN inc ON inc.node = p.node AND inc.rn = p.rn""")
 def incidence_strat(spark, d):
     e = edges(spark, d, "party")
