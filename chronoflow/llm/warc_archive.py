@@ -93,9 +93,12 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN
     rows = rows.withColumn("digest", F.sha1("html"))
     same = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
     same = same.filter("n > 1").select("digest", "response")
-    rows = rows.join(same, "digest", "left")
-    revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("response")) & F.col("response").isNotNull(), F.lit(False))
-    rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("revisit"))
+    # Revisits are found among ids and digests; payloads meet them by both, so that a payload which many pages have is not
+    # one task's.
+    ids = rows.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    ids = ids.join(same, ids["_digest"] == same["digest"]).filter(~F.col("_id").eqNullSafe(F.col("response"))).select("_id", "_digest", "response")
+    rows = rows.join(ids, (rows["digest"] == ids["_digest"]) & rows["page_id"].eqNullSafe(ids["_id"]), "left")
+    rows = rows.select("page_id", "url", "html", F.col("response").alias("refers_to"), F.col("response").isNotNull().alias("revisit"))
     return written(rows.mapInArrow(_writer(folder, date), "uri string, n_records long"), "manifest")
 
 
@@ -296,11 +299,32 @@ def read_warc(files: DataFrame) -> DataFrame:
     return files.select("uri").repartition(n).mapInArrow(_reader, _ROWS)
 
 
-def archived(pages: DataFrame, **options) -> DataFrame:
-    """Writes ``pages`` and returns its records as read back."""
-    rows = read_warc(write_warc(pages, **options))
+def gaps(rows: DataFrame) -> DataFrame:
+    """The quarantined bytes among what ``read_warc`` gave: uri, start, end, reason."""
+    return rows.filter("reason IS NOT NULL").select("uri", "start", "end", "reason")
+
+
+def shortfalls(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """Files of the manifest (uri, n_records) that gave another number of pages when read: uri, n_records, n_read. A file
+    cut at a member's boundary has no gap, but records are lacking."""
+    read = rows.filter("type IN ('response', 'revisit')").groupBy("uri").agg(F.count("*").alias("n_read"))
+    both = manifest.join(read, "uri", "left").select("uri", "n_records", F.coalesce("n_read", F.lit(0)).alias("n_read"))
+    return both.filter("n_read <> n_records")
+
+
+def checked(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with an error for each gap and for each file from which records are lacking or lost."""
     gap = F.raise_error(F.concat(F.lit("gap in "), "uri", F.lit(" at "), F.col("start").cast("string"), F.lit(": "), "reason"))
     rows = rows.withColumn("type", F.when(F.col("reason").isNotNull(), gap).otherwise(F.col("type"))).filter("type IN ('response', 'revisit')")
+    lost = shortfalls(manifest, rows)
+    lost = lost.withColumn("type", F.raise_error(F.concat(F.lit("records lacking in "), "uri", F.lit(": "), F.col("n_read").cast("string"), F.lit(" of "), F.col("n_records").cast("string"))))
+    return rows.unionByName(lost.select("uri", F.col("type").cast("string").alias("type")), allowMissingColumns=True)
+
+
+def archived(pages: DataFrame, **options) -> DataFrame:
+    """Writes ``pages`` and returns its records as read back, as many as were written."""
+    manifest = write_warc(pages, **options)
+    rows = checked(manifest, written(read_warc(manifest), "records"))
     return rows.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
