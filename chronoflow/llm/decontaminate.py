@@ -26,6 +26,7 @@ other columns pass through ``decontaminated`` untouched and are ignored by ``lea
 
 from __future__ import annotations
 
+import hashlib
 import string
 import struct
 from functools import reduce
@@ -242,6 +243,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], _LEAK)
 
 
+def _digests(uri: str, threshold: float):
+    """Texts -> the SHA-256 of those that hold an item of the block."""
+
+    def held(batches):
+        index = index_of(uri)
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.sha256(x.encode("utf-8", "replace")).digest() for x in texts if x and index.search(x, threshold)], pa.binary())})
+
+    return held
+
+
 def _filter(uri: str, text: str, threshold: float):
     def clean(batches):
         index = index_of(uri)
@@ -253,8 +266,11 @@ def _filter(uri: str, text: str, threshold: float):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item. What a block leaves is written before the next one
-    reads it, so no task holds two blocks."""
-    for k, uri in enumerate(item_blocks(benchmark, item_id, item_text)):
-        docs = (written(docs, "clean") if k else docs).mapInArrow(frugal(_filter(uri, text, threshold)), docs.schema)
-    return docs
+    """``docs`` without the documents that hold a benchmark item. One block of items is a filter. Of several each task holds
+    one; they find the digests of the texts that hold an item, and these texts go in one join."""
+    uris = item_blocks(benchmark, item_id, item_text)
+    if len(uris) < 2:
+        return docs.mapInArrow(frugal(_filter(uris[0], text, threshold)), docs.schema) if uris else docs
+    found = [docs.select(text).mapInArrow(frugal(_digests(uri, threshold)), "digest binary") for uri in uris]
+    digests = written(reduce(DataFrame.unionAll, found).distinct(), "digests")
+    return docs.join(digests, F.unhex(F.sha2(F.col(text), 256)) == digests["digest"], "left_anti")
