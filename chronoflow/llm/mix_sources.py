@@ -99,7 +99,7 @@ def class_copies(classes: DataFrame, wanted: DataFrame, lambdas: DataFrame, limi
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 to ``limit``)."""
     columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    docs = docs.withColumns({"__m_id": F.col(doc_id), "__m_source": F.col(source), "__m_size": F.size(words_of(F.coalesce(F.col(text), F.lit("")))).cast("long")})
+    docs = docs.withColumns({"__m_id": F.col(doc_id), "__m_source": F.col(source), "__m_text": F.xxhash64(text), "__m_size": F.size(words_of(F.coalesce(F.col(text), F.lit("")))).cast("long")})
     counts = written(docs.groupBy("__m_source", "__m_size").agg(F.count("*").alias("__m_n")), "sizes")
     sizes = counts.groupBy("__m_source").agg(F.sum(F.col("__m_n") * F.col("__m_size")).alias("__m_words"), F.sum("__m_n").alias("d"))
     wanted = written(targets(sizes.drop("d"), weights, limit), "targets")
@@ -122,7 +122,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     ahead = written(ahead, "ranks")
     keys = [rows[k].eqNullSafe(ahead[k]) for k in ("__m_source", "__m_size", "__m_group")]
     ranked = rows.join(ahead, keys[0] & keys[1] & keys[2], "left").drop(*[ahead[k] for k in ("__m_source", "__m_size", "__m_group")])
-    at = F.row_number().over(W.partitionBy("__m_source", "__m_size", "__m_group").orderBy(F.xxhash64("__m_id"), "__m_id"))
+    at = F.row_number().over(W.partitionBy("__m_source", "__m_size", "__m_group").orderBy(F.xxhash64("__m_id"), "__m_id", "__m_text"))
     ranked = ranked.withColumn("__m_rank", at + F.coalesce("ahead", F.lit(0)))
     each = F.floor(F.col("__m_copies") / F.col("__m_n")) + F.when(F.col("__m_rank") <= F.col("__m_copies") % F.col("__m_n"), 1).otherwise(0)
     return ranked.select(*columns, F.col("__m_size").alias("size"), F.col("__m_words").alias("source_size"), F.col("__m_target").alias("target"), each.cast("long").alias("copies"))
