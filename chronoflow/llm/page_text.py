@@ -10,8 +10,11 @@ on a page without one, those in the part of the template that holds most of the
 navigation, headers, footers, sidebars, adverts, notices, forms, scripts, styles or comments by their tag, role or
 class name are left out wherever they are. Outside articles a text of the template is boilerplate and goes. Inside an
 article it goes if at least half of the group's articles, and three, have it, where only articles with another slot
-text each count, and only if slots are half of their text at least: copies of an article, near ones too, are no
-evidence and lose nothing, nor do passages that fewer articles share. An article of nothing else stays whole.
+text each count, and only if as many of their texts are slots as are template: near copies of an article, which share
+more texts than they have of their own, are no evidence and lose nothing, nor do passages that fewer articles share. An
+article of nothing else stays whole. How long texts are plays no part. A class name inside an article that says more than
+that its part is to be left out (``social-history``) is for the template to judge: slots stay, template texts go. Hosts
+with one or two pages have no template that counts; there tags and names decide alone.
 
 A host's pages are dealt into groups of about ``GROUP`` pages by a hash, so a host with a third of all pages is the
 work of many tasks. Equal pages count once in a vector.
@@ -50,6 +53,11 @@ LEFT_OUT_NAMES = frozenset(
     "disqus respond cookie cookies consent gdpr notice notices newsletter subscribe popup modal overlay share sharing social related recommended breadcrumb breadcrumbs "
     "pagination pager widget toolbar login signup".split()
 )
+# Names that stand beside those above without changing what they say.
+BESIDE = frozenset(
+    "area bar block body bottom box button buttons center column container content count entry field fields form group head header headline icon icons inner item items label left link links list "
+    "main outer page panel part post posts right row section site slot text thread title top unit wrap wrapper".split()
+)
 # What an open element of a kind is closed by, at the start of another of the kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}}
@@ -61,10 +69,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "out", "main")
+    __slots__ = ("tag", "path", "out", "main", "odd")
 
-    def __init__(self, tag: str, path: str, out: bool, main: bool):
-        self.tag, self.path, self.out, self.main = tag, path, out, main
+    def __init__(self, tag: str, path: str, out: bool, main: bool, odd: bool):
+        self.tag, self.path, self.out, self.main, self.odd = tag, path, out, main, odd
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -78,11 +86,14 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     style = a.get("style", "").replace(" ", "").lower()
     inside = parent is not None and parent.main
     out = (parent is not None and parent.out) or tag in LEFT_OUT or (tag == "header" and not inside) or role in LEFT_OUT_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style
-    out = out or (tag not in ("html", "body", "article", "main") and bool(names & LEFT_OUT_NAMES)) or (tag == "article" and bool(names & {"comment", "ad", "ads", "related", "promo"}))
+    # Inside an article a name that says more than that leaves the matter to the template.
+    named = tag not in ("html", "body", "article", "main") and bool(names & LEFT_OUT_NAMES)
+    odd = (parent is not None and parent.odd) or (named and inside and not names <= LEFT_OUT_NAMES | BESIDE)
+    out = out or (named and not odd) or (tag == "article" and bool(names & {"comment", "ad", "ads", "related", "promo"}))
     out = out or (tag not in ("html", "body", "article", "main") and "header" in names and not inside)
     main = inside or (not out and (tag in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"))
     label = tag + "".join(f".{x}" for x in sorted(set(a.get("class", "").split()))) + (f"#{a['id']}" if "id" in a else "")
-    return Element(tag, f"{parent.path if parent else ''}/{label}", out, main)
+    return Element(tag, f"{parent.path if parent else ''}/{label}", out, main, odd)
 
 
 def tokens_of(html: str) -> list[tuple[str, str, Element, int]]:
@@ -239,16 +250,17 @@ def _central(pages: list[list[tuple]], held: dict) -> str:
 
 
 def _notices(pages: list[list[tuple]], held: dict) -> set[str]:
-    """The keys of template texts that articles of different content share."""
+    """The keys of template texts that articles of different content share. An article speaks for that only if it has as
+    many slots of its own as template texts, however long either are."""
     contents, having = set(), defaultdict(set)
     for tokens in pages:
-        texts = [(key, len(text)) for key, text, e, _ in tokens if text.strip() and e.main and not e.out]
-        own = frozenset(k for k, _ in texts if k not in held)
+        texts = [key for key, text, e, _ in tokens if text.strip() and e.main and not e.out]
+        own = frozenset(k for k in texts if k not in held)
         if not own:
             continue
         contents.add(own)
-        if 2 * sum(n for k, n in texts if k not in held) >= sum(n for _, n in texts):
-            for k, _ in texts:
+        if 2 * sum(k not in held for k in texts) >= len(texts):
+            for k in texts:
                 if k in held:
                     having[k].add(own)
     return {k for k, x in having.items() if len(x) >= max(3, len(contents) / 2)}
@@ -266,7 +278,8 @@ def extract(htmls: list[str]) -> list[str]:
     for h, tokens in distinct.items():
         if any(e.main and t.strip() for _, t, e, _ in tokens):
             article = lambda e: e.main and not e.out
-            texts[h] = _blocks(tokens, article, notices) or _blocks(tokens, article)
+            told = notices | {k for k, _, e, _ in tokens if e.odd and k in held}
+            texts[h] = _blocks(tokens, article, told) or _blocks(tokens, article)
         else:
             central = central or _central(pages, held)
             under = central + "/"
