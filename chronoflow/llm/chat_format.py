@@ -60,6 +60,8 @@ MAPPINGS = {
     ("messages[].role", "messages[].text"): ("list", "messages", "role", "text", False),
     ("conversations[].from", "conversations[].value"): ("list", "conversations", "from", "value", True),
     ("turns[].role", "turns[].text"): ("list", "turns", "role", "text", False),
+    ("turns[].text",): ("list", "turns", "role", "text", False),
+    ("turns[].role",): ("list", "turns", "role", "text", False),
     ("completion", "prompt"): ("fields", [("user", ["prompt"]), ("assistant", ["completion"])]),
     ("prompt", "response"): ("fields", [("user", ["prompt"]), ("assistant", ["response"])]),
     ("question", "answer"): ("fields", [("user", ["question"]), ("assistant", ["answer"])]),
@@ -175,11 +177,14 @@ def format_rows(rows: DataFrame) -> DataFrame:
 
     A conversation is put together from chunks of consecutive turn numbers, so that a very long one is formatted by
     many tasks and only finished strings meet."""
-    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("chunk", F.floor(F.col("turn") / CHUNK))
-    part = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    part = part.select("conv_id", "chunk", F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")).alias("record"))
-    part = with_turns(part, "record").select("conv_id", "chunk", formatted(F.col("turns")).alias("part"))
+    record = F.struct(F.array(F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))).alias("turns"))
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), record.alias("record"))
+    # The fingerprint is that of the row as it comes; a row with neither role nor text has no fields, and is an empty turn.
+    said = F.coalesce(F.col("turns")[0], F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text")))
+    rows = with_turns(rows, "record").withColumn("said", said)
+    turn = F.struct("turn", F.coalesce("said.role", F.lit("unknown")).alias("role"), F.coalesce("said.text", F.lit("")).alias("text"))
+    part = rows.groupBy("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    part = part.select("conv_id", "chunk", formatted(F.col("turns")).alias("part"))
     whole = part.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
     return whole.select("conv_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("formatted"))
 
