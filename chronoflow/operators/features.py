@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.functions.vectors import ln1
 from chronoflow.operators.asof import intervals, last_before, past, stacked, told, when_event
+from chronoflow.sources.shared import cut
 
 BASE4 = ("pair_seen", "pair_recency", "dst_seen", "dst_recency")
 BUCKETS = ("dt_1", "dt_2", "dt_7")
@@ -119,22 +120,57 @@ def cross_features(events: DataFrame, batch: DataFrame, columns: tuple[str, ...]
     return pairs.select("query_id", "batch", "i", "j").join(features(events, pairs, columns), "query_id").drop("query_id")
 
 
+LIGHT = 512  # rows of a node's neighbour list that one row may hold
+
+
+def neighbour_pairs(events: DataFrame) -> DataFrame:
+    """node, mid, days: for each node and undirected neighbour the days on which they met, in order."""
+    both = F.explode(F.array(F.struct(F.col("s").alias("node"), F.col("d").alias("mid")), F.struct(F.col("d").alias("node"), F.col("s").alias("mid"))))
+    return events.select(both.alias("x"), "day").select("x.*", "day").groupBy("node", "mid").agg(F.array_sort(F.collect_set("day")).alias("days"))
+
+
+def common_pairs(pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, s, d, day, mid: nodes that both ends of a query ever meet, from neighbour pairs. Two light ends (up to
+    ``LIGHT`` neighbours) meet as lists, and only what they share is a row. Else the neighbours of the end that has fewer
+    are looked up among the other's, by (node, neighbour); a heavy list is dealt in shares of ``LIGHT``, so neither side of
+    a join has a hub's whole list under one key."""
+    size = cut(pairs.groupBy("node").agg(F.count("*").alias("n")))
+    end = lambda c: size.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    q = cut(queries.select("query_id", "s", "d", "day").join(end("s"), "s").join(end("d"), "d"))
+    lists = pairs.join(size.where(F.col("n") <= LIGHT), "node", "left_semi").groupBy("node").agg(F.collect_list("mid").alias("mids"))
+    both = (F.col("n_s") <= LIGHT) & (F.col("n_d") <= LIGHT)
+    light = q.where(both).join(lists.withColumnRenamed("mids", "a"), F.col("s") == F.col("node")).drop("node")
+    light = light.join(lists.withColumnRenamed("mids", "b"), F.col("d") == F.col("node"))
+    light = light.select("query_id", "s", "d", "day", F.explode(F.array_intersect("a", "b")).alias("mid"))
+    fewer = F.col("n_s") <= F.col("n_d")
+    h = q.where(~both).withColumns({"node": F.when(fewer, F.col("s")).otherwise(F.col("d")), "other": F.when(fewer, F.col("d")).otherwise(F.col("s")), "shares": F.ceil(F.least("n_s", "n_d") / LIGHT)})
+    h = h.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    dealt = pairs.join(size, "node").select("node", "mid", F.pmod(F.xxhash64("mid"), F.ceil(F.col("n") / LIGHT)).alias("share"))
+    h = h.join(dealt, ["node", "share"]).join(pairs.select(F.col("node").alias("other"), "mid"), ["other", "mid"])
+    return light.unionByName(h.select("query_id", "s", "d", "day", "mid"))
+
+
 def common_neighbors(events: DataFrame, queries: DataFrame, recent: int = 30) -> DataFrame:
     """query_id; how many undirected neighbours both ends had before the day (cn), how many of them both met within
-    ``recent`` days (cn_recent), their Adamic-Adar sum (aa), and the directed two-hop paths (two_hop)."""
-    both = F.explode(F.array(F.struct(F.col("s").alias("node"), F.col("d").alias("mid")), F.struct(F.col("d").alias("node"), F.col("s").alias("mid"))))
-    met = events.select(both.alias("x"), "day").select("x.*", "day").distinct()
-    side = lambda end, p: queries.select("query_id", F.col(end).alias("node"), "day").join(met.withColumnRenamed("day", "eday"), "node").where("eday < day").groupBy("query_id", "mid").agg(F.max("eday").alias(p), F.first("day").alias(f"{p}_day"))
-    a = side("s", "pa").join(side("d", "pb").drop("pb_day"), ["query_id", "mid"])
-    deg = degrees(events, a.select(F.xxhash64("query_id", "mid").alias("query_id"), F.col("mid").alias("node"), F.col("pa_day").alias("day")))
-    a = a.withColumn("k", F.xxhash64("query_id", "mid")).join(deg.withColumnRenamed("query_id", "k"), "k")
-    near = (F.col("pa") >= F.col("pa_day") - recent) & (F.col("pb") >= F.col("pa_day") - recent)
-    a = a.groupBy("query_id").agg(F.count("*").alias("cn"), F.sum(F.when(near, 1).otherwise(0)).alias("cn_recent"), F.sum(F.when(F.col("deg") > 0, 1.0 / ln1(F.col("deg")))).alias("aa"))
-    out = events.select(F.col("s"), F.col("d").alias("mid"), F.col("day").alias("eday"))
-    one = queries.select("query_id", "s", F.col("d").alias("c"), "day").join(out, "s").where("eday < day").select("query_id", "c", "day", "mid").distinct()
-    two = one.join(events.select(F.col("s").alias("mid"), F.col("d").alias("c"), F.col("day").alias("eday2")).distinct(), ["mid", "c"]).where("eday2 < day").groupBy("query_id").agg(F.countDistinct("mid").alias("paths"))
-    r = queries.select("query_id").join(a, "query_id", "left").join(two, "query_id", "left")
+    ``recent`` days (cn_recent), their Adamic-Adar sum (aa), and the directed two-hop paths (two_hop). Rows are the common
+    neighbours, of which two-hop nodes are a part, not the queries' past events."""
+    pairs = cut(neighbour_pairs(events))
+    side = lambda c, name: pairs.select(F.col("node").alias(c), "mid", F.col("days").alias(name))
+    last = lambda c: F.array_max(F.filter(c, lambda x: x < F.col("day")))
+    a = common_pairs(pairs, queries).join(side("s", "_a"), ["s", "mid"]).join(side("d", "_b"), ["d", "mid"])
+    a = a.withColumns({"pa": last("_a"), "pb": last("_b")}).where("pa IS NOT NULL AND pb IS NOT NULL").drop("_a", "_b")
+    first = events.groupBy("s", "d").agg(F.min("day").alias("first"))
+    a = a.join(first.select("s", F.col("d").alias("mid"), F.col("first").alias("out")), ["s", "mid"], "left")
+    a = a.join(first.select(F.col("s").alias("mid"), "d", F.col("first").alias("into")), ["mid", "d"], "left")
+    daily = first_contacts(events).groupBy("node", "day").agg(F.count("*").alias("n"))
+    deg = told(daily, a.select(F.col("mid").alias("node"), "day"), ["node"], deg=F.coalesce(F.sum("n").over(past("node")), F.lit(0)))
+    a = a.join(deg.withColumnRenamed("node", "mid"), ["mid", "day"])
+    near = (F.col("pa") >= F.col("day") - recent) & (F.col("pb") >= F.col("day") - recent)
+    path = (F.col("out") < F.col("day")) & (F.col("into") < F.col("day"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    a = a.groupBy("query_id").agg(F.count("*").alias("cn"), count(near).alias("cn_recent"), F.sum(F.when(F.col("deg") > 0, 1.0 / ln1(F.col("deg")))).alias("aa"), count(path).alias("paths"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    r = queries.select("query_id").join(a, "query_id", "left")
     return r.select("query_id", zero("cn").alias("cn"), zero("cn_recent").alias("cn_recent"), F.coalesce("aa", F.lit(0.0)).alias("aa"), ln1(zero("paths")).alias("two_hop"))
 
 

@@ -1,5 +1,6 @@
 """Counts that list nothing: partner ranks, numbered incidences and day totals against plain loops over a graph with a hub."""
 
+import math
 import random
 
 import pytest
@@ -59,3 +60,23 @@ def test_incidences_are_numbered_in_order(spark, monkeypatch, block):
     for node, rows in got.items():
         want = sorted((t, k, side) for k, (s, d, t) in enumerate(ROWS) for side, end in ((0, s), (1, d)) if end == node)
         assert sorted(rows) == [(n + 1, *w) for n, w in enumerate(want)]
+
+
+@pytest.mark.parametrize("light", (2, 512))
+def test_common_neighbours_equal_loops(spark, monkeypatch, light):
+    monkeypatch.setattr(feat, "LIGHT", light)
+    rows = [*ROWS, (3, 3, 5), (0, 0, 2)]
+    queries = [(k, RND.randrange(9), RND.randrange(13), RND.randrange(42)) for k in range(80)]
+    got = {x.query_id: x for x in feat.common_neighbors(events(spark, rows), spark.createDataFrame(queries, "query_id long, s long, d long, day int")).collect()}
+    assert len(got) == len(queries)
+    for k, s, c, day in queries:
+        past = [(a, b, t) for a, b, t in rows if t < day]
+        met = {}
+        for a, b, t in past:
+            for x, y in ((a, b), (b, a)):
+                met.setdefault(x, {})[y] = max(t, met.get(x, {}).get(y, t))
+        both = set(met.get(s, {})) & set(met.get(c, {}))
+        paths = {b for a, b, _ in past if a == s} & {a for a, b, _ in past if b == c}
+        x = got[k]
+        assert (x.cn, x.cn_recent) == (len(both), sum(met[s][m] >= day - 30 and met[c][m] >= day - 30 for m in both))
+        assert x.aa == pytest.approx(sum(1 / math.log(1 + len(met[m])) for m in both)) and x.two_hop == pytest.approx(math.log(1 + len(paths)))
