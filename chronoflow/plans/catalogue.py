@@ -1031,7 +1031,7 @@ def _net_ranks(spark, d, shape):
     t = e.where("split = 'test'").select("event_idx", "src", "dst", "day")
     log = graphnet.memory_log(e, w, shape) if shape.memory else None
     z = graphnet.embeddings(asof.incidence(e, ("feat",)), _net_days(e), w, shape, log)
-    return graphnet.full_ranks(t, cut(graphnet.candidate_scores(t, z, w, shape)))
+    return graphnet.block_ranks(t, z, w, shape)
 
 
 @query()
