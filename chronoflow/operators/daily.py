@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.functions.vectors import ln1
+from chronoflow.sources.shared import cut
 
 FLOW = "source_eoa string, target_eoa string, block_timestamp timestamp_ntz, asset string, amount_human string"
 
@@ -25,14 +26,15 @@ def daily_edges(flow: DataFrame, assets: tuple[str, ...]) -> DataFrame:
     return g.crossJoin(first).select("s", "d", F.datediff("dt", "first").alias("day"), *[f"amt_{k}" for k in range(len(assets))], total.alias("usd_sum"), "txn")
 
 
-def numbered(rows: DataFrame, column: str, name: str, prefix: int = 3) -> DataFrame:
-    """Adds the rank (from 0) of distinct strings without a global sort: an offset for each prefix, a rank within it.
-    Only the table of prefixes, bounded by the alphabet, is ordered in one task."""
-    p = F.substring(column, 1, prefix)
-    heads = rows.groupBy(p.alias("_p")).agg(F.count("*").alias("_n"))
-    heads = heads.withColumn("_before", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).select("_p", "_before")
-    within = F.row_number().over(W.partitionBy("_p").orderBy(column))
-    return rows.withColumn("_p", p).join(heads, "_p").withColumn(name, (F.col("_before") + within - 1).cast("long")).drop("_p", "_before")
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the rank (from 0) of distinct strings without a global sort: rows are dealt by ranges whose bounds Spark takes
+    from a sample of the strings, so that ranges are even whatever the strings start with, and numbered within; only the
+    table of ranges is ordered in one task. Written, as another run may take other bounds."""
+    ids = cut(rows.repartitionByRange(column).sortWithinPartitions(column).withColumn("_n", F.monotonically_increasing_id()))
+    part = F.shiftright("_n", 33).alias("_p")
+    heads = ids.groupBy(part).agg(F.count("*").alias("_c"))
+    heads = heads.select("_p", (F.sum("_c").over(W.orderBy("_p")) - F.col("_c")).alias("_before"))
+    return ids.withColumn("_p", part).join(heads, "_p").withColumn(name, F.col("_before") + F.col("_n").bitwiseAND((1 << 33) - 1)).drop("_p", "_n", "_before")
 
 
 def node_dim(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,25 @@ import warnings
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.functions.hashing import hash_key
-from chronoflow.sources.shared import cut, drop
+from chronoflow.sources.shared import cut, cut_folder, drop
+
+
+BUCKETS = 64
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """Each edge from both its ends, written in ``BUCKETS`` folders by a hash of the end: anchor, other, transaction_hash,
+    block_timestamp, bucket. A reader that names buckets reads no others."""
+    ends = F.explode(F.array(F.struct(F.col("from_address").alias("anchor"), F.col("to_address").alias("other")), F.struct(F.col("to_address").alias("anchor"), F.col("from_address").alias("other"))))
+    rows = edges.select(ends.alias("x"), "transaction_hash", "block_timestamp").select("x.*", "transaction_hash", "block_timestamp").where("anchor IS NOT NULL AND other IS NOT NULL")
+    path = cut_folder(edges.sparkSession, "adjacency")
+    # Buckets are split by the other end, so that a hub's is no single file.
+    rows.withColumn("bucket", bucket_of("anchor")).repartition("bucket", F.pmod(F.xxhash64("other"), F.lit(4))).write.partitionBy("bucket").parquet(path)
+    return edges.sparkSession.read.schema(rows.schema.add("bucket", "integer")).parquet(path)
+
+
+def bucket_of(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
 
 
 def snowball(edges: DataFrame, seed: str, max_nodes: int = 100_000, per_node: int = 50, rng_seed: int = 0) -> DataFrame:
@@ -17,14 +35,14 @@ def snowball(edges: DataFrame, seed: str, max_nodes: int = 100_000, per_node: in
     spark = edges.sparkSession
     if edges.where((F.col("from_address") == seed) | (F.col("to_address") == seed)).isEmpty():
         raise ValueError(f"no edges touch {seed}")
+    known = adjacency(edges)
     nodes = cut(spark.createDataFrame([(seed, 0)], "address string, hop int"))
     frontier, size, hop = nodes, 1, 0
     while size < max_nodes:
         hop += 1
         f = frontier.select(F.col("address").alias("anchor"))
-        out = edges.join(f, edges["from_address"] == f["anchor"]).select("anchor", F.col("to_address").alias("other"), "transaction_hash", "block_timestamp")
-        into = edges.join(f, edges["to_address"] == f["anchor"]).select("anchor", F.col("from_address").alias("other"), "transaction_hash", "block_timestamp")
-        touching = out.unionByName(into).where("other IS NOT NULL")
+        buckets = [r["b"] for r in f.select(bucket_of("anchor").alias("b")).distinct().collect()]  # at most ``BUCKETS``
+        touching = known.where(F.col("bucket").isin(buckets)).join(f, "anchor").drop("bucket")
         order = hash_key(F.col("transaction_hash"), F.unix_timestamp(F.col("block_timestamp").cast("timestamp")), F.col("anchor"), F.col("other"), rng_seed)
         capped = touching.withColumn("rn", F.row_number().over(W.partitionBy("anchor").orderBy(order, "other"))).where(F.col("rn") <= per_node)
         new = capped.select(F.col("other").alias("address")).distinct().join(nodes, "address", "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.operators.asof import last_before
+from chronoflow.operators.metrics import exact_median
+from chronoflow.sources.shared import cut
 
 
 def edgebank(events: DataFrame, queries: DataFrame, clock: str = "day", window: DataFrame | None = None) -> DataFrame:
@@ -28,8 +30,8 @@ def span_days(edges: DataFrame, span: str = "test") -> DataFrame:
 
 def amount_baselines(edges: DataFrame) -> DataFrame:
     """For test edges the log10 amount, the pair's last one before (the train median without one) and the median."""
-    y = edges.where("usd_sum > 0").withColumn("y", F.log10("usd_sum"))
-    median = F.broadcast(y.where("split = 'train'").agg(F.expr("percentile(y, 0.5)").alias("median")))
+    y = cut(edges.where("usd_sum > 0").select("event_idx", "src", "dst", "split", F.log10("usd_sum").alias("y")))
+    median = F.lit(exact_median(y.where("split = 'train'"), "y")).cast("double")
     over = W.partitionBy("src", "dst").orderBy("event_idx").rowsBetween(W.unboundedPreceding, -1)
-    y = y.withColumn("prior", F.last("y", ignorenulls=True).over(over)).where("split = 'test'").crossJoin(median)
+    y = y.withColumn("prior", F.last("y", ignorenulls=True).over(over)).where("split = 'test'").withColumn("median", median)
     return y.select("event_idx", "y", F.coalesce("prior", "median").alias("persistence"), "median", F.col("prior").isNotNull().alias("seen"))

@@ -73,6 +73,35 @@ def rank_metrics(ranks: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa:
     return strata(ranks).groupBy(*keys, "stratum").agg(F.count("*").alias("n"), F.avg(1.0 / F.col("rank")).alias("mrr"), hit(1), hit(10), hit(100))
 
 
+BINS, FEW = 4096, 10_000
+
+
+def exact_median(rows: DataFrame, column: str) -> float | None:
+    """The median of finite numbers (mean of the middle two), null without any. Each pass counts the values that may hold
+    the middle in ``BINS`` bins between their bounds and goes on with the bin of the middle, until it has ``FEW`` values
+    or one; the driver gets a histogram, never the values. ``rows`` are read once a pass, two or three times as a rule."""
+    v = rows.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    n, low, high = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    first, last, inside = (n - 1) // 2, n // 2, n
+    while low < high and inside > FEW:
+        place = F.least(F.floor((F.col("v") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = v.where(F.col("v").between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()
+        ahead = 0
+        for k, x in enumerate(bins):
+            if first < ahead + x["n"]:
+                break
+            ahead += x["n"]
+        if last >= ahead + x["n"]:  # the middle two stand at a border
+            return (x["high"] + bins[k + 1]["low"]) / 2
+        first, last, inside, low, high = first - ahead, last - ahead, x["n"], x["low"], x["high"]
+    if low == high:
+        return low
+    values = sorted(r["v"] for r in v.where(F.col("v").between(low, high)).collect())  # at most ``FEW``
+    return (values[first] + values[last]) / 2
+
+
 def youden(scores: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """The threshold with the largest true less false positive rate, read at the ends of ties (largest if equal)."""
     b = _cumulated(scores, keys, down=True)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from chronoflow.operators import metrics
 from chronoflow.operators.asof import intervals
 from chronoflow.operators.features import partner_ranks
+from chronoflow.sources.shared import cut
 
 
 def partner_rows(edges: DataFrame) -> DataFrame:
@@ -68,8 +70,10 @@ def partner_strata(edges: DataFrame) -> DataFrame:
     partners and median recency place (1 is the latest)."""
     q = edges.where("split = 'test'").select(F.col("event_idx").alias("query_id"), F.col("src").alias("s"), F.col("dst").alias("d"), "day")
     g = partner_ranks(edges.select(F.col("src").alias("s"), F.col("dst").alias("d"), "day"), q)
-    g = g.select(F.col("mine").isNotNull().alias("is_partner"), "partners", (1 + F.col("later")).alias("place"))
-    return g.groupBy("is_partner").agg(F.count("*").alias("n"), F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).alias("latest"), F.expr("percentile(partners, 0.5)").alias("median_partners"), F.expr("percentile(place, 0.5)").alias("median_place"))
+    g = cut(g.select(F.col("mine").isNotNull().alias("is_partner"), "partners", (1 + F.col("later")).alias("place")))
+    counts = g.groupBy("is_partner").agg(F.count("*").alias("n"), F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).alias("latest"))
+    middle = lambda c: F.when(F.col("is_partner"), F.lit(metrics.exact_median(g.where("is_partner"), c))).otherwise(F.lit(metrics.exact_median(g.where("NOT is_partner"), c))).cast("double")
+    return counts.select("is_partner", "n", "latest", middle("partners").alias("median_partners"), middle("place").alias("median_place"))
 
 
 def outrankers(scores: DataFrame) -> DataFrame:

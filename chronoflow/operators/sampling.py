@@ -210,14 +210,16 @@ def day_negatives(edges: DataFrame, strategy: str, seed: int, n_nodes: DataFrame
     return drawn.unionByName(unseen_pairs(slots, edges, n_nodes, seed, f"{label}-top", ("clock", "k")).drop("day"))
 
 
-def mixture(edges: DataFrame, n_nodes: DataFrame, seed: int, hard: float = 0.5, same_source: float = 0.5, popular: float = 0.2, novel: float = 0.1, window: int = 30) -> DataFrame:
+def mixture(edges: DataFrame, n_nodes: DataFrame, seed: int, hard: float = 0.5, same_source: float = 0.5, popular: float = 0.2, novel: float = 0.1, window: int = 30, tokens: int = 0, span: tuple[int, int] | None = None) -> DataFrame:
     """Training negatives: for each edge a hard pair seen before its day (of the same source with probability
-    ``same_source``), a target by past popularity, a pair first seen within ``window`` days, or a uniform target; what
-    finds nothing falls back to uniform. event_idx, branch, src, dst."""
+    ``same_source``), a target by past popularity (over the last ``tokens`` edges before the day, if given), a pair first
+    seen within ``window`` days, or a uniform target; what finds nothing falls back to uniform. With a ``span`` only edges
+    with event_idx in [lo, hi) are asked for; what is drawn for an edge does not hang on it. event_idx, branch, src, dst."""
     u = unit(seed, "branch", F.col("event_idx"))
     v = unit(seed, "source", F.col("event_idx"))
     branch = F.when(u < hard, F.when(v < same_source, "source").otherwise("global")).when(u < hard + popular, "popular").when(u < hard + popular + novel, "novel").otherwise("uniform")
-    q = edges.select("event_idx", "src", "dst", "day", branch.alias("branch"))
+    asked = edges if span is None else edges.where((F.col("event_idx") >= span[0]) & (F.col("event_idx") < span[1]))
+    q = asked.select("event_idx", "src", "dst", "day", branch.alias("branch"))
     pool = cut(first_seen(edges))
     days = day_offsets(edges).select("day", F.col("lo").alias("events_before"))
     pairs = pool.groupBy("day").agg(F.count("*").alias("n"))
@@ -236,10 +238,11 @@ def mixture(edges: DataFrame, n_nodes: DataFrame, seed: int, hard: float = 0.5,
     zero = F.lit(0).cast("long")
     own_pairs = at("source", zero, F.col("mine")).join(mine.select("src", F.col("own").alias("pos"), "dst"), ["src", "pos"]).select("event_idx", "day", "branch", "attempt", "src", "dst")
     seen_pairs = at("global", zero, F.col("upto")).unionByName(at("novel", F.col("older"), F.col("upto"))).drop("src").join(pool.select("pos", "src", "dst"), "pos").select("event_idx", "day", "branch", "attempt", "src", "dst")
-    tokens = at("popular", zero, F.col("events_before")).join(edges.select(F.col("event_idx").alias("pos"), "dst"), "pos").select("event_idx", "day", "branch", "attempt", "src", "dst")
-    found = own_pairs.unionByName(seen_pairs).unionByName(tokens).where("src <> dst").join(edges.select("src", "dst", "day"), ["src", "dst", "day"], "left_anti")
+    oldest = F.greatest(zero, F.col("events_before") - tokens) if tokens else zero
+    popular_targets = at("popular", oldest, F.col("events_before")).join(edges.select(F.col("event_idx").alias("pos"), "dst"), "pos").select("event_idx", "day", "branch", "attempt", "src", "dst")
+    found = own_pairs.unionByName(seen_pairs).unionByName(popular_targets).where("src <> dst").join(edges.select("src", "dst", "day"), ["src", "dst", "day"], "left_anti")
     found = cut(_first(found.drop("day"), "event_idx").select("event_idx", "branch", "src", "dst"))
-    return found.unionByName(_uniform_rest(edges, found, n_nodes, seed))
+    return found.unionByName(_uniform_rest(edges, found, n_nodes, seed).join(asked.select("event_idx"), "event_idx", "left_semi"))
 
 
 def _uniform_rest(edges: DataFrame, found: DataFrame, n_nodes: DataFrame, seed: int) -> DataFrame:

@@ -53,6 +53,16 @@ def save(df: DataFrame, path: str, params: dict | None = None, rows_per_file: in
     return manifest
 
 
+def save_sample(nodes: DataFrame, edges: DataFrame, folder: str, params: dict | None = None) -> dict:
+    """A sample as a pair of tables, ``nodes`` and ``edges``, each with its manifest, and one for both, written last. Edges
+    lie in the order of time, then hash and ends: by ranges from file to file, sorted within."""
+    order = ["block_timestamp", "transaction_hash", "from_address", "to_address"]
+    found = {"nodes": save(nodes, f"{folder}/nodes", params)["rows"], "edges": save(edges.repartitionByRange(*order).sortWithinPartitions(*order), f"{folder}/edges", params)["rows"]}
+    whole = found | {"params": params or {}}
+    nodes.sparkSession.createDataFrame([(json.dumps(whole, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/manifest")
+    return whole
+
+
 def manifest_of(spark: SparkSession, path: str) -> dict:
     """The manifest of a folder; without one its write did not end."""
     return json.loads(spark.read.text(f"{path}.manifest").first()["value"])
