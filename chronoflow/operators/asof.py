@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from chronoflow.sources.shared import cut
+
 
 def past(*keys: str, clock: str = "day", back: int | None = None):
     """The window of strictly earlier ticks of a key, all of them or the last ``back``."""
@@ -50,14 +52,26 @@ def last_before(events: DataFrame, queries: DataFrame, clock: str = "day") -> Da
 
 
 BLOCK = 4096  # edges that are numbered together
+HUB = 1_000_000  # incidences of a node from which on its window is cut
 
 
 def incidence(edges: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each edge from both its ends, numbered (rn, from 1) by node in the order of time: node, other, day, dir, rn, and
-    the columns ``keep`` of the edge. A self-loop gives two rows. Numbers are those of the node's days before, of the day's
-    blocks of ``BLOCK`` edges before, and within the block, so no window has all of a node's rows."""
+    the columns ``keep`` of the edge. A self-loop gives two rows. The numbers of a node with more than ``HUB`` rows are
+    those of its days before, of the day's blocks of ``BLOCK`` edges before, and within the block, so no window has all of
+    its rows."""
     ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(0).alias("dir")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(1).alias("dir"))))
-    rows = edges.select("event_idx", "day", *keep, ends.alias("x")).select("x.*", "day", "event_idx", *keep).withColumn("_b", F.floor(F.col("event_idx") / BLOCK))
+    rows = edges.select("event_idx", "day", *keep, ends.alias("x")).select("x.*", "day", "event_idx", *keep)
+    hubs = cut(rows.groupBy("node").agg(F.count("*").alias("_n")).where(F.col("_n") > HUB).select("node"))
+    plain = F.row_number().over(W.partitionBy("node").orderBy("day", "event_idx", "dir"))
+    if hubs.isEmpty():
+        return rows.withColumn("rn", plain)
+    light = rows.join(hubs, "node", "left_anti").withColumn("rn", plain)
+    return light.unionByName(_numbered_by_blocks(rows.join(hubs, "node", "left_semi")))
+
+
+def _numbered_by_blocks(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("_b", F.floor(F.col("event_idx") / BLOCK))
     blocks = rows.groupBy("node", "day", "_b").agg(F.count("*").alias("_n"))
     ahead = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     days = blocks.groupBy("node", "day").agg(F.sum("_n").alias("_n"))

@@ -974,8 +974,7 @@ def fitted_perceptron(spark, d):
     return _fitted(spark, d, (16, 16))
 
 
-@query()
-def day_split_logistic(spark, d):
+def _day_split(spark, d, hidden=()):
     """A scorer fitted on the test days up to the median one and held against the later ones, over all their pairs and
     those that the first part does not have. Each positive has a drawn negative with the same source and day."""
     e = edges(spark, d, "party")
@@ -988,11 +987,21 @@ def day_split_logistic(spark, d):
     columns = ["dst_freq", "dst_freq30", "dst_recency", "pair_freq", "src_freq"]
     asked = pairs.select("query_id", F.col("src").alias("s"), F.col("dst").alias("d"), "day")
     f = cut(feat.features(plain(e), asked, tuple(columns)).join(pairs.join(known, ["src", "dst"], "left").select("query_id", "early", "known", "y"), "query_id"))
-    late = cut(scorer.scored(scorer.fit(f.where("early"), columns, seed=SEED), f.where("NOT early")))
+    late = cut(scorer.scored(scorer.fit(f.where("early"), columns, hidden, SEED), f.where("NOT early")))
     every, novel = late.withColumn("stratum", F.lit("all")), late.where("known IS NULL").withColumn("stratum", F.lit("novel"))
     return rounded(metrics.auroc(every.unionByName(novel), ["stratum"]))
 
 
+@query()
+def day_split_logistic(spark, d):
+    return _day_split(spark, d)
+
+
+@query()
+def day_split_network(spark, d):
+    return _day_split(spark, d, (64, 64))
+
+
 # Graph networks with weights drawn from a seed; tested against a walk node by node
 
 NET = graphnet.Shape(dim=8, edge=3, heads=2, layers=2, stack=1, k=10, k_inner=5, head="bilinear", memory=True)
@@ -1082,6 +1091,18 @@ def _stream_sql(columns):
     return f"WITH {edges_sql('activity')}, {_RAW} SELECT query_id, {', '.join(f'{_COLUMN_SQL[c]} AS {c}' for c in columns)} {_FROM}"
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d') AS dt, count(*) AS n FROM events GROUP BY dt HAVING max(ts)::DATE + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")
+def streaming_daily(spark, d):
+    """Events of each day, as a stream gives them once its watermark, a day behind, has passed the day."""
+    root = cut_folder(spark)
+    rows = table(spark, d, "events").select("ts")
+    rows.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in").select(F.col("ts").cast("timestamp").alias("ts"))
+    sink = replay.daily_counts(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("dt date, n long").parquet(f"{root}/out").select(F.col("dt").cast("string").alias("dt"), "n")
+
+
 @query(_stream_sql(feat.BASE4))
 def streaming_replay(spark, d):
     """The test queries answered by the stream, a file a day, from what came before."""

@@ -51,9 +51,10 @@ def test_recency_ranks_equal_loops(spark):
         assert got[k] == 1 + sum(score(n) > score(d) for n in rest) + 0.5 * sum(score(n) == score(d) for n in rest)
 
 
-@pytest.mark.parametrize("block", (3, 4096))
-def test_incidences_are_numbered_in_order(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, hub", ((3, 100), (4096, 0), (4096, 10**6)))
+def test_incidences_are_numbered_in_order(spark, monkeypatch, block, hub):
     monkeypatch.setattr(asof, "BLOCK", block)
+    monkeypatch.setattr(asof, "HUB", hub)
     got = {}
     for x in asof.incidence(edge_table(spark, ROWS)).collect():
         got.setdefault(x.node, []).append((x.rn, x.day, x.event_idx, x.dir))
