@@ -104,6 +104,9 @@ def padding(clocks: DataFrame, drawn: DataFrame, ends: DataFrame, positives: Dat
     got = drawn.groupBy("clock").agg(F.count("*").alias("got"))
     gap = clocks.join(got, "clock", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
     slots = cut(gap.withColumn("k", F.explode(F.sequence(F.col("got").cast("long"), F.col("need") - 1))).select("clock", "k"))
+    empty = slots.count()
+    if not empty:
+        return slots.select("clock", "k", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"))
     r = _attempts(slots)
     for side in ("src", "dst"):
         nodes = ends.where(F.col("side") == side)
@@ -112,6 +115,8 @@ def padding(clocks: DataFrame, drawn: DataFrame, ends: DataFrame, positives: Dat
         r = r.join(nodes.select("rank", F.col("node").alias(side)), "rank").drop("rank")
     own = positives.select("clock", "src", "dst")
     found = cut(_first(r.join(own, ["clock", "src", "dst"], "left_anti"), "clock", "k").select("clock", "k", "src", "dst"))
+    if found.count() == empty:
+        return found
     # What is left takes the first drawn source that has a target left.
     rest = r.join(found, ["clock", "k"], "left_anti").select("clock", "k", "attempt", "src")
     rest = _allowed_target(rest, own, ends, seed, (label, "pad", "rest"))
@@ -164,6 +169,8 @@ def batch_negatives(edges: DataFrame, strategy: str, seed: int, size: int = BATC
         r = _attempts(slots).crossJoin(F.broadcast(targets.agg(F.count("*").alias("n")))).withColumn("rank", hash_int(seed, strategy, F.col("clock"), F.col("k"), F.col("attempt")) % F.col("n"))
         r = r.join(targets.select("rank", F.col("node").alias("dst")), "rank").join(pos.select("clock", "src", "dst"), ["clock", "src", "dst"], "left_anti")
         found = cut(_first(r.select("clock", "k", "src", "day", "attempt", "dst"), "clock", "k", "src", "day").select("clock", "k", "src", "dst", "day"))
+        if found.count() == pos.count() * n_neg:
+            return found.withColumn("is_pad", F.lit(False))
         rest = _allowed_target(slots.join(found, ["clock", "k"], "left_anti"), pos.select("clock", "src", "dst"), ends, seed, (strategy, "rest"))
         return found.unionByName(rest.select("clock", "k", "src", "dst", "day")).withColumn("is_pad", F.lit(False))
     start = F.broadcast(pos.agg(F.min("event_idx").alias("start")))
