@@ -87,6 +87,8 @@ DIGIT_WORDS = {
 }
 DOT_WORDS = ("dot", "punkt", "point", "punto")
 AT_WORDS = ("at", "arroba", "arobase")
+# Those that are no words of prose: they count before a written domain too.
+SURE_AT_WORDS = AT_WORDS[1:]
 
 
 @cache
@@ -115,13 +117,14 @@ _BEYOND = re.compile("[\xa0\xad\xb7\u0100-\U0010ffff]")
 _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _dot, _at = "|".join(DOT_WORDS), "|".join(AT_WORDS)
 _open, _close = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
+_after_at = rf"(?:(?:{_at})\s{{1,3}}(?=[a-z0-9-]+\s{{0,3}}(?:{_open})?(?:{_dot})(?![a-z0-9]))|(?:{'|'.join(SURE_AT_WORDS)})\s{{1,3}}(?=[a-z0-9-]+\.[a-z0-9-]))"
 # A spelled or written digit, and what may stand between two of them.
 _one = rf"(?:(?<![^\W_])(?:(?:double|triple)\s{{1,3}})?(?:{_digit})(?![^\W_])|(?<![0-9])[0-9]++)"
 _gap = r"[\s,-]{1,3}"
 _REWRITE = re.compile(
     rf"(?P<at>\s{{0,3}}{_open}(?:{_at}|@){_close}\s{{0,3}})"
     rf"|(?P<dot>\s{{0,3}}{_open}(?:{_dot}|\.){_close}\s{{0,3}})"
-    rf"|(?P<plainat>(?<=[a-z0-9])\s{{1,3}}(?:{_at})\s{{1,3}}(?=[a-z0-9-]+\s{{0,3}}(?:{_open})?(?:{_dot})(?![a-z0-9])))"
+    rf"|(?P<plainat>(?<=[a-z0-9])\s{{1,3}}{_after_at})"
     rf"|(?P<spacedat>(?<=[a-z0-9])(?:\s{{1,3}}@\s{{0,3}}|@\s{{1,3}})(?=[a-z0-9-]+\s{{0,3}}(?:\.|{_open}|(?:{_dot})\s)))"
     rf"|(?P<plaindot>(?<=[a-z0-9])\s{{1,3}}(?:{_dot})\s{{1,3}}(?=[a-z0-9]))"
     rf"|(?P<plus>(?<![^\W_])plus\s{{1,3}}(?={_one}))"
@@ -142,7 +145,7 @@ _sep = rf"(?:{_gap}|\s{{1,3}}(?:{_dot})\s{{1,3}})"
 _PAIR = re.compile(rf"{_few}{_sep}{_more}|[0-9]{_sep}(?:(?:double|triple)\s{{1,3}})?{_few}", re.IGNORECASE)
 _BRACKET = re.compile(rf"{_open}(?:{_at}|{_dot}|[@.]){_close}", re.IGNORECASE)
 _SPACED = re.compile(r"\s@|@\s")
-_PLAIN_AT = re.compile(rf"\s(?:{_at})\s{{1,3}}(?=[a-z0-9-]+\s{{0,3}}(?:{_open})?(?:{_dot})(?![a-z0-9]))", re.IGNORECASE)
+_PLAIN_AT = re.compile(rf"\s{_after_at}", re.IGNORECASE)
 _DOT_ONE = re.compile(rf"\s(?:{_dot})\s{{1,3}}{_one}", re.IGNORECASE)
 _PLUS_ONE = re.compile(rf"(?<![^\W_])plus\s{{1,3}}{_one}", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")

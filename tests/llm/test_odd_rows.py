@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import PAGE, prose
 
-from chronoflow.llm import chat_format, decontaminate, mix_sources, page_text, warc_archive
+from chronoflow.llm import chat_format, decontaminate, mix_sources, page_text, pii_spans, warc_archive
 
 
 def test_records_lacking_at_a_boundary_are_noticed(spark, tmp_path):
@@ -119,3 +119,9 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
     spark.createDataFrame([], kind).write.parquet(str(tmp_path / "b/documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "b/benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
+
+
+@pytest.mark.parametrize("text, part", (("von ana arroba ejemplo.com, hoy", "ana arroba ejemplo.com"), ("x Jean Arobase exemple.fr y", "Jean Arobase exemple.fr"), ("meet me at example.com", None), ("ana arroba hoy", None), ("ana at example dot com", "ana at example dot com")))
+def test_at_words_before_written_domains(text, part):
+    found = [text[s:e] for kind, s, e in pii_spans.disguised_spans(text, pii_spans.plain_spans(text)) if kind == 0]
+    assert found == ([part] if part else [])
