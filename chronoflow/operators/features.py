@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.functions.vectors import ln1
 from chronoflow.operators.asof import intervals, last_before, past, stacked, told, when_event
-from chronoflow.sources.shared import cut
+from chronoflow.sources.shared import cut, grown
 
 BASE4 = ("pair_seen", "pair_recency", "dst_seen", "dst_recency")
 BUCKETS = ("dt_1", "dt_2", "dt_7")
@@ -23,7 +23,7 @@ def _counted(events: DataFrame, queries: DataFrame) -> DataFrame:
     first = events.groupBy("s", "d").agg(F.min("day").alias("day"))
     q = r.where(ev == 0).drop("ev")
     for key, name, degree, windows in (("s", "src", "out_deg", (30,)), ("d", "dst", "in_deg", (7, 30, 90))):
-        daily = events.groupBy(key, "day").agg(F.count("*").alias("n")).join(first.groupBy(key, "day").agg(F.count("*").alias("new")), [key, "day"], "left")
+        daily = events.groupBy(key, "day").agg(F.count("*").alias("n")).join(grown(first.groupBy(key, "day").agg(F.count("*").alias("new"))), [key, "day"], "left")
         w = past(key)
         made = {f"{name}_last": F.max(F.when(F.col("n") > 0, day)).over(w), f"{name}_n": F.sum("n").over(w), degree: F.coalesce(F.sum("new").over(w), F.lit(0))}
         q = q.join(told(daily, queries, [key], **made, **{f"{name}_{back}": F.sum("n").over(past(key, back=back)) for back in windows}), [key, "day"])
@@ -52,12 +52,12 @@ def partner_ranks(events: DataFrame, queries: DataFrame) -> DataFrame:
     are counted by the blocks of 1, 2, 4 ... days that the days before T are made of: a step is a row for half of the
     block sizes, added up by (source, block, x), so no group has more rows than the calendar has days."""
     met = intervals(events)
-    q = last_before(events, queries).withColumnRenamed("last", "mine").join(queries.select("query_id", "s", "day"), "query_id")
+    q = last_before(events, queries).withColumnRenamed("last", "mine").join(grown(queries.select("query_id", "s", "day")), "query_id")
     daily = met.groupBy("s", F.col("last").alias("day")).agg(F.count("*").alias("n"))
     first = events.groupBy("s", "d").agg(F.min("day").alias("day")).groupBy("s", "day").agg(F.count("*").alias("new"))
     sums = {c: F.coalesce(F.sum(x).over(past("s")), F.lit(0)) for c, x in (("upto", "n"), ("partners", "new"))}
     asks = q.select("s", "day").unionByName(q.where("mine IS NOT NULL").select("s", (F.col("mine") + 1).alias("day")))
-    asked = told(daily.join(first, ["s", "day"], "left"), asks, ["s"], **sums)
+    asked = told(daily.join(grown(first), ["s", "day"], "left"), asks, ["s"], **sums)
     q = q.join(asked, ["s", "day"]).join(asked.select("s", (F.col("day") - 1).alias("mine"), F.col("upto").alias("_to_mine")), ["s", "mine"], "left")
     steps = met.where("until IS NOT NULL").groupBy("s", F.col("last").alias("x"), F.col("until").alias("y")).agg(F.count("*").alias("n"))
     span = events.agg(F.min("day"), F.max("day")).first()  # two days of the calendar
@@ -73,12 +73,12 @@ def partner_ranks(events: DataFrame, queries: DataFrame) -> DataFrame:
     rows = steps.unionByName(q_blocks.select("s", "at", "x").distinct().withColumn("ask", F.lit(True)), allowMissingColumns=True)
     over = W.partitionBy("s", "at").orderBy(-F.col("x")).rangeBetween(W.unboundedPreceding, -1)
     gone = rows.withColumn("gone", F.coalesce(F.sum("n").over(over), F.lit(0))).where("ask").select("s", "at", "x", "gone")
-    gone = q_blocks.join(gone, ["s", "at", "x"]).groupBy("query_id").agg(F.sum("gone").alias("gone"))
+    gone = q_blocks.join(grown(gone), ["s", "at", "x"]).groupBy("query_id").agg(F.sum("gone").alias("gone"))
     # Those last met on ``mine``: its pairs, less the ones met again before the day.
     again = met.where("until IS NOT NULL").groupBy("s", F.col("last").alias("mine"), F.col("until").alias("day")).agg(F.count("*").alias("n"))
     again = told(again, q.where("mine IS NOT NULL").select("s", "mine", "day"), ["s", "mine"], left=F.coalesce(F.sum("n").over(past("s", "mine")), F.lit(0)))
     on_day = daily.select("s", F.col("day").alias("mine"), F.col("n").alias("_on"))
-    q = q.join(again, ["s", "mine", "day"], "left").join(on_day, ["s", "mine"], "left").join(gone, "query_id", "left")
+    q = q.join(again, ["s", "mine", "day"], "left").join(grown(on_day), ["s", "mine"], "left").join(grown(gone), "query_id", "left")
     later = F.when(F.col("mine").isNotNull(), F.col("upto") - F.col("_to_mine") - F.coalesce("gone", F.lit(0)))
     return q.select("query_id", "partners", "mine", later.alias("later"), F.when(F.col("mine").isNotNull(), F.col("_on") - F.col("left")).alias("equal"))
 
@@ -88,9 +88,9 @@ def features(events: DataFrame, queries: DataFrame, columns: tuple[str, ...] = W
     r = _counted(events, queries)
     if {"deg_s", "deg_c"} & set(columns):
         for name, end in (("deg_s", "s"), ("deg_c", "d")):
-            r = r.join(degrees(events, queries.select("query_id", F.col(end).alias("node"), "day")).withColumnRenamed("deg", f"n_{name}"), "query_id")
+            r = r.join(grown(degrees(events, queries.select("query_id", F.col(end).alias("node"), "day")).withColumnRenamed("deg", f"n_{name}")), "query_id")
     if "rec_rank" in columns:
-        r = r.join(partner_ranks(events, queries).select("query_id", "partners", "later"), "query_id")
+        r = r.join(grown(partner_ranks(events, queries).select("query_id", "partners", "later")), "query_id")
     return shaped(r, columns)
 
 
@@ -134,10 +134,11 @@ def common_pairs(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     ``LIGHT`` neighbours) meet as lists, and only what they share is a row. Else the neighbours of the end that has fewer
     are looked up among the other's, by (node, neighbour); a heavy list is dealt in shares of ``LIGHT``, so neither side of
     a join has a hub's whole list under one key."""
-    size = cut(pairs.groupBy("node").agg(F.count("*").alias("n")))
+    size = grown(cut(pairs.groupBy("node").agg(F.count("*").alias("n"))))
     end = lambda c: size.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
     q = cut(queries.select("query_id", "s", "d", "day").join(end("s"), "s").join(end("d"), "d"))
     lists = pairs.join(size.where(F.col("n") <= LIGHT), "node", "left_semi").groupBy("node").agg(F.collect_list("mid").alias("mids"))
+    lists = grown(lists)
     both = (F.col("n_s") <= LIGHT) & (F.col("n_d") <= LIGHT)
     light = q.where(both).join(lists.withColumnRenamed("mids", "a"), F.col("s") == F.col("node")).drop("node")
     light = light.join(lists.withColumnRenamed("mids", "b"), F.col("d") == F.col("node"))
@@ -146,7 +147,7 @@ def common_pairs(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     h = q.where(~both).withColumns({"node": F.when(fewer, F.col("s")).otherwise(F.col("d")), "other": F.when(fewer, F.col("d")).otherwise(F.col("s")), "shares": F.ceil(F.least("n_s", "n_d") / LIGHT)})
     h = h.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
     dealt = pairs.join(size, "node").select("node", "mid", F.pmod(F.xxhash64("mid"), F.ceil(F.col("n") / LIGHT)).alias("share"))
-    h = h.join(dealt, ["node", "share"]).join(pairs.select(F.col("node").alias("other"), "mid"), ["other", "mid"])
+    h = h.join(grown(dealt), ["node", "share"]).join(pairs.select(F.col("node").alias("other"), "mid"), ["other", "mid"])
     return light.unionByName(h.select("query_id", "s", "d", "day", "mid"))
 
 
@@ -154,12 +155,12 @@ def common_neighbors(events: DataFrame, queries: DataFrame, recent: int = 30) ->
     """query_id; how many undirected neighbours both ends had before the day (cn), how many of them both met within
     ``recent`` days (cn_recent), their Adamic-Adar sum (aa), and the directed two-hop paths (two_hop). Rows are the common
     neighbours, of which two-hop nodes are a part, not the queries' past events."""
-    pairs = cut(neighbour_pairs(events))
+    pairs = grown(cut(neighbour_pairs(events)))
     side = lambda c, name: pairs.select(F.col("node").alias(c), "mid", F.col("days").alias(name))
     last = lambda c: F.array_max(F.filter(c, lambda x: x < F.col("day")))
     a = common_pairs(pairs, queries).join(side("s", "_a"), ["s", "mid"]).join(side("d", "_b"), ["d", "mid"])
     a = a.withColumns({"pa": last("_a"), "pb": last("_b")}).where("pa IS NOT NULL AND pb IS NOT NULL").drop("_a", "_b")
-    first = events.groupBy("s", "d").agg(F.min("day").alias("first"))
+    first = grown(events.groupBy("s", "d").agg(F.min("day").alias("first")))
     a = a.join(first.select("s", F.col("d").alias("mid"), F.col("first").alias("out")), ["s", "mid"], "left")
     a = a.join(first.select(F.col("s").alias("mid"), "d", F.col("first").alias("into")), ["mid", "d"], "left")
     daily = first_contacts(events).groupBy("node", "day").agg(F.count("*").alias("n"))
@@ -170,7 +171,7 @@ def common_neighbors(events: DataFrame, queries: DataFrame, recent: int = 30) ->
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     a = a.groupBy("query_id").agg(F.count("*").alias("cn"), count(near).alias("cn_recent"), F.sum(F.when(F.col("deg") > 0, 1.0 / ln1(F.col("deg")))).alias("aa"), count(path).alias("paths"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    r = queries.select("query_id").join(a, "query_id", "left")
+    r = queries.select("query_id").join(grown(a), "query_id", "left")
     return r.select("query_id", zero("cn").alias("cn"), zero("cn_recent").alias("cn_recent"), F.coalesce("aa", F.lit(0.0)).alias("aa"), ln1(zero("paths")).alias("two_hop"))
 
 
