@@ -8,7 +8,9 @@
 2. Suffix arrays. Classes are put together to shards of bounded size; each is one text of which the suffix array is made by
    induced sorting, then the common prefixes in text order. Suffixes next to each other that share ``LENGTH`` bytes are
    equal windows; all but the earliest are repeats. A class with more than ``LARGE`` distinct segments goes through step 1
-   once more, a segment for each window, with the window's hash as its gram: then equal windows are equal segments.
+   again, each segment cut by where the gram is in its windows: first into two halves, with the 66 bytes that all windows
+   of a half share as their gram, and those classes that are still so large by ``WIDTHS`` finer. In the end a segment is a
+   window and its gram the window's hash: then equal windows are equal segments.
 3. Each document's repeats are laid over its bytes.
 
 Texts are written once, in parts, to the shared folder; tasks fetch segments and documents from there, so texts are never
@@ -38,6 +40,7 @@ PART = 16 << 20
 PIECE = 1 << 18
 CHUNK = 500_000
 LARGE = 5000
+WIDTHS = (35, 6, 1)  # places of the gram in the windows that a cut of a large class puts together
 SHARD = 4 << 20
 NONE = -(1 << 63)  # the key of a null doc_id
 TIE = 40  # bits of a place; above them the hash of the text
@@ -90,9 +93,14 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     stop = np.flatnonzero(inside & np.r_[new[1:] | ~inside[1:], True]) + 1
     n = stop - at
     z = at + n + LENGTH - 1
+    return mix64(hashes[best[at]]).view(np.int64), _digest(hashes, at, z).view(np.int64), at, n
+
+
+def _digest(hashes: np.ndarray, at: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``at`` to before ``z``, 64 to 176 of them, by the hashes of all runs of 32."""
     whole = lambda x: hashes[x] * _STEPS[5] + hashes[x + 32]
-    content = mix64(mix64(mix64(whole(at)) + whole(np.minimum(at + 48, z - 64))) + whole(z - 64) + n.astype(U64))
-    return mix64(hashes[best[at]]).view(np.int64), content.view(np.int64), at, n
+    n = (z - at - LENGTH + 1).astype(U64)
+    return mix64(mix64(mix64(whole(at)) + whole(np.minimum(at + 48, z - 64))) + whole(z - 64) + n)
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -266,18 +274,29 @@ def _shard_repeats(table: pa.Table) -> pa.Table:
     return pa.table({"doc": doc[at], "place": place[at], "n": (place[stop] - place[at] + 1).astype(np.int32), "part": part[at]})
 
 
-def _exploded(batches):
-    """Segments with their bytes -> a segment for each window, the window's hash its gram."""
-    for batch in batches:
-        doc, place, part = (batch.column(k).to_numpy() for k in range(3))
-        for k, text in enumerate(batch.column(3).to_pylist()):
-            h = _grams(np.frombuffer(text, np.uint8))
-            n = len(text) - LENGTH + 1
-            four = h[:n], h[32 : 32 + n], h[64 : 64 + n], h[LENGTH - 32 : LENGTH - 32 + n]  # these cover the window
-            one, two = np.zeros(n, U64), np.zeros(n, U64)
-            for x, c in zip(four, _STEPS[1:], strict=False):
-                one, two = mix64(one + x), two * c + x
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(mix64(two).view(np.int64)), pa.array(np.full(n, doc[k])), pa.array(place[k] + np.arange(n)), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, part[k]))], ["gram", "content", "doc", "place", "n", "part"])
+def _cut(width: int):
+    """Segments with their bytes -> segments of windows that have the gram within the same ``width`` places, by what these
+    windows share. Equal windows have the gram at the same place."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [[] for _ in range(6)]
+            for doc, place, part, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                h = _grams(np.frombuffer(text, np.uint8))
+                at = np.arange(len(text) - LENGTH + 1)
+                best = int(np.argmin(h & ~_LOW))  # every window of a segment has it, the leftmost of equal ones
+                cut = (best - at) // width
+                at = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
+                low = cut[at] * width
+                n = np.diff(np.r_[at, len(cut)])
+                gram = mix64(_digest(h, best - low, best - np.minimum(low + width, SPAN) + LENGTH + 1) + low.astype(U64))
+                columns = gram.view(np.int64), _digest(h, at, at + n + LENGTH - 1).view(np.int64), np.full(len(at), doc), place + at, n.astype(np.int32), np.full(len(at), part)
+                for held, column in zip(rows, columns, strict=True):
+                    held.append(column)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], ["gram", "content", "doc", "place", "n", "part"])
+
+    return run
 
 
 # Step 3: documents
@@ -327,18 +346,20 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         shards = max(1, -(-n * (LENGTH + SPAN // 2) // SHARD))
         return with_bytes(rows).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard").applyInArrow(_shard_repeats, "doc long, place long, n int, part long")
 
-    first = found.where("NOT repeat")
-    counts = first.groupBy("gram").agg(F.count("*").alias("m"))
-    n, over = counts.agg(*[F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0)) for c in (F.col("m") <= LARGE, F.col("m") > LARGE)]).first()
     every = found.where("repeat").select(*answer)
-    if over:
+    for width in (*WIDTHS, None):
+        first = found.where("NOT repeat")
+        counts = first.groupBy("gram").agg(F.count("*").alias("m"))
+        large = F.col("m") > LARGE if width else F.lit(False)
+        n, over = counts.agg(*[F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0)) for c in (~large, large)]).first()
+        if not over:
+            every = every.unionByName(in_shards(first, n))
+            break
         # Their rows are dealt by gram without their bytes.
-        large = counts.where(F.col("m") > LARGE).select("gram")
-        first, crowded = first.join(large, "gram", "left_anti"), first.join(large, "gram", "left_semi")
-        windows = with_bytes(crowded).select("doc", "place", "part", "bytes").mapInArrow(frugal(_exploded), SEGMENT)
-        again = _classes(windows, -(-over * SPAN // 2 // CHUNK))
-        edges = again.where("NOT repeat")
-        every = every.unionByName(again.where("repeat").select(*answer)).unionByName(in_shards(edges, edges.count()))
-    every = every.unionByName(in_shards(first, n))
+        grams = counts.where(large).select("gram")
+        every = every.unionByName(in_shards(first.join(grams, "gram", "left_anti"), n))
+        cuts = with_bytes(first.join(grams, "gram", "left_semi")).select("doc", "place", "part", "bytes").mapInArrow(frugal(_cut(width)), SEGMENT)
+        found = _classes(cuts, -(-over * min(SPAN // width + 1, SPAN // 2) // CHUNK))
+        every = every.unionByName(found.where("repeat").select(*answer))
     none = parts.select(F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("n"), "part")
     return every.unionByName(none).groupBy("part").applyInArrow(_documents(folder), RESULT)

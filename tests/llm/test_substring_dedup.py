@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronoflow.llm import substring_dedup as sd
@@ -49,6 +50,28 @@ def test_segments_cover_each_window_once_and_equal_windows_share_a_gram():
         assert whole.setdefault((g, c), data[a : a + m + 99]) == data[a : a + m + 99]
 
 
+@pytest.mark.parametrize("width", sd.WIDTHS)
+def test_cuts_of_large_classes_are_few_and_keep_equal_windows_together(width):
+    r = random.Random(width)
+    text = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    middle = text(80)
+    texts = [text(120) + middle + text(120) for _ in range(20)]
+    texts += [texts[0][:260] + text(30), text(30) + texts[1][60:], b"x" * 300, b"ab" * 90]
+    data, ends = b"".join(texts), np.cumsum([len(x) for x in texts])
+    _, _, at, n = sd.segments(np.frombuffer(data, np.uint8), ends)
+    rows = {"doc": at, "place": at, "part": at, "bytes": [data[a : a + m + 99] for a, m in zip(at, n, strict=True)]}
+    (out,) = sd._cut(width)([pa.RecordBatch.from_pydict(rows)])
+    assert out.num_rows <= (int(n.sum()) if width == 1 else len(at) * (-(-sd.SPAN // width) + 1))
+    assert width < 35 or out.num_rows <= 2 * len(at)
+    gram, content, _, place, m, _ = (c.to_pylist() for c in out.columns)
+    assert sorted(p + k for p, k_ in zip(place, m, strict=True) for k in range(k_)) == sorted(a + k for a, k_ in zip(at, n, strict=True) for k in range(k_))
+    grams, whole = {}, {}
+    for g, c, p, k_ in zip(gram, content, place, m, strict=True):
+        assert whole.setdefault((g, c), data[p : p + k_ + 99]) == data[p : p + k_ + 99]
+        for k in range(k_):
+            assert grams.setdefault(data[p + k : p + k + 100], g) == g
+
+
 def walk(rows):
     """Rows of (doc_id, text), ids different."""
     seen, out = set(), []
