@@ -423,11 +423,14 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def step_gradient(rows: DataFrame, w: Weights, shape: Shape, plan: Plan) -> tuple[int, float, float, Weights]:
-    """Rows, mean losses and the mean gradient over ``rows``. The driver gets an array per weight."""
-    parts = rows.select("y", "x", "pair").mapInArrow(_partial(w, shape, plan), "name string, value array<double>")
-    for keys in (["name", "branch"], ["name"]):
+    """Rows, mean losses and the mean gradient over ``rows``, in at most ``Plan.tasks`` tasks. The driver gets an array per
+    weight and task; beyond ``BRANCHES`` tasks, an array per weight. Few tasks need no shuffle, and a step is one stage."""
+    parts = rows.select("y", "x", "pair").coalesce(plan.tasks).mapInArrow(_partial(w, shape, plan), "name string, value array<double>")
+    for keys in (["name", "branch"], ["name"]) if plan.tasks > BRANCHES else ():
         parts = parts.withColumn("branch", F.spark_partition_id() % BRANCHES).groupBy(*keys).applyInArrow(_summed, "name string, value array<double>")
-    got = {r["name"]: np.array(r["value"]) for r in parts.collect()}  # one array per weight
+    got: dict[str, np.ndarray] = {}
+    for r in parts.collect():  # an array per weight and task
+        got[r["name"]] = got.get(r["name"], 0.0) + np.array(r["value"])
     if not got:
         return 0, 0.0, 0.0, {}
     n, link, huber = got.pop("")

@@ -1,5 +1,6 @@
 """Training of graph networks: numerical gradients, the forward pass of the library, a single process, and learning."""
 
+import dataclasses
 import random
 
 import numpy as np
@@ -94,6 +95,21 @@ def test_steps_equal_a_single_process(edges, n_nodes):
         assert got.weights[k] == pytest.approx(w[k], abs=1e-9)
 
 
+def test_a_step_is_one_stage(edges, n_nodes):
+    plan = training.Plan(epochs=1, step=15, rate=0.01, loss="ce", negatives=2)
+    rows = training.examples(edges, asof.incidence(edges, ("feat",)), training.negatives(edges, n_nodes, plan, 0), PLAIN, plan)
+    table, w, sc = training.Steps(rows, plan.tasks), net.random_weights(PLAIN, 1), edges.sparkSession.sparkContext
+    sc.setJobGroup("one step", "")
+    n, link, huber, grad = training.step_gradient(table.rows(table.steps[0]), w, PLAIN, plan)
+    jobs = sc.statusTracker().getJobIdsForGroup("one step")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs) == 1
+    levels = training.step_gradient(table.rows(table.steps[0]), w, PLAIN, dataclasses.replace(plan, tasks=training.BRANCHES + 1))
+    assert levels[:3] == pytest.approx((n, link, huber)) and set(levels[3]) == set(grad)
+    for k, g in grad.items():
+        assert levels[3][k] == pytest.approx(g)
+
+
 def test_memory_network_learns_and_stops(edges, n_nodes, tmp_path):
     shape = net.Shape(dim=4, edge=3, heads=2, layers=1, k=4, head="bilinear", memory=True)
     plan = training.Plan(epochs=3, patience=1, step=30, rate=0.02, select="combo", probe_events=5, probe_candidates=4, train_sample=20)
