@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def fit(rows: DataFrame, columns: list[str], hidden: tuple[int, ...] = (), seed: int = 0, steps: int = 100) -> PipelineModel:
-    """A model of y (0 or 1) from standardised columns: logistic regression, or with ``hidden`` a perceptron."""
-    last = (
-        MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[len(columns), *hidden, 2], seed=seed, maxIter=steps)
-        if hidden
-        else LogisticRegression(featuresCol="x", labelCol="y", maxIter=steps)
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), last]).fit(rows)
+    """A model of y (0 or 1) from standardised columns: logistic regression, or with ``hidden`` a perceptron. Columns are
+    standardised over all rows. The logistic loss of equal rows is that of one by their number: its steps go over the
+    distinct rows, which counts of the past have far fewer of. Spark's perceptron takes no weights and goes over all."""
+    front = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]).fit(rows)
+    if hidden:
+        last = MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[len(columns), *hidden, 2], seed=seed, maxIter=steps).fit(front.transform(rows))
+    else:
+        last = LogisticRegression(featuresCol="x", labelCol="y", weightCol="n_rows", maxIter=steps).fit(front.transform(distinct_rows(rows, columns)))
+    return PipelineModel(stages=[*front.stages, last])
+
+
+def distinct_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct rows of ``columns`` and y with n_rows, how many there are of each."""
+    return rows.groupBy(*columns, "y").agg(F.count("*").cast("double").alias("n_rows"))
 
 
 def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -29,6 +29,21 @@ def test_logistic_equals_newton(rows):
     assert [v for _, v in scorer.importance(model, ["a", "b", "c"])] == pytest.approx(w[:3], abs=1e-2)
 
 
+def test_logistic_steps_go_over_distinct_rows(spark, rows, monkeypatch):
+    names = ["a", "b", "c"]
+    many = rows.where("k % 3 > 0").unionByName(rows.crossJoin(spark.range(40).select("id")).drop("id")).drop("k")
+    small = scorer.distinct_rows(many, names)
+    assert small.count() == len(X) and small.agg(F.sum("n_rows")).first()[0] == many.count()
+    seen = []
+    ask = scorer.LogisticRegression.fit
+    monkeypatch.setattr(scorer.LogisticRegression, "fit", lambda self, df: seen.append(df.count()) or ask(self, df))
+    model = scorer.fit(many, names, steps=500)
+    assert seen == [len(X)]
+    scaled = model.transform(many)
+    plain = ask(scorer.LogisticRegression(featuresCol="x", labelCol="y", maxIter=500), scaled.select("x", "y"))
+    assert list(model.stages[-1].coefficients) == pytest.approx(list(plain.coefficients), abs=2e-4)
+
+
 def test_network_equals_its_weights_and_fits_better(rows):
     z = (X - X.mean(0)) / X.std(0, ddof=1)
     model = scorer.fit(rows, ["a", "b", "c"], (6, 5), seed=2)
