@@ -58,6 +58,29 @@ def test_network_equals_its_weights_and_fits_better(rows):
     assert loss(model) < loss(scorer.fit(rows, ["a", "b", "c"]))
 
 
+def test_network_steps_go_over_distinct_rows(spark, rows, monkeypatch):
+    names, seen = ["a", "b", "c"], []
+    many = rows.where("k % 3 > 0").unionByName(rows.crossJoin(spark.range(40).select("id")).drop("id")).drop("k")
+    ask = scorer.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(scorer.MultilayerPerceptronClassifier, "fit", lambda self, df: seen.append(df.count()) or ask(self, df))
+    model = scorer.fit(many, names, (6, 5), seed=2)
+    assert max(seen) <= 300
+    loss = lambda m: many.sparkSession.createDataFrame(m.transform(many).select("y", "probability").toPandas().assign(p=lambda x: [float(p[int(y)]) for p, y in zip(x.probability, x.y)])[["p"]]).agg(F.avg(-F.log("p"))).first()[0]
+    scaled = model.transform(many)
+    plain = ask(scorer.MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[3, 6, 5, 2], seed=2, maxIter=100), scaled.select("x", "y"))
+    whole = scorer.PipelineModel(stages=[*model.stages[:-1], plain])
+    assert loss(model) < loss(whole) + 1e-2
+
+
+def test_network_gradient_is_that_of_its_loss():
+    layers, n, w = [3, 4, 2], RNG.integers(1, 9, len(X)).astype(float), RNG.normal(size=26)
+    loss, g = scorer._network(X, Y, n, layers, w)
+    for k in range(len(w)):
+        step = np.eye(len(w))[k] * 1e-5
+        up, down = (scorer._network(X, Y, n, layers, w + s)[0] for s in (step, -step))
+        assert (up - down) / 2e-5 == pytest.approx(g[k], rel=1e-4, abs=1e-3)
+
+
 def test_days_are_counted_once_the_watermark_has_passed(spark, tmp_path):
     for name, days in (("a", (1, 1, 2)), ("b", (2, 4, 5))):
         spark.createDataFrame([(f"2024-01-0{d} 10:00:00",) for d in days], "ts string").select(F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{tmp_path}/in/{name}")
