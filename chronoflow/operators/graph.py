@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.functions.hashing import hash_key
-from chronoflow.sources.shared import cut, cut_folder, drop
+from chronoflow.sources.shared import cut, cut_folder, drop, grown
 
 
 BUCKETS = 64
@@ -77,23 +77,30 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component, the smallest node it is connected with. Each round sends a node to its smallest neighbour's
-    smallest neighbour and takes the edges along, until none joins two nodes."""
-    all_ = cut(edges.select(F.col("s").alias("a"), F.col("d").alias("b")).distinct())
-    labels = cut(all_.select(F.col("a").alias("node")).union(all_.select("b")).distinct().withColumn("component", F.col("node")))
-    e = cut(all_.where("a <> b"))
-    drop(all_)
+    smallest neighbour, one with a single neighbour to that one's smallest, and takes the edges along, until none joins two
+    nodes. A round has only the nodes that edges still join; its moves are put together at the end, the last round first."""
+    e, moves = cut(edges.select(F.col("s").alias("a"), F.col("d").alias("b"))), []
     while not e.isEmpty():
-        near = e.union(e.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
-        near = cut(near.select(F.col("a").alias("from"), "to"))
-        far = near.select(F.col("from").alias("to"), F.col("to").alias("next"))
-        hook = cut(near.join(far, "to", "left").select("from", F.coalesce("next", "to").alias("to")))
-        old = (labels, e, near, hook)
-        labels = cut(labels.join(hook, labels["component"] == hook["from"], "left").select("node", F.coalesce("to", "component").alias("component")))
+        other = F.when(F.col("a") != F.col("b"), F.col("b"))
+        near = e.union(e.select("b", "a")).groupBy("a").agg(F.min(other).alias("lo"), F.max(other).alias("hi"))
+        near = cut(near.select("a", F.least("lo", "a").alias("near"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.least("lo", "a")).alias("step")))
+        hook = cut(near.select(F.col("a").alias("from"), "step").join(grown(near.select(F.col("a").alias("step"), F.col("near").alias("to"))), "step").select("from", "to"))
+        moves.append(hook)
         a, b = hook.select(F.col("from").alias("a"), F.col("to").alias("x")), hook.select(F.col("from").alias("b"), F.col("to").alias("y"))
-        e = cut(e.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        old = (e, near)
+        e = cut(e.where("a <> b").join(grown(a), "a").join(grown(b), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
         drop(*old)
     drop(e)
-    return labels
+    if not moves:
+        return edges.select(F.col("s").alias("node"), F.col("s").alias("component"))
+    labels = moves.pop()
+    while moves:
+        hook = moves.pop()
+        then = labels.select(F.col("from").alias("to"), F.col("to").alias("last"))
+        old = (labels, hook)
+        labels = cut(hook.join(grown(then), "to", "left").select("from", F.coalesce("last", "to").alias("to")))
+        drop(*old)
+    return labels.select(F.col("from").alias("node"), F.col("to").alias("component"))
 
 
 def coverage(events: DataFrame, unit: str = "day") -> DataFrame:
