@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,27 @@ def test_keyed_state_without_rows(spark, tmp_path):
     parts = spark.createDataFrame([], keyed.PART)
     assert keyed.answers(parts).count() == 0
     assert keyed.by_key(spark.createDataFrame([(1, None, 2, 3, True)], replay.SCHEMA)).select(F.count("key")).first()[0] == 3
+
+
+class Held(dict):
+    """A map state in memory."""
+
+    getValue = dict.get
+    updateValue = dict.__setitem__
+
+
+def test_one_call_serves_all_keys_of_a_share():
+    rows = pd.DataFrame([("a", 1, 0, False), ("b", 2, 0, False), ("b", 3, 1, False), ("a", 4, 5, True), ("b", 5, 1, True), ("c", 6, 5, True)], columns=["key", "query_id", "day", "is_query"])
+    state = Held()
+    got = pd.concat(keyed.advance(("pair", 0), iter([rows[:2], rows[2:]]), state)).set_index("query_id")
+    assert got["n"].to_dict() == {4: 1, 5: 1, 6: 0}
+    assert got["last"].fillna(-1).to_dict() == {4: 0, 5: 0, 6: -1}
+    assert set(state) == {("a",), ("b",)} and state[("b",)][:2] == ([0, 1], [1, 1])
+    pairs = pd.DataFrame([(1, 2, 1, 2, 0, 7, False), (1, 2, 2, 1, 3, 8, True), (1, 3, 1, 3, 1, 9, False)], columns=["a", "b", "s", "d", "day", "query_id", "is_query"])
+    state = Held()
+    moves = pd.concat(keyed.met((0,), iter([pairs]), state))
+    assert state == {(1, 2): (0, None), (1, 3): (1, None)}
+    nodes = Held()
+    ends = pd.concat(keyed.ranked((0,), iter(keyed.summed(iter([moves]))), nodes)).set_index("kind")
+    assert set(nodes) == {(1,), (2,), (3,)} and nodes[(1,)][2] == 2
+    assert (ends.loc["of_s", "deg"], ends.loc["of_s", "partners"], ends.loc["of_c", "deg"]) == (1, 0, 2)
