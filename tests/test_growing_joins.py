@@ -32,3 +32,14 @@ def test_keys_of_the_views_are_not_sent(spark):
 def test_features_are_not_sent(spark):
     e = catalogue.edges(spark, SF, "party").select("event_idx", F.col("src").alias("s"), F.col("dst").alias("d"), "day")
     assert not sent(features.features(e, e.withColumnRenamed("event_idx", "query_id")))
+
+
+def test_edges_carry_numbers_alone(spark):
+    """Numbers stand in the order of names, so nothing after the numbering shuffles, orders or writes names."""
+    e = daily.daily_edges(views.party(spark, SF), views.ASSETS, amounts=False)
+    bare, named = daily.numbered_edges(e, names=False), daily.numbered_edges(e)
+    assert set(bare.columns) == {"day", "src", "dst", "event_idx", "split"}
+    assert catalogue.edges(spark, SF, "party").columns == bare.columns
+    rows = named.select("event_idx", "day", "s", "d", "src", "dst").collect()
+    assert [x.event_idx for x in sorted(rows, key=lambda x: (x.day, x.s, x.d))] == list(range(len(rows)))
+    assert bare.select("event_idx", "day", "src", "dst").exceptAll(named.select("event_idx", "day", "src", "dst")).isEmpty()
