@@ -79,3 +79,40 @@ def test_one_call_serves_all_keys_of_a_share():
     ends = pd.concat(keyed.ranked((0,), iter(keyed.summed(iter([moves]))), nodes)).set_index("kind")
     assert set(nodes) == {(1,), (2,), (3,)} and nodes[(1,)][2] == 2
     assert (ends.loc["of_s", "deg"], ends.loc["of_s", "partners"], ends.loc["of_c", "deg"]) == (1, 0, 2)
+
+
+def test_states_of_a_share_are_read_and_written_by_buckets():
+    calls = []
+
+    class Counted(Held):
+        def getValue(self, key):
+            calls.append(("get", key))
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            calls.append(("put", key))
+            self[key] = value
+
+    rows = pd.DataFrame([(f"k{n}", n, n % 3, False) for n in range(500)], columns=["key", "query_id", "day", "is_query"])
+    store, plain = Counted(), Held()
+    for part in (rows, rows.assign(day=7)):
+        list(keyed.advance(("pair", 0), iter([part]), plain))
+        held = keyed.Buckets(store)
+        list(keyed.advance(("pair", 0), iter([part]), held))
+        held.write()
+    assert len(calls) <= 4 * keyed.BUCKETS and len(set(calls)) == len(store) * 2
+    again = keyed.Buckets(store)
+    assert all(tuple(again.getValue(name)) == state for name, state in plain.items()) and len(plain) == 500
+    assert again.getValue(("none",)) is None
+
+
+def test_state_has_a_partition_a_core_at_most(spark, tmp_path):
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    spark.conf.set(name, cores + 40)
+    try:
+        streamed(spark, str(tmp_path), [[(1, 1, 2, 0, False), (2, 1, 2, 1, True)]], keyed.BASE4)
+        assert spark.conf.get(name) == str(cores + 40)
+    finally:
+        spark.conf.set(name, before)
+    assert len([p for p in (tmp_path / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]) == cores
