@@ -2,9 +2,10 @@
 
 What a loss needs of an edge, its negatives and their neighbourhoods does not hang on the weights, so it is laid out once
 an epoch: each (node, day) as one array of fixed length, its neighbours and theirs inside, each pair of nodes as two of
-them. A step reads the rows of a stretch of consecutive edges; every task adds up the gradients of its rows over Arrow
-batches and emits one array per weight; these are summed in two levels, so the driver gets one array per weight, as large
-as the model, and moves the weights by Adam. Nothing that the driver holds grows with the graph.
+them. A step reads the files of a stretch of consecutive edges, laid out by step and task; every task adds up the gradients
+of its rows and emits their sums, as large as the model (beyond ``BRANCHES`` tasks, summed in two levels), and the driver
+moves the weights by Adam. Steps follow each other, so a step is a job that plans and lists nothing. Nothing that the driver
+holds grows with the graph.
 
 Memory is refreshed at the start of an epoch with the weights of that moment. In a row a node's state is not a number but
 the input of its last step, so gradients reach the recurrent unit through that step and stop there.
@@ -16,6 +17,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoflow.functions.hashing import hash_key
@@ -102,7 +105,8 @@ def trees(inc: DataFrame, asked: DataFrame, shape: Shape, inputs: DataFrame | No
     for level in range(shape.layers):
         found.append(cut(recent_neighbors(inc, want[-1].withColumn("query_id", F.struct("node", "day", "now")), _k(shape, level))))
         below = found[-1].select(F.col("other").cast("long").alias("node"), F.col("eday").cast("int").alias("day"), "query_id.now")
-        want.append(cut((below if shape.memory else below.unionByName(want[-1])).distinct()))
+        if shape.memory or level < shape.layers - 1:
+            want.append(cut((below if shape.memory else below.unionByName(want[-1])).distinct()))
 
     def leaves(rows: DataFrame) -> DataFrame:
         if not shape.memory:
@@ -114,17 +118,21 @@ def trees(inc: DataFrame, asked: DataFrame, shape: Shape, inputs: DataFrame | No
 
     x = leaves(want[-1])
     for level in reversed(range(shape.layers)):
+        same = not shape.memory and level == shape.layers - 1  # every leaf is the same, so none is looked up
         states = x.select(F.col("node").alias("other"), F.col("day").alias("eday"), "now", "x")
         place = F.concat(F.array(F.lit(1.0)), "feat", F.array((1 - F.col("dir")).cast("double"), F.col("dt").cast("double")), "x")
-        near = found[level].withColumn("now", F.col("query_id.now")).join(states, ["other", "eday", "now"]).select("query_id", F.struct("pos", place.alias("x")).alias("x"))
+        near = found[level].withColumn("now", F.col("query_id.now"))
+        near = (near.withColumn("x", F.array().cast("array<double>")) if same else near.join(states, ["other", "eday", "now"])).select("query_id", F.struct("pos", place.alias("x")).alias("x"))
         near = near.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda y: y["x"])).alias("near"))
-        own = (leaves(want[level]) if shape.memory else want[level].join(x, ["node", "day", "now"])).withColumnRenamed("x", "own")
+        own = (leaves(want[level]) if shape.memory or same else want[level].join(x, ["node", "day", "now"])).withColumnRenamed("x", "own")
         size = _k(shape, level) * (2 + shape.edge + width(shape, level + 1))
         near = own.withColumn("query_id", F.struct("node", "day", "now")).join(near, "query_id", "left")
         some = F.coalesce("near", F.array().cast("array<double>"))
         x = cut(near.select("node", "day", "now", F.concat("own", some, F.array_repeat(F.lit(0.0), size - F.size(some))).alias("x")))
     drop(*found, *want)
-    return x.select("node", "day", "x")
+    out = x.select("node", "day", "x")
+    out.__dict__["_cut_folder"] = x.__dict__["_cut_folder"]
+    return out
 
 
 # Algebra: forward with what the way back needs, and the way back
@@ -319,9 +327,13 @@ def gradients(w: Weights, shape: Shape, plan: Plan, x: np.ndarray, y: np.ndarray
     arrays of the true pair and of the negative ones; pair [n, pairs, features of a pair]."""
     n, pairs = x.shape[:2]
     run = Pass(w, shape)
-    flat, where = np.unique(x.reshape(n * pairs * 2, -1), axis=0, return_inverse=True)
+    # Rows are told apart by their bytes: comparing them number by number took longer than the network.
+    flat = np.ascontiguousarray(x.reshape(n * pairs * 2, -1), float)
+    found: dict[bytes, int] = {}
+    where = np.array([found.setdefault(row.tobytes(), len(found)) for row in flat])
+    flat = flat[np.unique(where, return_index=True)[1]]
     h, b_embed = run.embed(flat)
-    z = h[where.ravel()].reshape(n * pairs, 2, -1)
+    z = h[where].reshape(n * pairs, 2, -1)
     logit, b_link = run.link(z[:, 0], z[:, 1], None if pair is None else pair.reshape(n * pairs, -1))
     logit = logit.reshape(n, pairs)
     true = z.reshape(n, pairs, 2, -1)[:, 0]
@@ -332,7 +344,7 @@ def gradients(w: Weights, shape: Shape, plan: Plan, x: np.ndarray, y: np.ndarray
     g_z = np.stack(b_link(np.concatenate([g_pos[:, None], g_neg], 1).ravel()), 1).reshape(n, pairs, 2, -1)
     g_z[:, 0] += b_amount(plan.amount * np.clip(gap, -1, 1)[:, None]).reshape(n, 2, -1)
     g_h = np.zeros_like(h)
-    np.add.at(g_h, where.ravel(), g_z.reshape(n * pairs * 2, -1))
+    np.add.at(g_h, where, g_z.reshape(n * pairs * 2, -1))
     b_embed(g_h)
     return float(loss.sum()), float(plan.amount * huber.sum()), run.grad
 
@@ -343,51 +355,59 @@ def gradients(w: Weights, shape: Shape, plan: Plan, x: np.ndarray, y: np.ndarray
 def negatives(edges: DataFrame, n_nodes: DataFrame, plan: Plan, epoch: int) -> DataFrame:
     """event_idx, k, src, dst: the negatives of training edges, drawn anew each epoch: uniform targets, then pairs of the
     past (half of them of the same source)."""
-    train = edges.where("split = 'train'").select("event_idx")
+    train = edges.where("split = 'train'").select("event_idx", "src", "day")
     drawn = []
     for k in range(plan.negatives):
-        u = sampling.uniform_targets(edges, n_nodes, plan.seed, f"train-{epoch}-{k}")
+        u = sampling.uniform_targets(edges, n_nodes, plan.seed, f"train-{epoch}-{k}", train)
         drawn.append(u.select("event_idx", F.lit(k).alias("k"), "src", F.col("neg_dst").alias("dst")))
     for k in range(plan.hard):
         m = sampling.mixture(edges, n_nodes, plan.seed + 7919 * (epoch * plan.hard + k + 1), hard=1.0, popular=0.0, novel=0.0)
-        drawn.append(m.select("event_idx", F.lit(plan.negatives + k).alias("k"), "src", "dst"))
+        drawn.append(m.select("event_idx", F.lit(plan.negatives + k).alias("k"), "src", "dst").join(train.select("event_idx"), "event_idx", "left_semi"))
     out = drawn[0]
     for d in drawn[1:]:
         out = out.unionByName(d)
-    return out.join(train, "event_idx", "left_semi")
+    return out
 
 
 def examples(edges: DataFrame, inc: DataFrame, drawn: DataFrame, shape: Shape, plan: Plan, inputs: DataFrame | None = None, pair_features=None) -> DataFrame:
-    """step, event_idx, y, x, pair of each training edge with all its negatives; ``y`` is the edge's first feature.
+    """step, part, event_idx, y, x, pair of each training edge with all its negatives; ``y`` is the edge's first feature.
     ``pair_features``: rows (query_id, s, d, day) -> query_id and an array ``pair``. An edge to which a negative is
-    lacking has none that it could have, and is left out."""
+    lacking has none that it could have, and is left out. Arrays are shuffled once, by step and the
+    task of the step: each node of an edge is a row at its place, a negative's source only where it is not the edge's own."""
+    n = 1 + plan.negatives + plan.hard
     train = edges.where("split = 'train'").select("event_idx", "src", "dst", "day", F.col("feat")[0].alias("y"))
-    pairs = train.select("event_idx", F.lit(-1).alias("k"), "src", "dst", "day").unionByName(drawn.join(train.select("event_idx", "day"), "event_idx").select("event_idx", "k", "src", "dst", "day"))
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node"), "day")
-    t = trees(inc, ends, shape, inputs)
-    side = lambda c: t.select(F.col("node").alias(c), "day", F.col("x").alias(f"x_{c}"))
-    p = pairs.join(side("src"), ["src", "day"]).join(side("dst"), ["dst", "day"])
-    p = p.withColumn("query_id", F.col("event_idx") * (2 + plan.negatives + plan.hard) + F.col("k") + 1)
+    mine = train.select("event_idx", "day", F.col("src").alias("own"))
+    none = F.lit(None)
+    pairs = train.select("event_idx", F.lit(-1).alias("k"), "src", "dst", "day", "y", none.cast("long").alias("own"))
+    pairs = cut(pairs.unionByName(drawn.join(mine, "event_idx").select("event_idx", "k", "src", "dst", "day", none.cast("double").alias("y"), "own")))
+    at = lambda c: F.col("k") * 2 + c
+    source = F.when(~F.col("src").eqNullSafe(F.col("own")), F.struct(at(2).alias("at"), F.col("src").alias("node")))
+    ends = F.filter(F.array(source, F.struct(at(3).alias("at"), F.col("dst").alias("node"))), lambda x: x.isNotNull())
+    ends = pairs.select("event_idx", F.col("day").cast("int").alias("day"), "y", F.explode(ends).alias("e")).select("event_idx", "day", "y", "e.at", F.col("e.node").cast("long").alias("node"))
+    t = trees(inc, ends.select("node", "day"), shape, inputs)
+    p = ends.join(t, ["node", "day"]).select("event_idx", "at", "y", "x")
     if pair_features:
-        asked = pairs.withColumn("query_id", F.col("event_idx") * (2 + plan.negatives + plan.hard) + F.col("k") + 1)
-        p = p.join(pair_features(asked.select("query_id", F.col("src").alias("s"), F.col("dst").alias("d"), "day")).select("query_id", "pair"), "query_id")
-    else:
-        p = p.withColumn("pair", F.array().cast("array<double>"))
-    row = F.array_sort(F.collect_list(F.struct("k", F.concat("x_src", "x_dst").alias("x"), "pair")))
-    p = p.groupBy("event_idx").agg(row.alias("r")).where(F.size("r") == 1 + plan.negatives + plan.hard)
-    first = F.broadcast(train.agg(F.min("event_idx").alias("_lo")))
-    step = F.floor((F.col("event_idx") - F.col("_lo")) / plan.step).alias("step")
-    flat = lambda c: F.flatten(F.transform("r", lambda z: z[c])).alias(c)
-    return p.join(train.select("event_idx", "y"), "event_idx").crossJoin(first).select(step, "event_idx", "y", flat("x"), flat("pair"))
+        asked = pairs.withColumn("query_id", F.col("event_idx") * (1 + n) + F.col("k") + 1)
+        made = pair_features(asked.select("query_id", F.col("src").alias("s"), F.col("dst").alias("d"), "day"))
+        p = p.unionByName(asked.join(made.select("query_id", "pair"), "query_id").select("event_idx", (F.col("k") + 1 + 2 * n).alias("at"), "y", F.col("pair").alias("x")))
+    first = train.agg(F.min("event_idx")).first()[0]
+    step = F.floor((F.col("event_idx") - F.lit(first)) / plan.step).cast("long")
+    p = p.withColumns({"step": step, "part": F.pmod("event_idx", F.lit(plan.tasks)).cast("int")}).repartition("step", "part")
+    p = p.groupBy("step", "part", "event_idx").agg(F.max("y").alias("y"), F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
+    whole = [F.col("m")[2 * k + 1].isNotNull() for k in range(n)] + [F.col("m")[2 * n + k].isNotNull() for k in range(n if pair_features else 0)]
+    for there in whole:
+        p = p.where(there)
+    x = F.flatten(F.array(*[F.coalesce(F.col("m")[k], F.col("m")[0]) if k % 2 == 0 else F.col("m")[k] for k in range(2 * n)]))
+    pair = F.flatten(F.array(*[F.col("m")[2 * n + k] for k in range(n)])) if pair_features else F.array().cast("array<double>")
+    return p.select("step", "part", "event_idx", "y", x.alias("x"), pair.alias("pair"))
 
 
 class Steps:
-    """Rows in a folder for each step, each in ``tasks`` files; there are as many steps as training edges by ``Plan.step``."""
+    """Rows in a folder for each step and task of it; there are as many steps as training edges by ``Plan.step``."""
 
     def __init__(self, rows: DataFrame, tasks: int):
-        self.spark, self.schema, self.path = rows.sparkSession, rows.drop("step").schema, cut_folder(rows.sparkSession, "steps")
-        rows.repartition("step", F.pmod("event_idx", F.lit(tasks))).write.partitionBy("step").parquet(self.path)
+        self.spark, self.schema, self.path, self.tasks = rows.sparkSession, rows.drop("step", "part").schema, cut_folder(rows.sparkSession, "steps"), tasks
+        rows.write.partitionBy("step", "part").parquet(self.path)
         names = self.spark.read.schema("step long").parquet(self.path).select("step").distinct().orderBy("step").collect()
         self.steps = [r["step"] for r in names]
 
@@ -398,15 +418,18 @@ class Steps:
         drop_folder(self.spark, self.path)
 
 
-def _partial(w: Weights, shape: Shape, plan: Plan):
+def _of_batch(w: Weights, shape: Shape, plan: Plan, b: pa.RecordBatch) -> tuple[float, float, Weights]:
     pairs, size = 1 + plan.negatives + plan.hard, width(shape)
+    x = net._matrix(b.column("x"), pairs * 2 * size).reshape(b.num_rows, pairs, 2, size)
+    pair = net._matrix(b.column("pair"), pairs * shape.pair).reshape(b.num_rows, pairs, shape.pair) if shape.pair else None
+    return gradients(w, shape, plan, x, b.column("y").to_numpy(zero_copy_only=False), pair)
+
 
+def _partial(w: Weights, shape: Shape, plan: Plan):
     def run(batches):
         total, n, losses = {k: np.zeros(v.size) for k, v in w.items()}, 0, np.zeros(2)
         for b in net._slices(batches):
-            x = net._matrix(b.column("x"), pairs * 2 * size).reshape(b.num_rows, pairs, 2, size)
-            pair = net._matrix(b.column("pair"), pairs * shape.pair).reshape(b.num_rows, pairs, shape.pair) if shape.pair else None
-            link, huber, grad = gradients(w, shape, plan, x, b.column("y").to_numpy(zero_copy_only=False), pair)
+            link, huber, grad = _of_batch(w, shape, plan, b)
             losses, n = losses + (link, huber), n + b.num_rows
             for k, g in grad.items():
                 total[k] += g.ravel()
@@ -437,6 +460,37 @@ def step_gradient(rows: DataFrame, w: Weights, shape: Shape, plan: Plan) -> tupl
     return int(n), link / n, huber / n, {k: v.reshape(w[k].shape) / n for k, v in got.items()}
 
 
+def _files(path: str) -> tuple[pafs.FileSystem, list[str]]:
+    fs, path = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+    found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+    return fs, sorted(f.path for f in found if f.path.endswith(".parquet"))
+
+
+def step_sums(table: Steps, step: int, w: Weights, shape: Shape, plan: Plan) -> tuple[int, float, float, Weights]:
+    """What ``step_gradient`` gives, without a plan: each task opens the step's files that are its own."""
+    if table.tasks > BRANCHES:
+        return step_gradient(table.rows(step), w, shape, plan)
+    path = f"{table.path}/step={step}"
+
+    def run(parts):
+        for part in parts:
+            fs, names = _files(f"{path}/part={part}")
+            total = np.zeros(3 + sum(a.size for a in w.values()))
+            for name in names:
+                with fs.open_input_file(name) as f:
+                    for b in net._slices(pq.ParquetFile(f).iter_batches(columns=["y", "x", "pair"])):
+                        link, huber, grad = _of_batch(w, shape, plan, b)
+                        total += np.concatenate([[b.num_rows, link, huber], *[grad[k].ravel() for k in w]])
+            yield total
+
+    total = np.sum(table.spark.sparkContext.parallelize(range(table.tasks), table.tasks).mapPartitions(run).collect(), axis=0)  # an array per task
+    n, link, huber = total[:3]
+    if not n:
+        return 0, 0.0, 0.0, {}
+    ends = np.cumsum([a.size for a in w.values()])
+    return int(n), link / n, huber / n, {k: x.reshape(a.shape) / n for (k, a), x in zip(w.items(), np.split(total[3:], ends[:-1]), strict=True)}
+
+
 class Adam:
     def __init__(self, rate: float):
         self.rate, self.t, self.m, self.v = rate, 0, {}, {}
@@ -455,11 +509,26 @@ class Adam:
 # Validation and the loop
 
 
-def pair_logits(edges: DataFrame, inc: DataFrame, pairs: DataFrame, w: Weights, shape: Shape, pair_features=None) -> DataFrame:
-    """``pairs`` (query_id, src, dst, day and more) with logit and amount, each strictly as of its day."""
+def laid_embeddings(laid: DataFrame, w: Weights, shape: Shape) -> DataFrame:
+    """node, day, h from ``trees``: the embeddings that ``graphnet.embeddings`` gives."""
+
+    def run(batches):
+        for b in net._slices(batches):
+            h = Pass(w, shape).embed(net._matrix(b.column("x"), width(shape)))[0]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("day"), net._lists(h)], names=["node", "day", "h"])
+
+    return laid.select("node", "day", "x").mapInArrow(run, "node long, day int, h array<double>")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("src", "dst")).alias("node"), "day")
+
+
+def pair_logits(edges: DataFrame, inc: DataFrame, pairs: DataFrame, w: Weights, shape: Shape, pair_features=None, laid: DataFrame | None = None) -> DataFrame:
+    """``pairs`` (query_id, src, dst, day and more) with logit and amount, each strictly as of its day. ``laid``: the
+    arrays of their ends, which without memory are the same for all weights."""
     log = net.memory_log(edges, w, shape) if shape.memory else None
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node"), "day")
-    z = net.embeddings(inc, ends, w, shape, log)
+    z = net.embeddings(inc, ends_of(pairs), w, shape, log) if laid is None else cut(laid_embeddings(laid, w, shape))
     rows = pairs.join(z.select(F.col("node").alias("src"), "day", F.col("h").alias("zs")), ["src", "day"]).join(z.select(F.col("node").alias("dst"), "day", F.col("h").alias("zd")), ["dst", "day"])
     if pair_features:
         rows = rows.join(pair_features(pairs.select("query_id", F.col("src").alias("s"), F.col("dst").alias("d"), "day")).select("query_id", "pair"), "query_id")
@@ -503,25 +572,28 @@ def chosen(metric: dict[str, float], select: str) -> float:
     return {"ap": ap, "mrr": mrr, "combo": (max(mrr, 0.0) * max(ap, 0.0)) ** 0.5}[select]
 
 
-def train(edges: DataFrame, n_nodes: DataFrame, shape: Shape, plan: Plan, weights: Weights | None = None, pair_features=None, folder: str | None = None) -> Fitted:
+def train(edges: DataFrame, n_nodes: DataFrame, shape: Shape, plan: Plan, weights: Weights | None = None, pair_features=None, folder: str | None = None, start: bool = False) -> Fitted:
     """Weights with the best validation metric, and the history of epochs. Edges are (event_idx, src, dst, day, split,
     feat). Ends after ``patience`` epochs without a better one. With a ``folder`` the weights of each epoch are kept there
-    by epoch."""
+    by epoch. With ``start`` the history begins with epoch -1, the network before training, which is never chosen."""
     w = weights or net.random_weights(shape, plan.seed)
     inc = cut(incidence(edges, ("feat",)))
     seen = edges.where("split = 'train'")
     held = held_pairs(edges, n_nodes, plan)
+    laid = None if shape.memory else trees(inc, ends_of(held), shape)
+    judge = lambda at: judged(cut(pair_logits(edges, inc, held, at, shape, pair_features, laid)), plan)
     adam, out, best, bad = Adam(plan.rate), Fitted(w), -1.0, 0
+    if start:
+        out.history.append({"epoch": -1, "train_loss": None} | judge(w))
     for epoch in range(plan.epochs):
         inputs = None
         if shape.memory:
             log = net.memory_log(seen, w, shape)
             inputs = cut(memory_inputs(seen, log, shape))
         drawn = negatives(edges, n_nodes, plan, epoch)
-        table = Steps(examples(edges, inc, drawn, shape, plan, inputs, pair_features), plan.tasks)
-        losses = []
+        table, losses = Steps(examples(edges, inc, drawn, shape, plan, inputs, pair_features), plan.tasks), []
         for step in table.steps:
-            n, link, huber, grad = step_gradient(table.rows(step), w, shape, plan)
+            n, link, huber, grad = step_sums(table, step, w, shape, plan)
             if n:
                 w = adam.move(w, grad)
                 losses.append((link, huber))
@@ -529,7 +601,7 @@ def train(edges: DataFrame, n_nodes: DataFrame, shape: Shape, plan: Plan, weight
         drop(*([inputs] if inputs is not None else []))
         row = {"epoch": epoch, "train_link": float(np.mean([x for x, _ in losses])), "train_huber": float(np.mean([x for _, x in losses]))}
         row["train_loss"] = row["train_link"] + row["train_huber"]
-        row |= judged(cut(pair_logits(edges, inc, held, w, shape, pair_features)), plan)
+        row |= judge(w)
         out.history.append(row)
         if folder:
             net.save_weights(edges.sparkSession, w, f"{folder}/epoch={epoch}")
@@ -540,5 +612,5 @@ def train(edges: DataFrame, n_nodes: DataFrame, shape: Shape, plan: Plan, weight
             bad += 1
             if bad >= plan.patience:
                 break
-    drop(inc, held)
+    drop(inc, held, *([laid] if laid is not None else []))
     return out

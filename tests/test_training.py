@@ -122,3 +122,26 @@ def test_memory_network_learns_and_stops(edges, n_nodes, tmp_path):
     kept = net.load_weights(edges.sparkSession, f"file://{tmp_path}/epoch={best}")
     assert all(np.allclose(kept[k], got.weights[k]) for k in kept)
     assert not np.allclose(got.weights["gru.x"], net.random_weights(shape, 0)["gru.x"])
+
+
+def test_a_step_opens_its_own_files_and_gives_the_same(edges, n_nodes):
+    plan = training.Plan(epochs=1, step=15, rate=0.01, loss="ce", negatives=2)
+    rows = training.examples(edges, asof.incidence(edges, ("feat",)), training.negatives(edges, n_nodes, plan, 0), PLAIN, plan)
+    table, w = training.Steps(rows, plan.tasks), net.random_weights(PLAIN, 1)
+    seen = 0
+    for step in table.steps:
+        mine, planned = training.step_sums(table, step, w, PLAIN, plan), training.step_gradient(table.rows(step), w, PLAIN, plan)
+        assert mine[:3] == pytest.approx(planned[:3]) and set(mine[3]) == set(w)
+        for k, g in planned[3].items():
+            assert mine[3][k] == pytest.approx(g)
+        seen += mine[0]
+    assert seen == edges.where("split = 'train'").count()
+    assert training.step_sums(table, max(table.steps) + 1, w, PLAIN, plan) == (0, 0.0, 0.0, {})
+
+
+def test_a_history_may_begin_before_training(edges, n_nodes):
+    plan = training.Plan(epochs=1, step=30, rate=0.01, train_sample=20)
+    first, then = training.train(edges, n_nodes, PLAIN, plan, start=True).history
+    inc, held = asof.incidence(edges, ("feat",)), training.held_pairs(edges, n_nodes, plan)
+    network = training.judged(training.pair_logits(edges, inc, held, net.random_weights(PLAIN, plan.seed), PLAIN), plan)
+    assert (first["epoch"], then["epoch"]) == (-1, 0) and {k: first[k] for k in network} == pytest.approx(network)
