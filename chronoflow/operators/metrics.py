@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def _by_score(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Positives and negatives of each distinct score; what follows is as large as the number of distinct scores."""
-    return scores.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    """Positives and negatives of each distinct score; what follows is as large as the number of distinct scores. A row
+    with n_rows stands for so many."""
+    n = F.col("n_rows").cast("long") if "n_rows" in scores.columns else F.lit(1)
+    return scores.groupBy(*keys, "score").agg(F.sum(F.col("y") * n).alias("p"), F.sum((1 - F.col("y")) * n).alias("n"))
 
 
 STEPS = 4096  # blocks of scores between a power of two and the next

@@ -21,19 +21,25 @@ def fit(rows: DataFrame, columns: list[str], hidden: tuple[int, ...] = (), seed:
     """A model of y (0 or 1) from standardised columns: logistic regression, or with ``hidden`` a perceptron. Columns are
     standardised over all rows. The loss of equal rows is that of one by their number: steps go over the distinct rows, which
     counts of the past have far fewer of. Spark's perceptron takes no weights, so its loss is added up here, from the start
-    that Spark draws by the seed, and Spark's model gets the weights that were found."""
-    front = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]).fit(rows)
+    that Spark draws by the seed, and Spark's model gets the weights that were found. Rows that come as ``distinct_rows``
+already, with n_rows, are taken as so many."""
+    counted = "n_rows" in rows.columns
+    front = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]).fit(_spread(rows, columns) if counted else rows)
+    if counted:
+        distinct = rows.select(*columns, "y", "n_rows")
+    else:
+        distinct = distinct_rows(rows, columns)
     if hidden:
         few = front.transform(rows.limit(1))
         unfitted = MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[len(columns), *hidden, 2], seed=seed, maxIter=0)
         start = unfitted.fit(few).weights.toArray()
         scaler = front.stages[-1]
-        data = cut(distinct_rows(rows, columns).repartition(rows.sparkSession.sparkContext.defaultParallelism))
+        data = cut(distinct.repartition(rows.sparkSession.sparkContext.defaultParallelism))
         best = lbfgs(lambda w: network_loss(data, columns, unfitted.getLayers(), w, scaler.mean.toArray(), scaler.std.toArray()), start, steps)
         drop(data)
         last = unfitted.copy({unfitted.initialWeights: Vectors.dense(best)}).fit(few)
     else:
-        last = LogisticRegression(featuresCol="x", labelCol="y", weightCol="n_rows", maxIter=steps).fit(front.transform(distinct_rows(rows, columns)))
+        last = LogisticRegression(featuresCol="x", labelCol="y", weightCol="n_rows", maxIter=steps).fit(front.transform(distinct))
     return PipelineModel(stages=[*front.stages, last])
 
 
@@ -42,6 +48,17 @@ def distinct_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy(*columns, "y").agg(F.count("*").cast("double").alias("n_rows"))
 
 
+def _spread(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Two rows with the means and the sample deviations that ``columns`` have over rows with n_rows, which Spark's scaler
+    takes no weights for."""
+    n = F.col("n_rows")
+    mean = rows.agg(F.sum("n_rows").alias("n"), *[(F.sum(F.col(c) * n) / F.sum("n_rows")).alias(c) for c in columns]).first()
+    square = lambda c: F.sum(n * (F.col(c) - F.lit(mean[c])) * (F.col(c) - F.lit(mean[c])))
+    std = rows.agg(*[F.sqrt(square(c) / max((mean["n"] or 0) - 1, 1)).alias(c) for c in columns]).first()
+    # Two values lie half of the root of two deviations from their mean.
+    return rows.sparkSession.createDataFrame([tuple(mean[c] + way * std[c] / 2**0.5 for c in columns) for way in (-1.0, 1.0)], ", ".join(f"`{c}` double" for c in columns))
+
+
 def network_loss(data: DataFrame, columns: list[str], layers: list[int], w: np.ndarray, mean: np.ndarray, std: np.ndarray) -> tuple[float, np.ndarray]:
     """The mean cross-entropy of distinct rows with n_rows and its gradient at the weights, each layer's matrix by columns
     and then its constants, as Spark has them. A task adds up its rows; the driver gets a row a task."""

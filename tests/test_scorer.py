@@ -89,3 +89,22 @@ def test_days_are_counted_once_the_watermark_has_passed(spark, tmp_path):
     query.awaitTermination()
     got = {str(r.dt): r.n for r in spark.read.schema("dt date, n long").parquet(f"{tmp_path}/out").collect()}
     assert got == {"2024-01-01": 2, "2024-01-02": 2}
+
+
+@pytest.mark.parametrize("hidden", ((), (4,)))
+def test_counted_rows_are_as_many(spark, rows, hidden):
+    from chronoflow.operators import metrics
+
+    names = ["a", "b", "c"]
+    many = rows.where("k % 3 > 0").unionByName(rows.where("k % 2 = 0").crossJoin(spark.range(30).select("id")).drop("id")).drop("k")
+    counted = scorer.distinct_rows(many, names)
+    one, other = scorer.fit(many, names, hidden, 3), scorer.fit(counted, names, hidden, 3)
+    for c in ("mean", "std"):
+        assert list(getattr(other.stages[1], c)) == pytest.approx(list(getattr(one.stages[1], c)))
+    area = lambda model, df: metrics.auroc(scorer.scored(model, df)).first()[0]
+    assert area(other, counted) == pytest.approx(area(other, many), abs=1e-12)
+    if hidden:
+        return  # a hundred steps of a network end elsewhere after the last digits of a scale
+    assert area(other, counted) == pytest.approx(area(one, many), abs=1e-4)
+    score = lambda model: [r.score for r in scorer.scored(model, rows).orderBy("k").collect()]
+    assert score(other) == pytest.approx(score(one), abs=1e-4)
